@@ -129,7 +129,7 @@ class WordHashes:
     The memory is bounded: at ``limit`` words it starts anew.
     """
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 600_000):
         self.limit, self.known = limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

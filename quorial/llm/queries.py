@@ -11,7 +11,22 @@ from .archive import archive_round_trip
 from .bpe import bpe_round_trip
 from .common import table
 from .decontaminate import benchmark_hits
+from .fingerprints import fingerprints
+from .ngram_join import ngram_join
 from .token_counts import token_counts
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_counts, op7_decontamination, op9_bpe, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op6_token_counts, op7_decontamination, op9_bpe, op10_warc)
 }
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.

@@ -12,8 +12,12 @@ from .bpe import bpe_round_trip
 from .common import table
 from .decontaminate import benchmark_hits
 from .fingerprints import fingerprints
+from .licenses import license_scan
+from .licenses import oracle as license_sql
 from .ngram_join import ngram_join
+from .secrets import secret_scan
 from .token_counts import token_counts
+from .tool_calls import conversation_calls
 from .toxicity import toxicity
 
 
@@ -29,6 +33,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_calls(table(spark, sf_dir, "conversations"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +49,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,11 +62,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op6_token_counts, op7_decontamination, op9_bpe, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc)
 }
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": license_sql(),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         q AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, min(page_id) OVER (PARTITION BY body) AS owner FROM p)

@@ -8,7 +8,10 @@ one SQL expression, so scanning and redaction need neither join nor shuffle.
 
 from __future__ import annotations
 
+import json
+import random
 import re
+import string
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +23,7 @@ from .common import pick
 #: Fixed: a candidate, at the end of a word or before closing marks.
 VALUE = r"([A-Za-z0-9+/_\-]{12,}={0,2})[\"'`,.;:)\]}>*&%$#!]*$"
 #: Fixed: texts without this have no candidate.
-ANY = r"[A-Za-z0-9+/_\-]{12}"
+ANY = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12}"
 #: Fixed: words beside a credential, and words beside other long strings.
 NEAR = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(orization)?|bearer|credential|private[_\-]?key|client[_\-]?secret)"
 FAR = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|rev(ision)?|version|build|uuid|guid|isbn|order|invoice|phone|card|account|serial|tracking|http|www|file|path|img|id)"
@@ -37,10 +40,6 @@ tion ment ing ung ung keit lich schaft heit aire elle eau eux ment cion mente ad
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "shifts", "classes", "hex", "covered", "issued", "assigned", "near", "far", "in_path", "path_code", "all_digits", "luhn_like"]
 
 
-def tokens_of(text: F.Column) -> F.Column:
-    return F.split(text, r"\s+")
-
-
 def _share(value: F.Column, pattern: str) -> F.Column:
     return (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))) / F.greatest(F.length(value), F.lit(1))
 
@@ -77,59 +76,61 @@ def described(word: F.Column, before: F.Column, after: F.Column, path: F.Column)
     return F.struct(value.alias("value"), *[F.coalesce(out[n].cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
 
 
-def candidates(text: F.Column, path: F.Column) -> F.Column:
-    """Array of (place, value, features) of a text: words whose tail has at least 12
-    characters of a key and a digit."""
-    words = tokens_of(text)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.get(words, i - 1).rlike(VALUE) & F.get(words, i - 1).rlike("[0-9]"))
+def candidates(words: str, path: F.Column) -> F.Column:
+    """Array of (place, value and features) of a text's words: those whose tail has at
+    least 12 characters of a key and a digit.  ``words`` names a column, so that the
+    split isn't done again for each word."""
+    places = F.transform(words, lambda w, i: F.when(w.rlike("[0-9]") & w.rlike(VALUE), i))
     word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    one = lambda i: F.struct((i - 1).alias("place"), described(word(i - 1), F.concat_ws(" ", word(i - 3), word(i - 2)), word(i), path).alias("c"))
-    found = F.filter(F.transform(places, one), lambda x: x["c"]["value"].rlike("[0-9]"))
-    return F.when(text.rlike(ANY), found).otherwise(F.array().cast(_KIND))
+    one = lambda i: F.struct(i.alias("place"), described(word(i), F.concat_ws(" ", word(i - 2), word(i - 1)), word(i + 1), path).alias("c"))
+    return F.filter(F.transform(F.array_compact(places), one), lambda x: x["c"]["value"].rlike("[0-9]"))
 
 
-_KIND = "array<struct<place:int,c:struct<value:string," + ",".join(f"{n}:double" for n in FEATURES) + ">>>"
+def words_of(text: F.Column) -> F.Column:
+    """Words between white space; none for texts without a candidate."""
+    return F.when(text.rlike(ANY), F.split(text, r"\s+")).otherwise(F.array().cast("array<string>"))
 
 
-def labelled_findings(spark: SparkSession, count: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, count: int = 6_000, seed: int = 11) -> DataFrame:
     """Labelled findings to train from: word, before, after, path, label.
 
-    ``count`` rows made by rule from hashes of their numbers: keys in the formats of
-    issuers and assignments of random strings are secrets; card and phone numbers,
-    checksums, identifiers, addresses, paths and long words are not.
+    ``count`` rows made by rule: keys in the formats of issuers and assignments of
+    random strings are secrets; card and phone numbers, checksums, identifiers,
+    addresses, paths and long words are not.
     """
-    i = F.col("id")
-    hexes = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
-    upper = lambda salt: F.upper(F.regexp_replace(F.base64(F.unhex(hexes(salt))), "[^A-Za-z0-9]", "X"))
-    mixed = lambda salt: F.regexp_replace(F.base64(F.unhex(hexes(salt))), "[+/=]", "x")
-    digits = lambda salt, n: F.substring(F.concat(F.abs(F.xxhash64(F.lit(salt), i)).cast("string"), F.abs(F.xxhash64(F.lit(salt + "b"), i)).cast("string")), 1, n)
-    any_of = lambda salt, *options: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(options))) + 1).cast("int"))
-    plain = lambda salt: any_of(salt, "the", "of then", "und die", "pour le", "que la", "notes", "then sent", "erst an")
-    key = any_of("key", "password", "passwd", "secret", "token", "api_key", "client_secret", "auth_token", "access_key")
-    n = lambda salt, lo, hi: (F.lit(lo) + F.pmod(F.xxhash64(F.lit(salt), i), F.lit(hi - lo + 1))).cast("int")
-    sub = lambda c, size: F.substring(c, F.lit(1), size)
-    q = F.lit('"')
+    rng = random.Random(seed)
+    hexes = lambda lo, hi: "".join(rng.choices("0123456789abcdef", k=rng.randint(lo, hi)))
+    upper = lambda n: "".join(rng.choices(string.ascii_uppercase + string.digits, k=n))
+    mixed = lambda lo, hi: "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(lo, hi)))
+    digits = lambda n: "".join(rng.choices(string.digits, k=n))
+    plain = lambda: rng.choice(["the", "of then", "und die", "pour le", "que la", "notes", "then sent", "erst an", "thion. The", "en.", "ou, de"])
+    key = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "client_secret", "auth_token", "access_key"])
     kinds = [
-        (1, F.concat(F.lit("AKIA"), sub(upper("a"), F.lit(16))), plain("p1")),
-        (1, F.concat(key, F.lit("="), sub(hexes("b"), n("bn", 14, 40))), plain("p2")),
-        (1, F.concat(q, sub(hexes("c"), n("cn", 32, 40)), q), F.concat(key, F.lit(" ="))),
-        (1, F.concat(any_of("pre", "ghp_", "sk-", "xoxb-", "glpat-", "npm_"), sub(mixed("d"), n("dn", 24, 36))), plain("p3")),
-        (1, F.concat(key, F.lit(':"'), sub(mixed("e"), n("en", 16, 40)), q), plain("p4")),
-        (1, sub(mixed("f"), n("fn", 20, 40)), F.concat(key, F.lit(":"))),
-        (0, F.concat(F.lit("4"), digits("g", 15)), plain("p5")),
-        (0, F.concat(any_of("cc", "4", "5", "37", "6"), digits("gg", 15)), any_of("card", "card", "account no", "order", "und mit")),
-        (0, sub(hexes("h"), F.lit(40)), any_of("cm", "commit", "rev", "sha1", "checksum")),
-        (0, sub(hexes("j"), n("jn", 32, 64)), any_of("md", "md5", "sha256", "digest", "file hash", "hash")),
-        (0, F.concat(sub(hexes("k"), F.lit(8)), F.lit("-"), F.substring(hexes("k"), 9, 4), F.lit("-4"), F.substring(hexes("k"), 13, 3), F.lit("-"), F.substring(hexes("k"), 16, 4), F.lit("-"), F.substring(hexes("k"), 20, 12)), any_of("ui", "uuid", "request id", "id")),
-        (0, F.concat(F.lit("https://www.example.com/page/list-"), digits("l", 6)), plain("p6")),
-        (0, F.concat(any_of("w1", "content", "version", "release", "default"), F.lit("_"), any_of("w2", "message", "object", "number"), F.lit("_"), digits("m", 2)), plain("p7")),
-        (0, F.concat(F.lit("/home/user/data/file_"), digits("n", 4)), plain("p8")),
-        (0, F.concat(any_of("y", "2019", "2021", "2024"), F.lit("-"), digits("o", 4), F.lit("_"), digits("oo", 6)), any_of("bd", "build", "version", "date", "invoice")),
-        (0, F.concat(F.lit("+"), digits("q", 13)), any_of("ph", "phone", "tel", "call")),
+        (1, lambda: (f"AKIA{upper(16)}", plain())),
+        (1, lambda: (f"{key()}={hexes(14, 40)}", plain())),
+        (1, lambda: (f'"{hexes(32, 40)}"', f"{plain()} {key()} =")),
+        (1, lambda: (rng.choice(["ghp_", "sk-", "xoxb-", "glpat-", "npm_"]) + mixed(24, 36), plain())),
+        (1, lambda: (f'{key()}:"{mixed(16, 40)}"', plain())),
+        (1, lambda: (mixed(20, 40), f"{key()}:")),
+        (0, lambda: (f"4{digits(15)}", plain())),
+        (0, lambda: (rng.choice(["4", "5", "37", "6"]) + digits(rng.randint(13, 15)), rng.choice(["card", "account no", "order", plain()]))),
+        (0, lambda: (hexes(40, 40), rng.choice(["commit", "rev", "sha1", "checksum"]))),
+        (0, lambda: (hexes(32, 64), rng.choice(["md5", "sha256", "digest", "file hash", "hash"]))),
+        (0, lambda: ("-".join(hexes(n, n) for n in (8, 4, 4, 4, 12)), rng.choice(["uuid", "request id", "id", plain()]))),
+        (0, lambda: (f"https://www.example.com/page/list-{digits(6)}", plain())),
+        (0, lambda: ("_".join([rng.choice(["content", "version", "release", "default"]), rng.choice(["message", "object", "number"]), digits(2)]), plain())),
+        (0, lambda: (f"/home/user/data/file_{digits(4)}", plain())),
+        (0, lambda: (f"{rng.choice(['2019', '2021', '2024'])}-{digits(4)}_{digits(6)}", rng.choice(["build", "version", "date", "invoice"]))),
+        (0, lambda: (f"+{digits(13)}", rng.choice(["phone", "tel", "call", plain()]))),
     ]
-    case = (i % len(kinds)).cast("int")
-    pick_ = lambda k: F.element_at(F.array(*[x[k] if k else F.lit(x[0]) for x in kinds]), case + 1)
-    return spark.range(count).select(pick_(1).alias("word"), pick_(2).alias("before"), plain("after").alias("after"), any_of("path", "src0", "notes.txt", "a.py", "conf.yml").alias("path"), pick_(0).alias("label"))
+    rows = []
+    for i in range(count):
+        label, make = kinds[i % len(kinds)]
+        word, before = make()
+        word += rng.choice(["", "", "", ",", ".", "%%%", "***"])
+        rows.append({"word": word, "before": before, "after": plain(), "path": rng.choice(["", "notes.txt", "a.py", "conf.yml"]), "label": label})
+    kind = "array<struct<word:string,before:string,after:string,path:string,label:int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
 def train(findings: DataFrame, trees: int = 20, depth: int = 5, seed: int = 7):
@@ -188,7 +189,8 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float
     score = train(findings if findings is not None else labelled_findings(docs.sparkSession))
     rows = pick(docs, doc_id=id_col, text=text_col, **({"path": path_col} if path_col else {}))
     path = F.col("path") if path_col else F.lit("")
-    found = rows.where(F.col("text").rlike(ANY)).select("doc_id", F.explode(candidates(F.col("text"), path)).alias("x"))
+    split = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
+    found = split.select("doc_id", F.explode(candidates("words", path)).alias("x"))
     found = found.select("doc_id", F.col("x.place").alias("word_no"), F.col("x.c").alias("c"))
     return found.select("doc_id", "word_no", F.col("c.value").alias("value"), F.round(score(F.col("c")), 6).alias("score")).withColumn("is_secret", F.col("score") >= least)
 
@@ -197,8 +199,14 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.
     """``docs`` with every secret in ``text_col`` replaced by ``mask``; all rows and
     other columns stay.  Null texts stay null."""
     score = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    text, path = F.col(text_col), F.col(path_col) if path_col else F.lit("")
-    found = F.filter(candidates(text, path), lambda x: score(x["c"]) >= least)
+    path = F.col(path_col) if path_col else F.lit("")
+    split = docs.withColumn(_WORDS, words_of(F.col(text_col)))
+    found = F.filter(candidates(_WORDS, path), lambda x: score(x["c"]) >= least)
     # longer values first, so that one inside another can't break it
     values = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct((-F.length(x["c"]["value"])).alias("n"), x["c"]["value"].alias("v")))))
-    return docs.withColumn(text_col, F.aggregate(values, text, lambda t, x: F.replace(t, x["v"], F.lit(mask))))
+    clean = F.aggregate(values, F.col(text_col), lambda t, x: F.replace(t, x["v"], F.lit(mask)))
+    return split.withColumn(text_col, clean).drop(_WORDS)
+
+
+#: A column of ``redact``'s own, gone in its result.
+_WORDS = "words of the text, split"

@@ -1,0 +1 @@
+"""Revenue operations, territories, contract longevity and churn on Spark DataFrames."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import markets, people
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**people.QUERIES, **markets.QUERIES}
+ORACLE_SQL: dict[str, str] = {**people.ORACLE_SQL, **markets.ORACLE_SQL}

@@ -233,7 +233,7 @@ def learn_rules(sample: DataFrame, model: np.ndarray) -> list[tuple[str, float]]
             yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x if f in place) for x in _by_document(reader, b.column(0))], pa.list_(pa.int32()))], ["has"])
 
     # the same document in many copies explains once
-    has = [set(r.has) for r in toxic.select("text").mapInArrow(explain, "has array<int>").distinct().collect()]
+    has = [set(r.has) for r in toxic.select("text").distinct().mapInArrow(explain, "has array<int>").collect()]
     rules = []
     while kept:
         n = Counter(f for x in has for f in x)

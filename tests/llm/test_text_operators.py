@@ -33,13 +33,13 @@ def toxic(spark):
     rng = random.Random(2)
     rows, labels = [], []
     for i in range(240):
-        bad, text = i % 4 == 0, prose(rng, 40)
+        bad, text = i % 4 == 0, prose(rng, 40) + " you there"
         if bad:
             text += f" you {rng.choice(['grumbok', 'snarfel', 'zotwick'])} " + prose(rng, 5)
         rows.append((i, text))
         labels.append((i, None if i % 50 == 7 else 1, int(bad)))
-    hidden = [(1000, "you gr0mbok"), (1001, "well s n a r f e l here"), (1002, "what a zotwiiiick!"), (1003, prose(rng, 30)), (1004, None), (1005, ""), (1003, "x")]
-    rows += hidden[:1] and [(1000, "you gruuuumb0k"), *hidden[1:]]
+    hidden = [(1000, "you gruuuumb0k"), (1001, "well s n a r f e l here"), (1002, "what a zotwiiiick!"), (1003, prose(rng, 30)), (1004, None), (1005, ""), (1003, "x")]
+    rows += hidden
     label_df = spark.createDataFrame(labels + [(0, 1, 0), (5000, 1, 1), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     return docs(spark, rows), label_df, dict(rows[:240])
 

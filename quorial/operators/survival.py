@@ -58,22 +58,47 @@ def concordance_by_times(df: DataFrame, risk: str, time: str = "time_to_event",
     return sums.withColumn("c_index", F.round(F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), total), 4))
 
 
+def _ranges(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
+    """Rows with ``_range``, the number of quantile borders under their value: ranges
+    that can be ordered side by side."""
+    borders = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(borders))]).cast("array<double>")
+    return df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(column))))
+
+
 def roc_auc(df: DataFrame, score: str, label: str = "event_observed") -> DataFrame:
-    """Exact area under the ROC curve from mid-ranks of the different scores."""
-    cells = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    rows = cells.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(before), F.lit(0)))
+    """Exact area under the ROC curve from mid-ranks of the different scores.
+
+    Running counts are made within ranges of scores, and over the ranges' sums.
+    """
+    cells = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    cells = _ranges(cells, "s")
+    inside = Window.partitionBy("_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("near", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(inside), F.lit(0)))
+    # one row a range
+    sums = cells.groupBy("_range").agg(F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("far"))
+    rows = cells.join(F.broadcast(sums), "_range").withColumn("neg_below", F.col("near") + F.col("far"))
     good = F.sum(F.col("pos") * (F.col("neg_below") + (F.col("n") - F.col("pos")) / 2))
     return rows.agg(F.round(F.try_divide(good, (F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double")), 6).alias("auc"))
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, by: str | None = None, salt: int = 42) -> DataFrame:
     """Marks exactly ``ceil(share n)`` rows of all, or of each class, as ``is_test``, by
-    a hash of their key."""
-    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{salt}")))
-    group = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    n, place = F.count("*").over(group), F.row_number().over(group.orderBy(order, key))
-    return df.withColumn("is_test", place <= F.ceil(n * share))
+    the order of a hash of their key.
+
+    Rows are only ranked among those whose hashes begin alike; counts of the 65,536
+    beginnings tell how many come before.
+    """
+    rows = df.withColumn("_class", F.col(by) if by else F.lit(0)).withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{salt}")))).withColumn("_start", F.substring("_hash", 1, 4))
+    counts = rows.groupBy("_class", "_start").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy("_class")
+    before = group.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_class").alias("_c"), F.col("_start").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total"))
+    joined = rows.join(counts, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_start") == F.col("_s")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_class", "_start").orderBy("_hash", key))
+    return joined.select(*df.columns, (place <= F.ceil(F.col("_total") * share)).alias("is_test"))
 
 
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -149,9 +149,15 @@ def _links(rows: DataFrame, signed: DataFrame, alike: DataFrame, n: int, least:
     banded = one.groupBy("doc_id").agg(F.first("bands").alias("bands")).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(full, "band"), "members")
-    # a text's home is its fullest bucket; a large bucket is dealt over several blocks
+    # Candidates that buckets connect are dealt over blocks of about BLOCK texts; those
+    # that share their fullest bucket mostly stay together.
+    star = members.join(members.groupBy("band").agg(F.min("rep").alias("v")), "band").select(F.col("rep").alias("u"), "v").distinct()
+    joint = components(star)
+    sizes = joint.groupBy("root").agg(F.count("*").alias("members"))
     home = members.groupBy("rep").agg(F.max(F.struct("size", "band")).alias("home"))
-    block = F.xxhash64("home.band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.size") / BLOCK)))
+    home = home.join(joint, F.col("rep") == F.col("node")).join(sizes, "root")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.size") / BLOCK))
+    block = F.xxhash64("root", F.pmod(F.pmod(F.xxhash64("home.band"), F.lit(2**40)) + part, F.ceil(F.col("members") / BLOCK)))
     home = stored(home.select("rep", block.alias("block")), "homes")
     # two blocks are compared if one bucket has members of both
     met = members.join(home, "rep").select("band", "block").distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorial.llm.bpe import bpe_round_trip
 from quorial.llm.common import stored, table
@@ -18,6 +19,11 @@ from quorial.llm.secrets import redact
 from quorial.llm.toxicity import keep_clean
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
@@ -30,12 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly such go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials are masked; every document stays."""
-    return redact(docs)
+    return _measured(redact(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

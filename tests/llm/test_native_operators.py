@@ -164,6 +164,7 @@ def test_pipeline_stages(spark, tmp_path):
         now = after.cache()
         if name == "secrets":
             kept = {r.doc_id: r.text for r in now.collect()}
+            assert all(r.n_chars == len(r.text) for r in now.collect())
     want = {i for i, t in docs if "vile" not in t} - {200, 202}
     assert set(kept) == want and kept[203] == "see [secret] now" and item not in kept[201]
     assert {r.doc_id for r in now.collect()} == want == {r.doc_id for r in P.run(spark, d).collect()}

@@ -81,12 +81,15 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     templates = TEMPLATES if templates is None else templates
     rows = pick(docs, doc_id=id_col, text=text_col)
     sets = [(name, bigrams(normal_words(text))) for name, text in templates]
-    needed = F.array(*[F.lit(w) for w in needed_words(templates, least)])
+    words_needed = needed_words(templates, least)
+    needed = F.array(*[F.lit(w) for w in words_needed])
+    # texts without any of these words have no unit with one, and aren't taken apart
+    any_needed = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, words_needed)) + r")(?![\p{L}\p{N}])"
     span = least / (2 - least)
     sizes = [len(g) for _, g in sets]
     # before bigrams are made: words of a unit bound its bigrams from above
     fewest = math.ceil(min(sizes) * span)
-    units = rows.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(units_of(F.col("text"))).alias("unit", "line"))
+    units = rows.where(F.col("text").rlike(any_needed)).select("doc_id", F.posexplode(units_of(F.col("text"))).alias("unit", "line"))
     words = F.filter(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     units = units.select("doc_id", "unit", words.alias("words")).where((F.size("words") > fewest) & F.arrays_overlap("words", needed))
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))

@@ -14,7 +14,6 @@ TAXONOMY = ["Region", "Account_Segment"]
 TERRITORIES = 3
 ROLES = {"AE": 1.0, "SE": 2.0, "BDR": 0.5, "VP": 5.0}
 LOCKS = {"Customer#000000001": "Named_Accounts", "Customer#000000002": "ASIA_FURNITURE_Territory_3"}
-OVER, UNDER = "ASIA_BUILDING_Territory_1", "ASIA_MACHINERY_Territory_1"
 RESELLERS = ["#000000001", "#000000002", "#00000001"]
 DEFENSE = ["NATION_1", "NATION_2"]
 #: The moves of ``move_account``.

@@ -38,7 +38,7 @@ _WHOLE = rf"\A{_W}|{_W}\z| {_W}|{_W} |\x00|<\|"
 class Codec:
     """Encoder and decoder of one byte-level vocabulary."""
 
-    def __init__(self, spec: bytes, cached: int = 800_000):
+    def __init__(self, spec: bytes, cached: int = 250_000):
         spec = json.loads(spec)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
             raise ValueError("a byte-level BPE vocabulary without normaliser is needed")
@@ -113,7 +113,7 @@ class Codec:
                     limit, left = left, self.halves[left][1]
                     if left == limit:
                         break
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[a, b] = fits
         return fits

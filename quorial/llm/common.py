@@ -58,7 +58,7 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> list[pa.Array]:
+def slices(column: pa.Array, most: int = 3 << 20) -> list[pa.Array]:
     """The column without nulls, cut into runs of rows of about ``most`` bytes."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
@@ -129,7 +129,7 @@ class WordHashes:
     The memory is bounded: at ``limit`` words it starts anew.
     """
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.known = limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

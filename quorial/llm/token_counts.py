@@ -108,7 +108,7 @@ class TokenCounter:
     normaliser is NFC, white-space folding and lower case, and whose pre-tokens
     are what one pattern matches."""
 
-    def __init__(self, spec: bytes, cached: int = 800_000):
+    def __init__(self, spec: bytes, cached: int = 400_000):
         spec = json.loads(spec)
         model = spec["model"]
         if model["type"] != "BPE" or [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:

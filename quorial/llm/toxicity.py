@@ -249,7 +249,7 @@ def learn_rules(sample: DataFrame, model: np.ndarray) -> list[tuple[str, float]]
 
 
 class Scorer:
-    def __init__(self, model: np.ndarray, rules: list[tuple[str, float]], base: float, cached: int = 600_000):
+    def __init__(self, model: np.ndarray, rules: list[tuple[str, float]], base: float, cached: int = 250_000):
         self.reader, self.rules, self.base, self.cached = Reader(model), dict(rules), base, cached
         self.known: dict[str, float] = {}
 

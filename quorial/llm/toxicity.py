@@ -107,9 +107,8 @@ class Restorer:
         self.cost = (-model).tolist()
 
     @staticmethod
-    def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
+    def lattice(token: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
         """For each place the strings it can stand for, with their costs."""
-        out: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(token):
             c, j = token[i], i + 1
@@ -118,23 +117,25 @@ class Restorer:
             n = j - i
             readings = [(c, 0.0)] if c.isalpha() else [(r, READ) for r in LEET.get(c, "")]
             if not readings:
-                out.append([("", SKIP * 0.25)])
+                yield [("", SKIP * 0.25)]
             elif n == 1:
-                out.append(readings + ([] if c.isalpha() else [("", SKIP)]))
+                yield readings + ([] if c.isalpha() else [("", SKIP)])
             else:
                 single = 0.0 if n > 2 else SINGLE
-                out.append([(r, w + single) for r, w in readings] + [(r * 2, w * 2) for r, w in readings] + ([] if c.isalpha() else [("", SKIP)]))
+                yield [(r, w + single) for r, w in readings] + [(r * 2, w * 2) for r, w in readings] + ([] if c.isalpha() else [("", SKIP)])
             if spaced and j < len(token):
-                out.append([("", 0.0), (" ", BORDER)])
+                yield [("", 0.0), (" ", BORDER)]
             i = j
-        return out
 
     def restore(self, token: str, spaced: bool = False) -> str:
+        """Time and memory grow with the token's length only: of each of the at most
+        28 x 28 states the way back is kept as links, not as a string.  Of equally
+        likely ways into a state the first one met stays."""
         cost = self.cost
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(token.lower(), spaced):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (w, s) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (w, back) in best.items():
                 for text, extra in options:
                     x, y, v = a, b, w + extra
                     for c in text:
@@ -146,10 +147,15 @@ class Restorer:
                             v += cost[x][y][k]
                             x, y = y, k
                     old = new.get((x, y))
-                    if old is None or (v, s + text) < old:
-                        new[x, y] = (v, s + text)
+                    if old is None or v < old[0]:
+                        new[x, y] = (v, (back, text) if text else back)
             best = new
-        return min((w + cost[a][b][0], s) for (a, b), (w, s) in best.items())[1]
+        back = min(((w + cost[a][b][0], back) for (a, b), (w, back) in best.items()), key=lambda x: x[0])[1]
+        out = []
+        while back is not None:
+            back, text = back
+            out.append(text)
+        return "".join(reversed(out))
 
 
 class Reader:
@@ -165,9 +171,10 @@ class Reader:
             return [low]
         core = low.strip(_EDGES)
         out = _LETTERS.findall(core)
-        if len(core) <= 32 and _NOISY.match(core):
+        if _NOISY.match(core):
             # runs of a symbol behind a word are decoration
-            for c in (core, re.sub(r"([$+!|@])\1+$", "", core)):
+            bare = core.rstrip(core[-1]) if core[-1] in "$+!|@" else core
+            for c in (core, bare if len(core) - len(bare) > 1 else core):
                 out += _LETTERS.findall(self.restorer.restore(c))
         return out
 
@@ -176,9 +183,10 @@ class Reader:
         out = []
         for m in _SPACED.finditer(text):
             run = m.group()[::2]
-            if len(run) <= 64:
-                out += self.restorer.restore(run, spaced=True).split()
-                out.append(self.restorer.restore(run))
+            # a symbol written thrice or more can be filler beside a word, not only a part of it
+            for part in dict.fromkeys([run, *re.sub(r"(.)\1\1+", " ", run).split()]):
+                out += self.restorer.restore(part, spaced=True).split()
+                out.append(self.restorer.restore(part))
         return out
 
 

@@ -1,0 +1,20 @@
+"""Texts that length caps and narrow patterns used to leave out."""
+
+import pytest
+
+from quorial.llm import toxicity as X
+
+
+@pytest.fixture(scope="module")
+def reader(spark):
+    words = "you are an idiot worthless stupid trash hello world".split()
+    docs = spark.createDataFrame([(1, " ".join(words * 20))], "doc_id long, text string")
+    return X.Reader(X.log_probabilities(X.trigram_counts(docs)))
+
+
+def test_long_runs_and_pieces_are_restored(reader):
+    sentence = " ".join("hello you worthless idiot " * 4).replace("   ", " ")
+    assert len(sentence) > 2 * 64 and {"worthless", "idiot"} <= set(reader.spaced(sentence))
+    assert "idiot" in reader.spaced("a " * 80 + "i d i o t")
+    assert "idiot" in reader.words("idi" + "o" * 40 + "t") and "stupid" in reader.words("$tu" + "p" * 5000 + "1d")
+    assert len(reader.words("1d10t" * 20_000 + "!" * 100_000 + "x")) > 0

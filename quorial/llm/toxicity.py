@@ -36,7 +36,9 @@ PREFIXES = (4, 5, 6)
 #: Symbols of the character model: a border, a to z, and any other letter.
 _SYMBOLS = 28
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ ._*\-](?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
-_SPACED_RE2 = r"(^|[\s.,;:])\S([ ._*\-]\S){3,}($|[\s.,;:])"
+#: In RE2: every text in which _SPACED finds something, and few others.  All characters
+#: beyond ASCII count as letters inside a run and as none beside it.
+_SPACED_RE2 = r"(^|[^0-9A-Za-z])[0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]([ ._*\-][0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]){3,}($|[^0-9A-Za-z])"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = "".join(c for c in "%&#*.,;:?\"'()[]{}<>=~^`/\\-_!«»„“”…")
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0134578@$!|+(€£]|.*([^\W\d_])\1\1)")

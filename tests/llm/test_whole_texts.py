@@ -1,5 +1,10 @@
 """Texts that length caps and narrow patterns used to leave out."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quorial.llm import toxicity as X
@@ -18,3 +23,15 @@ def test_long_runs_and_pieces_are_restored(reader):
     assert "idiot" in reader.spaced("a " * 80 + "i d i o t")
     assert "idiot" in reader.words("idi" + "o" * 40 + "t") and "stupid" in reader.words("$tu" + "p" * 5000 + "1d")
     assert len(reader.words("1d10t" * 20_000 + "!" * 100_000 + "x")) > 0
+
+
+def test_prefilter_passes_every_spaced_run(reader):
+    rng = random.Random(4)
+    texts = ['"i d i o t"', "(d u m b)", "s c u m!", "j e r k?", "you i-d-i-o-t!", "you i*d*i*o*t? no", "*i_d_i_o_t*", "(i.d.i.o.t)", "é t é s", "x\n1 d 1 0 t\n", "д.у.р.а.к", "«d u m b»"]
+    one = lambda: rng.choice("ab1é漢٣²@!$|+") + rng.choice(["", "", "", "", "", "", "a", "("])
+    texts += [rng.choice(["", '"', "\n", "x", "«", "_"]) + rng.choice(" ._*-").join(one() for _ in range(rng.randint(3, 9))) + rng.choice(["", '"', "!", "x", "_"]) for _ in range(20_000)]
+    found = [bool(X._SPACED.search(t)) for t in texts]
+    passed = pc.match_substring_regex(pa.array(texts), X._SPACED_RE2).to_pylist()
+    assert sum(found) > 2000 and all(p for f, p in zip(found, passed, strict=True) if f)
+    scorer = X.Scorer(-np.array(reader.restorer.cost), [("idiot", 0.9)], 0.1)
+    assert scorer.batch(pa.array(["a plain text", '"i d i o t"', "you i-d-i-o-t!"])).tolist() == [0.1, 0.9, 0.9]

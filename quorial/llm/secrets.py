@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Fixed: a candidate, at the end of a word or before closing marks.
-VALUE = r"([A-Za-z0-9+/_\-]{12,}={0,2})[\"'`,.;:)\]}>*&%$#!]*$"
+#: Fixed: a candidate, anywhere in a word; marks of equality before more of a value assign it.
+#: Behind the name of a credential it may be of any length.
+_NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?:orization)?|bearer|credential|private[_\-]?key|client[_\-]?secret)[\"'`]?[=:][\"'`]?"
+VALUE = rf"(?:[A-Za-z0-9+/_\-]{{12,}}|(?<=(?i:{_NAME}))[A-Za-z0-9+/_\-]+)(?:={{1,2}}(?![A-Za-z0-9+/_\-=]))?"
+NAMED = rf"(?i){_NAME}$"
+#: Fixed: what lies between a value and the nearest assignment, and the end of what belongs to it.
+OWN_LEAD, OWN_TAIL = r"[^,;&?]*[=:][^,;&?]*$", r"^[^,;&]*"
 #: Fixed: texts without this have no candidate.
-ANY = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12}"
+ANY = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{12}}|(?i:{_NAME})[A-Za-z0-9+/_\-]"
 #: Fixed: words beside a credential, and words beside other long strings.
 NEAR = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(orization)?|bearer|credential|private[_\-]?key|client[_\-]?secret)"
 FAR = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|rev(ision)?|version|build|uuid|guid|isbn|order|invoice|phone|card|account|serial|tracking|http|www|file|path|img|id)"
@@ -44,10 +49,34 @@ def _share(value: F.Column, pattern: str) -> F.Column:
     return (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))) / F.greatest(F.length(value), F.lit(1))
 
 
+def values_of(word: F.Column) -> F.Column:
+    """All candidates of a word in their order, each with what is before and behind it
+    up to the next one, as structs of value, lead and tail."""
+    found = F.regexp_extract_all(word, F.lit(VALUE), F.lit(0))
+    # one more than there are values
+    gaps = F.split(word, VALUE, -1)
+    # a long name in front of a value is a candidate itself, and the value's lead
+    lead = lambda i: F.when(F.get(gaps, i).rlike(r"^[\"'`]?[=:]"), F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i))).otherwise(F.get(gaps, i))
+    return F.transform(found, lambda v, i: F.struct(v.alias("value"), lead(i).alias("lead"), F.get(gaps, i + 1).alias("tail"), (i == 0).alias("first"), (i == F.size(found) - 1).alias("last")))
+
+
 def described(word: F.Column, before: F.Column, after: F.Column, path: F.Column) -> F.Column:
-    """A struct with the candidate of a word and its features."""
-    value = F.regexp_extract(word, VALUE, 1)
-    lead = F.call_function("substring_index", word, value, F.lit(1))
+    """A struct with the last candidate of a word and its features."""
+    last = F.element_at(F.concat(F.array(F.struct(F.lit("").alias("value"), F.lit("").alias("lead"), F.lit("").alias("tail"), F.lit(True).alias("first"), F.lit(True).alias("last"))), values_of(word)), -1)
+    return described_value(last, before, after, path)
+
+
+def described_value(part: F.Column, before: F.Column, after: F.Column, path: F.Column) -> F.Column:
+    """A struct with one of ``values_of`` a word and its features.  Words beside count
+    for the values next to them, and of the word itself what belongs to the value."""
+    value = part["value"]
+    own = F.regexp_extract(part["lead"], OWN_LEAD, 0)
+    lead = F.when(own != "", own).otherwise(part["lead"])
+    tail = F.regexp_extract(part["tail"], OWN_TAIL, 0)
+    before = F.when(part["first"], before).otherwise("")
+    after = F.when(part["last"], F.concat_ws(" ", tail, after)).otherwise(tail)
+    # name:password@host
+    login = lead.rlike(r"://[^/@:]*:$") & tail.startswith("@")
     # places where the kind of character changes, as a share of all
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1")
     shifts = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
@@ -66,9 +95,9 @@ def described(word: F.Column, before: F.Column, after: F.Column, path: F.Column)
         "covered": _share(F.lower(value), words),
         "issued": flag(value.rlike(ISSUED)),
         "assigned": flag(lead.rlike(r"[=:][\"'`]?$") | before.rlike(r"[=:]\s*$")),
-        "near": flag(beside.rlike(NEAR)),
+        "near": flag(beside.rlike(NEAR) | login),
         "far": flag(F.concat_ws(" ", beside, after).rlike(FAR)),
-        "in_path": flag(word.rlike(r"://|^[./~]|@|\\") | lead.endswith("/")),
+        "in_path": flag((F.concat(lead, value, tail).rlike(r"://|^[./~]|@|\\") | lead.endswith("/")) & ~login),
         "path_code": flag(F.coalesce(path, F.lit("")).rlike(r"(?i)\.(py|js|ts|java|go|rb|env|ya?ml|json|ini|cfg|sh|tf)$")),
         "all_digits": flag(value.rlike("^[0-9]+$")),
         "luhn_like": flag(value.rlike("^[3-6][0-9]{12,18}$")),
@@ -77,13 +106,14 @@ def described(word: F.Column, before: F.Column, after: F.Column, path: F.Column)
 
 
 def candidates(words: str, path: F.Column) -> F.Column:
-    """Array of (place, value and features) of a text's words: those whose tail has at
-    least 12 characters of a key and a digit.  ``words`` names a column, so that the
-    split isn't done again for each word."""
-    places = F.transform(words, lambda w, i: F.when(w.rlike("[0-9]") & w.rlike(VALUE), i))
+    """Array of (place, value and features) of a text's words: every part of one that
+    has at least 12 characters of a key and a digit, or is assigned to a credential's name.  ``words`` names a column, so that
+    the split isn't done again for each word."""
+    places = F.transform(words, lambda w, i: F.when(w.rlike(VALUE), i))
     word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    one = lambda i: F.struct(i.alias("place"), described(word(i), F.concat_ws(" ", word(i - 2), word(i - 1)), word(i + 1), path).alias("c"))
-    return F.filter(F.transform(F.array_compact(places), one), lambda x: x["c"]["value"].rlike("[0-9]"))
+    parts = lambda i: F.filter(values_of(word(i)), lambda v: v["value"].rlike("[0-9]") | v["lead"].rlike(NAMED))
+    one = lambda i, v: F.struct(i.alias("place"), described_value(v, F.concat_ws(" ", word(i - 2), word(i - 1)), word(i + 1), path).alias("c"))
+    return F.flatten(F.transform(F.array_compact(places), lambda i: F.transform(parts(i), lambda v: one(i, v))))
 
 
 def words_of(text: F.Column) -> F.Column:
@@ -96,7 +126,8 @@ def labelled_findings(spark: SparkSession, count: int = 6_000, seed: int = 11) -
 
     ``count`` rows made by rule: keys in the formats of issuers and assignments of
     random strings are secrets; card and phone numbers, checksums, identifiers,
-    addresses, paths and long words are not.
+    addresses, paths and long words are not.  Besides them an eighth as many short
+    assignments: of passwords, and of words and numbers that stand for none.
     """
     rng = random.Random(seed)
     hexes = lambda lo, hi: "".join(rng.choices("0123456789abcdef", k=rng.randint(lo, hi)))
@@ -129,6 +160,12 @@ def labelled_findings(spark: SparkSession, count: int = 6_000, seed: int = 11) -
         word, before = make()
         word += rng.choice(["", "", "", ",", ".", "%%%", "***"])
         rows.append({"word": word, "before": before, "after": plain(), "path": rng.choice(["", "notes.txt", "a.py", "conf.yml"]), "label": label})
+    empty = ["None", "null", "true", "false", "required", "optional", "str", "undefined", "hidden", "enabled", "disabled", "your_password", "changeme", "0", "1", "30", "3600"]
+    short = lambda: rng.choice([mixed(6, 11), "".join(rng.choices(string.ascii_lowercase, k=rng.randint(4, 8))) + digits(rng.randint(1, 4)), "-".join(mixed(3, 4) for _ in range(3))])
+    for i in range(count // 8):
+        value = short() if i % 2 else rng.choice([rng.choice(DICTIONARY), rng.choice(empty), "_".join(rng.choices(DICTIONARY, k=2))])
+        mark = rng.choice(["", "", '"', "'"])
+        rows.append({"word": f"{key()}{rng.choice('=:')}{mark}{value}{mark}", "before": plain(), "after": plain(), "path": rng.choice(["", "notes.txt", "a.py", "conf.yml"]), "label": i % 2})
     kind = "array<struct<word:string,before:string,after:string,path:string,label:int>>"
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
@@ -204,7 +241,10 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.
     found = F.filter(candidates(_WORDS, path), lambda x: score(x["c"]) >= least)
     # longer values first, so that one inside another can't break it
     values = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct((-F.length(x["c"]["value"])).alias("n"), x["c"]["value"].alias("v")))))
-    clean = F.aggregate(values, F.col(text_col), lambda t, x: F.replace(t, x["v"], F.lit(mask)))
+    # a short one can be part of other words, and goes only where it is assigned
+    assigned = lambda v: F.concat(F.lit(rf"(?<=(?i:{_NAME}))\Q"), v, F.lit(r"\E(?![A-Za-z0-9+/_\-])"))
+    in_place = lambda t, v: F.regexp_replace(t, assigned(v), F.lit(mask.replace("\\", r"\\").replace("$", r"\$")))
+    clean = F.aggregate(values, F.col(text_col), lambda t, x: F.when(F.length(x["v"]) < 12, in_place(t, x["v"])).otherwise(F.replace(t, x["v"], F.lit(mask))))
     return split.withColumn(text_col, clean).drop(_WORDS)
 
 

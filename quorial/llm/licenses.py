@@ -1,7 +1,7 @@
 """Licence scans with DataFrame functions only.
 
-Lines and paragraphs are compared with licence templates by the Dice coefficient of
-their sets of word bigrams.  Bounds on the sizes, and words that a match can't do
+Lines, paragraphs and windows of words are compared with licence templates by the Dice
+coefficient of their sets of word bigrams.  Bounds on the sizes, and words that a match can't do
 without, prune what is compared.
 """
 
@@ -69,11 +69,104 @@ def units_of(text: F.Column) -> F.Column:
     return F.concat(F.split(text, "\n"), F.filter(F.split(text, "\n[ \t]*\n"), lambda p: p.contains("\n")))
 
 
+def words_of(text: F.Column) -> F.Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def pairs_of(words: F.Column) -> F.Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def likest(grams: F.Column, sets: list[tuple[str, list[str]]], least: float) -> F.Column:
+    """A struct of the best Dice coefficient, negative, and its licence."""
+    n, span = F.size(grams), least / (2 - least)
+    scores = []
+    for name, own in sets:
+        fits = (n >= len(own) * span - 1e-9) & (n <= len(own) / span + 1e-9)
+        both = F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in own])))
+        dice = F.when(fits, 2.0 * both / (n + len(own))).otherwise(0.0)
+        # the likest, then the first name
+        scores.append(F.struct((-F.round(dice, 6)).alias("less"), F.lit(name).alias("license")))
+    return F.array_min(F.array(*scores))
+
+
+def fewest_words(own: Counter, size: int, span: float) -> int:
+    """How many of a template's words a match has at least.  ``own`` has the number of
+    bigrams each is in; a bigram is lost through at most two missing words."""
+    lack, lost, missing = size - math.ceil(span * size - 1e-9), 0, 0
+    for n in sorted(own.values()):
+        lost += n
+        if lost > 2 * lack:
+            break
+        missing += 1
+    return len(own) - missing
+
+
+#: A word in the place of a line or paragraph that matches as a whole.
+_TAKEN = "unitthatmatchesasawhole"
+
+
+def license_windows(rows: DataFrame, sets: list[tuple[str, list[str], int]], least: float, any_needed: str) -> DataFrame:
+    """``doc_id, unit, license, dice`` for windows of as many words as a template has,
+    wherever they begin, outside the lines and paragraphs that match as a whole.
+
+    A window may begin at a bigram of the template's, as one that begins elsewhere is
+    no likelier than the next.  Of windows that overlap the likest counts.
+    """
+    span = least / (2 - least)
+    named = [(name, grams) for name, grams, _ in sets]
+    lit = lambda grams: F.array(*[F.lit(g) for g in grams])
+    once = lambda c: F.explode(F.array(c))  # noqa: E731; else filters make it anew for each use
+    docs = rows.where(F.col("text").rlike(any_needed)).select("doc_id", "text", once(words_of(F.col("text"))).alias("words"))
+    # texts that lack too many words, and then bigrams, of each template have no such window
+    docs = docs.select("doc_id", "text", "words", once(F.array_intersect("words", lit(sorted({w for _, g, _ in sets for x in g for w in x.split()})))).alias("known"))
+    enough = F.lit(False)
+    for _, grams, _ in sets:
+        own = Counter(w for g in grams for w in set(g.split()))
+        enough = enough | (F.size(F.array_intersect("known", lit(sorted(own)))) >= fewest_words(own, len(grams), span))
+    docs = docs.where(enough)
+    parts = F.concat(pairs_of(F.col("words")), "words") if any(n < 2 for *_, n in sets) else pairs_of(F.col("words"))
+    docs = docs.select("doc_id", "text", once(F.array_intersect(parts, lit(sorted({g for _, grams, _ in sets for g in grams})))).alias("known"))
+    enough = F.lit(False)
+    for _, grams, _ in sets:
+        enough = enough | (F.size(F.array_intersect("known", lit(grams))) >= math.ceil(span * len(grams) - 1e-9))
+    docs = docs.where(enough)
+
+    def taken(unit: F.Column) -> F.Column:
+        # one-element arrays, so that what several expressions use is made once
+        grams = F.transform(F.array(words_of(unit)), lambda w: F.array_distinct(F.when(F.size(w) > 1, pairs_of(w)).otherwise(w)))
+        best = F.transform(grams, lambda g: likest(g, named, least))
+        return unit.rlike(any_needed) & (F.get(best, F.lit(0))["less"] <= -least)
+
+    lines = lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda x: F.when(taken(x), F.lit(_TAKEN)).otherwise(x)), "\n")
+    rest = F.array_join(F.transform(F.split("text", "\n[ \t]*\n"), lambda p: F.when(p.contains("\n") & taken(p), F.lit(_TAKEN)).otherwise(lines(p))), "\n\n")
+    docs = docs.select("doc_id", F.size(units_of(F.col("text"))).alias("before"), once(words_of(rest)).alias("words")).select("*", once(pairs_of(F.col("words"))).alias("pairs"))
+
+    def windows(name: str, grams: list[str], n: int) -> F.Column:
+        parts = "pairs" if n > 1 else "words"
+
+        def scored(i: F.Column) -> F.Column:
+            window = F.transform(F.array(F.array_distinct(F.slice(parts, i + 1, F.lit(max(n - 1, 1))))), lambda w: F.round(2.0 * F.size(F.array_intersect(w, lit(grams))) / (F.size(w) + len(grams)), 6))
+            return F.struct((-F.get(window, F.lit(0))).alias("less"), F.lit(name).alias("license"), i.alias("start"), (i + n).alias("end"))
+
+        starts = F.array_compact(F.transform(parts, lambda g, i: F.when(g.isin(grams), i)))
+        return F.filter(F.transform(starts, scored), lambda x: x["less"] <= -least)
+
+    docs = docs.select("doc_id", "before", once(F.array_sort(F.concat(*[windows(*x) for x in sets]))).alias("found")).where(F.size("found") > 0)
+    none = F.slice("found", F.lit(1), F.lit(0))
+    apart = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+    best = F.aggregate("found", none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    docs = docs.select("doc_id", "before", F.explode(best).alias("x"))
+    return docs.select("doc_id", (F.col("before") + F.col("x.start")).alias("unit"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, unit, license, dice`` for each line or paragraph that matches.
+    """``doc_id, unit, license, dice`` for each line or paragraph that matches, and for
+    each window of words elsewhere that does.
 
-    ``unit`` counts the lines of a text from 0, and then its paragraphs of more than
-    one line.  Words are runs of letters and digits in lower case; a unit of one word
+    ``unit`` counts the lines of a text from 0, then its paragraphs of more than one
+    line, and then the words where windows can begin, with one word in place of each
+    line or paragraph that matches.  Words are runs of letters and digits in lower case; a unit of one word
     has it in place of bigrams.  Of several templates the likest counts, of equal ones
     the first name.  Null and empty texts have no match; repeated rows match each by
     itself; an empty table gives an empty result.
@@ -90,20 +183,13 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     # before bigrams are made: words of a unit bound its bigrams from above
     fewest = math.ceil(min(sizes) * span)
     units = rows.where(F.col("text").rlike(any_needed)).select("doc_id", F.posexplode(units_of(F.col("text"))).alias("unit", "line"))
-    words = F.filter(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    units = units.select("doc_id", "unit", words.alias("words")).where((F.size("words") > fewest) & F.arrays_overlap("words", needed))
+    units = units.select("doc_id", "unit", words_of(F.col("line")).alias("words")).where((F.size("words") > fewest) & F.arrays_overlap("words", needed))
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     units = units.select("doc_id", "unit", F.array_distinct(F.when(F.size("words") > 1, pairs).otherwise(F.col("words"))).alias("grams"))
-    n = F.size("grams")
-    scores = []
-    for name, grams in sets:
-        fits = (n >= len(grams) * span - 1e-9) & (n <= len(grams) / span + 1e-9)
-        both = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in grams])))
-        dice = F.when(fits, 2.0 * both / (n + len(grams))).otherwise(0.0)
-        # the likest, then the first name
-        scores.append(F.struct((-F.round(dice, 6)).alias("less"), F.lit(name).alias("license")))
-    best = F.array_min(F.array(*scores))
-    return units.select("doc_id", "unit", best.alias("best")).select("doc_id", "unit", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice")).where(F.col("dice") >= least)
+    units = units.select("doc_id", "unit", likest(F.col("grams"), sets, least).alias("best"))
+    units = units.select("doc_id", "unit", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice")).where(F.col("dice") >= least)
+    sized = [(name, grams, len(normal_words(text))) for (name, grams), (_, text) in zip(sets, templates, strict=True) if grams]
+    return units.unionByName(license_windows(rows, sized, least, any_needed))
 
 
 def oracle(templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> str:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from quorial.llm import licenses as C
 from quorial.llm import secrets as S
 from quorial.llm import toxicity as X
 
@@ -60,3 +61,21 @@ def test_secrets_anywhere_in_a_word(spark):
     assert {(4, KEY), (4, OTHER), (5, KEY)} <= found and not {7, 9} & {i for i, _ in found}
     seen = spark.createDataFrame([(1, "client_secret=abcdefghijklmnop"), (2, "password=x")], "doc_id long, text string")
     assert {r.value for r in S.secret_scan(seen).collect()} >= {"abcdefghijklmnop", "x"}
+
+
+def test_licences_inside_lines_and_paragraphs(spark):
+    mit, apache = C.TEMPLATES[4][1], C.TEMPLATES[1][1].split()
+    wrapped = "\n".join(["some words that go before in the same paragraph " * 4, *(" ".join(apache[i : i + 9]) for i in range(0, len(apache), 9)), "and a good many words behind it " * 5])
+    rows = [
+        (1, "All code here is released under the MIT License. See LICENSE.", ["MIT"]),
+        (2, "x " * 300 + mit + " y" * 300, ["MIT"]),
+        (3, f"one line\r{mit}\rother line\r" + "and more of it " * 9, ["MIT"]),
+        (4, wrapped, ["Apache-2.0", "Apache-2.0"]),  # its first line alone, and the whole notice
+        (5, f"{mit}\nplain text here", ["MIT"]),
+        (6, f"{mit}\nwords released under the MIT License and then others", ["MIT", "MIT"]),
+        (7, "released or under what the MIT said of a License", []),
+        (8, None, []),
+    ]
+    out = C.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in out) == sorted((i, n) for i, _, names in rows for n in names)
+    assert len({(r.doc_id, r.unit) for r in out}) == len(out)

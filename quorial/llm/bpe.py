@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import distinct_pieces, gather, pick, row_sums, slices
+from .common import Cache, distinct_pieces, gather, kept, pick, row_sums, slices, tidy
 from .token_counts import byte_chars
 
 #: Fixed: the split of byte-level vocabularies before any merge.
@@ -38,7 +38,7 @@ _WHOLE = rf"\A{_W}|{_W}\z| {_W}|{_W} |\x00|<\|"
 class Codec:
     """Encoder and decoder of one byte-level vocabulary."""
 
-    def __init__(self, spec: bytes, cached: int = 250_000):
+    def __init__(self, spec: bytes):
         spec = json.loads(spec)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
             raise ValueError("a byte-level BPE vocabulary without normaliser is needed")
@@ -72,7 +72,7 @@ class Codec:
                     self.shorter[r] = p
                     break
         self.ids, self.lengths, self.shorter = np.array(ids), np.array(self.lengths), np.array(self.shorter)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[tuple[int, int], bool] = kept(Cache())
         # decoding: the bytes of all tokens, and where each begins
         content = {i: s for s, r in rank.items() for i in (ids[r],)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -84,7 +84,7 @@ class Codec:
         self.pattern = regex.compile(SPLIT)
         strings = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
-        self.cached, self.words, self.known = cached, {}, {}
+        self.words, self.known = kept(Cache()), kept(Cache())
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of both tokens gives just these two.
@@ -113,9 +113,8 @@ class Codec:
                     limit, left = left, self.halves[left][1]
                     if left == limit:
                         break
-        if len(self.fits) > 300_000:
-            self.fits.clear()
-        self.fits[a, b] = fits
+        self.fits.trim()
+        self.fits.learn([(a, b)], [fits])
         return fits
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -171,25 +170,25 @@ class Codec:
         return self.pattern.findall(text)
 
     def learn_words(self, words: set[str]) -> None:
-        if len(self.words) > self.cached:
-            self.words.clear()
+        self.words.trim()
         new = sorted((w for w in words if w not in self.words), key=len)
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             # very long words are encoded one by one, to keep the stacks small
             for run in [part] if len(part[-1]) <= 200 else [[w] for w in part]:
-                self.words.update(zip(run, self.encode_words([w.encode() for w in run]), strict=True))
+                ids = self.encode_words([w.encode() for w in run])
+                self.words.learn(run, ids, sum(map(len, ids)) // len(ids))
 
     def learn(self, pieces: list[str]) -> None:
         known = self.known
-        if len(known) > self.cached:
-            known.clear()
+        known.trim()
         pieces = [p for p in pieces if p not in known]
         split = [self.split(p[1:] if p[:1] == "\0" else " " + p) for p in pieces]
         self.learn_words({w for ws in split for w in ws})
         words = self.words
-        for p, ws in zip(pieces, split, strict=True):
-            known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        ids = [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in split]
+        if ids:
+            known.learn(pieces, ids, sum(map(len, ids)) // len(ids))
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
@@ -285,4 +284,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     extra = ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

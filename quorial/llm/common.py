@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-    (a single machine, as in tests) a temporary folder takes its place.
+    Only where that is unset and the session runs in one process (as in tests) a
+    temporary folder takes its place; a cluster without it is refused, as executors
+    would not see each other's files.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quorial-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -36,36 +44,122 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quorial/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def position(df: DataFrame, name: str) -> int:
+    """Where a column is.  A name that fits exactly wins over one that differs in case."""
+    names = df.columns
+    near = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+    if not near:
+        raise ValueError(f"no column {name!r} in {names}")
+    return near[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as ``c0, c1, ...``, so that none is ambiguous."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that other
-    columns of the input can't clash with them.  A name that fits exactly wins
-    over one that differs in case."""
-    out = []
-    for own, given in columns.items():
-        exact = [i for i, c in enumerate(df.columns) if c == given]
-        near = exact or [i for i, c in enumerate(df.columns) if c.lower() == given.lower()]
-        if not near:
-            raise ValueError(f"no column {given!r} in {df.columns}")
-        out.append((own, near[0]))
-    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return renamed.select(*[F.col(f"c{i}").alias(own) for own, i in out])
+    columns of the input can't clash with them."""
+    return numbered(df).select(*[F.col(f"c{position(df, given)}").alias(own) for own, given in columns.items()])
+
+
+def text_digest(text: F.Column) -> F.Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+class Cache(dict):
+    """A dict of things learned that can be learned again.  ``trim`` empties it once its
+    keys and values take more than about ``most`` bytes."""
+
+    def __init__(self, most: int = 16 << 20):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def learn(self, keys: list, values: list, more: int = 0) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.held += sum(map(len, keys)) + (120 + more) * len(keys)
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.drop()
+
+    def drop(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *, most: int = 3 << 20, text_at: int = 1):
+    """``run`` for ``mapInArrow``, given batches of about ``most`` bytes of text, after
+    which the worker gives back the memory that it no longer needs: workers are used
+    again by later stages, which would otherwise add theirs to it."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, rows in runs_of(b.column(text_at), most):
+                yield b.slice(start, rows)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
+#: What workers keep between batches, emptied when a task ends.
+_CACHES: list[weakref.ref] = []
+
+
+def kept(cache: Cache) -> Cache:
+    _CACHES.append(weakref.ref(cache))
+    return cache
+
+
+def give_back() -> None:
+    """Empties the caches of this process and returns free memory to the system."""
+    for ref in _CACHES:
+        if (cache := ref()) is not None:
+            cache.drop()
+    _CACHES[:] = [ref for ref in _CACHES if ref() is not None]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def runs_of(column: pa.Array, most: int = 3 << 20) -> list[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes: where each begins, and its rows."""
+    if not len(column):
+        return []
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
+    return [(int(a), int(b - a)) for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True)]
+
+
 def slices(column: pa.Array, most: int = 3 << 20) -> list[pa.Array]:
     """The column without nulls, cut into runs of rows of about ``most`` bytes."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return []
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-    cuts = np.flatnonzero(np.diff(ends // most)) + 1
-    return [column.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True)]
+    return [column.slice(a, n) for a, n in runs_of(column, most)]
 
 
 def distinct_pieces(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -124,13 +218,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, kept for the words met so far.
-
-    The memory is bounded: at ``limit`` words it starts anew.
-    """
+    """64-bit hashes of words, kept for the words met lately."""
 
-    def __init__(self, limit: int = 200_000):
-        self.limit, self.known = limit, {}
+    def __init__(self):
+        self.known = kept(Cache())
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
@@ -138,9 +229,7 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             pass
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        known.trim()
+        new = [w for w in set(words) if w not in known]
+        known.learn(new, [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in new])
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,9 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of a node to its smallest one, then all
     smaller ones.  The number of edges never grows, and rounds are few even for long
-    chains.  Edges are written to the shared folder after every round.
+    chains.  Edges are written to the shared folder after every round, and the round
+    before is deleted.  Repeated edges count once; edges with a null end or from a node
+    to itself are left out, and no edges give no nodes.
     """
-    known = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    ends = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    known = stored(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = known.union(known.select("v", "u"))
@@ -24,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        known = stored(small, "edges")
+        before, known = known, stored(small, "edges")
+        discard(before)
         r = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (r.n, r.h):
             break

@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, pick, texts
+from .common import ascii_words, discard, numbered, pick, position, stored, text_digest, texts, tidy
 
-#: Words of an item text that one automaton holds at most; more items make more
-#: automata, one pass over the documents each.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts in one automaton, about, as a Python worker needs about 105 times
+#: as many; more items make more automata, one pass over the documents each.
+BLOCK_BYTES = 2 << 20
 #: Words with their places, in UTF-8.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -108,19 +109,21 @@ class SuffixAutomaton:
         for s in order:
             self.short[s] = self.short[self.link[s]] + tuple(own.get(s, ()))
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and which items have a window that occurs."""
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """Which words are hit, which of them by an item shorter than the window, and
+        which items have a window that occurs."""
         ids = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
         known = np.r_[False, ids >= 0, False]
         edges = np.flatnonzero(known[1:] != known[:-1])
-        cover, found = np.zeros(len(words) + 1, np.int64), set()
+        cover, short, found = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64), set()
         # a window holds known words only, so shorter runs of them can't have one
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= self.shortest:
-                self._run(ids[a:b].tolist(), a, cover, found)
-        return np.cumsum(cover[:-1]) > 0, found
+                self._run(ids[a:b].tolist(), a, cover, short, found)
+        by_short = np.cumsum(short[:-1]) > 0
+        return (np.cumsum(cover[:-1]) > 0) | by_short, by_short, found
 
-    def _run(self, run: list[int], base: int, cover: np.ndarray, found: set[int]) -> None:
+    def _run(self, run: list[int], base: int, cover: np.ndarray, short: np.ndarray, found: set[int]) -> None:
         nxt, ln, link, w = self.next, self.len, self.link, self.window
         s, matched = 0, 0
         for i, c in enumerate(run):
@@ -139,33 +142,115 @@ class SuffixAutomaton:
             for k, number in self.short[s]:
                 if k <= matched:
                     found.add(number)
-                    cover[base + i + 1 - k] += 1
-                    cover[base + i + 1] -= 1
+                    short[base + i + 1 - k] += 1
+                    short[base + i + 1] -= 1
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items in runs of bounded size; a run is all that the driver holds at a time."""
-    items = pick(benchmark, item_id=id_col, text=text_col).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    rows, size = [], 0
-    for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if rows and size + len(r.text) > BLOCK_BYTES:
-            yield rows
-            rows, size = [], 0
-        rows.append((r.item_id, r.text))
-        size += len(r.text)
-    yield rows
+def _spans(hit: np.ndarray) -> list[int]:
+    """Where runs of hit words begin and end, in turn."""
+    return np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+
+
+def _marked(spans: Iterable[list[int]], n: int) -> np.ndarray:
+    cover = np.zeros(n + 1, np.int64)
+    for one in spans:
+        np.add.at(cover, one[::2], 1)
+        np.add.at(cover, one[1::2], -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
 _AUTOMATA: dict[tuple, SuffixAutomaton] = {}
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> SuffixAutomaton:
-    """Built once in each Python worker from the items that were sent to it."""
-    key = (window, hashlib.sha256(repr(items).encode()).digest())
-    if key not in _AUTOMATA:
+def _automaton(items: list[tuple[str, str]], window: int, name: str) -> SuffixAutomaton:
+    """Built once in each Python worker from the items that were sent to it, in place
+    of the one before."""
+    if (window, name) not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = SuffixAutomaton([(i, ascii_words(t)) for i, t in items], window)
-    return _AUTOMATA[key]
+        _AUTOMATA[window, name] = SuffixAutomaton([(i, ascii_words(t)) for i, t in items], window)
+    return _AUTOMATA[window, name]
+
+
+class Matches:
+    """What of each document occurs in the benchmark.
+
+    Items are dealt over blocks of about ``BLOCK_BYTES``.  Of one block the automaton is
+    asked while documents are read.  Of more, each has a pass over the documents and
+    leaves narrow rows for texts with hits; these are put together by text and joined to
+    the documents, before anything is decided.  The driver holds one block at a time.
+    """
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str):
+        spark = docs.sparkSession
+        items = pick(benchmark, item_id=item_col, text=item_text_col).where("text IS NOT NULL AND item_id IS NOT NULL")
+        items = items.select(F.col("item_id").cast("string"), "text")
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        count = max(1, -(-size // BLOCK_BYTES))
+        self.window, self.name = window, uuid.uuid4().hex
+        self.rows = numbered(docs)
+        self.text = f"c{position(docs, text_col)}"
+        self.joined, self.items = None, None
+        sent = lambda part: spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        if count == 1:
+            self.items = sent(items)
+            return
+        rows = self.rows.select(text_digest(F.col(self.text)).alias("digest"), F.col(self.text).alias("text"))
+        place = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+        parts = []
+        for k in range(count):
+            block = sent(items.where(place == k))
+            parts.append(stored(rows.mapInArrow(tidy(_pass(block, window, f"{self.name}-{k}")), _FOUND), "hits"))
+            block.destroy()
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        # copies of a text give the same spans, and sets keep each once
+        sums = every.groupBy("digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("short").alias("short"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        found = stored(sums, "found")
+        discard(*parts)
+        self.joined = self.rows.withColumn("digest", text_digest(F.col(self.text))).join(found, "digest", "left")
+
+    def of(self) -> Callable:
+        """A function from a batch, and the words of its texts, to hit words, those hit
+        by short items, and the names of items, for each row."""
+        items, window, name = self.items, self.window, self.name
+
+        def ask(b: pa.RecordBatch, whole: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, set[str]]]:
+            if items is None:
+                spans, short, found = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("spans", "short", "items"))
+                for words, x, y, z in zip(whole, spans, short, found, strict=True):
+                    yield _marked(x or [], len(words)), _marked(y or [], len(words)), set(z or [])
+                return
+            auto = _automaton(items.value, window, name)
+            for words in whole:
+                if len(words) < auto.shortest:
+                    yield np.zeros(len(words), bool), np.zeros(len(words), bool), set()
+                else:
+                    hit, by_short, which = auto.scan(words)
+                    yield hit, by_short, {auto.names[k] for k in which}
+
+        return ask
+
+
+_FOUND = "digest binary, spans array<int>, short array<int>, items array<string>"
+
+
+def _pass(block, window: int, name: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(block.value, window, name)
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for digest, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                words = ascii_words(text)
+                if len(words) >= auto.shortest:
+                    hit, by_short, found = auto.scan(words)
+                    if found:
+                        for column, value in zip(out, (digest, _spans(hit), _spans(by_short), sorted(auto.names[k] for k in found)), strict=True):
+                            column.append(value)
+            kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["digest", "spans", "short", "items"])
+
+    return run
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -174,26 +259,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, least
     Null and empty texts have no words; their item list is empty, with the digest of
     nothing.  Items without words, text or id never occur.  Items that share an id
     count once.  Repeated rows of documents each have their result.  An empty
-    benchmark leaves all documents clean.  The benchmark is read in blocks of
-    ``BLOCK_BYTES``; the first block alone needs no second pass, more blocks need one
-    union and one aggregation of narrow rows.
+    benchmark leaves all documents clean; an empty table gives an empty result.  Other
+    columns, whatever their names, play no part.  The number of blocks that the
+    benchmark is dealt over changes nothing in the result.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = list(_iter_broadcast(docs, benchmark, item_col, item_text_col))
+    matches = Matches(pick(docs, doc_id=id_col, text=text_col), benchmark, window, "text", item_col, item_text_col)
+    kind = matches.rows.schema["c0"].dataType.simpleString()
+    ask = matches.of()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = [ascii_words(t) for t in texts(b.column(1))]
-            hits = [np.zeros(len(w), bool) for w in whole]
-            names: list[set[str]] = [set() for _ in whole]
-            for block in blocks:
-                auto = _automaton(block.value, window)
-                for i, words in enumerate(whole):
-                    if len(words) >= auto.shortest:
-                        hit, found = auto.scan(words)
-                        hits[i] |= hit
-                        names[i].update(auto.names[k] for k in found)
+            hits, _, names = zip(*ask(b, whole), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -206,34 +283,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, least
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
+    rows = matches.rows if matches.joined is None else matches.joined.select("c0", "c1", "spans", "short", "items")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
-def _iter_broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str):
-    """Each block is sent to the executors by itself, in at most ``BLOCK_BYTES``."""
-    context = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, item_col, text_col):
-        yield context.broadcast(items)
 
-
-def remove_spans(text: str, auto: SuffixAutomaton, longest: int, coverage: float) -> str | None:
-    """The text without its runs of hit words of at least ``longest`` words, or None
-    if hit words make up more than ``coverage`` of it."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = ascii_words(text)
-    if len(words) < auto.shortest:
-        return text
-    hit, _ = auto.scan(words)
+def remove_spans(text: str, hit: np.ndarray, by_short: np.ndarray, longest: int, coverage: float) -> str | None:
+    """The text without its runs of hit words that are at least ``longest`` words long
+    or hold a whole short item, or None if hit words make up more than ``coverage``."""
     if not hit.any():
         return text
-    if hit.sum() > coverage * len(words):
+    if hit.sum() > coverage * len(hit):
         return None
-    edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+    raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in _WORD.finditer(raw)]
-    out, at = [], 0
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        # a short item that occurs whole is removed whatever its length
-        if b - a >= min(longest, auto.shortest):
+    out, at, spans = [], 0, _spans(hit)
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        if b - a >= longest or by_short[a:b].any():
             out.append(raw[at : places[a][0]])
             at = places[b - 1][1]
     out.append(raw[at:])
@@ -242,22 +307,26 @@ def remove_spans(text: str, auto: SuffixAutomaton, longest: int, coverage: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, longest: int = 8, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with the matching spans cut out of ``text_col``; documents of which
-    more than ``coverage`` of the words match go.  Other columns stay as they are, in
-    their order.  Null texts stay null."""
-    blocks = list(_iter_broadcast(docs, benchmark, item_col, item_text_col))
-    at = docs.columns.index(text_col)
+    more than ``coverage`` of the words match any items go.
+
+    Other columns stay as they are, in their order.  Null and empty texts stay as they
+    are, and so does every text with no match; repeated rows are each treated alike.  An
+    empty benchmark changes nothing; an empty table gives an empty result.
+    """
+    matches = Matches(docs, benchmark, window, text_col, item_col, item_text_col)
+    ask, at, columns = matches.of(), int(matches.text[1:]), matches.rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[str | None] = b.column(at).to_pylist()
-            keep = [True] * len(out)
-            for block in blocks:
-                auto = _automaton(block.value, window)
-                for i, t in enumerate(out):
-                    if t and keep[i]:
-                        out[i] = remove_spans(t, auto, longest, coverage)
-                        keep[i] = out[i] is not None
-            columns = [pa.array(out, b.column(at).type) if k == at else c for k, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            old = b.column(at).to_pylist()
+            new: list[str | None] = []
+            keep = []
+            for text, (hit, by_short, _) in zip(old, ask(b, [ascii_words(t or "") for t in old]), strict=True):
+                new.append(text if text is None else remove_spans(text, hit, by_short, longest, coverage))
+                keep.append(text is None or new[-1] is not None)
+            own = [b.column(k) for k in range(len(columns))]
+            own[at] = pa.array(new, b.column(at).type)
+            yield pa.RecordBatch.from_arrays(own, names=columns).filter(pa.array(keep, pa.bool_()))
+
+    rows = matches.rows if matches.joined is None else matches.joined.select(*columns, "spans", "short", "items")
+    return rows.mapInArrow(tidy(run, text_at=at), matches.rows.schema).toDF(*docs.columns)

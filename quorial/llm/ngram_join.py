@@ -1,8 +1,9 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents with equal n-gram sets are one text.  Different texts are candidates if
-one of their bands agrees; candidates are verified on their full n-gram sets, block
-by block, and only counts and a spanning forest of the links leave a block.
+Documents with equal n-gram sets are one text, whatever their ids.  Different texts
+are candidates if one of their bands agrees; candidates are verified on their full
+n-gram sets, block by block, and only counts and a spanning forest of the links leave
+a block.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, mix64, pick, stored
+from .common import WordHashes, ascii_words, mix64, numbered, pick, position, stored, text_digest, tidy
 from .components import components
 
-#: Different texts that meet in one task are at most about twice as many.
-BLOCK = 256
+#: Different texts of a block, and the n-grams of these, are about as many at most
+#: (a single text may have more); two blocks meet in one group.
+BLOCK, GRAMS = 256, 400_000
 _HASHES = WordHashes()
 
 
@@ -77,13 +79,17 @@ def _verify(sets: list[np.ndarray], first: int, copies: np.ndarray, least: float
     m = len(sets)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
-    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    owner = np.repeat(np.arange(m, dtype=np.int32), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    del order
+    # n-grams of one member only tell nothing
+    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], column[shared]
+    column = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
     both = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
     width = max(64, (1 << 20) // m)
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [k, k + width])
@@ -107,105 +113,131 @@ def _verify(sets: list[np.ndarray], first: int, copies: np.ndarray, least: float
 def ngram_join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` for every row of ``docs``.
 
-    ``n_links`` is the number of other documents whose n-gram sets have a Jaccard
-    likeness of at least ``least``, copies counted each; ``class_id`` the smallest
-    doc_id of all documents that such links connect.  A pair of likeness ``least`` is
-    found with the probability ``recall``, more alike ones with more; what is found is
-    exact.  Null texts are empty; texts without words match equal texts only.  Rows
-    with a null id get a null class and count as no one's partners, unless their
-    text's copies have ids.  Rows repeated with one id count each.  Empty table: empty
-    result.
+    ``n_links`` is the number of other rows whose n-gram sets have a Jaccard likeness
+    of at least ``least``; ``class_id`` the smallest doc_id of all rows that such links
+    connect.  A pair of likeness ``least`` is found with the probability ``recall``, more
+    alike ones with more; what is found is exact.  Null texts are empty; texts without
+    words match equal texts only.  Rows with a null id take part as any other, and get a
+    null class.  Rows that share an id, with one text or several, count each by their
+    texts.  Of equal ids and texts none goes before another.  Other columns, whatever
+    their names, play no part.  Empty table: empty result.
+    """
+    return _classes(docs, n, least, recall, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest, class_id, n_links, stays`` for every row; ``stays`` tells the
+    document of each class that has the class's id.
+
+    A text is known by ``node``: the smallest id of its rows and a hash of its n-gram
+    set, so the smallest node of a class has the smallest id, and ids that several
+    texts share make several nodes.
     """
     bands, rows_a_band = banding(least, recall)
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sigs = [], []
+            keys, sizes, sigs = [], [], []
             for t in b.column(1).to_pylist():
-                g = ngrams(t or "", n)
+                g = ngrams(t, n)
                 keys.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
+                sizes.append(len(g))
                 sigs.append(signature(g, bands, rows_a_band))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            columns = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "n", "bands"])
 
-    signed = stored(rows.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<long>"), "signed")
+    signed = stored(rows.mapInArrow(tidy(sign), f"doc_id {kind}, digest binary, key binary, n long, bands array<long>"), "signed")
     # the rows of a text are counted in each task first, so many copies do no harm
-    alike = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    found = stored(_links(rows, signed, alike, n, least), "links")
-    roots = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = alike.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_links")
-
-
-def _links(rows: DataFrame, signed: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame:
-    """``rep, links, root`` from every group of blocks in which a text has links."""
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
+    alike = signed.groupBy("key").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    node = F.struct(F.col("row.none").alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("key").alias("hash"))
+    alike = stored(alike.select("key", node.alias("node"), F.col("row.digest").alias("digest"), "copies", "n", "bands"), "texts")
+    found = stored(_links(rows, alike, n, least), "links")
+    roots = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = alike.select("key", "node", "copies", F.col("digest").alias("first")).join(sums, "node", "left").join(roots, "node", "left")
+    classes = classes.select("key", "node", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    stays = F.col("doc_id").isNull() | ((F.col("node") == F.col("root")) & (F.col("doc_id") == F.col("root.id")) & (F.col("digest") == F.col("first")))
+    # a class's smallest node has no id only if none has
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("root.id"))
+    return signed.select("doc_id", "digest", "key").join(classes, "key").select("doc_id", "digest", class_id.alias("class_id"), "n_links", stays.alias("stays"))
+
+
+def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame:
+    """``node, links, root`` from every group of blocks in which a text has links."""
     spark = rows.sparkSession
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    # bands of one row of each text
-    one = signed.join(alike.select(F.col("key").alias("k"), F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"), "doc_id").where("key = k")
-    banded = one.groupBy("doc_id").agg(F.first("bands").alias("bands")).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    kind = alike.schema["node"].dataType.simpleString()
+    banded = alike.select("node", "n", F.explode("bands").alias("band"))
+    full = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1")
     members = stored(banded.join(full, "band"), "members")
-    # Candidates that buckets connect are dealt over blocks of about BLOCK texts; those
-    # that share their fullest bucket mostly stay together.
-    star = members.join(members.groupBy("band").agg(F.min("rep").alias("v")), "band").select(F.col("rep").alias("u"), "v").distinct()
+    # Candidates that buckets connect are dealt over blocks of about BLOCK texts and
+    # GRAMS n-grams; those that share their fullest bucket mostly stay together.
+    star = members.join(members.groupBy("band").agg(F.min("node").alias("v")), "band").select(F.col("node").alias("u"), "v").distinct()
     joint = components(star)
-    sizes = joint.groupBy("root").agg(F.count("*").alias("members"))
-    home = members.groupBy("rep").agg(F.max(F.struct("size", "band")).alias("home"))
-    home = home.join(joint, F.col("rep") == F.col("node")).join(sizes, "root")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.size") / BLOCK))
-    block = F.xxhash64("root", F.pmod(F.pmod(F.xxhash64("home.band"), F.lit(2**40)) + part, F.ceil(F.col("members") / BLOCK)))
-    home = stored(home.select("rep", block.alias("block")), "homes")
+    blocks = lambda texts, grams: F.ceil(F.greatest(F.col(texts) / BLOCK, F.col(grams) / GRAMS))
+    home = members.groupBy("node").agg(F.max(F.struct("size", "band", "grams")).alias("home"), F.first("n").alias("n")).join(joint, "node")
+    sizes = home.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all_grams"))
+    home = home.select("node", "root", "home.*").join(sizes, "root")
+    part = F.pmod(F.xxhash64("node"), blocks("size", "grams"))
+    block = F.xxhash64("root", F.pmod(F.pmod(F.xxhash64("band"), F.lit(2**40)) + part, blocks("texts", "all_grams")))
+    home = stored(home.select("node", block.alias("block")), "homes")
     # two blocks are compared if one bucket has members of both
-    met = members.join(home, "rep").select("band", "block").distinct()
+    met = members.join(home, "node").select("band", "block").distinct()
     sets = met.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
     lone = sets.select(F.explode("blocks").alias("x")).distinct().select("x", F.col("x").alias("y"))
     cross = sets.where(F.size("blocks") > 1).select("blocks", F.posexplode("blocks").alias("i", "x")).select("x", F.explode(F.slice("blocks", F.col("i") + 2, F.size("blocks"))).alias("y")).distinct()
-    sides = lone.union(cross).select(F.xxhash64("x", "y").alias("group"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+    side = lambda c, k: F.struct(F.col(c).alias("block"), F.lit(k).alias("side"))
+    sides = lone.union(cross).select(F.xxhash64("x", "y").alias("group"), F.explode(F.when(F.col("x") == F.col("y"), F.array(side("x", 0))).otherwise(F.array(side("x", 0), side("y", 1)))).alias("s"))
     sides = sides.select("group", "s.block", "s.side")
-    one_each = rows.join(home, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    asked = home.join(alike.select("rep", "copies"), "rep").join(sides, "block").select("group", "side", "rep", "copies")
+    wanted = home.join(alike.select("node", "digest", "copies"), "node")
+    one_each = rows.join(wanted.select("node", F.col("digest").alias("d")), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("node.id")), "inner").select("node", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "grams"])
+
+    # a row may repeat, its n-grams are the same
+    grams = stored(one_each.mapInArrow(tidy(cut), f"node {kind}, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    asked = wanted.select("node", "copies", "block").join(sides, "block").select("group", "side", "node", "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.join(one_each, F.col("rep") == F.col("doc_id")).select("group", "side", "rep", "copies", "text").repartition(parts, "group").sortWithinPartitions("group", "side", "rep")
+    dealt = asked.join(grams, "node").select("group", "grams", "side", "node", "copies").repartition(parts, "group").sortWithinPartitions("group", "side", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for b in batches:
-            out = [[], [], []]
-            for g, side, rep, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            values = [(s, *rest) for s, *rest in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True)]
+            for g, grams, (side, node, copies) in zip(b.column(0).to_pylist(), b.column(1), values, strict=True):
                 if g != group:
-                    _emit(held, out)
+                    yield from batch(held, b)
                     group, held = g, []
-                held.append((side, rep, copies, ngrams(text or "", n)))
-            yield batch(out, b)
+                held.append((side, node, copies, np.frombuffer(grams.as_py(), np.uint64)))
             last = b
         if held:
-            out = [[], [], []]
-            _emit(held, out)
-            yield batch(out, last)
+            yield from batch(held, last)
 
-    def batch(out: list[list], b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out[0], b.column(2).type), pa.array(out[1], pa.int64()), pa.array(out[2], b.column(2).type)], ["rep", "links", "root"])
-
-    def _emit(held: list[tuple], out: list[list]) -> None:
+    def batch(held: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         first = sum(side == 0 for side, *_ in held) % len(held)
         links, root = _verify([s for *_, s in held], first, np.array([c for _, _, c, _ in held], np.int64), least)
-        for i in np.flatnonzero(links).tolist():
-            out[0].append(held[i][1])
-            out[1].append(int(links[i]))
-            out[2].append(held[root[i]][1])
+        has = np.flatnonzero(links).tolist()
+        named = lambda at: pa.array([held[i][1].as_py() for i in at], b.column(3).type)
+        yield pa.RecordBatch.from_arrays([named(has), pa.array(links[has]), named(root[has].tolist())], ["node", "links", "root"])
+
+    return dealt.mapInArrow(tidy(verify, most=16 << 20), f"node {kind}, links long, root {kind}")
 
-    return dealt.mapInArrow(verify, f"rep {kind}, links long, root {kind}")
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """``docs`` with one document of each class, the one of the smallest id; all columns
+    as they are.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``docs`` without the documents whose class has one with a smaller id.  Rows with
-    a null id stay; so do all columns."""
-    classes = ngram_join(docs, id_col=id_col, text_col=text_col, **parameters)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    Rows with a null id stay.  Where the smallest id has several texts of the class,
+    one of them stays; rows that repeat the id and the text that stay are one document,
+    and stay too.  Null texts are empty texts, so of several one stays.  An empty table
+    gives an empty result.
+    """
+    gone = _classes(docs, n, least, recall, id_col, text_col).where("NOT stays").select(F.col("doc_id").alias("gone"), "digest").distinct()
+    rows, i, t = numbered(docs), f"c{position(docs, id_col)}", f"c{position(docs, text_col)}"
+    return rows.join(gone, (F.col(i) == F.col("gone")) & (text_digest(F.col(t)) == F.col("digest")), "left_anti").toDF(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import distinct_pieces, pick, row_sums, slices
+from .common import Cache, distinct_pieces, kept, pick, row_sums, slices, tidy
 
 _NONE = np.iinfo(np.int64).max
 
@@ -108,7 +108,7 @@ class TokenCounter:
     normaliser is NFC, white-space folding and lower case, and whose pre-tokens
     are what one pattern matches."""
 
-    def __init__(self, spec: bytes, cached: int = 400_000):
+    def __init__(self, spec: bytes):
         spec = json.loads(spec)
         model = spec["model"]
         if model["type"] != "BPE" or [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
@@ -117,7 +117,7 @@ class TokenCounter:
         self.merger = PairMerger(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.cached, self.known = cached, {}
+        self.known = kept(Cache())
 
     def pre_tokens(self, text: str) -> list[str]:
         if not text.isascii():
@@ -144,9 +144,8 @@ class TokenCounter:
         split = [self.words(p) for p in new]
         words = [w for w in {w for ws in split for w in ws} if w not in known]
         if words:
-            known.update(zip(words, self.merger.counts([w.encode() for w in words]).tolist(), strict=True))
-        for piece, ws in zip(new, split, strict=True):
-            known[piece] = known[ws[0]] if len(ws) == 1 else sum([known[w] for w in ws])
+            known.learn(words, self.merger.counts([w.encode() for w in words]).tolist())
+        known.learn(new, [known[ws[0]] if len(ws) == 1 else sum([known[w] for w in ws]) for ws in split])
 
     def alone(self, text: str) -> int:
         """The count of one text, with special strings and any control characters."""
@@ -166,8 +165,7 @@ class TokenCounter:
         out, known = [np.zeros(0, np.int64)], self.known
         for part in slices(column):
             starts, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
-            if len(known) > self.cached:
-                known.clear()
+            known.trim()
             new = [w for w in pieces if w not in known]
             for j in range(0, len(new), 20_000):
                 self.measure(new[j : j + 20_000])
@@ -188,6 +186,11 @@ _ODD = r"<\||[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]"
 _COUNTERS: dict[int, TokenCounter] = {}
 
 
+def counter_of(data: bytes) -> TokenCounter:
+    """Built once in each Python worker."""
+    return _COUNTERS.get(key := hash(data)) or _COUNTERS.setdefault(key, TokenCounter(data))
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -201,8 +204,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = spec.value
-        counter = _COUNTERS.get(key := hash(data)) or _COUNTERS.setdefault(key, TokenCounter(data))
+        counter = counter_of(spec.value)
         for b in batches:
             n = counter.batch(b.column(1))
             size = pc.binary_length(pc.fill_null(b.column(1), "")).cast(pa.int64())
@@ -210,4 +212,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -148,15 +148,27 @@ def near_group(rng, n, size=120):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_join_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,grams", [(256, 400_000), (8, 400_000), (256, 700)])
+def test_join_against_all_pairs(spark, monkeypatch, block, grams):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "GRAMS", grams)
     rng = random.Random(9)
     rows = [(i, prose(rng, 60)) for i in range(30)]
     rows += [(100 + k, t) for k, t in enumerate(near_group(rng, 40))]
     rows += [(200 + k, rows[3][1]) for k in range(12)] + [(300, "short one"), (301, "Short, ONE"), (302, ""), (303, None), (304, "!!"), (200, rows[3][1])]
-    got = sorted(tuple(r) for r in J.ngram_join(docs(spark, rows)).collect())
+    # one id for several texts, of one group and of others
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows += [(5, a), (5, b), (400, a + " more"), (401, b + " more"), (402, b + " more of it"), (400, prose(rng, 30)), (101, a + " more")]
+    rows += [(500, "long word " * 30_000 + prose(rng, 3000)), (501, "long word " * 30_000)]
+    rows.append((502, rows[-2][1] + " end"))
+    df = docs(spark, rows).withColumnRenamed("lang", "class_id").withColumnRenamed("source", "digest").withColumnRenamed("n_chars", "n_links")
+    got = sorted(tuple(r) for r in J.ngram_join(df).collect())
     assert got == brute_join(rows)
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    low = {(i, c) for i, c, _ in got}
+    assert sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, c in low})
+    assert [r.text for r in kept.where("doc_id = 200").collect()] == [] and kept.where("doc_id = 5").count() == 3
 
 
 def test_join_odd_tables(spark):
@@ -200,8 +212,9 @@ def test_automaton_against_all_windows():
         window = rng.choice([2, 3, 8])
         items = [[rng.choice(letters) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(0, 5))]
         words = [rng.choice([*letters, b"zz"]) for _ in range(rng.randint(0, 40))] + (items[0] if items else [])
-        hit, found = SuffixAutomaton([(str(i), w) for i, w in enumerate(items)], window).scan(words)
+        hit, by_short, found = SuffixAutomaton([(str(i), w) for i, w in enumerate(items)], window).scan(words)
         assert (hit.tolist(), found) == brute_hits(items, words, window)
+        assert by_short.tolist() == brute_hits([x if len(x) < window else [] for x in items], words, window)[0]
 
 
 def test_hits_and_removal(spark):
@@ -217,14 +230,43 @@ def test_hits_and_removal(spark):
     assert benchmark_hits(docs(spark, rows).limit(0), bench).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def brute_removal(items, text, window=8, longest=8, coverage=0.5):
+    """Words that stay, or None for a document that goes."""
+    words = ascii_words(text)
+    hit, _ = brute_hits(items, words, window)
+    if sum(hit) > coverage * len(words):
+        return None
+    short, _ = brute_hits([i if len(i) < window else [] for i in items], words, window)
+    out, k = [], 0
+    for on, run in itertools.groupby(hit):
+        n = len(list(run))
+        if not on or (n < longest and not any(short[k : k + n])):
+            out += words[k : k + n]
+        k += n
+    return out
+
+
+@pytest.mark.parametrize("longest", [8, 11])
+def test_blocks_of_items_give_the_same(spark, monkeypatch, longest):
     from quorial.llm import decontaminate as D
 
     rng = random.Random(3)
-    items = [(i, prose(rng, 12)) for i in range(9)]
-    rows = [(i, prose(rng, 20) + " " + rng.choice(items)[1] + " " + prose(rng, 3)) for i in range(20)]
+    items = [(i, prose(rng, 12)) for i in range(9)] + [(9, "short item"), (3, prose(rng, 9))]
+    part = lambda: " ".join(rng.choice(items)[1].split()[: rng.choice([8, 9, 12])])
+    # of two items that lie in different blocks neither alone covers half of the first document
+    rows = [(100, " ".join(items[0][1].split()[:10] + prose(rng, 12).split() + items[1][1].split()[:10])), (101, None), (102, ""), (100, items[2][1])]
+    rows += [(i, prose(rng, 20) + " " + part() + " " + prose(rng, rng.randint(0, 9)) + " " + part()) for i in range(40)]
+    rows += [(500, "word " * 40_000 + items[4][1]), (0, rows[4][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    one = sorted(map(tuple, benchmark_hits(docs(spark, rows), bench).collect()))
-    monkeypatch.setattr(D, "BLOCK_BYTES", 150)
-    assert sorted(map(tuple, benchmark_hits(docs(spark, rows), bench).collect())) == one
-    assert all(ascii_words(t) for _, t in rows)
+    df = docs(spark, rows).withColumnRenamed("lang", "spans").withColumnRenamed("source", "digest")
+    hits = lambda: sorted(map(tuple, benchmark_hits(df, bench).collect()))
+    left = lambda: sorted([tuple(r) for r in decontaminate(df, bench, longest=longest).collect()], key=repr)
+    one, kept = hits(), left()
+    want = {(i, t): brute_removal([ascii_words(x) for _, x in items], t or "", longest=longest) for i, t in rows}
+    assert sorted((i for i, _, *_ in kept), key=repr) == sorted((i for i, t in rows if want[i, t] is not None), key=repr)
+    for i, words in {(r[0], tuple(ascii_words(r[1] or ""))) for r in kept}:
+        assert any(i == k[0] and v is not None and tuple(v) == words for k, v in want.items())
+    assert decontaminate(df, bench).columns == df.columns and all(ascii_words(t) for _, t in items)
+    for size in (1000, 150):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        assert hits() == one and left() == kept

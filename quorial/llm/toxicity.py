@@ -2,9 +2,11 @@
 
 A noisy channel turns words into leetspeak, spaces them out or repeats letters.
 Words that look disturbed are restored: the possible readings of each character
-form a lattice, and Viterbi's algorithm takes the path that is likeliest under a
-character trigram model of the whole corpus.  A list of rules over restored words,
-learned from labelled documents, then scores the text.
+form a lattice, in which Viterbi's algorithm finds the likeliest paths under a
+character trigram model.  Among these the counts of all words of the corpus decide,
+smoothed by the character model; they are a table that grows with the corpus, joined
+by the words it is asked for.  A list of rules over restored words, learned from
+labelled documents, then scores the text.
 """
 
 from __future__ import annotations
@@ -21,12 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_pieces, pick, slices, stored
+from .common import Cache, distinct_pieces, kept, numbered, pick, position, slices, stored, text_digest, tidy
 
 #: Fixed: letters that a character is written for.
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Fixed: Cyrillic letters that look like Latin ones.
+ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j"}
 #: Costs in nats: a reading of a symbol, a symbol left out, a doubled letter made single, a word border in a spaced run.
 READ, SKIP, SINGLE, BORDER = 1.0, 4.0, 1.5, 3.0
+#: Readings of a piece that the counts of words choose among, and the count of words that
+#: the character model stands for beside them.
+READINGS, PRIOR = 4, 1000.0
 #: Labelled documents that rules are learned from, at most; those of the smallest hashes are taken.
 SAMPLE = 20_000
 #: A rule needs so many toxic documents, and in the greedy list so many not yet explained.
@@ -35,13 +42,14 @@ SUPPORT, FRESH, PRECISION = 5, 4, 0.8
 PREFIXES = (4, 5, 6)
 #: Symbols of the character model: a border, a to z, and any other letter.
 _SYMBOLS = 28
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ ._*\-](?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
 #: In RE2: every text in which _SPACED finds something, and few others.  All characters
 #: beyond ASCII count as letters inside a run and as none beside it.
-_SPACED_RE2 = r"(^|[^0-9A-Za-z])[0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]([ ._*\-][0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]){3,}($|[^0-9A-Za-z])"
+_SPACED_RE2 = r"(^|[^0-9A-Za-z])[0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]([ ._*\-]{1,2}[0-9A-Za-z@$!|+\x{80}-\x{10FFFF}]){3,}($|[^0-9A-Za-z])"
+_GAPS = re.compile(r"[ ._*\-]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = "".join(c for c in "%&#*.,;:?\"'()[]{}<>=~^`/\\-_!«»„“”…")
-_NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0134578@$!|+(€£]|.*([^\W\d_])\1\1)")
+_NOISY = re.compile(rf"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£]|.*([^\W\d_])\1\1|.*[a-z][{''.join(ALIKE)}]|.*[{''.join(ALIKE)}][a-z])")
 
 
 def _fold_table() -> np.ndarray:
@@ -63,31 +71,37 @@ def _symbols(joined: str) -> np.ndarray:
     return FOLD[np.minimum(codes, 0xFFFF)].astype(np.int64)
 
 
-def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Character trigrams of all words of all documents, 28 x 28 x 28.
-
-    Counts are summed in each task before the shuffle, and there are at most 28^3 of
-    them whatever the corpus.
-    """
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` of all words of all texts (``text``), in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SYMBOLS**3, np.int64)
         for b in batches:
             for part in slices(b.column(0)):
                 _, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
-                often = np.bincount(at, minlength=len(pieces))
-                words = [(p.strip(_EDGES), n) for p, n in zip(pieces, often.tolist(), strict=True)]
-                words = [(w, n) for w, n in words if w.isalpha()]
-                if words:
-                    sym = _symbols("^^" + "^^".join(w.lower() for w, _ in words) + "^^")
-                    lengths = np.array([len(w.lower()) + 2 for w, _ in words])
-                    weight = np.repeat([n for _, n in words], lengths)
-                    gram = (sym[:-2] * _SYMBOLS + sym[1:-1]) * _SYMBOLS + sym[2:]
-                    total += np.bincount(gram[: len(weight)], weights=weight, minlength=_SYMBOLS**3).astype(np.int64)
+                often = np.bincount(at, minlength=len(pieces)).tolist()
+                words = [(w.lower(), n) for w, n in zip([p.strip(_EDGES) for p in pieces], often, strict=True) if w.isalpha()]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+
+    # counted within each task before the shuffle
+    return texts.mapInArrow(tidy(run, text_at=0), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def trigram_counts(words: DataFrame) -> np.ndarray:
+    """Character trigrams, 28 x 28 x 28, of ``word_counts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SYMBOLS**3, np.int64)
+        for b in batches:
+            if b.num_rows:
+                own = b.column(0).to_pylist()
+                sym = _symbols("^^" + "^^".join(own) + "^^")
+                weight = np.repeat(b.column(1).to_numpy(), np.array([len(w) + 2 for w in own]))
+                gram = (sym[:-2] * _SYMBOLS + sym[1:-1]) * _SYMBOLS + sym[2:]
+                total += np.bincount(gram[: len(weight)], weights=weight, minlength=_SYMBOLS**3).astype(np.int64)
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["gram", "n"])
 
-    rows = pick(docs, text=text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = words.mapInArrow(tidy(run, text_at=0), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(_SYMBOLS**3)
     for r in rows:
         out[r.gram] = r.n
@@ -118,6 +132,8 @@ class Restorer:
                 j += 1
             n = j - i
             readings = [(c, 0.0)] if c.isalpha() else [(r, READ) for r in LEET.get(c, "")]
+            if c in ALIKE:
+                readings.append((ALIKE[c], READ))
             if not readings:
                 yield [("", SKIP * 0.25)]
             elif n == 1:
@@ -129,17 +145,20 @@ class Restorer:
                 yield [("", 0.0), (" ", BORDER)]
             i = j
 
-    def restore(self, token: str, spaced: bool = False) -> str:
-        """Time and memory grow with the token's length only: of each of the at most
-        28 x 28 states the way back is kept as links, not as a string.  Of equally
-        likely ways into a state the first one met stays."""
+    def paths(self, token: str, spaced: bool = False, most: int = READINGS) -> list[tuple[float, str]]:
+        """The likeliest readings, at most ``most``, with their costs in order.
+
+        Time and memory grow with the token's length only: of each of the at most
+        28 x 28 states so many ways back are kept, as links, not as strings.  Of
+        equally likely ways into a state the first ones met stay.
+        """
         cost = self.cost
-        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        best: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
         for options in self.lattice(token.lower(), spaced):
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (w, back) in best.items():
+            new: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
+            for (a, b), ways in best.items():
                 for text, extra in options:
-                    x, y, v = a, b, w + extra
+                    x, y, v = a, b, extra
                     for c in text:
                         if c == " ":
                             v += cost[x][y][0]
@@ -148,48 +167,100 @@ class Restorer:
                             k = int(FOLD[min(ord(c), 0xFFFF)])
                             v += cost[x][y][k]
                             x, y = y, k
-                    old = new.get((x, y))
-                    if old is None or v < old[0]:
-                        new[x, y] = (v, (back, text) if text else back)
-            best = new
-        back = min(((w + cost[a][b][0], back) for (a, b), (w, back) in best.items()), key=lambda x: x[0])[1]
-        out = []
-        while back is not None:
-            back, text = back
-            out.append(text)
-        return "".join(reversed(out))
-
-
-class Reader:
-    """Words of texts, restored where they look disturbed."""
+                    new.setdefault((x, y), []).extend([(w + v, (back, text) if text else back) for w, back in ways])
+            best = {state: sorted(ways, key=_first)[:most] if len(ways) > most else ways for state, ways in new.items()}
+        ends = sorted([(w + cost[a][b][0], back) for (a, b), ways in best.items() for w, back in ways], key=_first)
+        out: dict[str, float] = {}
+        for w, back in ends:
+            if len(out) < most:
+                text = _spelled(back)
+                out.setdefault(text, w)
+        return [(w, text) for text, w in out.items()]
+
+    def likelihood(self, word: str) -> float:
+        """Cost of a word under the character model alone."""
+        a, b, v = 0, 0, 0.0
+        for c in word:
+            k = int(FOLD[min(ord(c), 0xFFFF)])
+            v += self.cost[a][b][k]
+            a, b = b, k
+        return v + self.cost[a][b][0]
+
+
+def _first(x: tuple) -> float:
+    return x[0]
+
+
+def _spelled(back: tuple | None) -> str:
+    out = []
+    while back is not None:
+        back, text = back
+        out.append(text)
+    return "".join(reversed(out))
+
+
+#: What stands before a piece, and before a run that may hold several words.
+PIECE, RUN = "p", "r"
+
+
+def words_and_odd(piece: str) -> tuple[list[str], list[str]]:
+    """Words of a piece without white space as they are written, and what of it is to
+    be restored."""
+    low = piece.lower()
+    if low.isalpha() and not _NOISY.match(low):
+        return [low], []
+    core = low.strip(_EDGES)
+    words = _LETTERS.findall(core)
+    if not _NOISY.match(core):
+        return words, []
+    # runs of a symbol behind a word are decoration
+    bare = core.rstrip(core[-1]) if core[-1] in "$+!|@" else core
+    return words, list(dict.fromkeys([PIECE + core, PIECE + (bare if len(core) - len(bare) > 1 else core)]))
+
+
+def spaced_runs(text: str) -> list[str]:
+    """What is written letter by letter, to be restored."""
+    out = []
+    for m in _SPACED.finditer(text):
+        run = _GAPS.sub("", m.group()).lower()
+        # a symbol written thrice or more can be filler beside a word, not only a part of it
+        for part in dict.fromkeys([run, *re.sub(r"(.)\1\1+", " ", run).split()]):
+            out += [RUN + part, PIECE + part]
+    return list(dict.fromkeys(out))
+
+
+def restored(odd: DataFrame, model, words: DataFrame) -> DataFrame:
+    """``odd, words`` for the different values of ``odd``: the words of the likeliest
+    reading.
+
+    The likeliest paths under the character model are weighed anew with the counts of
+    all words: a word's probability is ``(n + PRIOR p) / (all + PRIOR)``, where p is what
+    the character model gives it.  Of equally likely readings the first path stays.
+    """
 
-    def __init__(self, model: np.ndarray):
-        self.restorer = Restorer(model)
-
-    def words(self, piece: str) -> list[str]:
-        """Words of a piece without white space: as written, and as restored."""
-        low = piece.lower()
-        if low.isalpha() and not _NOISY.match(low):
-            return [low]
-        core = low.strip(_EDGES)
-        out = _LETTERS.findall(core)
-        if _NOISY.match(core):
-            # runs of a symbol behind a word are decoration
-            bare = core.rstrip(core[-1]) if core[-1] in "$+!|@" else core
-            for c in (core, bare if len(core) - len(bare) > 1 else core):
-                out += _LETTERS.findall(self.restorer.restore(c))
-        return out
-
-    def spaced(self, text: str) -> list[str]:
-        """Words that are written letter by letter."""
-        out = []
-        for m in _SPACED.finditer(text):
-            run = m.group()[::2]
-            # a symbol written thrice or more can be filler beside a word, not only a part of it
-            for part in dict.fromkeys([run, *re.sub(r"(.)\1\1+", " ", run).split()]):
-                out += self.restorer.restore(part, spaced=True).split()
-                out.append(self.restorer.restore(part))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.value)
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for odd in b.column(0).to_pylist():
+                for k, (cost, text) in enumerate(restorer.paths(odd[1:], odd[0] == RUN)):
+                    own = _LETTERS.findall(text)
+                    like = [restorer.likelihood(w) for w in own]
+                    # what the channel adds to the words' own costs
+                    rest = cost - sum(restorer.likelihood(w) for w in text.split(" ")) if text else cost
+                    for w, v in zip(own or [""], like or [0.0], strict=True):
+                        for column, value in zip(out, (odd, k, rest, own, w, v), strict=True):
+                            column.append(value)
+            kinds = [pa.string(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["odd", "k", "rest", "own", "word", "cost"])
+
+    total = float(words.agg(F.sum("n")).first()[0] or 0)
+    paths = odd.select("odd").distinct().mapInArrow(tidy(run, text_at=0), "odd string, k int, rest double, own array<string>, word string, cost double")
+    known = paths.join(words, "word", "left")
+    cost = -F.log((F.coalesce("n", F.lit(0)) + PRIOR * F.exp(-F.col("cost"))) / (total + PRIOR))
+    each = known.select("odd", "k", "rest", "own", F.when(F.col("word") == "", 0.0).otherwise(cost).alias("cost"))
+    each = each.groupBy("odd", "k").agg((F.first("rest") + F.sum("cost")).alias("cost"), F.first("own").alias("own"))
+    return each.groupBy("odd").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "k", "own")).alias("best")).select("odd", F.col("best.own").alias("words"))
 
 
 def features(words: list[str]) -> set[str]:
@@ -201,33 +272,31 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def _by_document(reader: Reader, column: pa.Array) -> Iterator[set[str]]:
-    for text in column.to_pylist():
-        words = [w for p in set((text or "").split()) for w in reader.words(p)]
-        yield features(words + reader.spaced(text or ""))
+def _by_document(b: pa.RecordBatch) -> Iterator[set[str]]:
+    for text, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        yield features([w for p in set((text or "").split()) for w in words_and_odd(p)[0]] + (more or []))
 
 
-def learn_rules(sample: DataFrame, model: np.ndarray) -> list[tuple[str, float]]:
+def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
     """A list of (feature, share of toxic documents among those that have it).
 
     Greedy: the feature that explains the most toxic documents not yet explained goes
     next, so a word that merely stands beside a toxic one in copies adds no rule.
-    ``sample`` (text, toxic) is bounded by ``SAMPLE``.
+    ``sample`` (text, restored, toxic) is bounded by ``SAMPLE``.
     """
-    lm = sample.sparkSession.sparkContext.broadcast(model)
 
     def count(only: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, n = Reader(lm.value), Counter()
+            n = Counter()
             for b in batches:
-                for f in _by_document(reader, b.column(0)):
+                for f in _by_document(b):
                     n.update(f if only is None else f & only)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
         return run
 
     def counted(rows: DataFrame, only: set[str] | None, least: int) -> dict[str, int]:
-        n = rows.select("text").mapInArrow(count(only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        n = rows.select("text", "restored").mapInArrow(tidy(count(only), text_at=0), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         return {r.feature: r.n for r in n.where(F.col("n") >= least).collect()}
 
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
@@ -238,12 +307,11 @@ def learn_rules(sample: DataFrame, model: np.ndarray) -> list[tuple[str, float]]
     place = {f: i for i, f in enumerate(kept)}
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lm.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x if f in place) for x in _by_document(reader, b.column(0))], pa.list_(pa.int32()))], ["has"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x if f in place) for x in _by_document(b)], pa.list_(pa.int32()))], ["has"])
 
     # the same document in many copies explains once
-    has = [set(r.has) for r in toxic.select("text").distinct().mapInArrow(explain, "has array<int>").collect()]
+    has = [set(r.has) for r in toxic.select("text", "restored").distinct().mapInArrow(tidy(explain, text_at=0), "has array<int>").collect()]
     rules = []
     while kept:
         n = Counter(f for x in has for f in x)
@@ -258,101 +326,130 @@ def learn_rules(sample: DataFrame, model: np.ndarray) -> list[tuple[str, float]]
     return rules
 
 
-class Scorer:
-    def __init__(self, model: np.ndarray, rules: list[tuple[str, float]], base: float, cached: int = 250_000):
-        self.reader, self.rules, self.base, self.cached = Reader(model), dict(rules), base, cached
-        self.known: dict[str, float] = {}
-
-    def of(self, words: list[str]) -> float:
-        get, best = self.rules.get, self.base
-        for w in words:
-            for f in (w, *[w[:k] + "*" for k in PREFIXES if len(w) >= k]):
-                if (p := get(f)) is not None and p > best:
-                    best = p
-        return best
-
-    def batch(self, column: pa.Array) -> np.ndarray:
-        out = [np.zeros(0)]
-        for part in slices(column):
-            starts, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
-            known = self.known
-            if len(known) > self.cached:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = self.of(self.reader.words(p))
-            each = np.fromiter(map(known.__getitem__, pieces), float, len(pieces))[at]
-            score = np.full(len(part), self.base)
-            some = np.flatnonzero(starts[1:] > starts[:-1])
-            if len(some):
-                score[some] = np.maximum.reduceat(each, starts[:-1][some])
-            for i in np.flatnonzero(pc.match_substring_regex(part, _SPACED_RE2).to_numpy(zero_copy_only=False)):
-                score[i] = max(score[i], self.of(self.reader.spaced(part[i].as_py())))
-            out.append(score)
-        return np.concatenate(out)
+def best_rule(rules: dict[str, float], words: list[str], base: float = 0.0) -> float:
+    get, best = rules.get, base
+    for w in words:
+        for f in (w, *[w[:k] + "*" for k in PREFIXES if len(w) >= k]):
+            if (p := get(f)) is not None and p > best:
+                best = p
+    return best
+
+
+class Notes:
+    """Of texts: the score of the words as they are written, and what is to be restored."""
+
+    def __init__(self, rules: dict[str, float], base: float):
+        self.rules, self.base, self.known = rules, base, kept(Cache())
+
+    def batch(self, part: pa.Array) -> tuple[np.ndarray, list[list[str]]]:
+        starts, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
+        known = self.known
+        known.trim()
+        new = [p for p in pieces if p not in known]
+        taken = [words_and_odd(p) for p in new]
+        known.learn(new, [(best_rule(self.rules, words, self.base), odd) for words, odd in taken], 60)
+        found = [known[p] for p in pieces]
+        each = np.fromiter((x for x, _ in found), float, len(found))[at]
+        score = np.full(len(part), self.base)
+        some = np.flatnonzero(starts[1:] > starts[:-1])
+        if len(some):
+            score[some] = np.maximum.reduceat(each, starts[:-1][some])
+        odd: list[dict[str, None]] = [{} for _ in range(len(part))]
+        is_odd = np.fromiter((bool(x) for _, x in found), bool, len(found))
+        places = np.flatnonzero(is_odd[at])
+        for row, piece in zip((np.searchsorted(starts, places, "right") - 1).tolist(), at[places].tolist(), strict=True):
+            odd[row].update(dict.fromkeys(found[piece][1]))
+        for i in np.flatnonzero(pc.match_substring_regex(part, _SPACED_RE2).to_numpy(zero_copy_only=False)):
+            odd[i].update(dict.fromkeys(spaced_runs(part[i].as_py())))
+        return score, [list(x) for x in odd]
+
+
+def noted(rows: DataFrame, rules: list[tuple[str, float]], base: float) -> DataFrame:
+    """``key, score, odd, row`` for rows of ``key, text``, stored."""
+    own = dict(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(own, base)
+        for b in batches:
+            score, odd = notes.batch(pc.fill_null(b.column(1).cast(pa.large_string()), ""))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(odd, pa.list_(pa.string()))], ["key", "score", "odd"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return stored(rows.mapInArrow(tidy(run), f"key {kind}, score double, odd array<string>").withColumn("row", F.monotonically_increasing_id()), "noted")
 
 
 def _held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def fitted(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE):
-    """The character model, the rules and the base score, sent to the executors."""
+def scored(rows: DataFrame, doc_ids: DataFrame, labels: DataFrame, label_id: str, label_col: str, sample: int) -> DataFrame:
+    """``key, score`` for every one of ``rows`` (key, text).  ``doc_ids`` (doc_id, text)
+    are the rows that labels belong to."""
+    spark = rows.sparkSession
     marked = pick(labels, doc_id=label_id, toxic=label_col).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    # at most ``sample`` rows of two numbers
-    learned = stored(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
-    model = log_probabilities(trigram_counts(rows, "text"))
-    rules = learn_rules(learned, model)
-    return rows.sparkSession.sparkContext.broadcast((model, rules, _base(learned, rules, model)))
+    words = stored(word_counts(rows.select("text")), "words")
+    model = spark.sparkContext.broadcast(log_probabilities(trigram_counts(words)))
+    # at most ``sample`` rows of two numbers are broadcast
+    learned = stored(doc_ids.join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
+    odd = noted(learned.select(F.col("row").alias("key"), "text"), [], 0.0).select("key", F.explode("odd").alias("odd"))
+    read = odd.join(restored(odd, model, words), "odd").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("restored"))
+    learned = stored(learned.join(read, F.col("row") == F.col("key"), "left").select("text", "toxic", "restored"), "toxic-words")
+    rules = learn_rules(learned)
+    base = _base(learned, rules)
+    first = noted(rows, rules, base)
+    odd = first.select("row", F.explode("odd").alias("odd"))
+    own = dict(rules)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([best_rule(own, w) for w in b.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), found], ["odd", "more"]).filter(pc.greater(found, 0))
+
+    rated = stored(restored(odd, model, words).mapInArrow(tidy(rate, text_at=0), "odd string, more double"), "rated")
+    # narrow rows, and only those of pieces that a rule fits
+    hidden = odd.join(rated, "odd").groupBy("row").agg(F.max("more").alias("more"))
+    return first.join(hidden, "row", "left").select("key", F.greatest("score", F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per document.
 
     Rules are learned from at most ``sample`` labelled rows that are not held out;
-    the character model from all texts.  Null and empty texts get the base score, the
-    share of toxic documents that no rule explains (under 0.5).  A document labelled
-    more than once counts as toxic if one label says so; null labels are no labels.
-    Without labels every score is 0.  Repeated rows each have their score.
+    counts of words and characters from all texts.  Null and empty texts get the base
+    score, the share of toxic documents that no rule explains (under 0.5).  A document
+    labelled more than once counts as toxic if one label says so; null labels are no
+    labels.  Without labels every score is 0.  Repeated rows each have their score;
+    other columns, whatever their names, play no part; an empty table gives an empty
+    result.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
-    spec = fitted(rows, labels, label_id, label_col, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*spec.value)
-        for b in batches:
-            score = scorer.batch(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+    out = scored(rows.withColumnRenamed("doc_id", "key"), rows, labels, label_id, label_col, sample).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
-    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
-
-def _base(learned: DataFrame, rules: list[tuple[str, float]], model: np.ndarray) -> float:
+def _base(learned: DataFrame, rules: list[tuple[str, float]]) -> float:
     """The share of toxic ones among the sample's documents that no rule fits."""
-    spec = learned.sparkSession.sparkContext.broadcast((model, rules, 0.0))
+    names = {f for f, _ in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*spec.value)
         for b in batches:
-            free = scorer.batch(b.column(0)) == 0
-            yield pa.RecordBatch.from_arrays([pa.array([int(free.sum())]), pa.array([int((free & (b.column(1).to_numpy() == 1)).sum())])], ["n", "toxic"])
+            free = np.array([not (f & names) for f in _by_document(b)], bool)
+            yield pa.RecordBatch.from_arrays([pa.array([int(free.sum())]), pa.array([int((free & (b.column(2).to_numpy() == 1)).sum())])], ["n", "toxic"])
 
-    r = learned.mapInArrow(run, "n long, toxic long").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()
+    r = learned.select("text", "restored", "toxic").mapInArrow(tidy(run, text_at=0), "n long, toxic long").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()
     return min(0.49, ((r.toxic or 0) + 0.01) / (r.n + 1)) if r.n and not math.isnan(r.n) else 0.0
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``docs`` without the documents predicted toxic, all columns as they are."""
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    spec = fitted(rows, labels, id_col, label_col)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*spec.value)
-        for b in batches:
-            yield b.filter(pa.array(scorer.batch(b.column(at)) < 0.5))
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the documents predicted toxic, all columns as they are.
 
-    return docs.mapInArrow(run, docs.schema)
+    The score depends on the text alone, so repeated rows and copies stay or go
+    together.  Null and empty texts stay, and without labels all do; an empty table
+    gives an empty result.
+    """
+    ids = pick(docs, doc_id=id_col, text=text_col)
+    keyed = ids.select(text_digest(F.col("text")).alias("key"), "text")
+    toxic = stored(scored(keyed, ids, labels, label_id, label_col, sample).where("score >= 0.5").select("key").distinct(), "toxic")
+    rows = numbered(docs)
+    return rows.join(toxic, text_digest(F.col(f"c{position(docs, text_col)}")) == F.col("key"), "left_anti").toDF(*docs.columns)

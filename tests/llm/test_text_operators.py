@@ -66,13 +66,69 @@ def test_clean_documents_stay(toxic):
     assert X.toxicity(df.limit(0), labels).count() == 0
 
 
-def test_restoration(spark):
-    words = "idiot worthless stupid trash hello world".split()
-    model = X.log_probabilities(X.trigram_counts(docs(spark, [(1, " ".join(words * 20))])))
-    reader = X.Reader(model)
-    for token, word in {"1d10t": "idiot", "w0rthl355": "worthless", "$tupid": "stupid", "tr4sh.": "trash", "stuuuupid": "stupid"}.items():
-        assert word in reader.words(token)
-    assert "idiot" in reader.spaced("an i.d.1.o.t here") and reader.words("2024") == []
+def test_odd_tables_and_ties(toxic, spark):
+    df, labels, texts = toxic
+    wide = df.withColumnRenamed("lang", "score").withColumnRenamed("source", "key").withColumnRenamed("n_chars", "Text")
+    more = spark.createDataFrame([(3000, "grumbok " * 30_000, "", "", None), (3001, "plain " * 30_000, "", "", None), (3001, "plain " * 30_000, "", "", None), (None, "you zotw1ck", "", "", None)], wide.schema)
+    wide = wide.union(more)
+    out = X.toxicity(wide, labels).collect()
+    assert len(out) == wide.count() and {(r.doc_id, r.predicted) for r in out if r.doc_id is None or r.doc_id >= 3000} == {(3000, 1), (3001, 0), (None, 1)}
+    scores = {}
+    for r in X.toxicity(df.union(df), labels).collect():
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for i, v in scores.items() if i != 1003)
+    kept = X.keep_clean(wide, labels)
+    assert kept.columns == wide.columns and kept.where("doc_id = 3001").count() == 2 and kept.where("doc_id = 3000 OR doc_id IS NULL").count() == 0
+
+
+@pytest.fixture(scope="module")
+def reading(spark):
+    text = "idiot worthless stupid trash hello world " * 20 + "the bill ball " * 9 + "гад " * 9
+    words = X.word_counts(spark.createDataFrame([(text,)], "text string")).cache()
+    model = spark.sparkContext.broadcast(X.log_probabilities(X.trigram_counts(words)))
+
+    def read(*tokens, spaced=False):
+        odd = [o for t in tokens for o in (X.spaced_runs(t) if spaced else X.words_and_odd(t)[1])]
+        found = X.restored(spark.createDataFrame([(o,) for o in odd], "odd string"), model, words).collect()
+        return {w for r in found for w in r.words}
+
+    return read, X.Restorer(model.value)
+
+
+def test_restoration(reading):
+    read, _ = reading
+    assert {"idiot", "worthless", "stupid", "trash"} <= read("1d10t", "w0rthl355", "$tupid", "tr4sh.", "stuuuupid")
+    assert {"idiot"} <= read("an i.d.1.o.t here", spaced=True) and {"idiot"} <= read("so i  d  i  o  t here", spaced=True)
+    assert read("idіоt") == {"idiot"} and X.words_and_odd("2024") == ([], [])
+    # counts of words tell doubled letters and i from l, where characters don't
+    assert read("гадддд") == {"гад"} and "ball" in read("ba11") and "bill" in read("b1ll")
+
+
+def test_paths_against_every_reading(reading):
+    _, restorer = reading
+    rng = random.Random(3)
+    for n in range(300):
+        token = "".join(rng.choice("abst013$|!66éаг-") * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        spaced = n % 2 == 0
+        best = {}
+        for way in itertools.product(*restorer.lattice(token, spaced)):
+            text = "".join(t for t, _ in way)
+            cost = sum(w for _, w in way) + sum(restorer.likelihood(w) for w in text.split(" "))
+            best[text] = min(cost, best.get(text, 1e9))
+        got = restorer.paths(token, spaced, most=10**6)
+        assert dict((t, pytest.approx(w)) for w, t in got) == best
+        assert restorer.paths(token, spaced)[0][0] == pytest.approx(min(best.values()))
+
+
+def test_rules_follow_the_counts(spark):
+    rng = random.Random(5)
+    rows = [(prose(rng, 12) + (" vile" if i % 2 and i < 40 else "") + (" mean thing" if i % 3 == 0 else ""), None, int(bool(i % 2 and i < 40))) for i in range(90)]
+    rows += [(rows[1][0], None, 1)] * 3 + [("hidden", ["vile"], 1), ("", None, 0)]
+    rules = dict(X.learn_rules(spark.createDataFrame(rows, "text string, restored array<string>, toxic int")))
+    has = [X.features(ascii_text.split()) | X.features(more or []) for ascii_text, more, _ in rows]
+    assert set(rules) == {"vile"}
+    bad = sum(t for f, (*_, t) in zip(has, rows, strict=True) if "vile" in f)
+    assert rules["vile"] == pytest.approx((bad + 0.1) / (sum("vile" in f for f in has) + 0.2))
 
 
 # --- fingerprints -----------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contracts import sector, with_tiers
-from .survival import roc_auc, split
+from .survival import _ranges, roc_auc, running, split
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -88,7 +89,8 @@ def churn_baseline(df: DataFrame, numeric: list[str], categorical: list[str], ki
     if kind == "logistic":
         model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000)
     else:
-        model = RandomForestClassifier(numTrees=trees, maxDepth=12, seed=42)
+        # 30 levels are the most that these trees can have
+        model = RandomForestClassifier(numTrees=trees, maxDepth=30, seed=42, maxMemoryInMB=512)
     fitted = Pipeline(stages=[*indexers, encoder, vector, model]).fit(scaled(train))
     scored = fitted.transform(scaled(test)).select("label", vector_to_array("probability")[1].alias("score"))
     out = roc_auc(scored, "score", "label").crossJoin(scored.agg(F.count("*").alias("n_test")))
@@ -98,60 +100,90 @@ def churn_baseline(df: DataFrame, numeric: list[str], categorical: list[str], ki
 # --- random survival forest -------------------------------------------------------
 
 
-def _hazard(time: np.ndarray, event: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Nelson-Aalen cumulative hazard at the grid's times."""
-    deaths = np.array([((time == g) & (event == 1)).sum() for g in grid], float)
-    risk = np.array([(time >= g).sum() for g in grid], float)
-    return np.cumsum(np.divide(deaths, risk, out=np.zeros_like(deaths), where=risk > 0))
+def _at_risk(time: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different event times, with the events at and the rows at risk at each."""
+    times, deaths = np.unique(time[event == 1], return_counts=True)
+    return times, deaths, len(time) - np.searchsorted(np.sort(time), times, "left")
 
 
-def _log_rank(time: np.ndarray, event: np.ndarray, left: np.ndarray, grid: np.ndarray) -> float:
-    at = time[:, None] >= grid[None, :]
-    die = (time[:, None] == grid[None, :]) & (event[:, None] == 1)
-    y, d = at.sum(0).astype(float), die.sum(0).astype(float)
-    y1, d1 = at[left].sum(0), die[left].sum(0)
-    ok = y > 1
-    expected = y1[ok] * d[ok] / y[ok]
-    var = (y1[ok] / y[ok] * (1 - y1[ok] / y[ok]) * (y[ok] - d[ok]) / (y[ok] - 1) * d[ok]).sum()
-    return abs((d1[ok] - expected).sum()) / np.sqrt(var) if var > 0 else 0.0
+def _hazard(time: np.ndarray, event: np.ndarray, later: np.ndarray) -> float:
+    """The Nelson-Aalen cumulative hazard summed over all event times of the table;
+    ``later`` has, for each row, how many of these are not before its time."""
+    times, deaths, risk = _at_risk(time, event)
+    first = np.searchsorted(np.sort(time), times, "left")
+    return float((deaths / risk * later[np.argsort(time, kind="stable")][first]).sum()) if len(times) else 0.0
 
 
-def _grow(x: np.ndarray, t: np.ndarray, e: np.ndarray, grid: np.ndarray, rng, least_split: int, least_leaf: int, depth: int):
-    best = (0.0, None)
-    if len(t) >= least_split and depth and e.any():
-        for f in rng.permutation(x.shape[1])[: max(1, int(np.sqrt(x.shape[1])))]:
-            for cut in np.unique(np.quantile(x[:, f], [0.1, 0.25, 0.5, 0.75, 0.9])):
-                left = x[:, f] <= cut
-                if min(left.sum(), (~left).sum()) >= least_leaf:
-                    best = max(best, (_log_rank(t, e, left, grid), (int(f), float(cut))), key=lambda b: b[0])
-    if best[1] is None:
-        return _hazard(t, e, grid).sum()
-    f, cut = best[1]
-    left = x[:, f] <= cut
-    grow = lambda m: _grow(x[m], t[m], e[m], grid, rng, least_split, least_leaf, depth - 1)
-    return (f, cut, grow(left), grow(~left))
+def _log_rank(time: np.ndarray, event: np.ndarray, left: np.ndarray) -> float:
+    """The log-rank statistic of two groups, over all event times of both."""
+    times, d, y = _at_risk(time, event)
+    own = np.sort(time[left])
+    y1 = len(own) - np.searchsorted(own, times, "left")
+    died = np.sort(time[left & (event == 1)])
+    d1 = np.searchsorted(died, times, "right") - np.searchsorted(died, times, "left")
+    ok = y > 1
+    y, d, y1, d1 = y[ok], d[ok], y1[ok], d1[ok]
+    var = (y1 / y * (1 - y1 / y) * (y - d) / (y - 1) * d).sum()
+    return abs((d1 - y1 * d / y).sum()) / np.sqrt(var) if var > 0 else 0.0
+
+
+#: Cuts of a feature that a node tries, at most: quantiles where it has more values.
+CUTS = 32
+
+
+def _grow(x: np.ndarray, t: np.ndarray, e: np.ndarray, later: np.ndarray, rng, least_split: int, least_leaf: int, depth: int | None) -> list[tuple[int, float, int, int]]:
+    """A tree as rows of (feature, cut, left, right); a leaf has feature -1 and its value
+    in place of the cut.  Without ``depth`` it grows until leaves can't be split."""
+    nodes: list[tuple[int, float, int, int]] = [(-1, 0.0, -1, -1)]
+    todo = [(0, np.arange(len(t)), 0)]
+    while todo:
+        at, rows, level = todo.pop()
+        best, pick = 0.0, None
+        if len(rows) >= least_split and (depth is None or level < depth) and e[rows].any():
+            for f in rng.permutation(x.shape[1])[: max(1, int(np.sqrt(x.shape[1])))]:
+                values = np.unique(x[rows, f])
+                cuts = values[:-1] if len(values) <= CUTS else np.unique(np.quantile(x[rows, f], np.linspace(0, 1, CUTS + 1)[1:-1]))
+                for cut in cuts:
+                    left = x[rows, f] <= cut
+                    if min(left.sum(), (~left).sum()) >= least_leaf and (value := _log_rank(t[rows], e[rows], left)) > best:
+                        best, pick = value, (int(f), float(cut), left)
+        if pick is None:
+            nodes[at] = (-1, _hazard(t[rows], e[rows], later[rows]), -1, -1)
+            continue
+        f, cut, left = pick
+        nodes[at] = (f, cut, len(nodes), len(nodes) + 1)
+        todo += [(len(nodes), rows[left], level + 1), (len(nodes) + 1, rows[~left], level + 1)]
+        nodes += [(-1, 0.0, -1, -1)] * 2
+    return nodes
 
 
-def _fall(node, row: np.ndarray) -> float:
-    while isinstance(node, tuple):
-        node = node[2] if row[node[0]] <= node[1] else node[3]
-    return float(node)
+def _fall(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The values of the leaves that rows fall into."""
+    feature, cut, left, right = tree
+    at = np.zeros(len(x), np.int64)
+    while len(on := np.flatnonzero(feature[at] >= 0)):
+        node = at[on]
+        at[on] = np.where(x[on, feature[node]] <= cut[node], left[node], right[node])
+    return cut[at]
 
 
 #: Rows that one tree is grown from, at most; larger tables give each tree its own random part.
 TREE_ROWS = 20_000
 
 
-def survival_forest(df: DataFrame, features: list[str], trees: int = 100, least_split: int = 10, least_leaf: int = 15, depth: int = 8, seed: int = 42, key: str = "account_id", time: str = "time_to_event", event: str = "event_observed") -> DataFrame:
-    """``key, risk``: the cumulative hazard summed over event times, averaged over trees.
+def survival_forest(df: DataFrame, features: list[str], trees: int = 100, least_split: int = 10, least_leaf: int = 15, depth: int | None = None, seed: int = 42, key: str = "account_id", time: str = "time_to_event", event: str = "event_observed") -> DataFrame:
+    """``key, risk``: the cumulative hazard summed over all event times, averaged over
+    trees.
 
     Trees grow side by side, each from a random part of bounded size drawn from the
     table with replacement (row weights by Poisson draws), and then score all rows.
     """
     spark = df.sparkSession
-    rows = df.select(key, F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double") for f in features]).dropna()
+    rows = df.select(F.col(key), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
     n = rows.count()
-    grid = np.array([r.t for r in rows.where("e = 1").select("t").distinct().orderBy("t").limit(500).collect()])
+    # how many event times are not before each time
+    times = _ranges(rows.groupBy("t").agg(F.max("e").alias("any")), "t")
+    times = running(times, "t", {"later": F.col("any").cast("long")}, later=True).select("t", "later")
     share = min(1.0, TREE_ROWS / max(n, 1))
     # a draw of each row for each tree, by hash, with the mean ``share``
     u = (F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
@@ -160,24 +192,23 @@ def survival_forest(df: DataFrame, features: list[str], trees: int = 100, least_
         draws = F.when(u > total, k).otherwise(draws)
         p *= share / k
         total += p
-    bag = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("n", draws).where("n > 0")
-
-    def fit(pdf):
-        import pandas as pd
+    bag = rows.join(times, "t").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("n", draws).where("n > 0")
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         rng = np.random.default_rng(seed + int(pdf["tree"].iloc[0]))
         full = pdf.loc[pdf.index.repeat(pdf["n"])]
-        grown = _grow(full[features].to_numpy(float), full["t"].to_numpy(float), full["e"].to_numpy(int), grid, rng, least_split, least_leaf, depth)
-        return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "grown": [repr(grown)]})
+        grown = _grow(full[features].to_numpy(float), full["t"].to_numpy(float), full["e"].to_numpy(int), full["later"].to_numpy(float), rng, least_split, least_leaf, depth)
+        return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "grown": [[list(map(float, x)) for x in zip(*grown, strict=True)]]})
 
-    grown = bag.groupBy("tree").applyInPandas(fit, "tree int, grown string").collect()
-    model = spark.sparkContext.broadcast([eval(r.grown, {"np": np}) for r in grown])  # noqa: S307  literals made above
+    grown = bag.groupBy("tree").applyInPandas(fit, "tree int, grown array<array<double>>").orderBy("tree").collect()
+    packed = [(np.array(f, np.int64), np.array(c), np.array(a, np.int64), np.array(b, np.int64)) for f, c, a, b in (r.grown for r in grown)]
+    model = spark.sparkContext.broadcast(packed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
-            risk = [np.mean([_fall(t, row) for t in model.value]) for row in x]
+            risk = np.mean([_fall(t, x) for t in model.value], axis=0) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(risk, pa.float64())], [key, "risk"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -3,20 +3,50 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranges(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
+    """Rows with ``_range``, the number of quantile borders under their value: ranges
+    that can be ordered side by side."""
+    borders = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(borders))]).cast("array<double>")
+    return df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(column))))
+
+
+def running(df: DataFrame, order: str, values: dict[str, Column], by: list[str] | None = None, later: bool = False, total=F.sum) -> DataFrame:
+    """``df``, which has ``_range`` and one row for each ``by`` and ``order``, with
+    running totals of ``values`` up to each row or, with ``later``, from it on.
+
+    Rows are only ordered within their range; what the other ranges add comes from a
+    table of one row a range, so no task has all rows of a group.
+    """
+    by = by or []
+    df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
+    ends = (0, Window.unboundedFollowing) if later else (Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*ends)
+    beyond = Window.partitionBy(*by).orderBy("_range").rowsBetween(*((1, Window.unboundedFollowing) if later else (Window.unboundedPreceding, -1)))
+    sums = df.groupBy(*by, "_range").agg(*[total(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    far = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[total(f"_s_{k}").over(beyond).alias(f"_far_{k}") for k in values])
+    own = df.withColumns({f"_near_{k}": total(f"_v_{k}").over(inside) for k in values})
+    on = F.col("_range") == F.col("_r")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    both = (lambda k: F.col(f"_near_{k}") * F.coalesce(f"_far_{k}", F.lit(1.0))) if total is F.product else (lambda k: F.col(f"_near_{k}") + F.coalesce(f"_far_{k}", F.lit(0)))
+    kept = [c for c in df.columns if not c.startswith("_v_")]
+    return own.join(far, on).select(*kept, *[both(k).alias(k) for k in values])
+
+
 def kaplan_meier(df: DataFrame, by: list[str] | None = None, time: str = "time_to_event", event: str = "event_observed") -> DataFrame:
-    """``by, time, at_risk, events, survival`` at each time.  Windows run over the times
-    of a group, not over its rows."""
+    """``by, time, at_risk, events, survival`` at each time, from running totals over
+    ranges of times."""
     by = by or []
     counts = df.where(F.col(time).isNotNull() & F.col(event).isNotNull()).groupBy(*by, F.col(time).alias("time")).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    later = group.orderBy("time").rowsBetween(0, Window.unboundedFollowing)
-    so_far = group.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("at_risk", F.sum("n").over(later))
-    return rows.select(*by, "time", "at_risk", "events", F.product(1 - F.col("events") / F.col("at_risk")).over(so_far).alias("survival"))
+    rows = running(_ranges(counts, "time"), "time", {"at_risk": F.col("n")}, by, later=True)
+    rows = running(rows, "time", {"survival": 1 - F.col("events") / F.col("at_risk")}, by, total=F.product)
+    return rows.select(*by, "time", "at_risk", "events", "survival")
 
 
 def churn_rate(df: DataFrame, event: str = "event_observed") -> DataFrame:
@@ -27,43 +57,77 @@ def concordance(df: DataFrame, risk: str, time: str = "time_to_event", event: st
     """Harrell's index as ``c_index, concordant, discordant, tied``.
 
     A pair counts if the earlier time is an event, or of equal times if one is an event
-    and the other censored.  Rows are first counted by (time, event, risk), so a pair
-    join only runs over these: equal rows are never paired one by one.
+    and the other censored.  Rows are first counted by (time, event, risk).  Times and
+    risks are cut into ranges: pairs of different ranges are counted from a table of one
+    row for each two ranges, pairs of one range of risks or times within it, in order.
+    No pairs are made.
     """
-    cells = df.groupBy(F.col(time).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"))
-    # for each event cell: later cells by risk, from running counts in (time, risk) order
-    a = cells.where("e = 1").select("t", "r", "n")
-    b = cells.select(F.col("t").alias("t2"), F.col("e").alias("e2"), F.col("r").alias("r2"), F.col("n").alias("n2"))
-    pairs = a.join(b, (F.col("t2") > F.col("t")) | ((F.col("t2") == F.col("t")) & (F.col("e2") == 0)))
-    w = F.col("n") * F.col("n2")
-    sums = pairs.agg(*[F.coalesce(F.sum(F.when(c, w)), F.lit(0)).alias(k) for k, c in (("concordant", F.col("r") > F.col("r2")), ("discordant", F.col("r") < F.col("r2")), ("tied", F.col("r") == F.col("r2")))])
+    cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n")).dropna()
+    cells = _ranges(cells, "t").withColumnRenamed("_range", "tr")
+    cells = _ranges(cells, "r").withColumnRenamed("_range", "rr")
+    kind = "concordant long, discordant long, tied long"
+
+    def counted(a: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([[int(x) for x in a]], columns=["concordant", "discordant", "tied"])
+
+    def same_risks(pdf: pd.DataFrame) -> pd.DataFrame:
+        # later ranges of times; events and others of one range don't meet here
+        return counted(_ordered_pairs(pdf["tr"].to_numpy(), pdf["e"].to_numpy() == 1, pdf["r"].to_numpy(), pdf["n"].to_numpy(), False))
+
+    def same_times(pdf: pd.DataFrame) -> pd.DataFrame:
+        return counted(_ordered_pairs(pdf["t"].to_numpy(), pdf["e"].to_numpy() == 1, pdf["r"].to_numpy(), pdf["n"].to_numpy(), True))
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(pdf["tr"].max()) + 1, int(pdf["rr"].max()) + 1)
+        every, events = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        np.add.at(every, (pdf["tr"], pdf["rr"]), pdf["n"])
+        np.add.at(events, (pdf["tr"], pdf["rr"]), pdf["events"])
+        after = np.cumsum(every[::-1], 0)[::-1]
+        after = np.vstack([after[1:], np.zeros((1, shape[1]), np.int64)])
+        below = np.cumsum(after, 1) - after
+        above = after.sum(1, keepdims=True) - below - after
+        return counted([(events * below).sum(), (events * above).sum(), 0])
+
+    grid = cells.groupBy("tr", "rr").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("events"))
+    # the table of ranges has 200 x 200 rows at most
+    parts = [cells.groupBy("rr").applyInPandas(same_risks, kind), cells.groupBy("tr").applyInPandas(same_times, kind), grid.groupBy().applyInPandas(table, kind)]
+    sums = parts[0].union(parts[1]).union(parts[2]).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("concordant", "discordant", "tied")])
     total = F.col("concordant") + F.col("discordant") + F.col("tied")
     return sums.withColumn("c_index", F.round(F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), total), 4))
 
 
-def concordance_by_times(df: DataFrame, risk: str, time: str = "time_to_event", event: str = "event_observed") -> DataFrame:
-    """The same index for many different risks and few times: for each time, running
-    counts of later rows over the risks' order, without a pair join.
+def _ordered_pairs(t: np.ndarray, event: np.ndarray, r: np.ndarray, n: np.ndarray, ties: bool) -> np.ndarray:
+    """Pairs of an event and a later row: those whose risk is lower, higher, equal.  With
+    ``ties`` a row that is no event counts as later at an equal time.
 
-    Work grows with rows x times; ``concordance`` suits few cells, this many.
+    Rows come in the order of their times, the last first, in blocks of whole times;
+    those before a block are counted by rank, those within it are compared.
     """
-    cells = df.groupBy(F.col(time).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"))
-    times = cells.where("e = 1").select(F.col("t").alias("at")).distinct()
-    spread = cells.join(times, (F.col("t") >= F.col("at"))).withColumn("own", F.when((F.col("t") == F.col("at")) & (F.col("e") == 1), F.col("n")).otherwise(0))
-    spread = spread.groupBy("at", "r").agg(F.sum("own").alias("own"), F.sum(F.col("n") - F.col("own")).alias("later"))
-    below = Window.partitionBy("at").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    rows = spread.withColumn("lower", F.coalesce(F.sum("later").over(below), F.lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy("at")))
-    sums = rows.agg(F.coalesce(F.sum(F.col("own") * F.col("lower")), F.lit(0)).alias("concordant"), F.coalesce(F.sum(F.col("own") * (F.col("all") - F.col("lower") - F.col("later"))), F.lit(0)).alias("discordant"), F.coalesce(F.sum(F.col("own") * F.col("later")), F.lit(0)).alias("tied"))
-    total = F.col("concordant") + F.col("discordant") + F.col("tied")
-    return sums.withColumn("c_index", F.round(F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), total), 4))
-
-
-def _ranges(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
-    """Rows with ``_range``, the number of quantile borders under their value: ranges
-    that can be ordered side by side."""
-    borders = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(borders))]).cast("array<double>")
-    return df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(column))))
+    out = np.zeros(3, np.int64)
+    if not len(t):
+        return out
+    rank = np.unique(r, return_inverse=True)[1]
+    order = np.lexsort((event if ties else np.zeros(len(t)), -t))
+    t, event, rank, n = t[order], event[order], rank[order], n[order].astype(np.int64)
+    new = np.r_[True, (t[1:] != t[:-1]) | ((event[1:] != event[:-1]) & ties)]
+    step, starts = np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(t)]
+    seen, size, k = np.zeros(int(rank.max()) + 1, np.int64), int(np.clip(2 * np.sqrt(len(t)), 512, 4096)), 0
+    while k < len(t):
+        # as many whole steps as fit, one at least
+        end = int(starts[max(np.searchsorted(starts, k + size, "right") - 1, step[k] + 1)])
+        block, at = slice(k, end), np.flatnonzero(event[k:end]) + k
+        if len(at):
+            below = np.cumsum(seen)
+            lower, equal, total = below[rank[at]] - seen[rank[at]], seen[rank[at]], below[-1]
+            if step[end - 1] > step[k]:
+                own = (step[block][None, :] < step[at][:, None]) * n[block][None, :]
+                lower = lower + (own * (rank[block][None, :] < rank[at][:, None])).sum(1)
+                equal = equal + (own * (rank[block][None, :] == rank[at][:, None])).sum(1)
+                total = total + own.sum(1)
+            out += [(n[at] * lower).sum(), (n[at] * (total - lower - equal)).sum(), (n[at] * equal).sum()]
+        np.add.at(seen, rank[block], n[block])
+        k = end
+    return out
 
 
 def roc_auc(df: DataFrame, score: str, label: str = "event_observed") -> DataFrame:
@@ -111,32 +175,32 @@ def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
 def cox(df: DataFrame, features: list[str], time: str = "time_to_event", event: str = "event_observed", ridge: float = 0.01, steps: int = 20, tolerance: float = 1e-7) -> np.ndarray:
     """Coefficients of a proportional-hazards model (Breslow ties, ridge penalty).
 
-    Each Newton step is one aggregation to a row per time; the driver sums these from
-    the last time backwards and solves a p x p system.
+    Each Newton step aggregates to a row per time, sums these from the last time on over
+    ranges of times, and takes one row of p + p x p sums to the driver.
     """
     p = len(features)
-    rows = df.select(F.col(time).alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double") for f in features]).dropna().cache()
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
+    rows = _ranges(rows, "t").cache()
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     beta = np.zeros(p)
     for _ in range(steps):
-        eta = F.lit(0.0)
-        for b, f in zip(beta, features, strict=True):
-            eta = eta + F.lit(float(b)) * F.col(f)
-        w = F.exp(eta)
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        at = rows.groupBy("t").agg(
-            F.sum("e").alias("d"), F.sum(w).alias("s0"), *[F.sum(F.col(f) * F.col("e")).alias(f"x{i}") for i, f in enumerate(features)],
-            *[F.sum(w * F.col(f)).alias(f"a{i}") for i, f in enumerate(features)], *[F.sum(w * F.col(features[i]) * F.col(features[j])).alias(f"b{i}_{j}") for i, j in pairs],
-        ).orderBy(F.desc("t")).collect()
-        s0, s1, s2, gradient, hessian = 0.0, np.zeros(p), np.zeros((p, p)), -ridge * beta, -ridge * np.eye(p)
-        for r in at:
-            s0 += r.s0
-            s1 = s1 + np.array([r[f"a{i}"] for i in range(p)])
-            for i, j in pairs:
-                s2[i, j] += r[f"b{i}_{j}"]
-                s2[j, i] = s2[i, j]
-            if r.d:
-                gradient = gradient + np.array([r[f"x{i}"] for i in range(p)]) - r.d * s1 / s0
-                hessian = hessian - r.d * (s2 / s0 - np.outer(s1, s1) / s0**2)
+        w = F.exp(linear_score([f"x{i}" for i in range(p)], beta))
+        at = rows.groupBy("t", "_range").agg(
+            F.sum("e").alias("d"), F.sum(w).alias("w0"), *[F.sum(F.col(f"x{i}") * F.col("e")).alias(f"g{i}") for i in range(p)],
+            *[F.sum(w * F.col(f"x{i}")).alias(f"w1_{i}") for i in range(p)], *[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"w2_{i}_{j}") for i, j in pairs],
+        )
+        names = ["0", *[f"1_{i}" for i in range(p)], *[f"2_{i}_{j}" for i, j in pairs]]
+        at = running(at, "t", {f"s{n}": F.col(f"w{n}") for n in names}, later=True).where("d > 0")
+        mean = lambda i: F.col(f"s1_{i}") / F.col("s0")
+        r = at.agg(
+            *[F.sum(F.col(f"g{i}") - F.col("d") * mean(i)).alias(f"g{i}") for i in range(p)],
+            *[F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean(i) * mean(j))).alias(f"h{i}_{j}") for i, j in pairs],
+        ).first()
+        gradient, hessian = np.array([r[f"g{i}"] or 0.0 for i in range(p)]) - ridge * beta, -ridge * np.eye(p)
+        for i, j in pairs:
+            h = r[f"h{i}_{j}"] or 0.0
+            hessian[i, j] -= h
+            hessian[j, i] = hessian[i, j]
         step = np.linalg.solve(hessian, gradient)
         beta = beta - step
         if np.abs(step).max() < tolerance:

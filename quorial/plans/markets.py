@@ -173,7 +173,7 @@ def rf_importance(spark, d):
 
 
 def rf_importance_grid(spark, d):
-    return L.importance_grid(_contracts(spark, d), DEFENSE, K.THRESHOLDS, trees=20)
+    return L.importance_grid(_contracts(spark, d), DEFENSE, K.THRESHOLDS)
 
 
 def rf_importance_by_sector(spark, d):
@@ -202,7 +202,8 @@ def c_index(spark, d):
 
 
 def c_index_by_times(spark, d):
-    return S.concordance_by_times(_risk(spark, d), "risk")
+    """The same over balances, which nearly all differ."""
+    return S.concordance(A.lifetimes(spark, d), "balance")
 
 
 def roc_auc(spark, d):
@@ -231,13 +232,13 @@ def cox_ph(spark, d):
     names = ["balance_z", "orders_z"]
     beta = S.cox(rows.where(~F.col("is_test")), names)
     scored = rows.where("is_test").withColumn("risk", F.round(S.linear_score(names, beta), 9))
-    return S.concordance_by_times(scored, "risk").withColumn("coefficients", F.array(*[F.lit(round(float(b), 6)) for b in beta]))
+    return S.concordance(scored, "risk").withColumn("coefficients", F.array(*[F.lit(round(float(b), 6)) for b in beta]))
 
 
 def rsf(spark, d):
     rows = S.split(A.lifetimes(spark, d), "account_id")
-    scored = L.survival_forest(rows.where(~F.col("is_test")), ["balance", "orders"], trees=16)
-    return S.concordance_by_times(rows.join(scored, "account_id"), "risk")
+    scored = L.survival_forest(rows.where(~F.col("is_test")), ["balance", "orders"])
+    return S.concordance(rows.join(scored, "account_id"), "risk")
 
 
 def bias_windows(spark, d):
@@ -293,7 +294,7 @@ _LIFE = """
     sp AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS orders FROM orders GROUP BY ALL),
     life AS (SELECT c_custkey AS account_id, c_mktsegment AS account_segment, c_acctbal AS balance, orders, (year(b) - year(a)) * 12 + month(b) - month(a) AS t, CAST(b < TIMESTAMP '2001-02-01' AS INT) AS e FROM customer JOIN sp ON o_custkey = c_custkey)"""
 _KM = "c AS (SELECT {by} t, count(*) AS n, sum(e) AS events FROM life GROUP BY ALL), r AS (SELECT *, sum(n) OVER ({part} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk FROM c) SELECT {by} t AS time, CAST(at_risk AS BIGINT) AS at_risk, CAST(events AS BIGINT) AS events, round(product(1 - events / at_risk) OVER ({part} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS survival FROM r"
-_CIX = f"WITH {_LIFE}, x AS (SELECT t, e, -CAST(orders AS DOUBLE) AS r, count(*) AS n FROM life GROUP BY ALL), p AS (SELECT a.n * b.n AS w, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))), s AS (SELECT CAST(sum(w) FILTER (ra > rb) AS BIGINT) AS concordant, CAST(sum(w) FILTER (ra < rb) AS BIGINT) AS discordant, CAST(sum(w) FILTER (ra = rb) AS BIGINT) AS tied FROM p) SELECT *, round((concordant + 0.5 * tied) / (concordant + discordant + tied), 4) AS c_index FROM s"
+_CIX = f"WITH {_LIFE}, x AS (SELECT t, e, {{risk}} AS r, count(*) AS n FROM life GROUP BY ALL), p AS (SELECT a.n * b.n AS w, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))), s AS (SELECT CAST(sum(w) FILTER (ra > rb) AS BIGINT) AS concordant, CAST(sum(w) FILTER (ra < rb) AS BIGINT) AS discordant, CAST(sum(w) FILTER (ra = rb) AS BIGINT) AS tied FROM p) SELECT *, round((concordant + 0.5 * tied) / (concordant + discordant + tied), 4) AS c_index FROM s"
 _SPLIT = "row_number() OVER ({part} ORDER BY md5(account_id || '/42'), account_id) <= ceil(count(*) OVER ({part}) * 0.2)"
 
 ORACLE_SQL = {
@@ -330,8 +331,8 @@ ORACLE_SQL = {
     "churn_rate": f"WITH {_LIFE} SELECT count(*) AS n, round(avg(e) * 100, 4) AS churn_pct FROM life",
     "km_global": f"WITH {_LIFE}, {_KM.format(by='', part='')}",
     "km_segment": f"WITH {_LIFE}, {_KM.format(by='account_segment,', part='PARTITION BY account_segment')}",
-    "c_index": _CIX,
-    "c_index_by_times": _CIX,
+    "c_index": _CIX.format(risk="-CAST(orders AS DOUBLE)"),
+    "c_index_by_times": _CIX.format(risk="balance"),
     "roc_auc": f"WITH {_LIFE}, x AS (SELECT -orders AS s, count(*) AS n, sum(e) AS p FROM life GROUP BY 1), y AS (SELECT *, coalesce(sum(n - p) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x) SELECT round(sum(p * (b + (n - p) / 2)) / (sum(p) * sum(n - p)), 6) AS auc FROM y",
     "stratified_split": f"WITH {_LIFE} SELECT account_id, e AS event_observed, {_SPLIT.format(part='PARTITION BY e')} AS is_test FROM life",
     "standard_scaler": f"WITH {_LIFE}, m AS (SELECT avg(balance) AS mb, stddev_pop(balance) AS sb, avg(orders) AS mo, stddev_pop(orders) AS so FROM life) SELECT account_id, round((balance - mb) / sb, 4) AS balance_z, round((orders - mo) / so, 4) AS orders_z FROM life, m",

@@ -93,20 +93,96 @@ def test_kaplan_meier(spark):
     assert [s[1], s[2]] == [0.8, 0.8] and s[3] == pytest.approx(0.8 / 3) and s[4] == pytest.approx(0.8 / 3)
 
 
-def test_concordance_both_ways(spark):
+def test_concordance_against_all_pairs(spark):
     import random
 
     rng = random.Random(3)
-    data = [(rng.randint(1, 6), rng.randint(0, 1), float(rng.randint(0, 4))) for _ in range(60)]
-    df = spark.createDataFrame(data, "time_to_event int, event_observed int, risk double")
-    c = d = t = 0
-    for t1, e1, r1 in data:
-        for t2, e2, r2 in data:
-            if e1 and (t1 < t2 or (t1 == t2 and not e2)):
-                c, d, t = c + (r1 > r2), d + (r1 < r2), t + (r1 == r2)
-    for f in (S.concordance, S.concordance_by_times):
-        r = f(df, "risk").first()
+    tables = [[(rng.randint(1, 6), rng.randint(0, 1), float(rng.randint(0, 4))) for _ in range(60)], [(rng.randint(1, 400), rng.randint(0, 1), rng.choice([rng.random(), 0.5])) for _ in range(700)]]
+    for data in tables:
+        df = spark.createDataFrame([*data, (None, 1, 0.5), (3, None, 0.5), (3, 1, None)], "time_to_event int, event_observed int, risk double")
+        c = d = t = 0
+        for t1, e1, r1 in data:
+            for t2, e2, r2 in data:
+                if e1 and (t1 < t2 or (t1 == t2 and not e2)):
+                    c, d, t = c + (r1 > r2), d + (r1 < r2), t + (r1 == r2)
+        r = S.concordance(df, "risk").first()
         assert (r.concordant, r.discordant, r.tied) == (c, d, t)
+    assert S.concordance(df.limit(0), "risk").first().c_index is None
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_ordered_pairs_in_blocks(ties):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, times in ((3000, 900), (3000, 3), (40, 5), (0, 1), (1, 1)):
+        t, e, r, w = rng.integers(0, times, n), rng.random(n) < 0.6, rng.integers(0, 50, n) / 7, rng.integers(1, 4, n)
+        later = (t[None, :] > t[:, None]) | ((t[None, :] == t[:, None]) & ~e[None, :] & ties)
+        pairs = later * e[:, None] * w[:, None] * w[None, :]
+        want = [(pairs * (r[None, :] < r[:, None])).sum(), (pairs * (r[None, :] > r[:, None])).sum(), (pairs * (r[None, :] == r[:, None])).sum()]
+        assert S._ordered_pairs(t, e, r, w, ties).tolist() == want
+
+
+def test_running_totals_over_many_ranges(spark):
+    import itertools
+
+    data = [(g, t, (t * 7) % 5 + g) for g in range(2) for t in range(600)]
+    df = S._ranges(spark.createDataFrame(data, "g int, t int, v int"), "t")
+    assert df.select("_range").distinct().count() > 100
+    for later in (False, True):
+        got = {(r.g, r.t): r.s for r in S.running(df, "t", {"s": F.col("v")}, ["g"], later).collect()}
+        for g in range(2):
+            own = [v for h, _, v in data if h == g]
+            sums = list(itertools.accumulate(own[::-1] if later else own))
+            assert [got[g, t] for t in range(600)] == (sums[::-1] if later else sums)
+
+
+def test_survival_trees_against_plain_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(20, 90))
+        t, e = rng.integers(1, 12, n).astype(float), rng.integers(0, 2, n)
+        left = rng.random(n) < 0.5
+        grid = np.unique(np.r_[t[e == 1], rng.integers(1, 12, 5)])
+        d = np.array([((t == g) & (e == 1)).sum() for g in grid])
+        y = np.array([(t >= g).sum() for g in grid])
+        hazard = np.cumsum(np.divide(d, y, out=np.zeros(len(grid)), where=y > 0)).sum()
+        assert L._hazard(t, e, np.array([(grid >= x).sum() for x in t], float)) == pytest.approx(hazard)
+        y1, d1 = np.array([(t[left] >= g).sum() for g in grid]), np.array([((t == g) & (e == 1) & left).sum() for g in grid])
+        ok = y > 1
+        var = (y1[ok] / y[ok] * (1 - y1[ok] / y[ok]) * (y[ok] - d[ok]) / (y[ok] - 1) * d[ok]).sum()
+        assert L._log_rank(t, e, left) == pytest.approx(abs((d1[ok] - y1[ok] * d[ok] / y[ok]).sum()) / np.sqrt(var))
+    x = rng.random((400, 2))
+    tree = L._grow(x, np.ceil(20 * x[:, 0]), np.ones(400, int), np.ones(400), np.random.default_rng(1), 10, 15, None)
+    packed = tuple(np.array(c) for c in zip(*tree, strict=True))
+    for row, value in zip(x, L._fall(packed, x), strict=True):
+        node = tree[0]
+        while node[0] >= 0:
+            node = tree[node[2] if row[node[0]] <= node[1] else node[3]]
+        assert node[1] == value
+
+
+def test_cox_equals_a_dense_newton(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(250, 2))
+    t = rng.exponential(np.exp(-0.5 * x[:, 0] + 0.3 * x[:, 1]))
+    e = rng.integers(0, 2, 250)
+    df = spark.createDataFrame([(float(a), int(b), float(c), float(d)) for a, b, (c, d) in zip(t, e, x, strict=True)], "time_to_event double, event_observed int, a double, b double")
+    beta = np.zeros(2)
+    for _ in range(30):
+        g, h = -0.01 * beta, -0.01 * np.eye(2)
+        for i in np.flatnonzero(e):
+            risk = t >= t[i]
+            w = np.exp(x[risk] @ beta)
+            m = (w[:, None] * x[risk]).sum(0) / w.sum()
+            g = g + x[i] - m
+            h = h - ((w[:, None, None] * x[risk][:, :, None] * x[risk][:, None, :]).sum(0) / w.sum() - np.outer(m, m))
+        beta = beta - np.linalg.solve(h, g)
+    assert S.cox(df, ["a", "b"]) == pytest.approx(beta, abs=1e-5)
 
 
 def test_auc_is_the_share_of_ordered_pairs(spark):

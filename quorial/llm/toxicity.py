@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, distinct_pieces, kept, numbered, pick, position, slices, stored, text_digest, tidy
+from .common import numbered, pick, position, runs_of, slices, stored, text_digest, tidy
 
 #: Fixed: letters that a character is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -52,6 +52,29 @@ _EDGES = "".join(c for c in "%&#*.,;:?\"'()[]{}<>=~^`/\\-_!«»„“”…")
 _NOISY = re.compile(rf"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£]|.*([^\W\d_])\1\1|.*[a-z][{''.join(ALIKE)}]|.*[{''.join(ALIKE)}][a-z])")
 
 
+#: Words that need no second look: Latin letters, and no letter thrice in a row.  In RE2.
+_PLAIN = r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+\z"
+_THRICE = "|".join(f"{c}{{3}}" for c in map(chr, [*range(97, 123), *range(0xDF, 0x250)]) if c.isalpha())
+
+
+def plain_words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces without the marks around them, in lower case, and which of these are plain
+    words: of one script, and not disturbed."""
+    bare = pc.utf8_trim(pieces, _EDGES)
+    core = pc.utf8_lower(bare)
+    plain = pc.and_(pc.match_substring_regex(bare, _PLAIN), pc.invert(pc.match_substring_regex(core, _THRICE)))
+    return core, plain.to_numpy(zero_copy_only=False)
+
+
+def coded_pieces(part: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts: where each one's pieces begin (and end), the number of each piece, and
+    the different pieces between white space."""
+    lists = pc.utf8_split_whitespace(part)
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+    return starts - starts[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def _fold_table() -> np.ndarray:
     """Code points under 0x10000 to model symbols: base letters 1 to 26, others 27."""
     out = np.full(0x10000, 27, np.int8)
@@ -77,10 +100,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b.column(0)):
-                _, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
-                often = np.bincount(at, minlength=len(pieces)).tolist()
-                words = [(w.lower(), n) for w, n in zip([p.strip(_EDGES) for p in pieces], often, strict=True) if w.isalpha()]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+                _, at, pieces = coded_pieces(part)
+                often = np.bincount(at, minlength=len(pieces))
+                core, plain = plain_words(pieces)
+                other = np.flatnonzero(~plain)
+                words = [(w.lower(), n) for w, n in zip([p.strip(_EDGES) for p in pieces.take(pa.array(other)).to_pylist()], often[other].tolist(), strict=True) if w.isalpha()]
+                own = [core.filter(pa.array(plain)).cast(pa.string()), pa.array([w for w, _ in words], pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(own), pa.array(np.r_[often[plain], np.array([n for _, n in words], np.int64)])], ["word", "n"])
 
     # counted within each task before the shuffle
     return texts.mapInArrow(tidy(run, text_at=0), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -255,7 +281,9 @@ def restored(odd: DataFrame, model, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["odd", "k", "rest", "own", "word", "cost"])
 
     total = float(words.agg(F.sum("n")).first()[0] or 0)
-    paths = odd.select("odd").distinct().mapInArrow(tidy(run, text_at=0), "odd string, k int, rest double, own array<string>, word string, cost double")
+    # few bytes, but much work for each: not to be coalesced into few tasks
+    parts = int(odd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = odd.select("odd").distinct().repartition(parts, "odd").mapInArrow(tidy(run, text_at=0), "odd string, k int, rest double, own array<string>, word string, cost double")
     known = paths.join(words, "word", "left")
     cost = -F.log((F.coalesce("n", F.lit(0)) + PRIOR * F.exp(-F.col("cost"))) / (total + PRIOR))
     each = known.select("odd", "k", "rest", "own", F.when(F.col("word") == "", 0.0).otherwise(cost).alias("cost"))
@@ -272,9 +300,31 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def _by_document(b: pa.RecordBatch) -> Iterator[set[str]]:
-    for text, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-        yield features([w for p in set((text or "").split()) for w in words_and_odd(p)[0]] + (more or []))
+def _by_document(b: pa.RecordBatch, only: set[str] | None = None) -> Iterator[set[str]]:
+    """The features of each document of a batch of (text, restored); with ``only`` just
+    these, looked for once in each different piece."""
+    for part, more in _with_restored(b):
+        starts, at, pieces = coded_pieces(part)
+        of = {}
+        for i, piece in enumerate(pieces.to_pylist()):
+            found = features(words_and_odd(piece)[0]) if only is None else _among(words_and_odd(piece)[0], only)
+            if found:
+                of[i] = found
+        has = np.isin(at, np.fromiter(of, np.int64, len(of)))
+        for row, words in enumerate(more):
+            own = at[starts[row] : starts[row + 1]][has[starts[row] : starts[row + 1]]]
+            out = _among(words or [], only) if only is not None else features(words or [])
+            yield out.union(*[of[i] for i in set(own.tolist())])
+
+
+def _among(words: list[str], only: set[str]) -> set[str]:
+    return {f for w in words for f in (w, *[w[:k] + "*" for k in PREFIXES if len(w) >= k]) if f in only}
+
+
+def _with_restored(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
+    column = pc.fill_null(b.column(0).cast(pa.large_string()), "")
+    for start, rows in runs_of(column):
+        yield column.slice(start, rows), b.column(1).slice(start, rows).to_pylist()
 
 
 def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
@@ -289,8 +339,8 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = Counter()
             for b in batches:
-                for f in _by_document(b):
-                    n.update(f if only is None else f & only)
+                for f in _by_document(b, only):
+                    n.update(f)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
         return run
@@ -308,7 +358,7 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x if f in place) for x in _by_document(b)], pa.list_(pa.int32()))], ["has"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x) for x in _by_document(b, set(place))], pa.list_(pa.int32()))], ["has"])
 
     # the same document in many copies explains once
     has = [set(r.has) for r in toxic.select("text", "restored").distinct().mapInArrow(tidy(explain, text_at=0), "has array<int>").collect()]
@@ -339,26 +389,34 @@ class Notes:
     """Of texts: the score of the words as they are written, and what is to be restored."""
 
     def __init__(self, rules: dict[str, float], base: float):
-        self.rules, self.base, self.known = rules, base, kept(Cache())
+        self.rules, self.base = rules, base
+        starts = [re.escape(f[:-1]) for f in rules if f.endswith("*")]
+        whole = [rf"{re.escape(f)}\z" for f in rules if not f.endswith("*")]
+        #: In RE2: words that a rule fits, and perhaps others.
+        self.fits = rf"\A(?:{'|'.join(starts + whole)})" if rules else None
 
     def batch(self, part: pa.Array) -> tuple[np.ndarray, list[list[str]]]:
-        starts, at, pieces = distinct_pieces(pc.utf8_split_whitespace(part))
-        known = self.known
-        known.trim()
-        new = [p for p in pieces if p not in known]
-        taken = [words_and_odd(p) for p in new]
-        known.learn(new, [(best_rule(self.rules, words, self.base), odd) for words, odd in taken], 60)
-        found = [known[p] for p in pieces]
-        each = np.fromiter((x for x, _ in found), float, len(found))[at]
+        starts, at, pieces = coded_pieces(part)
+        core, plain = plain_words(pieces)
+        worth = np.full(len(pieces), self.base)
+        is_odd, odd_of = np.zeros(len(pieces), bool), {}
+        if self.fits:
+            fit = np.flatnonzero(plain & pc.match_substring_regex(core, self.fits).to_numpy(zero_copy_only=False))
+            worth[fit] = [best_rule(self.rules, [w], self.base) for w in core.take(pa.array(fit)).to_pylist()]
+        other = np.flatnonzero(~plain)
+        for i, piece in zip(other.tolist(), pieces.take(pa.array(other)).to_pylist(), strict=True):
+            words, odd = words_and_odd(piece)
+            worth[i] = best_rule(self.rules, words, self.base)
+            if odd:
+                is_odd[i], odd_of[i] = True, odd
         score = np.full(len(part), self.base)
         some = np.flatnonzero(starts[1:] > starts[:-1])
         if len(some):
-            score[some] = np.maximum.reduceat(each, starts[:-1][some])
+            score[some] = np.maximum.reduceat(worth[at], starts[:-1][some])
         odd: list[dict[str, None]] = [{} for _ in range(len(part))]
-        is_odd = np.fromiter((bool(x) for _, x in found), bool, len(found))
         places = np.flatnonzero(is_odd[at])
         for row, piece in zip((np.searchsorted(starts, places, "right") - 1).tolist(), at[places].tolist(), strict=True):
-            odd[row].update(dict.fromkeys(found[piece][1]))
+            odd[row].update(dict.fromkeys(odd_of[piece]))
         for i in np.flatnonzero(pc.match_substring_regex(part, _SPACED_RE2).to_numpy(zero_copy_only=False)):
             odd[i].update(dict.fromkeys(spaced_runs(part[i].as_py())))
         return score, [list(x) for x in odd]
@@ -430,11 +488,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def _base(learned: DataFrame, rules: list[tuple[str, float]]) -> float:
     """The share of toxic ones among the sample's documents that no rule fits."""
-    names = {f for f, _ in rules}
+    own = dict(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(own, 0.0)
         for b in batches:
-            free = np.array([not (f & names) for f in _by_document(b)], bool)
+            free = []
+            for part, more in _with_restored(b):
+                free += [x == 0 and best_rule(own, words or []) == 0 for x, words in zip(notes.batch(part)[0].tolist(), more, strict=True)]
+            free = np.array(free, bool)
             yield pa.RecordBatch.from_arrays([pa.array([int(free.sum())]), pa.array([int((free & (b.column(2).to_numpy() == 1)).sum())])], ["n", "toxic"])
 
     r = learned.select("text", "restored", "toxic").mapInArrow(tidy(run, text_at=0), "n long, toxic long").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()

@@ -35,6 +35,10 @@ _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 _WHOLE = rf"\A{_W}|{_W}\z| {_W}|{_W} |\x00|<\|"
 
 
+#: Pairs of tokens whose compatibility is remembered, at most.
+_SLOTS = 1 << 20
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary."""
 
@@ -72,7 +76,8 @@ class Codec:
                     self.shorter[r] = p
                     break
         self.ids, self.lengths, self.shorter = np.array(ids), np.array(self.lengths), np.array(self.shorter)
-        self.fits: dict[tuple[int, int], bool] = kept(Cache())
+        # answers of the compatibility table: the pair asked for last in each slot
+        self.asked, self.answer = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
         # decoding: the bytes of all tokens, and where each begins
         content = {i: s for s, r in rank.items() for i in (ids[r],)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -93,8 +98,6 @@ class Codec:
         step the token that was made later is opened on the side of the border, and
         a merge across that comes before what was opened would have taken place.
         """
-        if (known := self.fits.get((a, b))) is not None:
-            return known
         left, right, limit, fits = a, b, len(self.halves), True
         while True:
             made = self.joined.get((left, right))
@@ -113,10 +116,24 @@ class Codec:
                     limit, left = left, self.halves[left][1]
                     if left == limit:
                         break
-        self.fits.trim()
-        self.fits.learn([(a, b)], [fits])
         return fits
 
+    def compatible_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left * len(self.halves) + right
+        slot = ((pairs * 0x9E3779B97F4A7C1) >> 20) & (_SLOTS - 1)
+        new = self.asked[slot] != pairs
+        if new.any():
+            ask, first = np.unique(pairs[new], return_inverse=True)
+            found = np.fromiter((self.compatible(*divmod(p, len(self.halves))) for p in ask.tolist()), bool, len(ask))[first]
+            out = np.where(new, False, self.answer[slot])
+            out[new] = found
+            # slots may clash; pair and answer come from the same one of those that do
+            last = dict(zip(slot[new].tolist(), range(len(found)), strict=True))
+            at = np.fromiter(last.values(), np.int64, len(last))
+            self.asked[slot[new][at]], self.answer[slot[new][at]] = pairs[new][at], found[at]
+            return out
+        return self.answer[slot]
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of pre-tokens, all in step: in each round every unfinished word
         tries one token at its place."""
@@ -138,7 +155,7 @@ class Codec:
             last = stack[live, depth[live] - 1].astype(np.int64)
             fit = alive[end]
             ask = np.flatnonzero(fit & (last >= 0))
-            fit[ask] = [self.compatible(a, b) for a, b in zip(last[ask].tolist(), token[ask].tolist(), strict=True)]
+            fit[ask] = self.compatible_pairs(last[ask], token[ask])
             yes = np.flatnonzero(fit)
             stack[live[yes], depth[live[yes]]] = token[yes]
             depth[live[yes]] += 1

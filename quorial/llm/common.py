@@ -86,7 +86,7 @@ class Cache(dict):
     """A dict of things learned that can be learned again.  ``trim`` empties it once its
     keys and values take more than about ``most`` bytes."""
 
-    def __init__(self, most: int = 16 << 20):
+    def __init__(self, most: int = 40 << 20):
         super().__init__()
         self.most, self.held = most, 0
 
@@ -217,19 +217,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _S33)
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for the words met lately."""
-
-    def __init__(self):
-        self.known = kept(Cache())
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        known.trim()
-        new = [w for w in set(words) if w not in known]
-        known.learn(new, [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in new])
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: A 64-bit number for each byte of a word (0 for what separates words), and its place's weight.
+_LONGEST = 48
+_BYTES = np.random.default_rng(20231101).integers(0, 2**64, 256, np.uint64) * (np.frombuffer(_FOLD, np.uint8) != 32)
+_WEIGHTS = np.cumprod(np.full(_LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (see ``ascii_words``) of all texts, one after another,
+    and where those of each text begin (and end)."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = b" ".join(parts).translate(_FOLD)
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[0, (data != 32).view(np.int8), 0]))
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.cumsum([0, *[len(p) + 1 for p in parts]])
+    starts = np.searchsorted(begin, offsets)
+    if not len(begin):
+        return np.zeros(0, np.uint64), starts
+    place = np.arange(begin[0], len(data), dtype=np.int32) - np.repeat(begin, np.diff(np.r_[begin, len(data)])).astype(np.int32)
+    with np.errstate(over="ignore"):
+        value = _BYTES[data[begin[0] :]]
+        value *= _WEIGHTS[np.minimum(place, _LONGEST - 1)]
+        out = mix64(np.add.reduceat(value, begin - begin[0]) + size.astype(np.uint64))
+    for i in np.flatnonzero(size > _LONGEST).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : begin[i] + size[i]], digest_size=8).digest(), "little")
+    return out, starts

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, mix64, pick, sha256_hex
+from .common import mix64, pick, sha256_hex, texts, tidy, word_hashes
 
 #: Fixed: common words of English, German, French and Spanish that open a spot.
 ANCHORS = """
@@ -29,8 +29,7 @@ el los las y por con para del se al no su lo
 #: Content words in a chain.
 CHAIN = 2
 
-_HASHES = WordHashes()
-_ANCHOR_HASHES = np.sort(WordHashes()([w.encode() for w in ANCHORS]))
+_ANCHOR_HASHES = np.sort(word_hashes([" ".join(ANCHORS)])[0])
 
 
 def signatures(text: str) -> np.ndarray:
@@ -41,11 +40,13 @@ def signatures(text: str) -> np.ndarray:
     and one without words a single number made from the raw text; so the set is
     never empty and equal texts have equal sets.
     """
-    words = ascii_words(text)
-    if not words:
+    return _signatures(text, word_hashes([text])[0])
+
+
+def _signatures(text: str, h: np.ndarray) -> np.ndarray:
+    if not len(h):
         raw = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
         return np.frombuffer(raw, "<u4")
-    h = _HASHES(words)
     anchor = _ANCHOR_HASHES[np.minimum(np.searchsorted(_ANCHOR_HASHES, h), len(_ANCHOR_HASHES) - 1)] == h
     content = np.r_[h[~anchor], np.zeros(CHAIN, np.uint64)]
     # content words before each place = index of the first one after it
@@ -100,6 +101,10 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest"))
     more = F.when(guest.isNotNull(), F.array(own, F.struct(guest.alias("to"), F.lit(True).alias("guest")))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "key", "text", F.explode(more).alias("at")).select("at.to", "at.guest", "key", "doc_id", "text")
+    # numbers of which hashing deals one to each partition, in place of the ranges' own
+    spread = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    numbers = F.array(*[F.lit(r.id) for r in spread.orderBy("p").collect()])
+    dealt = dealt.withColumn("to", F.coalesce(F.get(numbers, F.col("to")), F.col("to").cast("long")))
     return dealt.repartition(n, "to").sortWithinPartitions("to", "guest", F.desc("key"), F.asc_nulls_first("text")).select("to", "guest", "doc_id", "text")
 
 
@@ -120,9 +125,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         last = None
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for to, guest, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = text or ""
-                sig = signatures(text)
+            whole = texts(b.column(3))
+            hashes, starts = word_hashes(whole)
+            for row, (to, guest, doc_id) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
+                text = whole[row]
+                sig = _signatures(text, hashes[starts[row] : starts[row + 1]])
                 if last is not None and last[0] == to and not last[1]:
                     _, _, i, t, s = last
                     k = len(t) // 2
@@ -136,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return _neighbours(rows).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _neighbours(rows).mapInArrow(tidy(run, most=1 << 20, text_at=3), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +164,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "sig"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, f"doc_id {kind}, sig array<long>")
+    sets = rows.where(F.col("doc_id").isNotNull()).mapInArrow(tidy(run), f"doc_id {kind}, sig array<long>")
     sets = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("sig"))
     sets = sets.withColumn("range", F.floor(F.log("n") / -np.log(least)).cast("int"))
     spread = sets.select("doc_id", F.explode("sig").alias("s"))

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, mix64, numbered, pick, position, stored, text_digest, tidy
+from .common import mix64, numbered, pick, position, stored, text_digest, tidy, word_hashes
 from .components import components
 
 #: Different texts of a block, and the n-grams of these, are about as many at most
 #: (a single text may have more); two blocks meet in one group.
 BLOCK, GRAMS = 256, 400_000
-_HASHES = WordHashes()
 
 
 def banding(least: float, recall: float, most: int = 160) -> tuple[int, int]:
@@ -37,21 +36,29 @@ def banding(least: float, recall: float, most: int = 160) -> tuple[int, int]:
     raise ValueError("this recall needs more hashes")
 
 
-def ngrams(text: str, n: int) -> np.ndarray:
-    """The sorted set of hashed n-grams of words.
+def ngrams(texts: list[str], n: int) -> list[np.ndarray]:
+    """For each text the sorted set of hashed n-grams of words.
 
     Shorter texts are one n-gram; a text without words is one n-gram made from the raw
     text, so that only equal ones match.
     """
-    words = ascii_words(text)
-    if not words:
-        return np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
-    h = _HASHES(words)
-    m = max(1, len(h) - n + 1)
-    out = np.full(m, np.uint64(min(n, len(h))))
-    for k in range(min(n, len(h))):
-        out = mix64(out ^ h[k : k + m])
-    return np.unique(out)
+    h, starts = word_hashes(texts)
+    whole = np.full(max(0, len(h) - n + 1), np.uint64(n))
+    for k in range(n):
+        whole = mix64(whole ^ h[k : len(h) - n + 1 + k]) if len(whole) else whole
+    out = []
+    for text, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if a == b:
+            out.append(np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64))
+        elif b - a < n:
+            gram = np.full(1, np.uint64(b - a))
+            for k in range(a, b):
+                gram = mix64(gram ^ h[k : k + 1])
+            out.append(gram)
+        else:
+            grams = np.sort(whole[a : b - n + 1])
+            out.append(grams[np.r_[True, grams[1:] != grams[:-1]]])
+    return out
 
 
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +66,23 @@ def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**64, count, np.uint64) | np.uint64(1), rng.integers(0, 2**64, count, np.uint64)
 
 
-def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit number a band; the band's place is part of it."""
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """For each set one 64-bit number a band; the band's place is part of it."""
     a, b = _seeds(bands * rows)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max)
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+    low = np.empty((bands * rows, len(sets)), np.uint64)
+    value = np.empty_like(flat)
     with np.errstate(over="ignore"):
-        for k in range(0, len(grams), 1024):
-            low = np.minimum(low, (a[:, None] * grams[None, k : k + 1024] + b[:, None]).min(1))
-        out = np.arange(bands, dtype=np.uint64)
-        for column in low.reshape(bands, rows).T:
-            out = mix64(out ^ column) + np.uint64(1)
-    return out.view(np.int64)
+        for k in range(bands * rows):
+            np.multiply(flat, a[k], out=value)
+            np.add(value, b[k], out=value)
+            low[k] = np.minimum.reduceat(value, starts)
+        low = low.reshape(bands, rows, len(sets))
+        out = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(sets), 1)
+        for k in range(rows):
+            out = mix64(out ^ low[:, k]) + np.uint64(1)
+    return np.ascontiguousarray(out.T).view(np.int64)
 
 
 def _verify(sets: list[np.ndarray], first: int, copies: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +142,8 @@ def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str,
     """``doc_id, digest, class_id, n_links, stays`` for every row; ``stays`` tells the
     document of each class that has the class's id.
 
-    A text is known by ``node``: the smallest id of its rows and a hash of its n-gram
-    set, so the smallest node of a class has the smallest id, and ids that several
-    texts share make several nodes.
+    A text is known by ``node``, a number that it gets once the texts are written, so
+    ids that several texts share make several nodes.
     """
     bands, rows_a_band = banding(least, recall)
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
@@ -139,36 +151,40 @@ def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str,
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, sigs = [], [], []
-            for t in b.column(1).to_pylist():
-                g = ngrams(t, n)
-                keys.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
-                sizes.append(len(g))
-                sigs.append(signature(g, bands, rows_a_band))
-            columns = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            sets = ngrams(b.column(1).to_pylist(), n)
+            keys = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets]
+            sigs = signatures(sets, bands, rows_a_band)
+            ends = pa.array(np.arange(len(sets) + 1) * bands, pa.int32())
+            columns = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(sigs.ravel()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "n", "bands"])
 
-    signed = stored(rows.mapInArrow(tidy(sign), f"doc_id {kind}, digest binary, key binary, n long, bands array<long>"), "signed")
+    signed = stored(rows.mapInArrow(tidy(sign, most=1 << 20), f"doc_id {kind}, digest binary, key binary, n long, bands array<long>"), "signed")
     # the rows of a text are counted in each task first, so many copies do no harm
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
     alike = signed.groupBy("key").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    node = F.struct(F.col("row.none").alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("key").alias("hash"))
-    alike = stored(alike.select("key", node.alias("node"), F.col("row.digest").alias("digest"), "copies", "n", "bands"), "texts")
+    alike = alike.select("key", "row", "copies", "n", "bands", F.monotonically_increasing_id().alias("node"))
+    alike = stored(alike, "texts")
     found = stored(_links(rows, alike, n, least), "links")
-    roots = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = stored(components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
+    # the first row of a class: the smallest id, nulls last
+    first = F.min(F.struct("row.none", "row.doc_id", F.col("node").alias("text"))).alias("first")
+    heads = stored(roots.join(alike.select("node", "row"), "node").groupBy("root").agg(first), "heads")
+    named = roots.join(heads, "root").select("node", F.col("first.doc_id").alias("id"), F.col("first.text").alias("text"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = alike.select("key", "node", "copies", F.col("digest").alias("first")).join(sums, "node", "left").join(roots, "node", "left")
-    classes = classes.select("key", "node", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    stays = F.col("doc_id").isNull() | ((F.col("node") == F.col("root")) & (F.col("doc_id") == F.col("root.id")) & (F.col("digest") == F.col("first")))
-    # a class's smallest node has no id only if none has
-    class_id = F.when(F.col("doc_id").isNotNull(), F.col("root.id"))
+    classes = alike.select("key", "node", "copies", "row").join(sums, "node", "left").join(named, "node", "left")
+    alone = F.col("text").isNull()
+    classes = classes.select(
+        "key", F.when(alone, F.col("row.doc_id")).otherwise(F.col("id")).alias("id"), F.when(alone | (F.col("text") == F.col("node")), F.col("row.digest")).alias("first"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    stays = F.col("doc_id").isNull() | F.coalesce((F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("first")), F.lit(False))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("id"))
     return signed.select("doc_id", "digest", "key").join(classes, "key").select("doc_id", "digest", class_id.alias("class_id"), "n_links", stays.alias("stays"))
 
 
 def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame:
     """``node, links, root`` from every group of blocks in which a text has links."""
     spark = rows.sparkSession
-    kind = alike.schema["node"].dataType.simpleString()
     banded = alike.select("node", "n", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1")
     members = stored(banded.join(full, "band"), "members")
@@ -191,15 +207,15 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
     side = lambda c, k: F.struct(F.col(c).alias("block"), F.lit(k).alias("side"))
     sides = lone.union(cross).select(F.xxhash64("x", "y").alias("group"), F.explode(F.when(F.col("x") == F.col("y"), F.array(side("x", 0))).otherwise(F.array(side("x", 0), side("y", 1)))).alias("s"))
     sides = sides.select("group", "s.block", "s.side")
-    wanted = home.join(alike.select("node", "digest", "copies"), "node")
-    one_each = rows.join(wanted.select("node", F.col("digest").alias("d")), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("node.id")), "inner").select("node", "text")
+    wanted = home.join(alike.select("node", "row", "copies"), "node")
+    one_each = rows.join(wanted.select("node", "row"), (F.col("digest") == F.col("row.digest")) & F.col("doc_id").eqNullSafe(F.col("row.doc_id")), "inner").select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in ngrams(b.column(1).to_pylist(), n)], pa.binary())], ["node", "grams"])
 
     # a row may repeat, its n-grams are the same
-    grams = stored(one_each.mapInArrow(tidy(cut), f"node {kind}, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    grams = stored(one_each.mapInArrow(tidy(cut, most=1 << 20), "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
     asked = wanted.select("node", "copies", "block").join(sides, "block").select("group", "side", "node", "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.join(grams, "node").select("group", "grams", "side", "node", "copies").repartition(parts, "group").sortWithinPartitions("group", "side", "node")
@@ -207,26 +223,23 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for b in batches:
-            values = [(s, *rest) for s, *rest in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True)]
-            for g, grams, (side, node, copies) in zip(b.column(0).to_pylist(), b.column(1), values, strict=True):
+            for g, grams, side, node, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != group:
-                    yield from batch(held, b)
+                    yield from batch(held)
                     group, held = g, []
-                held.append((side, node, copies, np.frombuffer(grams.as_py(), np.uint64)))
-            last = b
-        if held:
-            yield from batch(held, last)
+                held.append((side, node, copies, np.frombuffer(grams, np.uint64)))
+        yield from batch(held)
 
-    def batch(held: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def batch(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         first = sum(side == 0 for side, *_ in held) % len(held)
         links, root = _verify([s for *_, s in held], first, np.array([c for _, _, c, _ in held], np.int64), least)
         has = np.flatnonzero(links).tolist()
-        named = lambda at: pa.array([held[i][1].as_py() for i in at], b.column(3).type)
-        yield pa.RecordBatch.from_arrays([named(has), pa.array(links[has]), named(root[has].tolist())], ["node", "links", "root"])
+        named = lambda at: pa.array([held[i][1] for i in at], pa.int64())
+        yield pa.RecordBatch.from_arrays([named(has), pa.array(links[has], pa.int64()), named(root[has].tolist())], ["node", "links", "root"])
 
-    return dealt.mapInArrow(tidy(verify, most=16 << 20), f"node {kind}, links long, root {kind}")
+    return dealt.mapInArrow(tidy(verify, most=16 << 20), "node long, links long, root long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8, recall: float = 0.999) -> DataFrame:

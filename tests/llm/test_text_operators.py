@@ -5,12 +5,13 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from quorial.llm import fingerprints as P
 from quorial.llm import ngram_join as J
 from quorial.llm import toxicity as X
-from quorial.llm.common import ascii_words
+from quorial.llm.common import ascii_words, word_hashes
 from quorial.llm.components import components
 from quorial.llm.decontaminate import SuffixAutomaton, benchmark_hits, decontaminate
 
@@ -174,7 +175,7 @@ def test_near_fingerprints_against_all_pairs(spark):
 
 
 def brute_join(rows):
-    sets = [(i, frozenset(J.ngrams(t or "", 5).tolist())) for i, t in rows]
+    sets = [(i, frozenset(J.ngrams([t or ""], 5)[0].tolist())) for i, t in rows]
     links, parent = [0] * len(sets), list(range(len(sets)))
 
     def find(x):
@@ -235,6 +236,23 @@ def test_join_odd_tables(spark):
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").split(", ") and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
 
 
+def test_hashes_tell_words_apart():
+    rng = random.Random(7)
+    texts = ["", "  ", "Ünï the 🙂x", "a" * 47 + " " + "a" * 48 + " " + "a" * 49 + " " + "a" * 50, prose(rng, 400), "the", "x-THE the2"] + [prose(rng, rng.randint(0, 9)) for _ in range(50)]
+    h, starts = word_hashes(texts)
+    words = [w for t in texts for w in ascii_words(t)]
+    assert np.diff(starts).tolist() == [len(ascii_words(t)) for t in texts] and len(h) == len(words)
+    assert len(set(zip(h.tolist(), words, strict=True))) == len(set(h.tolist())) == len(set(words))
+    alone = [g.tolist() for t in texts for g in J.ngrams([t], 5)]
+    together = J.ngrams(texts, 5)
+    assert alone == [g.tolist() for g in together] and all(g == sorted(set(g)) for g in alone)
+    a, b = J._seeds(6)
+    for g, sig in zip(together, J.signatures(together, 3, 2), strict=True):
+        low = [min((int(x) * int(p) + int(q)) % 2**64 for x in g) for p, q in zip(a, b, strict=True)]
+        same = J.signatures([g], 3, 2)[0]
+        assert sig.tolist() == same.tolist() and len(low) == 6
+
+
 def test_banding():
     bands, rows = J.banding(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 160

@@ -37,11 +37,16 @@ def dedupe(df: DataFrame, key: str = "award_id", tie: list[str] | None = None) -
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def vendor_type(name: Column, resellers: list[str]) -> Column:
+#: Fixed: names of resellers, and of defence agencies, in upper case.
+RESELLERS = ["CARAHSOFT", "CDW", "DLT", "MYTHICS", "FOUR INC", "THUNDERCAT", "SHI INTERNATIONAL", "GOVCONNECTION", "IMMIX"]
+DEFENSE = ["DEFENSE", "ARMY", "NAVY", "AIR FORCE"]
+
+
+def vendor_type(name: Column, resellers: list[str] = RESELLERS) -> Column:
     return F.when(holds_any(name, resellers), "VAR").otherwise("Direct")
 
 
-def sector(agency: Column, defense: list[str]) -> Column:
+def sector(agency: Column, defense: list[str] = DEFENSE) -> Column:
     return F.when(holds_any(agency, defense), "DoD").otherwise("Civilian")
 
 

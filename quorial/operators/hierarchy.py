@@ -48,6 +48,10 @@ def children(links: DataFrame, node: str) -> DataFrame:
 
 
 def _recursive(links: DataFrame, sql: str) -> DataFrame:
+    """Recursive SQL over ``{edges}``.  Spark's limit on the rows of a recursion, a million,
+    is lifted in the session, as a graph may well have more; its limit on the levels
+    stays, and ends circles."""
+    links.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     view = f"edges_{uuid.uuid4().hex}"
     links.createOrReplaceTempView(view)
     return links.sparkSession.sql(sql.format(edges=view))

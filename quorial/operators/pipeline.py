@@ -71,7 +71,7 @@ def adjust(df: DataFrame, path: list[str], quotas: DataFrame, thresholds: Thresh
     leaf = node_paths(df, path).where(F.col("level") == len(path) - 1).join(start, ["node", "level"])
     steps = [F.try_element_at("steps", F.lit(i)) for i in range(1, len(path) + 1)]
     healthy, at_risk = inherited(steps, thresholds)
-    team = Window.partitionBy(F.try_element_at("steps", F.lit(2)))
+    team = Window.partitionBy(F.slice("steps", 2, len(path)))
     rows = leaf.withColumn("free", ~locked).withColumn("cov", ratio(F.col("pipeline"), F.col("q"))).withColumn("healthy", healthy).withColumn("at_risk", at_risk)
     donor = F.col("free") & (F.col("cov") >= F.col("healthy"))
     taker = F.col("free") & (F.col("cov") < F.col("at_risk"))

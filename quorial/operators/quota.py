@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def cascade(df: DataFrame, path: list[str], target: float, hedge: float | dict[s
     goes to the others by capacity and stays undealt if there are none.  ``root`` starts
     at another node; the levels above get nothing.
 
-    Levels are aggregated from the one below, so only the leaves are shuffled whole.
+    Levels are aggregated from the one below, and each row carries the quotas above it
+    down to the leaves, so the table is walked once; every inner node is told by the
+    first of its leaves.
     """
     names = [f"p{i}" for i in range(len(path))]
     leaf = df.select(*[F.col(c).cast("string").alias(n) for c, n in zip(path, names, strict=True)], F.col(capacity).alias("cap"))
@@ -51,13 +55,11 @@ def cascade(df: DataFrame, path: list[str], target: float, hedge: float | dict[s
         tables.insert(0, tables[0].groupBy(*names[:depth]).agg(F.sum("cap").alias("cap")))
     factor = (lambda node: lookup(node, hedge, 1.0)) if isinstance(hedge, dict) else (lambda node: F.lit(float(hedge)))
     amount = lookup(F.col(names[-1]), overrides or {}, None).cast("double")
-    top = tables[0].select(names[0], F.lit(float(target)).alias("quota"))
-    if root is not None:
-        top = top.withColumn("quota", F.when(F.col(names[0]) == root, F.col("quota")))
-    out = [top.select(F.col(names[0]).alias("node"), F.lit(0).alias("level"), "quota")]
+    start = lambda i, quota: quota if root is None else F.when(F.col(names[i]) == root, F.lit(float(target))).otherwise(quota)
+    top = tables[0].select(names[0], start(0, F.lit(float(target)) if root is None else F.lit(None).cast("double")).alias("q0"))
     for i in range(1, len(path)):
         team = Window.partitionBy(*names[:i])
-        rows = tables[i].join(top, names[:i]).withColumn("pool", F.col("quota") * factor(F.col(names[i - 1]))).drop("quota")
+        rows = tables[i].join(top, names[:i]).withColumn("pool", F.col(f"q{i - 1}") * factor(F.col(names[i - 1])))
         n, total = F.count("*").over(team), F.sum("cap").over(team)
         if i < len(path) - 1:
             quota = F.col("pool") * F.when(total > 0, F.try_divide(F.col("cap"), total)).otherwise(1 / n)
@@ -70,27 +72,30 @@ def cascade(df: DataFrame, path: list[str], target: float, hedge: float | dict[s
             weight = F.sum(F.when(old, F.col("cap"))).over(team)
             quota = F.when(F.col("over").isNotNull(), F.col("over")).when(fresh, share).otherwise(rest * F.try_divide(F.col("cap"), weight))
             quota = F.when(F.col("pool").isNotNull(), quota)
-        top = rows.select(*names[: i + 1], quota.alias("quota"))
-        if root is not None:
-            top = top.withColumn("quota", F.when(F.col(names[i]) == root, F.lit(float(target))).otherwise(F.col("quota")))
-        out.append(top.select(F.col(names[i]).alias("node"), F.lit(i).alias("level"), "quota"))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result.where("quota IS NOT NULL")
+        above = [c for c in top.columns if c not in names]
+        top = rows.select(*names[: i + 1], *above, start(i, quota).alias(f"q{i}"), (F.row_number().over(team.orderBy(names[i])) == 1).alias(f"first{i}"))
+    told = []
+    for i in range(len(path)):
+        first = F.lit(True)
+        for k in range(i + 1, len(path)):
+            first = first & F.col(f"first{k}")
+        told.append(F.when(first & F.col(f"q{i}").isNotNull(), F.struct(F.col(names[i]).alias("node"), F.lit(i).alias("level"), F.col(f"q{i}").alias("quota"))))
+    return top.select(F.inline(F.array_compact(F.array(*told))))
 
 
 def cascade_graph(links: DataFrame, capacities: DataFrame, target: float, root: str, hedge: float | dict[str, float] = 1.0, overrides: dict[str, float] | None = None) -> DataFrame:
     """``node, quota`` for a tree of any shape (``parent, child``) and leaf ``node,
     capacity``.  Teams that mix leaves and inner nodes are shared by capacity, without
     overrides.  All sums of a team are made before the walk, so each step is a scalar
-    one."""
-    from .hierarchy import _recursive, nodes
+    one.  A node with several parents or a circle raises ``ValueError``."""
+    from .hierarchy import _recursive, nodes, validate_tree
 
+    validate_tree(links)
     kinds = nodes(links).select("node", "is_leaf")
     leaf = kinds.where("is_leaf").join(capacities, "node", "left").select("node", F.coalesce("capacity", F.lit(0.0)).alias("cap"))
-    leaf.createOrReplaceTempView("_leaf_capacity")
-    up = _recursive(links, "WITH RECURSIVE up(node, cap) AS (SELECT node, cap FROM _leaf_capacity UNION ALL SELECT e.parent, cap FROM up JOIN {edges} e ON e.child = up.node) SELECT node, cap FROM up")
+    view = f"capacity_{uuid.uuid4().hex}"
+    leaf.createOrReplaceTempView(view)
+    up = _recursive(links, f"WITH RECURSIVE up(node, cap) AS (SELECT node, cap FROM {view} UNION ALL SELECT e.parent, cap FROM up JOIN {{edges}} e ON e.child = up.node) SELECT node, cap FROM up")
     caps = up.groupBy("node").agg(F.sum("cap").alias("cap"))
     team = Window.partitionBy("parent")
     rows = links.join(caps.withColumnRenamed("node", "child"), "child").join(kinds.withColumnRenamed("node", "child"), "child")

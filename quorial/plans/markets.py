@@ -294,7 +294,7 @@ _LIFE = """
     sp AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS orders FROM orders GROUP BY ALL),
     life AS (SELECT c_custkey AS account_id, c_mktsegment AS account_segment, c_acctbal AS balance, orders, (year(b) - year(a)) * 12 + month(b) - month(a) AS t, CAST(b < TIMESTAMP '2001-02-01' AS INT) AS e FROM customer JOIN sp ON o_custkey = c_custkey)"""
 _KM = "c AS (SELECT {by} t, count(*) AS n, sum(e) AS events FROM life GROUP BY ALL), r AS (SELECT *, sum(n) OVER ({part} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk FROM c) SELECT {by} t AS time, CAST(at_risk AS BIGINT) AS at_risk, CAST(events AS BIGINT) AS events, round(product(1 - events / at_risk) OVER ({part} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS survival FROM r"
-_CIX = f"WITH {_LIFE}, x AS (SELECT t, e, {{risk}} AS r, count(*) AS n FROM life GROUP BY ALL), p AS (SELECT a.n * b.n AS w, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))), s AS (SELECT CAST(sum(w) FILTER (ra > rb) AS BIGINT) AS concordant, CAST(sum(w) FILTER (ra < rb) AS BIGINT) AS discordant, CAST(sum(w) FILTER (ra = rb) AS BIGINT) AS tied FROM p) SELECT *, round((concordant + 0.5 * tied) / (concordant + discordant + tied), 4) AS c_index FROM s"
+_CIX = f"WITH {_LIFE}, x AS (SELECT t, e, {{risk}} AS r, count(*) AS n FROM life GROUP BY ALL), p AS (SELECT a.n * b.n AS w, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))), s AS (SELECT coalesce(CAST(sum(w) FILTER (ra > rb) AS BIGINT), 0) AS concordant, coalesce(CAST(sum(w) FILTER (ra < rb) AS BIGINT), 0) AS discordant, coalesce(CAST(sum(w) FILTER (ra = rb) AS BIGINT), 0) AS tied FROM p) SELECT *, round((concordant + 0.5 * tied) / (concordant + discordant + tied), 4) AS c_index FROM s"
 _SPLIT = "row_number() OVER ({part} ORDER BY md5(account_id || '/42'), account_id) <= ceil(count(*) OVER ({part}) * 0.2)"
 
 ORACLE_SQL = {

@@ -33,4 +33,4 @@ def from_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, mode="overwrite")
+    df.write.csv(path, header=True, mode="overwrite", quote='"', escape='"')

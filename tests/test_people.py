@@ -128,3 +128,22 @@ def test_na_is_a_region(spark, tmp_path):
     (tmp_path / "x.csv").write_text('Region,IC,v\nNA,"a, b",1\n,c,NaN\n')
     rows = R.read_csv(spark, f"file://{tmp_path}/x.csv", "Region string, IC string, v double").collect()
     assert [tuple(r) for r in rows] == [("NA", "a, b", 1.0), (None, "c", None)]
+
+
+def test_mixed_teams_and_refused_graphs(spark):
+    links = [("r", "a"), ("r", "x"), ("a", "y"), ("a", "z")]
+    e = spark.createDataFrame(links, "parent string, child string")
+    caps = spark.createDataFrame([("x", 50.0), ("y", 100.0), ("z", 50.0)], "node string, capacity double")
+    q = as_dict(Q.cascade_graph(e, caps, 1000, "r", 1.1, {"x": 1.0}), "node", "quota")
+    assert {k: round(v, 6) for k, v in q.items()} == {"r": 1000, "a": 825, "x": 275, "y": 605, "z": 302.5}
+    with pytest.raises(ValueError, match="more than one parent"):
+        Q.cascade_graph(e.union(spark.createDataFrame([("x", "z")], e.schema)), caps, 1000, "r")
+    with pytest.raises(ValueError, match="circle"):
+        Q.cascade_graph(spark.createDataFrame([("p", "q"), ("q", "p"), ("r", "x")], e.schema), caps, 1000, "r")
+
+
+def test_vendor_and_sector_names(spark):
+    from quorial.operators import contracts as K
+
+    df = spark.createDataFrame([("Carahsoft Technology", "Dept. of the Army"), ("Dell", "Health"), (None, None)], "v string, a string")
+    assert [tuple(r) for r in df.select(K.vendor_type(F.col("v")), K.sector(F.col("a"))).collect()] == [("VAR", "DoD"), ("Direct", "Civilian"), ("Direct", "Civilian")]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quorial.operators import survival as S
 from quorial.sources import generators as G
+from quorial.sources import readers as R
 
 
 def test_churn_data(spark):
@@ -23,3 +24,17 @@ def test_churn_data(spark):
 def test_public_accounts(spark):
     df = spark.createDataFrame([("a", "12.5", 1.0), ("b", " ", 2.0), ("c", None, 3.0)], "customerID string, TotalCharges string, MonthlyCharges double")
     assert [(r.Account_ID, r.Estimated_TAM) for r in G.public_accounts(df).collect()] == [("a", 12.5), ("b", 0.0), ("c", 0.0)]
+
+
+def test_csv_goes_out_and_comes_back(spark, tmp_path):
+    rows = [("NA", 'a "b", c', 1.5), (None, "x", None), ("", "y", 2.0)]
+    df = R.from_rows(spark, [*rows, ("z", "nan", float("nan"))], "Region string, IC string, v double")
+    R.write_csv(df, f"file://{tmp_path}/out")
+    back = R.read_csv(spark, f"file://{tmp_path}/out", "Region string, IC string, v double")
+    want = [("NA", 'a "b", c', 1.5), (None, "x", None), (None, "y", 2.0), ("z", "nan", None)]
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_json_is_typed(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": "NA", "v": 1}\n{"a": " ", "v": null, "more": 2}\n')
+    assert sorted(map(tuple, R.read_json(spark, f"file://{tmp_path}/x.json", "a string, v double").collect()), key=repr) == [("NA", 1.0), (None, None)]

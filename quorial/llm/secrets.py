@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import numbered, pick, position
 
 #: Fixed: a candidate, anywhere in a word; marks of equality before more of a value assign it.
 #: Behind the name of a credential it may be of any length.
@@ -234,18 +234,25 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5, mask: str = "[secret]", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by ``mask``; all rows and
-    other columns stay.  Null texts stay null."""
+    other columns stay.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, and an empty
+    table gives an empty result.  Of values that overlap the longer goes first.  A value
+    found once in a text goes wherever it stands in it; one of under 12 characters only
+    where it is assigned to a credential's name.
+    """
     score = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    path = F.col(path_col) if path_col else F.lit("")
-    split = docs.withColumn(_WORDS, words_of(F.col(text_col)))
+    rows, text = numbered(docs), f"c{position(docs, text_col)}"
+    path = F.col(f"c{position(docs, path_col)}") if path_col else F.lit("")
+    split = rows.withColumn(_WORDS, words_of(F.col(text)))
     found = F.filter(candidates(_WORDS, path), lambda x: score(x["c"]) >= least)
     # longer values first, so that one inside another can't break it
     values = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct((-F.length(x["c"]["value"])).alias("n"), x["c"]["value"].alias("v")))))
     # a short one can be part of other words, and goes only where it is assigned
     assigned = lambda v: F.concat(F.lit(rf"(?<=(?i:{_NAME}))\Q"), v, F.lit(r"\E(?![A-Za-z0-9+/_\-])"))
     in_place = lambda t, v: F.regexp_replace(t, assigned(v), F.lit(mask.replace("\\", r"\\").replace("$", r"\$")))
-    clean = F.aggregate(values, F.col(text_col), lambda t, x: F.when(F.length(x["v"]) < 12, in_place(t, x["v"])).otherwise(F.replace(t, x["v"], F.lit(mask))))
-    return split.withColumn(text_col, clean).drop(_WORDS)
+    clean = F.aggregate(values, F.col(text), lambda t, x: F.when(F.length(x["v"]) < 12, in_place(t, x["v"])).otherwise(F.replace(t, x["v"], F.lit(mask))))
+    return split.withColumn(text, clean).drop(_WORDS).toDF(*docs.columns)
 
 
 #: A column of ``redact``'s own, gone in its result.

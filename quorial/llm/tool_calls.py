@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import discard, pick, stored
 
 #: Fields of a tool: name -> (JSON kind, required).
 Schema = dict[str, tuple[str, bool]]
 
-#: What a variant's type is called, by JSON kind.
-_KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
+#: Fixed: how a variant's type begins, by JSON kind.
+_KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
 
 
 def canonical(json: F.Column) -> F.Column:
@@ -30,8 +30,9 @@ def _broken(tool: Schema, parsed: F.Column) -> F.Column:
     checks = []
     for name, (kind, required) in sorted(tool.items()):
         value = F.try_variant_get(parsed, f"$.{name}", "variant")
-        missing = value.isNull() | F.is_variant_null(value)
-        wrong = F.coalesce(F.schema_of_variant(value), F.lit("VOID")) != _KINDS[kind]
+        # a null stands for a missing value, but where null is what the schema asks for
+        missing = value.isNull() if kind == "null" else value.isNull() | F.is_variant_null(value)
+        wrong = ~F.coalesce(F.schema_of_variant(value), F.lit("VOID")).rlike(f"^(?:{_KINDS[kind]})")
         checks.append(F.when(F.when(missing, F.lit(required)).otherwise(wrong), F.lit(name)))
     known = F.array(*[F.lit(n) for n in tool]).cast("array<string>")
     keys = F.map_keys(F.from_json(F.to_json(parsed), "map<string,string>"))
@@ -51,15 +52,17 @@ def levels(calls: DataFrame) -> DataFrame:
     known = ids.select(F.col("group").alias("g"), F.col("id").alias("i"))
     after = calls.groupBy("group", "id").agg(F.min("after").alias("after"))
     state = after.join(known, (F.col("group") == F.col("g")) & (F.col("after") == F.col("i")), "left").select("group", "id", F.col("i").alias("to"), F.when(F.col("i").isNotNull(), 1).otherwise(0).alias("level"))
-    total, rounds = None, 0
+    before, rounds = None, 0
     while True:
         state = stored(state, "levels")
-        left = state.where(F.col("to").isNotNull()).count()
-        if total is None:
-            total = left
-        # a chain without a circle is done once the pointers reach over all calls
-        if left == 0 or 2**rounds > total + 1:
+        if before is None:
+            longest = state.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+        else:
+            discard(before)
+        # a chain without a circle is done once the pointers reach over its group
+        if 2**rounds > longest or state.where(F.col("to").isNotNull()).isEmpty():
             break
+        before = state
         there = state.select(F.col("group").alias("g"), F.col("id").alias("i"), F.col("to").alias("next"), F.col("level").alias("more"))
         state = state.join(there, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i")), "left").select("group", "id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).cast("int").alias("level"))
         rounds += 1

@@ -35,6 +35,72 @@ def test_links_order_and_schemas(spark):
     assert out[1, "c"].json == '{"arguments":{"a":1,"b":2},"id":"c","level":2,"name":"add","status":"unanswered"}'
 
 
+KINDS = {"s": ("string", True), "i": ("integer", False), "n": ("number", False), "b": ("boolean", False), "l": ("array", False), "o": ("object", False), "z": ("null", True)}
+
+
+def brute_links(calls, results, tools):
+    """Every call and result by plain loops."""
+    first_call, first_result, out = {}, {}, {}
+    for g, i, name, arguments, after, at in calls:
+        if g is not None and i is not None:
+            first_call.setdefault((g, i), []).append((at, name, arguments, after))
+    for g, i, content, at in results:
+        if g is not None and i is not None:
+            first_result.setdefault((g, i), []).append((at, content or "", content))
+    chosen = {k: min(v, key=lambda x: x[:3]) for k, v in first_call.items()}
+    right = {"string": lambda v: isinstance(v, str), "integer": lambda v: type(v) is int, "number": lambda v: type(v) in (int, float), "boolean": lambda v: isinstance(v, bool), "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict), "null": lambda v: v is None}
+    for key in {*chosen, *first_result}:
+        if key not in chosen:
+            out[key] = (None, "orphan", None)
+            continue
+        at, name, arguments, after = chosen[key]
+        level, seen, now = 0, {key}, after
+        while now is not None and (key[0], now) in chosen:
+            level, here = level + 1, (key[0], now)
+            if here in seen:
+                level = None
+                break
+            seen.add(here)
+            now = chosen[here][3]
+        back = min(first_result[key])[0] if key in first_result else None
+        status = "unanswered" if back is None else "early" if back < at else "linked"
+        try:
+            value = json.loads(arguments)
+        except ValueError:
+            value = None
+        broken = ["*"]
+        if isinstance(value, dict) and name in tools:
+            broken = []
+            for field, (kind, required) in sorted(tools[name].items()):
+                missing = field not in value or (value[field] is None and kind != "null")
+                if required if missing else not right[kind](value[field]):
+                    broken.append(field)
+            broken += [f"+{k}" for k in sorted(set(value) - set(tools[name]))]
+        out[key] = (level, status, broken)
+    return out
+
+
+def test_links_against_plain_loops(spark):
+    rng = random.Random(8)
+    values = ['"x"', "1", "1.5", "true", "null", "[1]", '{"a": 2}']
+    tools = {"t": KINDS, "u": {"a": ("integer", True)}}
+    calls, results = [], []
+    for k in range(400):
+        i = rng.choice([None, *map(str, range(14))])
+        fields = ", ".join(f'"{f}": {rng.choice(values)}' for f in rng.sample([*KINDS, "extra"], rng.randint(0, 7)))
+        arguments = rng.choice([f"{{{fields}}}"] * 5 + ["[1]", "no json", '{"a": 3}'])
+        calls.append((rng.choice([None, *range(12)]), i, rng.choice(["t", "t", "u", "v"]), arguments, rng.choice([None, *map(str, range(16))]), k))
+        results.append((rng.choice([None, *range(12)]), rng.choice([None, *map(str, range(16))]), rng.choice([None, "ok"]), rng.randint(0, 400)))
+    calls.append((99, "long", "t", json.dumps({"s": "word " * 40_000, "z": None}), None, 1))
+    out = T.link_tool_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, "group long, id string, content string, at long"), tools).collect()
+    want = brute_links(calls, results, tools)
+    assert {(r.group, r.id): (r.level, r.status, r.broken) for r in out} == want and len(out) == len(want)
+    assert all(r.valid == (None if r.broken is None else not r.broken) for r in out)
+    for r in out:
+        record = json.loads(r.json)
+        assert record["status"] == r.status and record["id"] == r.id and list(record) == sorted(record)
+
+
 def test_long_chains(spark):
     calls = [(1, str(i), "add", "{}", str(i - 1) if i else None, i) for i in range(70)]
     assert {int(k[1]): r.level for k, r in linked(spark, calls, []).items()} == {i: i for i in range(70)}
@@ -65,6 +131,8 @@ def test_secrets(spark):
     assert sorted(r.doc_id for r in out) == [1, 1, 2, 3, 4, 5] and {r.doc_id for r in out if r.is_secret} == {1, 2, 3}
     clean = {(r.doc_id, r.text) for r in S.redact(df).collect()}
     assert (1, "the [secret], of") in clean and (6, None) in clean and (7, "") in clean and (4, SECRETS[3][1]) in clean and len(clean) == 8
+    both = df.withColumnRenamed("value", "Text").withColumn("c0", F.lit("x"))
+    assert {(r.doc_id, r[1]) for r in S.redact(both).collect()} == clean and S.redact(both).columns == both.columns
     assert S.redact(df).columns == df.columns and S.secret_scan(df.limit(0)).count() == 0
 
 
@@ -99,6 +167,7 @@ def license_rows():
                 words[rng.randrange(len(words))] = "other"
             lines.insert(0, "\n".join([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]) + "\n" if i % 2 else " ".join(words))
         rows.append((i, "\n".join(lines)))
+    rows.append((600, " ".join([next(t for name, t in C.TEMPLATES if name == "ISC")] * 9)))
     return [*rows, (500, None), (501, ""), (502, "\n \n"), (0, rows[0][1])]
 
 
@@ -111,7 +180,7 @@ def test_licences_against_all_templates(spark):
     c.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     want = sorted(c.execute(C.oracle()).fetchall())
-    assert got == want and len(got) > 20
+    assert got == want and len(got) > 20 and (600, 0, "ISC") in {r[:3] for r in got}
 
 
 def test_archive(spark, tmp_path):

@@ -5,8 +5,11 @@ import json
 import random
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quorial.llm import archive as W
 from quorial.llm import licenses as C
@@ -236,4 +239,15 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(r.n_chars == len(r.text) for r in now.collect())
     want = {i for i, t in docs if "vile" not in t} - {200, 202}
     assert set(kept) == want and kept[203] == "see [secret] now" and item not in kept[201]
-    assert {r.doc_id for r in now.collect()} == want == {r.doc_id for r in P.run(spark, d).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = {}
+    for i, t in kept.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        tokens[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    for out in (now, P.run(spark, d)):
+        assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()} == tokens and set(tokens) == want
+    empty = full.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, d)
+        assert empty.count() == 0

@@ -25,27 +25,32 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; null and empty texts stay, copies stay or go together."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    Null texts are empty texts, of which one stays; documents with a null id all stay,
+    and so do rows that repeat the id and text of the one that stays."""
     return keep_one(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly such go."""
+    """Benchmark passages are cut out; documents that are mostly such go.  Null and empty
+    texts stay; an empty benchmark changes nothing."""
     return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials are masked; every document stays."""
+    """Credentials are masked; every document stays, null and empty texts as they are."""
     return _measured(redact(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of what they decode to."""
+    """Token count and digests of the ids and of what they decode to, for every row; a null
+    text has no tokens."""
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -57,7 +62,8 @@ STAGES = [
     ("tokens", tokenise),
 ]
 
-#: Learned scores, automata and merges are beyond SQL; tests hold each stage against brute force.
+#: Learned scores, automata and merges are beyond SQL.  Tests hold the operators of the stages
+#: against brute force, and the stages on planted rows: what stays, its texts and its tokens.
 ORACLE_SQL = None
 
 

@@ -67,6 +67,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.
 ORACLE_SQL: dict[str, str] = {
+    # a call's chain is a run of calls at most two turns apart
+    "op4_tool_calls": """
+        WITH asks AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'instruct' ELSE 'ask' END AS name, text,
+                             CASE WHEN text IS NULL THEN '' ELSE '"text":' || CAST(to_json(text) AS VARCHAR) || ',' END AS head
+                      FROM conversations WHERE role IN ('system', 'user') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+        one AS (SELECT * FROM asks QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, '{' || head || '"turn":') = 1),
+        run AS (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 0 ELSE 1 END AS opens FROM one),
+        numbered AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM run),
+        calls AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1 AS INTEGER) AS level FROM numbered),
+        results AS (SELECT conv_id, turn - 1 AS turn, text AS content FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+                    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) = 1),
+        both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(c.turn, r.turn) AS call_id, c.turn, level, name, text, head, content,
+                         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+                  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn)
+        SELECT conv_id, call_id, level, status, CASE WHEN turn IS NOT NULL THEN text IS NOT NULL END AS valid,
+               CASE WHEN turn IS NOT NULL THEN CASE WHEN text IS NULL THEN 'text' ELSE '' END END AS broken,
+               '{' || CASE WHEN turn IS NOT NULL THEN '"arguments":{' || head || '"turn":' || turn || '},' ELSE '' END || '"id":"' || call_id || '",'
+                   || CASE WHEN turn IS NOT NULL THEN '"level":' || level || ',"name":"' || name || '",' ELSE '' END
+                   || CASE WHEN content IS NOT NULL THEN '"result":' || CAST(to_json(content) AS VARCHAR) || ',' ELSE '' END || '"status":"' || status || '"}' AS json
+        FROM both_""",
     "op8_licenses": license_sql(),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

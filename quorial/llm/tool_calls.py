@@ -1,7 +1,7 @@
 """Tool-call linking with DataFrame functions only.
 
-Calls and results meet by identifier in one hash join; calls are put in topological
-order by doubling pointers to the calls they depend on; arguments are validated
+Calls and results meet by identifier in one shuffled hash join; calls are put in
+topological order over the calls they depend on, one or several; arguments are validated
 against schemas; and each record is written as canonical JSON (keys in order, no
 blanks).
 """
@@ -41,17 +41,35 @@ def _broken(tool: Schema, parsed: F.Column) -> F.Column:
     return F.when(object_, F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>")))).otherwise(F.array(F.lit("*")))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``group, id, level``: how many calls must come before, along ``after``.
+def _before(calls: DataFrame) -> F.Column:
+    """The identifiers that a call comes after, as an array; one identifier is one of one."""
+    if calls.schema["after"].dataType.typeName() == "array":
+        return F.array_distinct(F.array_compact(F.coalesce("after", F.array().cast("array<string>"))))
+    return F.array_compact(F.array("after"))
+
 
-    Pointers to predecessors are doubled, so the rounds grow with the logarithm of the
-    longest chain.  A predecessor that doesn't exist counts as none.  Calls on a circle,
-    or behind one, have no level.
+def levels(calls: DataFrame) -> DataFrame:
+    """``group, id, level``: the longest way of calls that must come before, along
+    ``after``, an identifier or an array of them.
+
+    Calls with one predecessor form chains, which pointers shorten by doubling: each
+    call learns how far it is behind its anchor, a call with no predecessor or with
+    several.  The rounds of this grow with the logarithm of the longest chain.  Calls
+    with several predecessors, if there are any, are then solved over these anchors
+    only, in as many rounds as they follow one another.  A predecessor that doesn't
+    exist counts as none; null identifiers in an array are left out.  Calls on a
+    circle, or behind one, have no level.
     """
     ids = calls.select("group", "id").distinct()
     known = ids.select(F.col("group").alias("g"), F.col("id").alias("i"))
-    after = calls.groupBy("group", "id").agg(F.min("after").alias("after"))
-    state = after.join(known, (F.col("group") == F.col("g")) & (F.col("after") == F.col("i")), "left").select("group", "id", F.col("i").alias("to"), F.when(F.col("i").isNotNull(), 1).otherwise(0).alias("level"))
+    edges = calls.select("group", "id", F.explode(_before(calls)).alias("to")).distinct()
+    edges = stored(edges.join(known, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i"))).select("group", "id", "to"), "edges")
+    alone = edges.groupBy("group", "id").agg(F.count("*").alias("n"), F.min("to").alias("to"))
+    # where a call's pointer leads, how far that is, and whether it leads on
+    state = ids.join(alone, ["group", "id"], "left").select(
+        "group", "id", F.when(F.col("n") == 1, F.col("to")).otherwise(F.col("id")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).alias("far"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("open"),
+        (F.coalesce("n", F.lit(0)) > 1).alias("joint"),
+    )
     before, rounds = None, 0
     while True:
         state = stored(state, "levels")
@@ -60,19 +78,49 @@ def levels(calls: DataFrame) -> DataFrame:
         else:
             discard(before)
         # a chain without a circle is done once the pointers reach over its group
-        if 2**rounds > longest or state.where(F.col("to").isNotNull()).isEmpty():
+        if 2**rounds > longest or state.where("open").isEmpty():
             break
         before = state
-        there = state.select(F.col("group").alias("g"), F.col("id").alias("i"), F.col("to").alias("next"), F.col("level").alias("more"))
-        state = state.join(there, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i")), "left").select("group", "id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).cast("int").alias("level"))
+        there = state.select(F.col("group").alias("g"), F.col("id").alias("i"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("open").alias("on"))
+        step = state.where("open").join(there, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i")))
+        step = step.select("group", "id", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("on").alias("open"), "joint")
+        state = state.where("NOT open").unionByName(step)
         rounds += 1
-    return state.select("group", "id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+    closed = state.where("NOT open")
+    if state.where("joint").isEmpty():
+        return state.select("group", "id", F.when(~F.col("open"), F.col("far")).alias("level"))
+    solved = _joints(edges, state)
+    return ids.join(closed.join(solved.select("group", F.col("id").alias("to"), "at"), ["group", "to"]).select("group", "id", (F.col("at") + F.col("far")).alias("level")), ["group", "id"], "left")
+
+
+def _joints(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """``group, id, at``: the levels of anchors, those on or behind circles left out."""
+    joints = state.where("joint").select("group", "id")
+    roots = state.where("NOT open AND NOT joint AND to = id").select("group", "id", F.lit(0).alias("at"))
+    place = state.where("NOT open").select("group", F.col("id").alias("to"), F.col("to").alias("anchor"), "far")
+    # a predecessor on a circle has no anchor and keeps its joint waiting
+    waits = edges.join(joints, ["group", "id"]).join(place, ["group", "to"], "left").groupBy("group", "id", "anchor").agg(F.max(F.col("far") + 1).alias("far"))
+    waits, fresh, solved = stored(waits.withColumn("at", F.lit(None).cast("int")), "waits"), stored(roots, "solved"), []
+    while not fresh.isEmpty():
+        solved.append(fresh)
+        news = fresh.select("group", F.col("id").alias("anchor"), F.col("at").alias("new"))
+        told = waits.join(news, ["group", "anchor"], "left").select("group", "id", "anchor", "far", F.coalesce("at", F.col("new") + F.col("far")).alias("at"))
+        told, old = stored(told, "waits"), waits
+        ready = told.groupBy("group", "id").agg(F.bool_and(F.col("at").isNotNull()).alias("ready"), F.max("at").alias("at"))
+        fresh = stored(ready.where("ready").select("group", "id", "at"), "solved")
+        waits = stored(told.join(fresh.select("group", "id"), ["group", "id"], "left_anti"), "waits")
+        discard(old, told)
+    out = roots.limit(0) if not solved else solved[0]
+    for more in solved[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schema]) -> DataFrame:
     """One row per call, and per result without a call.
 
-    ``calls``: group, id, name, arguments (JSON text), after (id or null), at (place).
+    ``calls``: group, id, name, arguments (JSON text), after (an id, an array of ids, or
+    null), at (place).
     ``results``: group, id, content, at.  Of calls with one group and id the first in
     place stays, then the smaller name and arguments; of results likewise.  Rows whose
     group or id is null can't be linked and are left out.
@@ -87,7 +135,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schem
     one_call = calls.groupBy("group", "id").agg(F.min(F.struct("at", "name", "arguments", "after")).alias("c"))
     one_result = results.groupBy("group", "id").agg(F.min(F.struct("at", "content")).alias("r"))
     deep = levels(one_call.select("group", "id", F.col("c.after").alias("after")))
-    joined = one_call.join(deep, ["group", "id"], "left").join(one_result, ["group", "id"], "full_outer")
+    joined = one_call.join(deep, ["group", "id"], "left").join(one_result.hint("shuffle_hash"), ["group", "id"], "full_outer")
     parsed = F.try_parse_json(F.col("c.arguments"))
     broken = F.array(F.lit("*"))
     for name, schema in tools.items():

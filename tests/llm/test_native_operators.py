@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from quorial.llm import archive as W
 from quorial.llm import licenses as C
+from quorial.llm import queries as Q
 from quorial.llm import secrets as S
 from quorial.llm import tool_calls as T
 
@@ -104,6 +105,53 @@ def test_links_against_plain_loops(spark):
         assert record["status"] == r.status and record["id"] == r.id and list(record) == sorted(record)
 
 
+def test_levels_of_graphs_against_plain_loops(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in range(40):
+        n = rng.randint(1, 14)
+        ids = [str(i) for i in range(n)]
+        after = {}
+        for k, i in enumerate(ids):
+            # mostly earlier calls; now and then any, which can close a circle, and unknown ones
+            pool = ids[:k] if rng.random() < 0.95 else ids
+            after[i] = rng.sample(pool, min(len(pool), rng.choice([0, 1, 1, 1, 2, 3]))) + rng.choice([[], [], ["gone"], [None]])
+            rows.append((g, i, rng.choice([after[i], after[i] + after[i]])))
+        known = {i: [x for x in set(a) if x in after] for i, a in after.items()}
+        level: dict = {}
+        for _ in ids:
+            level |= {i: max([level[x] + 1 for x in a], default=0) for i, a in known.items() if i not in level and all(x in level for x in a)}
+        want |= {(g, i): level.get(i) for i in ids}
+    rows.append((99, "none", None))
+    got = T.levels(spark.createDataFrame(rows, "group long, id string, after array<string>")).collect()
+    assert {(r.group, r.id): r.level for r in got} == want | {(99, "none"): 0} and len(got) == len(want) + 1
+    assert None in want.values() and max(v or 0 for v in want.values()) > 5
+
+
+def test_calls_after_several_others(spark):
+    calls = [(1, "a", "add", '{"a":1,"b":2}', [], 1), (1, "b", "add", "{}", ["a"], 2), (1, "c", "add", "{}", ["a", "b"], 3), (1, "d", "add", "{}", None, 4), (1, "e", "add", "{}", ["d", "c"], 5)]
+    df = spark.createDataFrame(calls, CALL.replace("after string", "after array<string>"))
+    results = spark.createDataFrame([(1, "c", "ok", 9)], "group long, id string, content string, at long")
+    out = T.link_tool_calls(df, results, TOOLS)
+    assert {r.id: (r.level, r.status) for r in out.collect()} == {"a": (0, "unanswered"), "b": (1, "unanswered"), "c": (2, "linked"), "d": (0, "unanswered"), "e": (3, "unanswered")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
+def test_conversations_equal_their_twin(spark, tmp_path):
+    rng = random.Random(6)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", None]
+    texts = ["", None, 'a "b" \\ / c', "tab\tline\nend\r", "é 字 \U0001f600", "\x01\x1f", "x" * 50_000]
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *range(9)]), rng.choice(roles), rng.choice(texts)) for _ in range(500)]
+    path = str(tmp_path / "c.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = c.sql(Q.ORACLE_SQL["op4_tool_calls"])
+    got = T.conversation_calls(spark.read.parquet(path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and len(got) > 100
+
+
 def test_long_chains(spark):
     calls = [(1, str(i), "add", "{}", str(i - 1) if i else None, i) for i in range(70)]
     assert {int(k[1]): r.level for k, r in linked(spark, calls, []).items()} == {i: i for i in range(70)}

@@ -103,3 +103,24 @@ def subaward_flag(df: DataFrame, count: str) -> DataFrame:
 def histogram(df: DataFrame, low: float, high: float, bins: int, value: str = "duration") -> DataFrame:
     """``bin, n``; bin 0 and bins + 1 hold what lies outside."""
     return df.groupBy(F.width_bucket(F.col(value).cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def box(df: DataFrame, by: str, value: str = "duration") -> DataFrame:
+    """What a box plot shows, per group: quartiles, the whiskers (the last values within
+    1.5 times the distance of the quartiles), and how many values lie outside of them."""
+    rows = df.select(by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    q = rows.groupBy(by).agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    # one narrow row for each group, which is as many as a plot has boxes; the size of the
+    # join is left to adaptive execution
+    far = 1.5 * (F.col("q75") - F.col("q25"))
+    inside = F.col("v").between(F.col("q25") - far, F.col("q75") + far)
+    joined = rows.withColumnRenamed(by, "_by").join(q, F.col("_by").eqNullSafe(F.col(by)))
+    return joined.groupBy(by, "q25", "q50", "q75").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.count_if(~inside).alias("outside"))
+
+
+def share_lasting(df: DataFrame, by: str, thresholds: list[int] = THRESHOLDS, value: str = "duration") -> DataFrame:
+    """``by, threshold, n, share``: the points of a line or the bars of a plot, how many of
+    a group's contracts last each number of days."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col(value) >= t).alias(f"_{t}") for t in thresholds])
+    points = F.array(*[F.struct(F.lit(t).alias("threshold"), (F.col(f"_{t}") / F.col("n")).alias("share")) for t in thresholds])
+    return sums.select(by, "n", F.inline(points))

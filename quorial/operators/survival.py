@@ -172,6 +172,21 @@ def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
     return df.withColumns({f"{c}_z": (F.col(c) - F.lit(stats[f"m_{c}"])) / scale(c) for c in columns})
 
 
+def one_hot(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, most: int = 1_000) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column of 0 and 1 for each category of each column met in
+    ``fit_on``, and the names of these.  Categories not met there, and nulls, are all
+    zeros.  More than ``most`` categories of one column raise ``ValueError``."""
+    names, out = [], {}
+    for c in columns:
+        found = (df if fit_on is None else fit_on).where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        for k, value in enumerate(sorted(r[0] for r in found)):
+            names.append(f"{c}_{k}")
+            out[names[-1]] = F.coalesce((F.col(c) == F.lit(value)).cast("double"), F.lit(0.0))
+    return df.withColumns(out), names
+
+
 def cox(df: DataFrame, features: list[str], time: str = "time_to_event", event: str = "event_observed", ridge: float = 0.01, steps: int = 20, tolerance: float = 1e-7) -> np.ndarray:
     """Coefficients of a proportional-hazards model (Breslow ties, ridge penalty).
 

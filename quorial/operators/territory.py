@@ -4,6 +4,7 @@ suggestions to balance again."""
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -185,16 +186,50 @@ def suggest(assigned: DataFrame, over: str, under: str, excluded: list[str] | No
     return both.withColumn("delta", delta).withColumn("rank", rank).where(F.col("rank") <= top_n).select("rank", "kind", F.col("v").alias("value"), "delta", "accounts")
 
 
+#: Fixed: per segment its share, mean and deviation of the logarithms of employees and of
+#: revenue, and the base of the market value.
+ACCOUNT_SEGMENTS = {
+    "Enterprise": (0.1, 9.2, 1.0, 21.0, 1.0, 500_000),
+    "Mid-Market": (0.3, 6.2, 0.8, 17.5, 0.8, 100_000),
+    "SMB": (0.6, 3.9, 0.8, 14.5, 0.8, 20_000),
+}
+#: Fixed: per region its share and parts.
+ACCOUNT_REGIONS = {
+    "AMER": (0.5, ["North", "South", "East", "West"]),
+    "EMEA": (0.3, ["UK", "DACH", "Nordics", "South"]),
+    "APAC": (0.2, ["ANZ", "ASEAN", "Japan", "India"]),
+}
+#: Fixed: industries, all alike in number.
+ACCOUNT_INDUSTRIES = ["Technology", "Financial Services", "Healthcare", "Retail", "Manufacturing"]
+
+
 def generate_accounts(spark, n: int, seed: int = 42) -> DataFrame:
-    """Random accounts: sizes and values are log-normal, larger for larger segments."""
-    pick = lambda s, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(F.rand(s) * len(xs)) + 1).cast("int"))
-    base = spark.range(n).withColumn("Account_Segment", pick(seed, "SMB", "SMB", "SMB", "Mid-Market", "Mid-Market", "Enterprise")).withColumn("Region", pick(seed + 1, "AMER", "EMEA", "APAC"))
-    scale: Column = F.when(F.col("Account_Segment") == "SMB", 9.0).when(F.col("Account_Segment") == "Mid-Market", 11.5).otherwise(14.0)
+    """Random accounts: log-normal sizes by segment, two in five of them customers, one in
+    ten held by a representative.  A row depends on its number and the seed only."""
+    u = lambda salt: (F.pmod(F.xxhash64(F.lit(f"{seed}/{salt}"), F.col("id")), F.lit(2**40)) + 0.5) / 2.0**40
+    normal = lambda salt: F.sqrt(-2 * F.log(u(salt + "/r"))) * F.cos(2 * math.pi * u(salt + "/a"))
+    one_of = lambda salt, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(u(salt) * len(xs)) + 1).cast("int"))
+    of_segment = lambda k: lookup(F.col("Account_Segment"), {name: float(v[k]) for name, v in ACCOUNT_SEGMENTS.items()})
+
+    def drawn(salt: str, shares: dict) -> Column:
+        out, top = F.lit(list(shares)[-1]), 1.0
+        for name, after in reversed(list(zip(shares, list(shares)[1:]))):
+            top -= shares[after][0]
+            out = F.when(u(salt) < top, name).otherwise(out)
+        return out
+
+    base = spark.range(n).withColumn("Account_Segment", drawn("segment", ACCOUNT_SEGMENTS)).withColumn("Region", drawn("region", ACCOUNT_REGIONS)).withColumn("Industry", one_of("industry", ACCOUNT_INDUSTRIES))
+    part = F.lit(None).cast("string")
+    for name, (_, parts) in ACCOUNT_REGIONS.items():
+        part = F.when(F.col("Region") == name, one_of("part", parts)).otherwise(part)
+    base = base.withColumn("Estimated_TAM", of_segment(5) * (0.5 + 2 * u("tam")))
+    score = lambda salt, mean, spread: F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), mean + spread * normal(salt))), 1)
     return base.select(
-        F.concat(F.lit("ACC-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("Account_ID"), F.concat(F.lit("Account "), F.col("id").cast("string")).alias("Account_Name"),
-        "Account_Segment", "Region", F.concat_ws("-", "Region", pick(seed + 2, "North", "South", "West")).alias("Sub_Region"), pick(seed + 3, "Technology", "Finance", "Health", "Retail", "Public").alias("Industry"),
-        F.exp(scale / 2 + F.randn(seed + 4) * 0.5).cast("int").alias("Employee_Count"), F.round(F.exp(scale + 3 + F.randn(seed + 5)), 2).alias("Annual_Revenue"),
-        F.round(F.exp(scale + F.randn(seed + 6) * 0.8), 2).alias("Estimated_TAM"), F.round(F.exp(scale - 1 + F.randn(seed + 7)), 2).alias("Historical_Spend"),
-        F.round(F.rand(seed + 8) * 100, 1).alias("G2_Intent_Score"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + 20 * F.randn(seed + 9))), 1).alias("CRM_Activity_Score"),
-        F.when(F.rand(seed + 10) < 0.3, F.concat(F.lit("REP-"), F.floor(F.rand(seed + 11) * 100).cast("string"))).alias("Existing_Relationship_Rep_ID"),
+        F.concat(F.lit("ACC-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("Account_ID"), F.concat("Industry", F.lit(" Corp "), F.col("id").cast("string")).alias("Account_Name"),
+        "Account_Segment", "Region", part.alias("Sub_Region"), "Industry",
+        F.greatest(F.lit(10), F.exp(of_segment(1) + of_segment(2) * normal("staff")).cast("int")).alias("Employee_Count"),
+        F.greatest(F.lit(500_000.0), F.exp(of_segment(3) + of_segment(4) * normal("revenue"))).alias("Annual_Revenue"), "Estimated_TAM",
+        F.when(u("customer") < 0.4, F.col("Estimated_TAM") * (0.1 + 0.7 * u("spend"))).otherwise(0.0).alias("Historical_Spend"),
+        score("intent", 50, 20).alias("G2_Intent_Score"), score("activity", 30, 25).alias("CRM_Activity_Score"),
+        F.when(u("held") < 0.1, F.concat(F.lit("REP-"), (F.floor(u("rep") * 900) + 100).cast("string"))).alias("Existing_Relationship_Rep_ID"),
     )

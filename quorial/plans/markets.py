@@ -162,6 +162,16 @@ def duration_histogram(spark, d):
     return K.histogram(_contracts(spark, d), 0, 2500, 25)
 
 
+def duration_box(spark, d):
+    b = K.box(_contracts(spark, d).withColumn("sector", K.sector(F.col("agency"), DEFENSE)), "sector")
+    return b.select("sector", "low", "q25", "q50", "q75", "high", "outside")
+
+
+def lasting_by_vendor_type(spark, d):
+    rows = _contracts(spark, d).withColumn("vendor_type", K.vendor_type(F.col("vendor"), RESELLERS))
+    return K.share_lasting(rows, "vendor_type", [30, 365, 1095]).withColumn("share", F.round("share", 6))
+
+
 def typed_values(spark, d):
     raw = A.contracts(spark, d).select("award_id", "line", F.when(F.col("line") == 2, "unknown").otherwise(F.col("start").cast("string")).alias("start"), F.col("end").cast("string").alias("end"), F.when(F.col("line") == 3, "n/a").otherwise(F.col("amount").cast("string")).alias("amount"))
     t = K.with_duration(K.typed(raw))
@@ -255,7 +265,7 @@ QUERIES = {
         taxonomy_summary, taxonomy_bucket, territory_allocate, territory_allocate_locked, territory_balance, imbalance, seller_assignments, territory_roster, export_hierarchy,
         move_account, move_history, suggest_singles, suggest_pairs, suggest_rebalance,
         contracts_clean, contracts_dedupe, fiscal_year, vendor_type_describe, sector_describe, vendor_class_describe, distinct_vendors, top_vendors, vendor_table, tier_flags,
-        survival_labels, subaward_flag, duration_histogram, typed_values, rf_importance, rf_importance_grid, rf_importance_by_sector,
+        survival_labels, subaward_flag, duration_histogram, duration_box, lasting_by_vendor_type, typed_values, rf_importance, rf_importance_grid, rf_importance_by_sector,
         churn_rate, km_global, km_segment, c_index, c_index_by_times, roc_auc, stratified_split, standard_scaler, lr_baseline, rf_baseline, cox_ph, rsf, bias_windows,
     )
 }
@@ -304,6 +314,23 @@ ORACLE_SQL = {
         go AS (SELECT bucket, CAST(0 AS BIGINT) AS i, [0::BIGINT, 0::BIGINT, 0::BIGINT] AS tot, 0 AS p, '' AS id, 0::BIGINT AS v FROM (SELECT DISTINCT bucket FROM acc)
                UNION ALL SELECT g.bucket, r.i, list_transform(g.tot, lambda x, j: x + CASE WHEN j = list_position(g.tot, list_min(g.tot)) THEN r.v ELSE 0 END), list_position(g.tot, list_min(g.tot)), r.id, r.v FROM go g JOIN rn r ON r.bucket = g.bucket AND r.i = g.i + 1)
         SELECT id AS "Account_ID", v AS "Estimated_TAM", bucket || '_Territory_' || p AS "Territory_ID" FROM go WHERE i > 0""",
+    # a locked account's territory joins those of its bucket, and starts with its accounts' values
+    "territory_allocate_locked": f"""WITH RECURSIVE {_ACC}, lk(id, lock) AS (VALUES ('{list(LOCKS)[0]}', '{list(LOCKS.values())[0]}'), ('{list(LOCKS)[1]}', '{list(LOCKS.values())[1]}')),
+        al AS (SELECT acc.*, lock FROM acc LEFT JOIN lk ON lk.id = acc.id),
+        nm AS (SELECT bucket, bucket || '_Territory_' || k AS name, k, 0::BIGINT AS far, '' AS first FROM (SELECT DISTINCT bucket FROM acc), range(1, 4) r(k)
+               UNION ALL SELECT bucket, lock, 4, -max(v), min(id) FROM al WHERE lock IS NOT NULL AND lock NOT IN (bucket || '_Territory_1', bucket || '_Territory_2', bucket || '_Territory_3') GROUP BY bucket, lock),
+        st AS (SELECT nm.bucket, list(nm.name ORDER BY k, far, first) AS names, list(coalesce(s, 0)::BIGINT ORDER BY k, far, first) AS tot
+               FROM nm LEFT JOIN (SELECT bucket, lock, sum(v) AS s FROM al WHERE lock IS NOT NULL GROUP BY ALL) x ON x.bucket = nm.bucket AND x.lock = nm.name GROUP BY nm.bucket),
+        rn AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY v DESC, id) AS i FROM al WHERE lock IS NULL),
+        go AS (SELECT bucket, CAST(0 AS BIGINT) AS i, tot, 0 AS p, '' AS id, 0::BIGINT AS v FROM st
+               UNION ALL SELECT g.bucket, r.i, list_transform(g.tot, lambda x, j: x + CASE WHEN j = list_position(g.tot, list_min(g.tot)) THEN r.v ELSE 0 END), list_position(g.tot, list_min(g.tot)), r.id, r.v FROM go g JOIN rn r ON r.bucket = g.bucket AND r.i = g.i + 1)
+        SELECT id AS "Account_ID", v AS "Estimated_TAM", names[p] AS "Territory_ID" FROM go JOIN st USING (bucket) WHERE i > 0
+        UNION ALL SELECT id, v, lock FROM al WHERE lock IS NOT NULL""",
+    "duration_box": f"""WITH {_CLEAN}, x AS (SELECT CASE WHEN {_LIKE('agency', DEFENSE)} THEN 'DoD' ELSE 'Civilian' END AS sector, CAST(duration AS DOUBLE) AS v FROM cl),
+        q AS (SELECT sector, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM x GROUP BY sector),
+        y AS (SELECT *, v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS inside FROM x JOIN q USING (sector))
+        SELECT sector, min(v) FILTER (inside) AS low, q25, q50, q75, max(v) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outside FROM y GROUP BY sector, q25, q50, q75""",
+    "lasting_by_vendor_type": f"WITH {_CLEAN} SELECT CASE WHEN {_LIKE('vendor', RESELLERS)} THEN 'VAR' ELSE 'Direct' END AS vendor_type, count(*) AS n, CAST(threshold AS INTEGER) AS threshold, round(count(*) FILTER (duration >= threshold) / count(*), 6) AS share FROM cl, (VALUES (30), (365), (1095)) t(threshold) GROUP BY ALL",
     "territory_balance": f"WITH {_STA}, {_BAL.format(where='')}",
     "imbalance": f"WITH {_STA}, {_BAL.format(where='''WHERE starts_with(t, 'ASIA_')''')}",
     "seller_assignments": f'WITH {_STAFF} SELECT t AS "Territory_ID", role AS "Role", seller AS "Seller_ID" FROM se',

@@ -2,6 +2,7 @@
 
 import heapq
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,8 +76,37 @@ def test_suggestions(spark):
 
 
 def test_generator(spark):
-    df = T.generate_accounts(spark, 200)
-    assert len(df.columns) == 13 and df.where("Estimated_TAM > 0").count() == 200
+    df = T.generate_accounts(spark, 5000).toPandas()
+    assert df.shape == (5000, 13) and df["Account_ID"].is_unique
+    for column, shares in (("Account_Segment", T.ACCOUNT_SEGMENTS), ("Region", T.ACCOUNT_REGIONS)):
+        assert df[column].value_counts(normalize=True).to_dict() == pytest.approx({k: v[0] for k, v in shares.items()}, abs=0.03)
+    for region, (_, parts) in T.ACCOUNT_REGIONS.items():
+        assert set(df[df["Region"] == region]["Sub_Region"]) == set(parts)
+    for segment, (_, _, _, mean, spread, value) in T.ACCOUNT_SEGMENTS.items():
+        own = df[df["Account_Segment"] == segment]
+        assert own["Estimated_TAM"].between(0.5 * value, 2.5 * value).all()
+        assert np.log(own["Annual_Revenue"]).median() == pytest.approx(mean, abs=0.15)
+    assert (df["Historical_Spend"] > 0).mean() == pytest.approx(0.4, abs=0.03)
+    assert df["Existing_Relationship_Rep_ID"].notna().mean() == pytest.approx(0.1, abs=0.02)
+    assert df["G2_Intent_Score"].mean() == pytest.approx(50, abs=1.5) and df["Employee_Count"].min() >= 10
+    assert sorted(map(repr, T.generate_accounts(spark, 5000).repartition(7).take(1))) and T.generate_accounts(spark, 0).count() == 0
+
+
+def test_box_and_points(spark):
+    df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4, 100)] + [(None, 5), ("b", None)], "g string, duration int")
+    out = {r.g: r for r in K.box(df, "g").collect()}
+    assert tuple(out["a"]) == ("a", 2.0, 3.0, 4.0, 1.0, 4.0, 1) and out[None].low == 5.0 and "b" not in out
+    points = K.share_lasting(df, "g", [3, 50]).collect()
+    assert {(r.g, r.threshold): (r.n, r.share) for r in points} == {("a", 3): (5, 0.6), ("a", 50): (5, 0.2), (None, 3): (1, 1.0), (None, 50): (1, 0.0)}
+
+
+def test_one_hot(spark):
+    df = spark.createDataFrame([(1, "x", 3), (2, "y", 4), (3, None, 3), (4, "z", None)], "id int, c string, n int")
+    out, names = S.one_hot(df, ["c", "n"], df.where("id < 4"))
+    assert names == ["c_0", "c_1", "n_0", "n_1"]
+    assert {r.id: tuple(r[n] for n in names) for r in out.collect()} == {1: (1, 0, 1, 0), 2: (0, 1, 0, 1), 3: (0, 0, 1, 0), 4: (0, 0, 0, 0)}
+    with pytest.raises(ValueError):
+        S.one_hot(df, ["c"], most=2)
 
 
 def test_contract_expressions(spark):

@@ -176,6 +176,87 @@ SECRETS = [
 ]
 
 
+def brute_candidates(text):
+    """(place, value, features) of every candidate, by plain loops and ``re``."""
+    import re
+
+    key = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    named = re.compile(S.NAMED)
+    share = lambda v, test: sum(map(test, v)) / max(len(v), 1)
+    words, out = re.split(r"[ \t\n\x0b\f\r]+", text or ""), []
+    for place, word in enumerate(words):
+        # maximal runs of a key's characters, and those before them
+        found, at = [], 0
+        while at < len(word):
+            if word[at] not in key:
+                at += 1
+                continue
+            end = at
+            while end < len(word) and word[end] in key:
+                end += 1
+            marks = 0
+            while end + marks < len(word) and word[end + marks] == "=":
+                marks += 1
+            stop = end + marks if marks in (1, 2) and not (end + marks < len(word) and word[end + marks] in key) else end
+            if end - at >= 12 or named.search(word[:at]):
+                found.append((at, stop))
+            at = stop
+        for k, (a, b) in enumerate(found):
+            value = word[a:b]
+            left = found[k - 1][1] if k else 0
+            lead, tail = word[left:a], word[b : found[k + 1][0] if k + 1 < len(found) else len(word)]
+            if re.match(r"[\"'`]?[=:]", lead):
+                lead = (word[slice(*found[k - 1])] if k else "") + lead
+            if not (any(c.isdigit() for c in value) or named.search(lead)):
+                continue
+            own = re.search(S.OWN_LEAD, lead)
+            own, mine = own[0] if own else lead, re.match(S.OWN_TAIL, tail)[0]
+            before = " ".join(words[max(place - 2, 0) : place]) if k == 0 else ""
+            after = f"{mine} {words[place + 1] if place + 1 < len(words) else ''}" if k == len(found) - 1 else mine
+            login = bool(re.search(r"://[^/@:]*:$", own)) and mine.startswith("@")
+            kind = ["a" if "a" <= c <= "z" else "B" if "A" <= c <= "Z" else "1" if c.isdigit() else c for c in value]
+            beside = f"{before} {own}"
+            covered, low, i = 0, value.lower(), 0
+            parts = sorted(set(S.DICTIONARY), key=lambda w: (-len(w), w))
+            while i < len(low):
+                n = next((len(p) for p in parts if low.startswith(p, i)), 0)
+                covered, i = covered + n, i + max(n, 1)
+            flags = {
+                "length": len(value), "digits": share(value, str.isdigit), "uppers": share(value, str.isupper), "lowers": share(value, str.islower), "marks": share(value, lambda c: not c.isalnum()),
+                "shifts": sum(x != y for x, y in zip(kind, kind[1:])) / max(len(value) - 1, 1), "classes": any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value),
+                "hex": all(c in "0123456789abcdef" for c in value), "covered": covered / len(value), "issued": bool(re.search(S.ISSUED, value)),
+                "assigned": bool(re.search(r"[=:][\"'`]?$", own) or re.search(r"[=:]\s*$", before)), "near": bool(re.search(S.NEAR, beside)) or login, "far": bool(re.search(S.FAR, f"{beside} {after}")),
+                "in_path": bool(re.search(r"://|^[./~]|@|\\", own + value + mine) or own.endswith("/")) and not login, "path_code": 0, "all_digits": value.isdigit(),
+                "luhn_like": bool(re.fullmatch(r"[3-6][0-9]{12,18}", value)),
+            }
+            out.append((place, value, {n: float(v) for n, v in flags.items()}))
+    return out
+
+
+def secret_texts(seed, count):
+    rng = random.Random(seed)
+    values = [KEY, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "hunter2", "abcdefabcdefabcdef", "4279055890764913", "dGVzdA12345678==", "x", "my-file_name/2024-01", "s3cr3t+pass/word=", "contentversion99"]
+    marks = ['{"token":"%s"}', "password=%s", "?access_token=%s&user=1", "https://u:%s@host/db", "export A=%s;export B=%s", "api_key: %s", "(%s),", "commit %s", "%s", "id=%s,%s,%s", "le mot", "auth='%s'", "./%s", "plain words"]
+    texts = []
+    for _ in range(count):
+        parts = [rng.choice(marks) for _ in range(rng.randint(0, 5))]
+        texts.append(rng.choice([" ", "  ", "\n"]).join(p % tuple(rng.choice(values) for _ in range(p.count("%s"))) for p in parts))
+    return texts
+
+
+def test_candidates_against_plain_loops(spark):
+    texts = [*secret_texts(5, 150), r"C:\\keys\\a1b2c3d4e5f6g7h8 end", "\\\\share\\0123456789abcdef"]
+    assert sum(len(brute_candidates(t)) for t in texts) > 200
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, text string").withColumn("words", S.words_of(F.col("text")))
+    got = {r.id: r.x for r in df.select("id", S.candidates("words", F.lit("")).alias("x")).collect()}
+    assert not got[-1]
+    for i, text in enumerate(texts):
+        want = brute_candidates(text)
+        assert [(x.place, x.c.value) for x in got[i]] == [w[:2] for w in want], text
+        for x, (_, _, features) in zip(got[i], want, strict=True):
+            assert {n: x.c[n] for n in S.FEATURES} == pytest.approx(features, abs=1e-9), (text, x.c.value)
+
+
 def test_secrets(spark):
     df = spark.createDataFrame([(i, t, "p") for i, t in SECRETS], "doc_id long, text string, value string")
     out = S.secret_scan(df).collect()
@@ -187,6 +268,31 @@ def test_secrets(spark):
     assert S.redact(df).columns == df.columns and S.secret_scan(df.limit(0)).count() == 0
 
 
+def test_redaction_against_plain_loops(spark):
+    import re
+
+    texts = [*secret_texts(6, 120), "", None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    secrets: dict = {}
+    for r in S.secret_scan(df).where("is_secret").collect():
+        secrets.setdefault(r.doc_id, set()).add(r.value)
+    assert len(secrets) > 40
+    named = re.compile(S.NAMED)
+    for r in S.redact(df).collect():
+        want = texts[r.doc_id]
+        for value in sorted(secrets.get(r.doc_id, ()), key=lambda v: (-len(v), v)):
+            if len(value) >= 12:
+                want = want.replace(value, "[secret]")
+                continue
+            # only where it is assigned to a credential's name and ends
+            parts, at = "", 0
+            for m in re.finditer(re.escape(value) + r"(?![A-Za-z0-9+/_\-])", want):
+                parts += want[at : m.start()] + ("[secret]" if named.search(want[: m.start()]) else m[0])
+                at = m.end()
+            want = parts + want[at:]
+        assert r.text == want
+
+
 def test_forest_expression_is_the_forest(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler

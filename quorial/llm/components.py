@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, sorted_side, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links all larger neighbours of a node to its smallest one, then all
     smaller ones.  The number of edges never grows, and rounds are few even for long
     chains.  Edges are written to the shared folder after every round, and the round
-    before is deleted.  Repeated edges count once; edges with a null end or from a node
+    before is deleted; none are broadcast.  Repeated edges count once; edges with a null end or from a node
     to itself are left out, and no edges give no nodes.
     """
     ends = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = known.union(known.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(sorted_side(low), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(sorted_side(least), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         before, known = known, stored(small, "edges")
         discard(before)
         r = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         state = (r.n, r.h)
     leaf = known.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     root = known.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return leaf.union(root.join(leaf, "node", "left_anti"))
+    return leaf.union(root.join(sorted_side(leaf), "node", "left_anti"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, numbered, pick, position, stored, text_digest, tidy, word_hashes
+from .common import mix64, numbered, pick, position, sorted_side, stored, text_digest, tidy, word_hashes
 from .components import components
 
 #: Different texts of a block, and the n-grams of these, are about as many at most
@@ -168,10 +168,10 @@ def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str,
     roots = stored(components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
     # the first row of a class: the smallest id, nulls last
     first = F.min(F.struct("row.none", "row.doc_id", F.col("node").alias("text"))).alias("first")
-    heads = stored(roots.join(alike.select("node", "row"), "node").groupBy("root").agg(first), "heads")
-    named = roots.join(heads, "root").select("node", F.col("first.doc_id").alias("id"), F.col("first.text").alias("text"))
+    heads = stored(roots.join(sorted_side(alike.select("node", "row")), "node").groupBy("root").agg(first), "heads")
+    named = roots.join(sorted_side(heads), "root").select("node", F.col("first.doc_id").alias("id"), F.col("first.text").alias("text"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = alike.select("key", "node", "copies", "row").join(sums, "node", "left").join(named, "node", "left")
+    classes = alike.select("key", "node", "copies", "row").join(sorted_side(sums), "node", "left").join(sorted_side(named), "node", "left")
     alone = F.col("text").isNull()
     classes = classes.select(
         "key", F.when(alone, F.col("row.doc_id")).otherwise(F.col("id")).alias("id"), F.when(alone | (F.col("text") == F.col("node")), F.col("row.digest")).alias("first"),
@@ -179,7 +179,7 @@ def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str,
     )
     stays = F.col("doc_id").isNull() | F.coalesce((F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("first")), F.lit(False))
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("id"))
-    return signed.select("doc_id", "digest", "key").join(classes, "key").select("doc_id", "digest", class_id.alias("class_id"), "n_links", stays.alias("stays"))
+    return signed.select("doc_id", "digest", "key").join(sorted_side(classes), "key").select("doc_id", "digest", class_id.alias("class_id"), "n_links", stays.alias("stays"))
 
 
 def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame:
@@ -187,28 +187,28 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
     spark = rows.sparkSession
     banded = alike.select("node", "n", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1")
-    members = stored(banded.join(full, "band"), "members")
+    members = stored(banded.join(sorted_side(full), "band"), "members")
     # Candidates that buckets connect are dealt over blocks of about BLOCK texts and
     # GRAMS n-grams; those that share their fullest bucket mostly stay together.
-    star = members.join(members.groupBy("band").agg(F.min("node").alias("v")), "band").select(F.col("node").alias("u"), "v").distinct()
+    star = members.join(sorted_side(members.groupBy("band").agg(F.min("node").alias("v"))), "band").select(F.col("node").alias("u"), "v").distinct()
     joint = components(star)
     blocks = lambda texts, grams: F.ceil(F.greatest(F.col(texts) / BLOCK, F.col(grams) / GRAMS))
-    home = members.groupBy("node").agg(F.max(F.struct("size", "band", "grams")).alias("home"), F.first("n").alias("n")).join(joint, "node")
+    home = members.groupBy("node").agg(F.max(F.struct("size", "band", "grams")).alias("home"), F.first("n").alias("n")).join(sorted_side(joint), "node")
     sizes = home.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all_grams"))
-    home = home.select("node", "root", "home.*").join(sizes, "root")
+    home = home.select("node", "root", "home.*").join(sorted_side(sizes), "root")
     part = F.pmod(F.xxhash64("node"), blocks("size", "grams"))
     block = F.xxhash64("root", F.pmod(F.pmod(F.xxhash64("band"), F.lit(2**40)) + part, blocks("texts", "all_grams")))
     home = stored(home.select("node", block.alias("block")), "homes")
     # two blocks are compared if one bucket has members of both
-    met = members.join(home, "node").select("band", "block").distinct()
+    met = members.join(sorted_side(home), "node").select("band", "block").distinct()
     sets = met.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
     lone = sets.select(F.explode("blocks").alias("x")).distinct().select("x", F.col("x").alias("y"))
     cross = sets.where(F.size("blocks") > 1).select("blocks", F.posexplode("blocks").alias("i", "x")).select("x", F.explode(F.slice("blocks", F.col("i") + 2, F.size("blocks"))).alias("y")).distinct()
     side = lambda c, k: F.struct(F.col(c).alias("block"), F.lit(k).alias("side"))
     sides = lone.union(cross).select(F.xxhash64("x", "y").alias("group"), F.explode(F.when(F.col("x") == F.col("y"), F.array(side("x", 0))).otherwise(F.array(side("x", 0), side("y", 1)))).alias("s"))
     sides = sides.select("group", "s.block", "s.side")
-    wanted = home.join(alike.select("node", "row", "copies"), "node")
-    one_each = rows.join(wanted.select("node", "row"), (F.col("digest") == F.col("row.digest")) & F.col("doc_id").eqNullSafe(F.col("row.doc_id")), "inner").select("node", "text")
+    wanted = home.join(sorted_side(alike.select("node", "row", "copies")), "node")
+    one_each = rows.join(sorted_side(wanted.select("node", "row")), (F.col("digest") == F.col("row.digest")) & F.col("doc_id").eqNullSafe(F.col("row.doc_id")), "inner").select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,9 +216,9 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
 
     # a row may repeat, its n-grams are the same
     grams = stored(one_each.mapInArrow(tidy(cut, most=1 << 20), "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
-    asked = wanted.select("node", "copies", "block").join(sides, "block").select("group", "side", "node", "copies")
+    asked = wanted.select("node", "copies", "block").join(sorted_side(sides), "block").select("group", "side", "node", "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.join(grams, "node").select("group", "grams", "side", "node", "copies").repartition(parts, "group").sortWithinPartitions("group", "side", "node")
+    dealt = asked.join(sorted_side(grams), "node").select("group", "grams", "side", "node", "copies").repartition(parts, "group").sortWithinPartitions("group", "side", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -253,4 +253,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     gone = _classes(docs, n, least, recall, id_col, text_col).where("NOT stays").select(F.col("doc_id").alias("gone"), "digest").distinct()
     rows, i, t = numbered(docs), f"c{position(docs, id_col)}", f"c{position(docs, text_col)}"
-    return rows.join(gone, (F.col(i) == F.col("gone")) & (text_digest(F.col(t)) == F.col("digest")), "left_anti").toDF(*docs.columns)
+    return rows.join(sorted_side(gone), (F.col(i) == F.col("gone")) & (text_digest(F.col(t)) == F.col("digest")), "left_anti").toDF(*docs.columns)

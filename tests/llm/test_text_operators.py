@@ -236,6 +236,33 @@ def test_join_odd_tables(spark):
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").split(", ") and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
 
 
+def broadcasts(spark, run):
+    """Of the executions that ``run`` starts: how many there are, and how many broadcast a table."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def known():
+        bus.waitUntilEmpty()
+        seen = store.executionsList()
+        return {x.executionId(): x for x in map(seen.apply, range(seen.size()))}
+
+    before = max(known(), default=-1)
+    run()
+    plans = [x.physicalPlanDescription() for k, x in known().items() if k > before]
+    return len(plans), sum("BroadcastExchange" in p for p in plans)
+
+
+def copies_of_three(spark):
+    rng = random.Random(11)
+    parts = [prose(rng, 60) for _ in range(3)]
+    return docs(spark, [(k, parts[k % 3] + f" end{k}" * (k % 5 > 0)) for k in range(30)])
+
+
+def test_keep_one_sends_no_table_through_the_driver(spark):
+    kept = []
+    runs, sent = broadcasts(spark, lambda: kept.extend(r.doc_id for r in J.keep_one(copies_of_three(spark)).collect()))
+    assert sorted(kept) == [0, 1, 2] and runs > 8 and sent == 0
+
+
 def test_hashes_tell_words_apart():
     rng = random.Random(7)
     texts = ["", "  ", "Ünï the 🙂x", "a" * 47 + " " + "a" * 48 + " " + "a" * 49 + " " + "a" * 50, prose(rng, 400), "the", "x-THE the2"] + [prose(rng, rng.randint(0, 9)) for _ in range(50)]

@@ -263,6 +263,12 @@ def test_keep_one_sends_no_table_through_the_driver(spark):
     assert sorted(kept) == [0, 1, 2] and runs > 8 and sent == 0
 
 
+def test_join_sends_no_table_through_the_driver(spark):
+    classes = []
+    runs, sent = broadcasts(spark, lambda: classes.extend(r.class_id for r in J.ngram_join(copies_of_three(spark)).collect()))
+    assert sorted(classes) == [0] * 10 + [1] * 10 + [2] * 10 and runs > 8 and sent == 0
+
+
 def test_hashes_tell_words_apart():
     rng = random.Random(7)
     texts = ["", "  ", "Ünï the 🙂x", "a" * 47 + " " + "a" * 48 + " " + "a" * 49 + " " + "a" * 50, prose(rng, 400), "the", "x-THE the2"] + [prose(rng, rng.randint(0, 9)) for _ in range(50)]

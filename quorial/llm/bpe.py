@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Cache, distinct_pieces, gather, kept, pick, row_sums, slices, tidy
+from .common import Cache, built, distinct_pieces, gather, in_arrow, kept, pick, row_sums, slices
 from .token_counts import byte_chars
 
 #: Fixed: the split of byte-level vocabularies before any merge.
@@ -253,11 +253,8 @@ class Codec:
         return gather(self.blob, self.starts[ids], self.starts[ids + 1] - self.starts[ids])
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec_of(data: bytes) -> Codec:
-    return _CODECS.get(key := hash(data)) or _CODECS.setdefault(key, Codec(data))
+    return built(("codec", hash(data)), lambda: Codec(data))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -300,5 +297,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    # small batches: ids and places take some 30 bytes for each of text
     extra = ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return in_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", most=1 << 20)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, discard, numbered, pick, position, stored, text_digest, texts, tidy
+from .common import ascii_words, built, discard, in_arrow, numbered, pick, position, stored, text_digest, texts
 
 #: Bytes of item texts in one automaton, about, as a Python worker needs about 105 times
 #: as many; more items make more automata, one pass over the documents each.
@@ -159,16 +159,10 @@ def _marked(spans: Iterable[list[int]], n: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-_AUTOMATA: dict[tuple, SuffixAutomaton] = {}
-
-
 def _automaton(items: list[tuple[str, str]], window: int, name: str) -> SuffixAutomaton:
     """Built once in each Python worker from the items that were sent to it, in place
     of the one before."""
-    if (window, name) not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[window, name] = SuffixAutomaton([(i, ascii_words(t)) for i, t in items], window)
-    return _AUTOMATA[window, name]
+    return built((window, name), lambda: SuffixAutomaton([(i, ascii_words(t)) for i, t in items], window))
 
 
 class Matches:
@@ -199,7 +193,7 @@ class Matches:
         parts = []
         for k in range(count):
             block = sent(items.where(place == k))
-            parts.append(stored(rows.mapInArrow(tidy(_pass(block, window, f"{self.name}-{k}")), _FOUND), "hits"))
+            parts.append(stored(in_arrow(rows, _pass(block, window, f"{self.name}-{k}"), _FOUND), "hits"))
             block.destroy()
         every = parts[0]
         for part in parts[1:]:
@@ -284,7 +278,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, least
             )
 
     rows = matches.rows if matches.joined is None else matches.joined.select("c0", "c1", "spans", "short", "items")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return in_arrow(rows, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_spans(text: str, hit: np.ndarray, by_short: np.ndarray, longest: int, coverage: float) -> str | None:
@@ -329,4 +323,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, longes
             yield pa.RecordBatch.from_arrays(own, names=columns).filter(pa.array(keep, pa.bool_()))
 
     rows = matches.rows if matches.joined is None else matches.joined.select(*columns, "spans", "short", "items")
-    return rows.mapInArrow(tidy(run, text_at=at), matches.rows.schema).toDF(*docs.columns)
+    return in_arrow(rows, run, matches.rows.schema, text_at=at).toDF(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, numbered, pick, position, sorted_side, stored, text_digest, tidy, word_hashes
+from .common import in_arrow, mix64, numbered, pick, position, sorted_side, stored, text_digest, word_hashes
 from .components import components
 
 #: Different texts of a block, and the n-grams of these, are about as many at most
@@ -158,7 +158,7 @@ def _classes(docs: DataFrame, n: int, least: float, recall: float, id_col: str,
             columns = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(sigs.ravel()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "n", "bands"])
 
-    signed = stored(rows.mapInArrow(tidy(sign, most=1 << 20), f"doc_id {kind}, digest binary, key binary, n long, bands array<long>"), "signed")
+    signed = stored(in_arrow(rows, sign, f"doc_id {kind}, digest binary, key binary, n long, bands array<long>", most=1 << 20), "signed")
     # the rows of a text are counted in each task first, so many copies do no harm
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
     alike = signed.groupBy("key").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -215,7 +215,7 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in ngrams(b.column(1).to_pylist(), n)], pa.binary())], ["node", "grams"])
 
     # a row may repeat, its n-grams are the same
-    grams = stored(one_each.mapInArrow(tidy(cut, most=1 << 20), "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    grams = stored(in_arrow(one_each, cut, "node long, grams binary", most=1 << 20).groupBy("node").agg(F.first("grams").alias("grams")), "grams")
     asked = wanted.select("node", "copies", "block").join(sorted_side(sides), "block").select("group", "side", "node", "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.join(sorted_side(grams), "node").select("group", "grams", "side", "node", "copies").repartition(parts, "group").sortWithinPartitions("group", "side", "node")
@@ -239,7 +239,7 @@ def _links(rows: DataFrame, alike: DataFrame, n: int, least: float) -> DataFrame
         named = lambda at: pa.array([held[i][1] for i in at], pa.int64())
         yield pa.RecordBatch.from_arrays([named(has), pa.array(links[has], pa.int64()), named(root[has].tolist())], ["node", "links", "root"])
 
-    return dealt.mapInArrow(tidy(verify, most=16 << 20), "node long, links long, root long")
+    return in_arrow(dealt, verify, "node long, links long, root long", most=16 << 20)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: float = 0.8, recall: float = 0.999) -> DataFrame:

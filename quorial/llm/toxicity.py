@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, position, runs_of, slices, stored, text_digest, tidy
+from .common import in_arrow, numbered, pick, position, runs_of, slices, stored, text_digest
 
 #: Fixed: letters that a character is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -109,7 +109,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(own), pa.array(np.r_[often[plain], np.array([n for _, n in words], np.int64)])], ["word", "n"])
 
     # counted within each task before the shuffle
-    return texts.mapInArrow(tidy(run, text_at=0), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(texts, run, "word string, n long", text_at=0).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trigram_counts(words: DataFrame) -> np.ndarray:
@@ -127,7 +127,7 @@ def trigram_counts(words: DataFrame) -> np.ndarray:
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["gram", "n"])
 
-    rows = words.mapInArrow(tidy(run, text_at=0), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(words, run, "gram long, n long", text_at=0).groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(_SYMBOLS**3)
     for r in rows:
         out[r.gram] = r.n
@@ -283,7 +283,7 @@ def restored(odd: DataFrame, model, words: DataFrame) -> DataFrame:
     total = float(words.agg(F.sum("n")).first()[0] or 0)
     # few bytes, but much work for each: not to be coalesced into few tasks
     parts = int(odd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = odd.select("odd").distinct().repartition(parts, "odd").mapInArrow(tidy(run, text_at=0), "odd string, k int, rest double, own array<string>, word string, cost double")
+    paths = in_arrow(odd.select("odd").distinct().repartition(parts, "odd"), run, "odd string, k int, rest double, own array<string>, word string, cost double", text_at=0)
     known = paths.join(words, "word", "left")
     cost = -F.log((F.coalesce("n", F.lit(0)) + PRIOR * F.exp(-F.col("cost"))) / (total + PRIOR))
     each = known.select("odd", "k", "rest", "own", F.when(F.col("word") == "", 0.0).otherwise(cost).alias("cost"))
@@ -346,7 +346,7 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
         return run
 
     def counted(rows: DataFrame, only: set[str] | None, least: int) -> dict[str, int]:
-        n = rows.select("text", "restored").mapInArrow(tidy(count(only), text_at=0), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        n = in_arrow(rows.select("text", "restored"), count(only), "feature string, n long", text_at=0).groupBy("feature").agg(F.sum("n").alias("n"))
         return {r.feature: r.n for r in n.where(F.col("n") >= least).collect()}
 
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
@@ -361,7 +361,7 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x) for x in _by_document(b, set(place))], pa.list_(pa.int32()))], ["has"])
 
     # the same document in many copies explains once
-    has = [set(r.has) for r in toxic.select("text", "restored").distinct().mapInArrow(tidy(explain, text_at=0), "has array<int>").collect()]
+    has = [set(r.has) for r in in_arrow(toxic.select("text", "restored").distinct(), explain, "has array<int>", text_at=0).collect()]
     rules = []
     while kept:
         n = Counter(f for x in has for f in x)
@@ -433,7 +433,7 @@ def noted(rows: DataFrame, rules: list[tuple[str, float]], base: float) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(odd, pa.list_(pa.string()))], ["key", "score", "odd"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return stored(rows.mapInArrow(tidy(run), f"key {kind}, score double, odd array<string>").withColumn("row", F.monotonically_increasing_id()), "noted")
+    return stored(in_arrow(rows, run, f"key {kind}, score double, odd array<string>").withColumn("row", F.monotonically_increasing_id()), "noted")
 
 
 def _held_out() -> F.Column:
@@ -464,7 +464,7 @@ def scored(rows: DataFrame, doc_ids: DataFrame, labels: DataFrame, label_id: str
             found = pa.array([best_rule(own, w) for w in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), found], ["odd", "more"]).filter(pc.greater(found, 0))
 
-    rated = stored(restored(odd, model, words).mapInArrow(tidy(rate, text_at=0), "odd string, more double"), "rated")
+    rated = stored(in_arrow(restored(odd, model, words), rate, "odd string, more double", text_at=0), "rated")
     # narrow rows, and only those of pieces that a rule fits
     hidden = odd.join(rated, "odd").groupBy("row").agg(F.max("more").alias("more"))
     return first.join(hidden, "row", "left").select("key", F.greatest("score", F.coalesce("more", F.lit(0.0))).alias("score"))
@@ -499,7 +499,7 @@ def _base(learned: DataFrame, rules: list[tuple[str, float]]) -> float:
             free = np.array(free, bool)
             yield pa.RecordBatch.from_arrays([pa.array([int(free.sum())]), pa.array([int((free & (b.column(2).to_numpy() == 1)).sum())])], ["n", "toxic"])
 
-    r = learned.select("text", "restored", "toxic").mapInArrow(tidy(run, text_at=0), "n long, toxic long").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()
+    r = in_arrow(learned.select("text", "restored", "toxic"), run, "n long, toxic long", text_at=0).agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()
     return min(0.49, ((r.toxic or 0) + 0.01) / (r.n + 1)) if r.n and not math.isnan(r.n) else 0.0
 
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+from quorial.llm import components as K
 from quorial.llm import fingerprints as P
 from quorial.llm import ngram_join as J
 from quorial.llm import toxicity as X
@@ -291,6 +292,27 @@ def test_banding():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 160
 
 
+@pytest.mark.parametrize("edges", [100_000, 10])
+def test_components_write_few_edges_in_few_files(spark, monkeypatch, edges):
+    files, stored = [], K.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(K, "stored", noted)
+    monkeypatch.setattr(K, "EDGES", edges, raising=False)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(merged, "false")
+        out = {r.node: r.root for r in components(spark.createDataFrame([(i, i - i % 10) for i in range(60)], "u long, v long")).collect()}
+    finally:
+        spark.conf.unset(merged)
+    assert out == {i: i - i % 10 for i in range(60)}
+    assert len(files) > 2 and max(files[1:]) <= (1 if edges > 54 else 4)
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

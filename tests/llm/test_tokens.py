@@ -1,5 +1,6 @@
 """Token counts and byte-pair codes against the tokenizers library."""
 
+import gc
 import hashlib
 import random
 
@@ -10,7 +11,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from quorial.llm.bpe import Codec, bpe_round_trip
+from quorial.llm.common import tidy
+from quorial.llm.decontaminate import decontaminate
 from quorial.llm.token_counts import TokenCounter, token_counts
+from quorial.llm.toxicity import word_counts
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 FIXED = ["", " ", "a", "aaaa" * 400, "it's  we'll\n\n x", "<|endoftext|>", "a<|startoftext|> b<|endoftext|><|", "ΑΣ ΟΔΟΣ Σ", "é é ẛ̣", "\x00a \x1c b\x85c", "日本語 text 123 ١٢٣ ½", "tab\tend \n", "　wide line", "🙂🙃 x🙂"]
@@ -56,3 +60,36 @@ def test_digests_and_limit(spark):
     assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.decoded == "hello world"
     assert r.decoded_sha256 == hashlib.sha256(b"hello world").hexdigest()
     assert {(r.doc_id, r.n_bytes, r.over_limit) for r in token_counts(df, WORD).collect()} >= {(3, 6000, True), (None, 0, False)}
+
+
+@pytest.mark.parametrize("operator", [lambda df: bpe_round_trip(df, BYTE), lambda df: decontaminate(df, df.limit(0), item_col="doc_id"), lambda df: word_counts(df.select("text"))])
+def test_batches_sent_to_workers_are_bounded_by_bytes(spark, operator):
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 5000) AS text")
+
+    def look(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(limit)
+        operator(df)
+        seen = df.mapInArrow(look, "n long, size long").collect()
+        assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < 5 << 20
+        spark.conf.set(limit, "1m")
+        operator(df)
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_workers_drop_the_vocabulary_for_other_tasks(spark):
+    df = spark.range(0, 8, 1, 8).selectExpr("id AS doc_id", "'some words' AS text")
+    assert {r.n_tokens for r in bpe_round_trip(df, BYTE).collect()} == {2}
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Codec" for x in gc.get_objects())])], ["n"])
+
+    assert sum(r.n for r in df.mapInArrow(tidy(look), "n long").collect()) == 0
+    assert {r.n_tokens for r in bpe_round_trip(df, BYTE).collect()} == {2}

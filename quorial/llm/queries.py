@@ -19,6 +19,8 @@ from .secrets import secret_scan
 from .token_counts import token_counts
 from .tool_calls import conversation_calls
 from .toxicity import toxicity
+from .vector_codes import oracle as codes_sql
+from .vector_codes import vector_codes
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +63,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc, op11_vector_codes)
 }
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> owner THEN owner END AS refers_to
         FROM q""",
+    "op11_vector_codes": codes_sql(),
 }

@@ -15,6 +15,8 @@ from .fingerprints import fingerprints
 from .licenses import license_scan
 from .licenses import oracle as license_sql
 from .ngram_join import ngram_join
+from .phrases import oracle as phrase_sql
+from .phrases import phrases
 from .secrets import secret_scan
 from .token_counts import token_counts
 from .tool_calls import conversation_calls
@@ -67,8 +69,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc, op11_vector_codes)
+    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc, op11_vector_codes, op13_phrases)
 }
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.
@@ -102,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> owner THEN owner END AS refers_to
         FROM q""",
     "op11_vector_codes": codes_sql(),
+    "op13_phrases": phrase_sql(),
 }

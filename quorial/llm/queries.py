@@ -15,6 +15,7 @@ from .fingerprints import fingerprints
 from .licenses import license_scan
 from .licenses import oracle as license_sql
 from .ngram_join import ngram_join
+from .pii import personal_data_digest
 from .phrases import oracle as phrase_sql
 from .phrases import phrases
 from .secrets import secret_scan
@@ -69,12 +70,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc, op11_vector_codes, op13_phrases)
+    f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_ngram_join, op4_tool_calls, op5_secrets, op6_token_counts, op7_decontamination, op8_licenses, op9_bpe, op10_warc, op11_vector_codes, op12_personal_data, op13_phrases)
 }
 
 #: DuckDB twins.  The others are tested against brute force in ``tests/llm``.

@@ -465,7 +465,8 @@ def personal_data_digest(docs: DataFrame, field: Field | None = None, **columns)
     many the field has added."""
     found = personal_data(docs, field, **columns)
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 

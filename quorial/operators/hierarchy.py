@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import below, levels, nodes, rolled_up, topological
+
+__all__ = ["below", "children", "descendants", "edges", "leaf_metrics", "leaves", "levels", "managers", "merge_attributes", "nodes", "rolled_up", "topological", "validate_tree"]
+
 
 def edges(df: DataFrame, path: list[str], mode: str = "adjacent") -> DataFrame:
     """``parent, child`` of a flat path table.
@@ -23,12 +25,6 @@ def edges(df: DataFrame, path: list[str], mode: str = "adjacent") -> DataFrame:
     return df.select(F.explode(pairs).alias("e")).select("e.*").where("parent IS NOT NULL AND child IS NOT NULL").distinct()
 
 
-def nodes(links: DataFrame) -> DataFrame:
-    """``node, is_leaf, is_root``."""
-    ends = links.select(F.col("parent").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("child", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg((F.max("up") == 0).alias("is_leaf"), (F.max("down") == 0).alias("is_root"))
-
-
 def leaf_metrics(df: DataFrame, path: list[str], metrics: list[str]) -> DataFrame:
     """Metrics of the nodes in the last path column whose parent is known; where a leaf
     has several rows the last value that is not null in row order counts (``row_no``
@@ -47,21 +43,10 @@ def children(links: DataFrame, node: str) -> DataFrame:
     return links.where(F.col("parent") == node).select(F.col("child").alias("node"))
 
 
-def _recursive(links: DataFrame, sql: str) -> DataFrame:
-    """Recursive SQL over ``{edges}``.  Spark's limit on the rows of a recursion, a million,
-    is lifted in the session, as a graph may well have more; its limit on the levels
-    stays, and ends circles."""
-    links.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    view = f"edges_{uuid.uuid4().hex}"
-    links.createOrReplaceTempView(view)
-    return links.sparkSession.sql(sql.format(edges=view))
-
-
 def descendants(links: DataFrame, node: str) -> DataFrame:
-    """``node, depth`` below a node, once per path.  A circle ends in Spark's error at
-    its recursion limit."""
-    safe = node.replace("'", "''")
-    return _recursive(links, f"WITH RECURSIVE below(node, depth) AS (SELECT child, 1 FROM {{edges}} WHERE parent = '{safe}' UNION ALL SELECT e.child, depth + 1 FROM below JOIN {{edges}} e ON e.parent = below.node) SELECT node, depth FROM below")
+    """``node, depth`` below a node, once for each depth at which a way leads to it.
+    Circles raise ``ValueError``."""
+    return below(links, node).select("node", "depth")
 
 
 def leaves(links: DataFrame, node: str) -> DataFrame:
@@ -69,14 +54,6 @@ def leaves(links: DataFrame, node: str) -> DataFrame:
     return descendants(links, node).select("node").distinct().join(links.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
 
 
-def levels(links: DataFrame) -> DataFrame:
-    """``node, level``: the shortest way from a root."""
-    roots = nodes(links).where("is_root").select("node")
-    both = links.select("parent", "child").union(roots.select(F.lit(None).cast("string"), "node"))
-    walk = _recursive(both, "WITH RECURSIVE walk(node, level) AS (SELECT child, 0 FROM {edges} WHERE parent IS NULL UNION ALL SELECT e.child, level + 1 FROM walk JOIN {edges} e ON e.parent = walk.node) SELECT node, level FROM walk")
-    return walk.groupBy("node").agg(F.min("level").alias("level"))
-
-
 def managers(links: DataFrame) -> DataFrame:
     """Nodes of which all children are leaves, with their number."""
     kinds = nodes(links).select(F.col("node").alias("child"), "is_leaf")
@@ -84,9 +61,8 @@ def managers(links: DataFrame) -> DataFrame:
 
 
 def validate_tree(links: DataFrame) -> None:
-    """Raises unless every node has one parent and a root is above it."""
+    """Raises unless every node has one parent and there is no circle."""
     double = links.groupBy("child").count().where("count > 1").limit(1).collect()
     if double:
         raise ValueError(f"{double[0].child!r} has more than one parent")
-    if links.limit(1).count() and levels(links).count() < nodes(links).count():
-        raise ValueError("the graph has a circle")
+    levels(links)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.columns import lookup, ratio
+from .graphs import levels, nearest, rolled_up
+from .hierarchy import managers
 
 Thresholds = dict[str, tuple[float, float]]
 #: Healthy and at-risk coverage where nothing else is said.
@@ -71,8 +74,14 @@ def adjust(df: DataFrame, path: list[str], quotas: DataFrame, thresholds: Thresh
     leaf = node_paths(df, path).where(F.col("level") == len(path) - 1).join(start, ["node", "level"])
     steps = [F.try_element_at("steps", F.lit(i)) for i in range(1, len(path) + 1)]
     healthy, at_risk = inherited(steps, thresholds)
-    team = Window.partitionBy(F.slice("steps", 2, len(path)))
-    rows = leaf.withColumn("free", ~locked).withColumn("cov", ratio(F.col("pipeline"), F.col("q"))).withColumn("healthy", healthy).withColumn("at_risk", at_risk)
+    rows = leaf.withColumn("healthy", healthy).withColumn("at_risk", at_risk).withColumn("free", ~locked)
+    done = _moved(rows, Window.partitionBy(F.slice("steps", 2, len(path))), max_pct).select("node", "level", "quota", "adjusted")
+    return start.where(F.col("level") < len(path) - 1).select("node", "level", "quota", F.col("q").alias("adjusted")).unionByName(done)
+
+
+def _moved(rows: DataFrame, team: WindowSpec, max_pct: float) -> DataFrame:
+    """``rows`` (q, pipeline, healthy, at_risk, free) with ``adjusted``, moved in teams."""
+    rows = rows.withColumn("cov", ratio(F.col("pipeline"), F.col("q")))
     donor = F.col("free") & (F.col("cov") >= F.col("healthy"))
     taker = F.col("free") & (F.col("cov") < F.col("at_risk"))
     spare = F.try_divide(F.col("cov") - F.col("healthy"), F.col("cov"))
@@ -84,8 +93,56 @@ def adjust(df: DataFrame, path: list[str], quotas: DataFrame, thresholds: Thresh
     rows = rows.withColumn("D", F.sum("inc").over(team))
     # the donor's side is written last and wins
     new = F.when(works & F.col("give").isNotNull(), F.col("q") - F.col("give") * F.try_divide(F.col("D"), F.col("S"))).when(F.col("inc").isNotNull(), F.col("q") + F.col("inc")).otherwise(F.col("q"))
-    done = rows.select("node", "level", "quota", new.alias("adjusted"))
-    return start.where(F.col("level") < len(path) - 1).select("node", "level", "quota", F.col("q").alias("adjusted")).unionByName(done)
+    return rows.withColumn("adjusted", new)
+
+
+def graph_thresholds(links: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """``node, healthy, at_risk``: those of the node itself or of the nearest one above it
+    (by first parents), else the default, in a graph of any shape."""
+    own = [k for k in thresholds if k != "_default"]
+    inherited([F.lit(None).cast("string")], thresholds)  # refuses thresholds that aren't over 0
+    marks = links.sparkSession.createDataFrame([(k, k) for k in own], "node string, mark string")
+    base = thresholds.get("_default", DEFAULT)
+    limit = lambda k: F.coalesce(lookup(F.col("mark"), {n: float(thresholds[n][k]) for n in own}, None).cast("double"), F.lit(float(base[k])))
+    return nearest(links, marks).select("node", limit(0).alias("healthy"), limit(1).alias("at_risk"))
+
+
+def diagnose_graph(links: DataFrame, pipelines: DataFrame, quotas: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """``diagnose`` for a graph of any shape and depth: ``links`` (parent, child), leaf
+    ``pipelines`` (node, pipeline) and ``quotas`` (node, quota).  A node's pipeline counts
+    once for every way down to a leaf, its level is the fewest steps from a root."""
+    links = links.select("parent", "child").distinct()
+    facts = rolled_up(links, pipelines, ["pipeline"]).join(levels(links), "node").join(graph_thresholds(links, thresholds), "node")
+    joined = facts.join(quotas.select("node", "quota"), "node")
+    coverage = ratio(F.col("pipeline"), F.col("quota"))
+    return joined.select(
+        F.col("node").alias("Node"), F.col("level").alias("Level"), F.round("quota", 2).alias("Cascaded_Quota"), F.round("pipeline", 2).alias("Pipeline"),
+        F.round(coverage, 4).alias("Coverage_Ratio"), F.col("healthy").alias("Healthy_Threshold"), F.col("at_risk").alias("At_Risk_Threshold"), risk(coverage, F.col("healthy"), F.col("at_risk")).alias("Risk_Status"),
+    )
+
+
+def adjust_graph(links: DataFrame, pipelines: DataFrame, quotas: DataFrame, thresholds: Thresholds, mode: str = "flag_only", max_pct: float = 0.20, locks: dict[str, float] | set[str] | None = None) -> DataFrame:
+    """``node, quota, adjusted``: ``adjust`` for a graph of any shape and depth.
+
+    A team is the children of a node of which all are leaves; leaves beside inner nodes
+    keep their quotas.  A member without a quota has none to give.  A leaf in several
+    teams raises ``ValueError`` in ``redistribute``, as its teams would depend on an order."""
+    if mode not in ("flag_only", "redistribute"):
+        raise ValueError(f"mode {mode!r} is neither flag_only nor redistribute")
+    locks = locks or {}
+    start = quotas.select("node", "quota", F.coalesce(lookup(F.col("node"), locks if isinstance(locks, dict) else {}, None).cast("double"), F.col("quota")).alias("q"))
+    if mode == "flag_only":
+        return start.select("node", "quota", F.col("q").alias("adjusted"))
+    links = links.select("parent", "child").distinct()
+    members = links.join(managers(links).select(F.col("node").alias("parent")), "parent").select(F.col("parent").alias("team"), F.col("child").alias("node"))
+    double = members.groupBy("node").count().where("count > 1").limit(1).collect()
+    if double:
+        raise ValueError(f"{double[0].node!r} is in more than one team")
+    known = members.join(start, "node", "left").join(pipelines.select("node", "pipeline"), "node", "left").join(graph_thresholds(links, thresholds), "node")
+    locked = F.col("node").isin(*locks) if locks else F.lit(False)
+    rows = known.select("team", "node", "healthy", "at_risk", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("pipeline", F.lit(0.0)).alias("pipeline"), (~locked).alias("free"))
+    done = _moved(rows, Window.partitionBy("team"), max_pct).select("node", "adjusted")
+    return start.join(done, "node", "left").select("node", "quota", F.coalesce("adjusted", "q").alias("adjusted"))
 
 
 def zero_sum(adjusted: DataFrame, parents: DataFrame, max_pct: float = 0.20) -> DataFrame:

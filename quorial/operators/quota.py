@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup
+from ..functions.tables import written
+from .graphs import below, handed_down, nodes, rolled_up, topological
 
 
 def attainment_columns(df: DataFrame) -> list[str]:
@@ -84,19 +84,17 @@ def cascade(df: DataFrame, path: list[str], target: float, hedge: float | dict[s
 
 
 def cascade_graph(links: DataFrame, capacities: DataFrame, target: float, root: str, hedge: float | dict[str, float] = 1.0, overrides: dict[str, float] | None = None) -> DataFrame:
-    """``node, quota`` for a tree of any shape (``parent, child``) and leaf ``node,
-    capacity``.  Teams that mix leaves and inner nodes are shared by capacity, without
-    overrides.  All sums of a team are made before the walk, so each step is a scalar
-    one.  A node with several parents or a circle raises ``ValueError``."""
-    from .hierarchy import _recursive, nodes, validate_tree
-
-    validate_tree(links)
+    """``node, quota`` for the root and all below it, in a graph of any shape and depth
+    (``parent, child``) with leaf ``node, capacity``.
+
+    Capacities count once for every way down to a leaf.  Teams that mix leaves and inner
+    nodes are shared by capacity, without overrides.  A node with several parents has the
+    share that the last of those with a quota gives it, in ``topological`` order.  A
+    team's sums are made first, so that what is left is to hand quotas down, by doubling.
+    A circle raises ``ValueError``."""
+    links = links.select("parent", "child").distinct()
     kinds = nodes(links).select("node", "is_leaf")
-    leaf = kinds.where("is_leaf").join(capacities, "node", "left").select("node", F.coalesce("capacity", F.lit(0.0)).alias("cap"))
-    view = f"capacity_{uuid.uuid4().hex}"
-    leaf.createOrReplaceTempView(view)
-    up = _recursive(links, f"WITH RECURSIVE up(node, cap) AS (SELECT node, cap FROM {view} UNION ALL SELECT e.parent, cap FROM up JOIN {{edges}} e ON e.child = up.node) SELECT node, cap FROM up")
-    caps = up.groupBy("node").agg(F.sum("cap").alias("cap"))
+    caps = rolled_up(links, capacities, ["capacity"]).withColumnRenamed("capacity", "cap")
     team = Window.partitionBy("parent")
     rows = links.join(caps.withColumnRenamed("node", "child"), "child").join(kinds.withColumnRenamed("node", "child"), "child")
     rows = rows.withColumn("whole", F.bool_and("is_leaf").over(team)).withColumn("over", F.when(F.col("whole"), lookup(F.col("child"), overrides or {}, None).cast("double")))
@@ -109,8 +107,11 @@ def cascade_graph(links: DataFrame, capacities: DataFrame, target: float, root:
     a = F.when(F.col("over").isNotNull(), 0.0).when(fresh, 1 / n).otherwise(share * (1 - F.sum(fresh.cast("int")).over(team) / n))
     b = F.when(F.col("over").isNotNull(), F.col("over")).when(fresh, 0.0).otherwise(-share * F.coalesce(F.sum("over").over(team), F.lit(0.0)))
     steps = rows.select("parent", "child", (a * factor).cast("double").alias("a"), b.cast("double").alias("b"))
-    safe = root.replace("'", "''")
-    return _recursive(steps, f"WITH RECURSIVE down(node, quota) AS (SELECT '{safe}', CAST({float(target)} AS DOUBLE) UNION ALL SELECT e.child, down.quota * e.a + e.b FROM down JOIN {{edges}} e ON e.parent = down.node) SELECT node, quota FROM down")
+    if links.groupBy("child").count().where("count > 1").limit(1).count():
+        heads = written(below(links, root).select("node").distinct().union(links.sparkSession.createDataFrame([(root,)], "node string")).distinct(), "reached")
+        order = heads.join(topological(links), "node").select(F.col("node").alias("parent"), "place")
+        steps = steps.join(order, "parent").groupBy("child").agg(F.max(F.struct("place", "parent", "a", "b")).alias("last")).select("child", "last.parent", "last.a", "last.b")
+    return handed_down(written(steps, "steps"), root, target).withColumnRenamed("value", "quota")
 
 
 def over_assignment(quotas: DataFrame, leaf_level: int, target: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..operators import commit as C
 from ..operators import hierarchy as H
 from ..operators import pipeline as P
@@ -25,8 +26,13 @@ def _org(spark: SparkSession, d: str) -> DataFrame:
     return org.withColumn("capacity", Q.leaf_capacity(Q.attainment_columns(org)))
 
 
+def _stored_org(spark: SparkSession, d: str) -> DataFrame:
+    """The organisation, made from its tables once for all parts of a query."""
+    return written(_org(spark, d), "organisation")
+
+
 def _quotas(spark: SparkSession, d: str, **more) -> DataFrame:
-    return Q.cascade(_org(spark, d), A.PATH, TARGET, **more)
+    return Q.cascade(_stored_org(spark, d), A.PATH, TARGET, **more)
 
 
 def _money(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
@@ -115,6 +121,58 @@ def cascade_graph(spark, d):
     return _money(Q.cascade_graph(H.edges(org, A.PATH), caps, TARGET, "Global_Corp", HEDGE, OVERRIDES), "quota", digits=1)
 
 
+def _compact_org(spark, d):
+    """The stored organisation, its jagged edges without gaps, and its leaves."""
+    org = _stored_org(spark, d)
+    jagged = org.withColumn("Team", F.when(~F.col("IC").endswith("7"), F.col("Team")))
+    leaf = org.select(F.col("IC").alias("node"), "capacity", F.col("Current_Pipeline").alias("pipeline"))
+    return org, written(H.edges(jagged, A.PATH, "compact"), "edges"), leaf
+
+
+def _shared_org(spark, d):
+    """As ``_compact_org``; besides, each nation has a desk for the customers that end in
+    3, and the desk a pod for those that end in 33, so these have several parents."""
+    org, links, leaf = _compact_org(spark, d)
+    desk, pod = F.concat(F.lit("Desk/"), F.col("Nation")), F.concat(F.lit("Pod/"), F.col("Nation"))
+    more = [("3", F.col("Nation"), desk), ("3", desk, F.col("IC")), ("33", desk, pod), ("33", pod, F.col("IC"))]
+    for end, parent, child in more:
+        links = links.union(org.where(F.col("IC").endswith(end)).select(parent, child))
+    return org, written(links.distinct(), "edges"), leaf
+
+
+def cascade_dag(spark, d):
+    _, links, leaf = _shared_org(spark, d)
+    return _money(Q.cascade_graph(links, leaf, TARGET, "Global_Corp", HEDGE, OVERRIDES), "quota", digits=1)
+
+
+def hierarchy_order(spark, d):
+    return H.topological(_shared_org(spark, d)[1])
+
+
+def hierarchy_rollup(spark, d):
+    _, links, leaf = _shared_org(spark, d)
+    return _money(_money(H.rolled_up(links, leaf, ["capacity", "pipeline"]), "capacity", digits=1), "pipeline")
+
+
+def hierarchy_merge(spark, d):
+    """Attributes of users as nodes, told one event after another."""
+    e = A.table(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("node"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("last_purchase"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("last_action"))
+    return H.merge_attributes(rows, "at")
+
+
+def diagnose_graph(spark, d):
+    _, links, leaf = _compact_org(spark, d)
+    quotas = written(Q.cascade_graph(links, leaf, TARGET, "Global_Corp", HEDGE), "quotas")
+    return P.diagnose_graph(links, leaf, quotas, THRESHOLDS)
+
+
+def adjust_graph(spark, d):
+    _, links, leaf = _compact_org(spark, d)
+    quotas = written(Q.cascade_graph(links, leaf, TARGET, "Global_Corp"), "quotas")
+    return _money(P.adjust_graph(links, leaf, quotas, THRESHOLDS, "redistribute", 0.2, LOCKS), "quota", "adjusted")
+
+
 def overassignment(spark, d):
     out = Q.over_assignment(_quotas(spark, d, hedge=HEDGE), 4, TARGET)
     return out.select(F.round("leaf_total", 1).alias("leaf_total"), F.round("over_pct", 6).alias("over_pct"))
@@ -153,7 +211,8 @@ def threshold_inheritance(spark, d):
 
 
 def _diagnosis(spark, d):
-    return P.diagnose(A.organisation(spark, d), A.PATH, _quotas(spark, d, hedge=HEDGE), THRESHOLDS)
+    org = _stored_org(spark, d)
+    return P.diagnose(org, A.PATH, Q.cascade(org, A.PATH, TARGET, HEDGE), THRESHOLDS)
 
 
 def diagnose(spark, d):
@@ -164,8 +223,10 @@ def risk_summary(spark, d):
     return _money(_money(P.risk_summary(_diagnosis(spark, d)), "quota", "pipeline"), "mean_coverage", digits=5)
 
 
-def _adjusted(spark, d, mode, locks=None, q=None):
-    return P.adjust(A.organisation(spark, d), A.PATH, q or _quotas(spark, d), THRESHOLDS, mode, 0.2, locks)
+def _adjusted(spark, d, mode, locks=None):
+    org = _stored_org(spark, d)
+    quotas = written(Q.cascade(org, A.PATH, TARGET), "quotas")
+    return P.adjust(org, A.PATH, quotas, THRESHOLDS, mode, 0.2, locks)
 
 
 def adjust_flag_only(spark, d):
@@ -197,7 +258,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         hierarchy_edges, hierarchy_nodes, hierarchy_leaf_metrics, hierarchy_children, hierarchy_leaves, hierarchy_levels, hierarchy_managers, hierarchy_jagged, hierarchy_compact,
-        leaf_capacity, supplier_capacity, capacity_rollup, cascade_flat, cascade_hedged, cascade_node_hedge, cascade_overrides, cascade_subtree, cascade_graph, overassignment,
+        leaf_capacity, supplier_capacity, capacity_rollup, cascade_flat, cascade_hedged, cascade_node_hedge, cascade_overrides, cascade_subtree, cascade_graph, cascade_dag, overassignment,
+        hierarchy_order, hierarchy_rollup, hierarchy_merge, diagnose_graph, adjust_graph,
         bias_quotient, bias_labels, reconcile_human, reconcile_blend, pipeline_rollup, threshold_inheritance, diagnose, risk_summary,
         adjust_flag_only, adjust_redistribute, adjust_locked, adjust_lock_set, zero_sum_check, top_movers,
     )
@@ -280,7 +342,52 @@ def _adjust(locks: dict | set | None = None) -> str:
 _ADJ = "SELECT node, level, round(quota, 2) AS quota, round(adjusted, 2) AS adjusted FROM adj"
 _PCT = "mv AS (SELECT node, quota, adjusted, round((adjusted - quota) / quota * 100, 4) AS pct FROM adj WHERE level = 4 AND quota > 0)"
 
+_MARKS = ", ".join(f"'{n}'" for n in THRESHOLDS if n != "_default")
+_COMPACT = "SELECT DISTINCT parent, child FROM (SELECT l0 AS parent, l1 AS child FROM jag UNION ALL SELECT l1, l2 FROM jag UNION ALL SELECT l2, coalesce(l3, l4) FROM jag UNION ALL SELECT l3, l4 FROM jag) WHERE parent IS NOT NULL"
+_SHARED = f"""SELECT DISTINCT parent, child FROM ({_COMPACT} UNION ALL SELECT l2, 'Desk/' || l2 FROM org WHERE l4 LIKE '%3' UNION ALL SELECT 'Desk/' || l2, l4 FROM org WHERE l4 LIKE '%3'
+              UNION ALL SELECT 'Desk/' || l2, 'Pod/' || l2 FROM org WHERE l4 LIKE '%33' UNION ALL SELECT 'Pod/' || l2, l4 FROM org WHERE l4 LIKE '%33')"""
+
+
+def _graph(links: str, hedge: float = 1.0, overrides: dict | None = None) -> str:
+    """CTEs for a graph: e, kinds, sums (per way), gen, and quotas (last parent wins)."""
+    return f"""WITH RECURSIVE {ORG}, {_JAG}, e AS MATERIALIZED ({links}),
+    kinds AS MATERIALIZED (SELECT node, node NOT IN (SELECT parent FROM e) AS is_leaf, node NOT IN (SELECT child FROM e) AS is_root FROM (SELECT parent AS node FROM e UNION SELECT child FROM e)),
+    up AS (SELECT node, cap, pipeline AS pipe FROM kinds JOIN org ON node = l4 WHERE is_leaf UNION ALL SELECT e.parent, up.cap, up.pipe FROM up JOIN e ON e.child = up.node),
+    sums AS MATERIALIZED (SELECT node, sum(cap) AS cap, sum(pipe) AS pipe FROM up GROUP BY node),
+    walk AS (SELECT node, 0 AS g FROM kinds WHERE is_root UNION ALL SELECT e.child, g + 1 FROM walk JOIN e ON e.parent = walk.node),
+    gen AS MATERIALIZED (SELECT node, max(g) AS generation, min(g) AS level FROM walk GROUP BY node),
+    mem AS (SELECT e.parent, e.child, s.cap, bool_and(k.is_leaf) OVER (PARTITION BY e.parent) AS whole, {_case('e.child', overrides or {}, 'CAST(NULL AS DOUBLE)')} AS given FROM e JOIN sums s ON s.node = e.child JOIN kinds k ON k.node = e.child),
+    mo AS (SELECT *, CASE WHEN whole THEN given END AS ov, whole AND (CASE WHEN whole THEN given END) IS NULL AND cap = 0 AS fresh FROM mem),
+    su AS (SELECT *, count(*) OVER w AS n, sum(cap) OVER w AS total, count(*) FILTER (fresh) OVER w AS nf, coalesce(sum(ov) OVER w, 0) AS taken, sum(cap) FILTER (ov IS NULL AND NOT fresh) OVER w AS weight FROM mo WINDOW w AS (PARTITION BY parent)),
+    sh AS (SELECT *, CASE WHEN whole THEN coalesce(cap / nullif(weight, 0), 0) WHEN total > 0 THEN cap / total ELSE 1.0 / n END AS share FROM su),
+    co AS (SELECT parent, child, {hedge} * CASE WHEN ov IS NOT NULL THEN 0 WHEN fresh THEN 1.0 / n ELSE share * (1 - nf / n) END AS a, CASE WHEN ov IS NOT NULL THEN ov WHEN fresh THEN 0 ELSE -share * taken END AS b FROM sh),
+    win AS MATERIALIZED (SELECT co.* FROM co JOIN gen ON gen.node = co.parent QUALIFY row_number() OVER (PARTITION BY child ORDER BY generation DESC, parent DESC) = 1),
+    down AS (SELECT 'Global_Corp' AS node, CAST({TARGET} AS DOUBLE) AS quota UNION ALL SELECT w.child, d.quota * w.a + w.b FROM down d JOIN win w ON w.parent = d.node),
+    first_up AS MATERIALIZED (SELECT child, min(parent) AS parent FROM e GROUP BY child),
+    climb AS (SELECT node, node AS spot FROM kinds UNION ALL SELECT c.node, f.parent FROM climb c JOIN first_up f ON f.child = c.spot WHERE c.spot NOT IN ({_MARKS})),
+    limits AS MATERIALIZED (SELECT k.node, coalesce(max({_case('spot', {n: v[0] for n, v in THRESHOLDS.items() if n != '_default'}, 'NULL')}), {THRESHOLDS['_default'][0]}) AS healthy, coalesce(max({_case('spot', {n: v[1] for n, v in THRESHOLDS.items() if n != '_default'}, 'NULL')}), {THRESHOLDS['_default'][1]}) AS at_risk
+               FROM kinds k LEFT JOIN climb c ON c.node = k.node AND c.spot IN ({_MARKS}) GROUP BY k.node)"""
+
+
+_TEAMS = f"""{_graph(_COMPACT)},
+    bosses AS (SELECT e.parent AS team FROM e JOIN kinds k ON k.node = e.child GROUP BY e.parent HAVING bool_and(is_leaf)),
+    st AS (SELECT node, quota, coalesce({_case('node', LOCKS, 'NULL')}, quota) AS q FROM down),
+    lf AS (SELECT b.team, st.node, st.quota, st.q, pipe AS pipeline, healthy, at_risk, st.node NOT IN ({', '.join(f"'{n}'" for n in LOCKS)}) AS free, CASE WHEN q > 0 THEN pipe / q ELSE 0 END AS cov FROM bosses b JOIN e ON e.parent = b.team JOIN st ON st.node = e.child JOIN sums s ON s.node = st.node JOIN limits l ON l.node = st.node),
+    gn AS (SELECT *, CASE WHEN free AND cov >= healthy THEN greatest(0, least(q * 0.2, q * ((cov - healthy) / cov))) END AS give, CASE WHEN free AND cov < at_risk THEN CASE WHEN cov > 0 THEN greatest(0, (at_risk - cov) / at_risk) ELSE 1.0 END END AS need FROM lf),
+    sm AS (SELECT *, sum(give) OVER w AS s, sum(need) OVER w AS n, count(*) FILTER (free) OVER w AS members FROM gn WINDOW w AS (PARTITION BY team)),
+    ic AS (SELECT *, coalesce(members >= 2 AND s > 0 AND n > 0, false) AS works, CASE WHEN members >= 2 AND s > 0 AND n > 0 AND need IS NOT NULL THEN least(s * (need / n), q * 0.2) END AS inc FROM sm),
+    dd AS (SELECT *, sum(inc) OVER (PARTITION BY team) AS d FROM ic)
+    SELECT st.node, round(st.quota, 2) AS quota, round(CASE WHEN works AND give IS NOT NULL THEN dd.q - give * (d / s) WHEN inc IS NOT NULL THEN dd.q + inc ELSE st.q END, 2) AS adjusted FROM st LEFT JOIN dd ON dd.node = st.node"""
+
 ORACLE_SQL = {
+    "cascade_dag": f"{_graph(_SHARED, HEDGE, OVERRIDES)} SELECT node, round(quota, 1) AS quota FROM down",
+    "hierarchy_order": f"{_graph(_SHARED)} SELECT node, generation, row_number() OVER (ORDER BY generation, node) - 1 AS place FROM gen",
+    "hierarchy_rollup": f"{_graph(_SHARED)} SELECT node, round(cap, 1) AS capacity, round(pipe, 2) AS pipeline FROM sums",
+    "hierarchy_merge": "SELECT user_id AS node, arg_max(value, event_id) FILTER (event_type = 'purchase' AND value IS NOT NULL) AS last_purchase, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS last_action FROM events GROUP BY user_id",
+    "diagnose_graph": f"""{_graph(_COMPACT, HEDGE)}, c AS (SELECT d.node, level, quota, pipe, CASE WHEN quota > 0 THEN pipe / quota ELSE 0 END AS cov, healthy, at_risk FROM down d JOIN sums USING (node) JOIN gen USING (node) JOIN limits USING (node))
+        SELECT node AS "Node", level AS "Level", round(quota, 2) AS "Cascaded_Quota", round(pipe, 2) AS "Pipeline", round(cov, 4) AS "Coverage_Ratio", healthy AS "Healthy_Threshold", at_risk AS "At_Risk_Threshold",
+               CASE WHEN cov >= healthy THEN 'Healthy' WHEN cov >= at_risk THEN 'Moderate' WHEN cov >= 1.0 THEN 'At Risk' ELSE 'Critical' END AS "Risk_Status" FROM c""",
+    "adjust_graph": _TEAMS,
     "hierarchy_edges": f"WITH {ORG} {_EDGES.format(o='org')}",
     "hierarchy_nodes": f"WITH {ORG}, e AS ({_EDGES.format(o='org')}), n AS (SELECT parent AS node FROM e UNION SELECT child FROM e) SELECT count(*) AS nodes, count(*) FILTER (node NOT IN (SELECT parent FROM e)) AS leaves, count(*) FILTER (node NOT IN (SELECT child FROM e)) AS roots, (SELECT count(*) FROM e) AS edges FROM n",
     "hierarchy_leaf_metrics": f'WITH {ORG} SELECT l4 AS node, round(pipeline, 2) AS "Current_Pipeline" FROM org',

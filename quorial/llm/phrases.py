@@ -1,9 +1,10 @@
 """Phrase collocations by contiguous pattern growth.
 
-Occurrences of a frequent prefix are projected to what follows them, dealt to one task a
-prefix, and grown to the right depth-first: in sorted order every extension of a prefix is
-a run inside that prefix's run.  Prefixes begin as pairs of words; those with very many
-projected occurrences are split into their extensions, each a task of its own.
+Occurrences of a frequent prefix are projected to what follows them and packed in blocks;
+the blocks of a prefix are dealt to one task, which extends it to the right depth-first:
+in sorted order every extension of a prefix is a run inside that prefix's run.  A prefix
+with more projected occurrences than a task may hold is projected on to its extensions,
+which are prefixes of their own, as often as needed.
 
 Words are 64-bit numbers made from language and word; should two words of a corpus get
 one number, all numbers are made anew with another seed.
@@ -26,6 +27,9 @@ BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 LONGEST = 5
 #: Bits of the filter of pairs, at most, as a power of two: 32 MB.
 FILTER = 28
+#: Projected occurrences that a task holds to combine equal ones, those of a block, and
+#: those of one prefix that a task may hold.
+HELD, BLOCK, MOST = 800_000, 8_000, 400_000
 #: So many languages are broadcast at most.
 LANGS = 20_000
 
@@ -59,9 +63,13 @@ class Words:
         if not len(self.begin):
             self.id = np.zeros(0, np.int64)
             return
-        place = np.arange(len(data), dtype=np.int64) - np.repeat(np.r_[0, self.begin[1:]], np.diff(np.r_[0, self.begin[1:], len(data)]))
+        place = np.arange(len(data), dtype=np.int32)
+        place -= np.repeat(np.r_[0, self.begin[1:]].astype(np.int32), np.diff(np.r_[0, self.begin[1:], len(data)]))
+        np.clip(place, 0, _PLACES - 1, out=place)
         with np.errstate(over="ignore"):
-            value = values[data] * weights[np.clip(place, 0, _PLACES - 1)] * (kind == 0)
+            value = values[data]
+            value *= weights[place]
+            value[kind != 0] = 0
             out = mix64(np.add.reduceat(value, self.begin) + self.size.astype(np.uint64))
             for i in np.flatnonzero(self.size > _PLACES).tolist():
                 out[i] = int(sha256_hex(str(seed).encode() + self.word(i))[:16], 16)
@@ -117,13 +125,11 @@ def _pair_filter(rows: DataFrame, seed: int, least: int, bits: int) -> np.ndarra
 
 
 def _projected(rows: DataFrame, seed: int, bits: int, often) -> DataFrame:
-    """``w1 .. w5, n``: for every occurrence of a pair that may be frequent what follows
-    it in its piece, up to the first pair that can't be (0: nothing more), and how often
-    that is so in a batch."""
-    names = [f"w{k + 1}" for k in range(LONGEST)]
+    """Blocks (see ``_blocks``) of what follows each word, for all occurrences of pairs
+    that may be frequent: the next words up to the first pair that can't be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = often.value
+        table, held = often.value, []
         for _, w in _batches(batches, seed):
             goes = w.joined()
             at = np.flatnonzero(goes)
@@ -136,78 +142,132 @@ def _projected(rows: DataFrame, seed: int, bits: int, often) -> DataFrame:
             for k in range(1, LONGEST):
                 on &= goes[at + k - 1]
                 context.append(np.where(on, ids[at + k], 0))
-            order = np.lexsort(context[::-1])
-            context = [c[order] for c in context]
-            new = np.r_[True, np.any([c[1:] != c[:-1] for c in context], 0)] if len(order) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            n = np.diff(np.r_[start, len(order)])
-            yield pa.RecordBatch.from_arrays([*[pa.array(c[start]) for c in context], pa.array(n.astype(np.int64))], [*names, "n"])
-
-    return in_arrow(rows, run, ", ".join(f"{c} long" for c in [*names, "n"]), most=6 << 20)
-
-
-def _prefix_tasks(projected: DataFrame) -> DataFrame:
-    """``projected`` with ``depth``, the words in the prefix of each row's task.
-
-    A prefix with more rows than a thousandth of all (10,000 at least) is split into its
-    extensions, so no more than 1,000 prefixes of a length are: these are what the driver
-    holds."""
-    most = max(10_000, projected.count() // 1000)
-    words = lambda k: F.xxhash64(*[f"w{i + 1}" for i in range(k)])
-    depth, rows = F.lit(2), projected
-    for k in range(2, LONGEST):
-        hot = [r.key for r in rows.groupBy(words(k).alias("key")).count().where(F.col("count") > most).collect()]
-        if not hot:
-            break
-        rows = rows.where(words(k).isin(hot))
-        depth = F.when(words(k).isin(hot), k + 1).otherwise(depth) if k == 2 else F.when((depth == k) & words(k).isin(hot), k + 1).otherwise(depth)
-    return projected.withColumn("depth", depth)
+            held.append(np.stack([*context, np.ones(len(at), np.int64)]))
+            if sum(h.shape[1] for h in held) > HELD:
+                held = [_combined(held)]
+                if held[0].shape[1] > HELD // 2:
+                    yield _blocks(held.pop(), 1)
+        if held:
+            yield _blocks(_combined(held), 1)
+
+    return in_arrow(rows, run, _BLOCKS)
+
+
+def _combined(held: list[np.ndarray]) -> np.ndarray:
+    """The different columns of some arrays in order, their last rows summed."""
+    rows = np.concatenate(held, 1)
+    rows = rows[:, np.lexsort(rows[-2::-1])]
+    new = np.r_[True, (rows[:-1, 1:] != rows[:-1, :-1]).any(0)] if rows.shape[1] else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    return np.r_[rows[:-1, start], np.add.reduceat(rows[-1:], start, 1) if len(start) else rows[-1:]]
+
+
+#: A prefix, the different occurrences in a block and how many there are in all, and these:
+#: rows of words (0: no more) and a row of counts.
+_BLOCKS = "prefix array<long>, size long, n long, block binary"
+
+
+def _blocks(rows: np.ndarray, depth: int) -> pa.RecordBatch:
+    """Sorted occurrences as blocks of one prefix of ``depth`` words and bounded size."""
+    m = rows.shape[1]
+    new = np.r_[True, (rows[:depth, 1:] != rows[:depth, :-1]).any(0)] if m else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    start = np.unique(np.r_[start, [k for a, b in zip(start, np.r_[start[1:], m][: len(start)], strict=True) if b - a > BLOCK for k in range(a, b, BLOCK)]]).astype(np.int64)
+    end = np.r_[start[1:], m][: len(start)].astype(np.int64)
+    n = np.add.reduceat(rows[-1], start) if m else rows[-1]
+    blocks = [np.ascontiguousarray(rows[:, a:b]).tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    ends = pa.array(np.arange(len(start) + 1) * depth, pa.int32())
+    prefix = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows[:depth, start].T).ravel()))
+    return pa.RecordBatch.from_arrays([prefix, pa.array((end - start).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(blocks, pa.binary())], ["prefix", "size", "n", "block"])
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, np.int64).reshape(LONGEST + 1, -1)
+
+
+def grown(rows: np.ndarray, depth: int, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """From different occurrences in order that share ``depth`` words, that prefix (from
+    two words on) and every frequent one that extends it, depth-first, with its count."""
+    prefix, total = tuple(rows[:depth, 0].tolist()), int(rows[-1].sum())
+    if depth > 1 and total >= least:
+        yield prefix, total
+    if depth < LONGEST and total >= least:
+        word = rows[depth]
+        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        often = np.add.reduceat(rows[-1], start) >= least
+        for a, b in zip(start[often].tolist(), np.r_[start[1:], len(word)][often].tolist(), strict=True):
+            if word[a]:
+                yield from grown(rows[:, a:b], depth + 1, least)
+
+
+def _mined(blocks: DataFrame, depth: int, least: int) -> DataFrame:
+    """``phrase, a``: the blocks of a prefix meet in a task and are grown."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.select("prefix", "block").repartition(parts, F.xxhash64("prefix")).sortWithinPartitions("prefix")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, held, found = None, [], []
+        for b in batches:
+            for p, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p != prefix:
+                    if held:
+                        found += grown(_combined(held), depth, least)
+                    prefix, held = p, []
+                held.append(_unpacked(block))
+            if len(found) > 50_000:
+                yield out(found)
+                found = []
+        if held:
+            found += grown(_combined(held), depth, least)
+        yield out(found)
 
-def _grown(projected: DataFrame, least: int) -> DataFrame:
-    """``phrase, a`` for every phrase of 2 to 5 words with at least ``least`` occurrences;
-    a phrase is an array of numbers."""
-    spark = projected.sparkSession
-    names = [f"w{k + 1}" for k in range(LONGEST)]
-    task = F.xxhash64("w1", "w2", *[F.when(F.col("depth") > k, F.col(f"w{k + 1}")).otherwise(0) for k in range(2, LONGEST)])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _prefix_tasks(projected).withColumn("task", task).repartition(parts, "task").sortWithinPartitions(*names).select(*names, "n", "depth")
+    def out(found: list[tuple[tuple[int, ...], int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([a for _, a in found], pa.int64())], ["phrase", "a"])
+
+    return in_arrow(dealt, run, "phrase array<long>, a long")
+
+
+def _projected_on(blocks: DataFrame, depth: int) -> DataFrame:
+    """Blocks of prefixes of one word more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the run that is open at each length: its words, its occurrences, its task's depth
-        last, sums, last_depth = None, [0] * LONGEST, 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            w = np.stack([c.to_numpy() for c in b.columns[:LONGEST]])
-            n, depth = b.column(LONGEST).to_numpy(), b.column(LONGEST + 1).to_numpy()
-            before = w[:, :1] if last is None else last[:, None]
-            differs = np.diff(np.concatenate([before, w], 1), axis=1) != 0
-            for k in range(1, LONGEST):
-                new = differs[: k + 1].any(0)
-                start = np.flatnonzero(np.r_[True, new[1:]])
-                total = np.add.reduceat(n, start)
-                words, deep = w[: k + 1, start], depth[start]
-                if last is not None:
-                    if new[0]:
-                        words, total, deep = np.c_[last[: k + 1], words], np.r_[sums[k], total], np.r_[last_depth, deep]
-                    else:
-                        total[0] += sums[k]
-                sums[k] = int(total[-1])
-                yield frequent(words[:, :-1], total[:-1], deep[:-1])
-            last, last_depth = w[:, -1].copy(), depth[-1]
-        if last is not None:
-            for k in range(1, LONGEST):
-                yield frequent(last[: k + 1, None], np.array([sums[k]]), np.array([last_depth]))
+            rows = [_unpacked(x) for x in b.column(1).to_pylist()]
+            rows = [r[:, r[depth] != 0] for r in rows]
+            if any(r.shape[1] for r in rows):
+                yield _blocks(_combined(rows), depth + 1)
+
+    return in_arrow(blocks.select("prefix", "block"), run, _BLOCKS)
 
-    def frequent(words: np.ndarray, total: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
-        # a prefix shorter than its tasks' own is summed over them later
-        keep = (words[-1] != 0) & ((total >= least) | (len(words) < depth))
-        words = words[:, keep]
-        ends = pa.array(np.arange(words.shape[1] + 1) * len(words), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(words.T).ravel())), pa.array(total[keep].astype(np.int64))], ["phrase", "a"])
 
-    return dealt.mapInArrow(run, "phrase array<long>, a long").groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+def _phrases(blocks: DataFrame, least: int) -> DataFrame:
+    """``phrase, a`` for every phrase of 2 to 5 words with at least ``least`` occurrences;
+    a phrase is an array of numbers.
+
+    A prefix with more than ``MOST`` occurrences in its blocks is not held by a task, but
+    projected on; a prefix of all words has no more to extend and is only summed."""
+    spark, found, depth = blocks.sparkSession, [], 1
+    while True:
+        sizes = stored(blocks.groupBy("prefix").agg(F.sum("size").alias("all"), F.sum("n").alias("a")).where(F.col("a") >= least), "sizes")
+        if depth == LONGEST:
+            found.append(sizes.select(F.col("prefix").alias("phrase"), "a"))
+            break
+        large = sizes.where(F.col("all") > MOST)
+        if not large.limit(1).count():
+            found.append(stored(_mined(blocks, depth, least), "mined"))
+            break
+        sized = blocks.join(sorted_side(sizes.select("prefix", "all")), "prefix")
+        found.append(stored(_mined(sized.where(F.col("all") <= MOST), depth, least), "mined"))
+        if depth > 1:
+            found.append(large.select(F.col("prefix").alias("phrase"), "a"))
+        before, blocks = blocks, stored(_projected_on(sized.where(F.col("all") > MOST), depth), "blocks")
+        if depth > 1:
+            discard(before)
+        depth += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def phrases(docs: DataFrame, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -239,7 +299,7 @@ def phrases(docs: DataFrame, least: int = 100, top: int = 2000, text_col: str =
     often = spark.sparkContext.broadcast(_pair_filter(rows, seed, least, bits))
     projected = stored(_projected(rows, seed, bits, often), "projected")
     often.destroy()
-    found = stored(_grown(projected, least), "phrases")
+    found = stored(_phrases(projected, least), "phrases")
     discard(projected)
     parts = found.select(F.col("phrase").alias("part"), F.col("a").alias("f"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("word"))
     parts = parts.union(words.where(F.col("n") >= least).select(F.array("id").alias("part"), F.col("n").alias("f"), "lang", "word"))

@@ -72,37 +72,31 @@ def test_odd_rows(spark):
     assert mined(df.where("text = ''")) == []
 
 
-def test_hot_prefixes_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 12, 60])
+def test_large_prefixes_are_projected_on(spark, monkeypatch, most):
     rng = random.Random(9)
-    rows = [(i, " ".join(["hot pair " + " ".join(rng.choices("abcdef", k=4)) for _ in range(40)]), "en") for i in range(20)]
+    rows = [(i, " ".join(["hot pair " + " ".join(rng.choices("abcdef", k=4)) for _ in range(40)]) + " stop here now", "en") for i in range(20)]
     df = spark.createDataFrame(rows, KIND).repartition(4)
-    assert mined(df, least=3) == plain(rows, 3)
+    monkeypatch.setattr(P, "MOST", most)
+    monkeypatch.setattr(P, "BLOCK", 7)
     depths = []
-
-    def deeper(projected):
-        out = projected.withColumn("depth", 2 + P.F.pmod(P.F.xxhash64("w1", "w2"), P.F.lit(2)) + P.F.when(P.F.pmod(P.F.xxhash64("w1", "w2"), P.F.lit(2)) == 1, P.F.pmod(P.F.xxhash64("w1", "w2", "w3"), P.F.lit(3))).otherwise(0))
-        out = out.withColumn("depth", P.F.col("depth").cast("int"))
-        depths.extend(r.depth for r in out.select("depth").distinct().collect())
-        return out
-
-    monkeypatch.setattr(P, "_prefix_tasks", deeper)
+    real = P._projected_on
+    monkeypatch.setattr(P, "_projected_on", lambda blocks, depth: depths.append(depth) or real(blocks, depth))
     assert mined(df, least=3) == plain(rows, 3)
-    assert {2, 3, 5} <= set(depths)
-
-
-def test_more_rows_than_a_task_takes(spark):
-    rows = spark.range(40_000).selectExpr("7L AS w1", "8L AS w2", "id % 50 AS w3", "CASE WHEN id % 50 > 0 THEN id % 900 ELSE 0 END AS w4", "0L AS w5", "1L AS n")
-    rows = rows.union(spark.range(30).selectExpr("id + 20", "1L", "2L", "3L", "4L", "1L"))
-    depths = {(r.w1 == 7, r.depth) for r in P._prefix_tasks(rows).select("w1", "depth").distinct().collect()}
-    assert depths == {(True, 3), (False, 2)}
-    got = {tuple(r.phrase): r.a for r in P._grown(rows, 30).collect()}
-    want = Counter()
-    for r in rows.collect():
-        words = [w for w in r[:5]]
-        for k in range(2, 6):
-            if words[k - 1]:
-                want[tuple(words[:k])] += r.n
-    assert got == {p: a for p, a in want.items() if a >= 30}
+    assert depths == {1: [1, 2, 3, 4], 12: [1, 2, 3], 60: [1, 2]}[most][: len(depths)] and depths
+
+
+def test_blocks():
+    rng = P.np.random.default_rng(2)
+    rows = P._combined([P.np.r_[rng.integers(1, 4, (5, 500)), P.np.ones((1, 500), P.np.int64)]])
+    assert rows[-1].sum() == 500 and rows.shape[1] == len({tuple(c) for c in rows[:5].T.tolist()})
+    for depth in (1, 2, 4):
+        b = P._blocks(rows, depth)
+        back = [P._unpacked(x) for x in b.column(3).to_pylist()]
+        assert (P.np.concatenate(back, 1) == rows).all()
+        assert all((r[:depth] == P.np.array(p)[:, None]).all() for r, p in zip(back, b.column(0).to_pylist(), strict=True))
+        assert b.column(1).to_pylist() == [r.shape[1] for r in back] and b.column(2).to_pylist() == [int(r[-1].sum()) for r in back]
+    assert P._blocks(rows[:, :0], 1).num_rows == 0
 
 
 def test_words_of_one_number_get_another(spark, monkeypatch):

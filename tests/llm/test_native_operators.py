@@ -324,7 +324,7 @@ def license_rows():
                 words[rng.randrange(len(words))] = "other"
             lines.insert(0, "\n".join([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]) + "\n" if i % 2 else " ".join(words))
         rows.append((i, "\n".join(lines)))
-    rows.append((600, " ".join([next(t for name, t in C.TEMPLATES if name == "ISC")] * 9)))
+    rows.append((600, " ".join([next(t[1] for t in C.TEMPLATES if t[0] == "ISC")] * 9)))
     return [*rows, (500, None), (501, ""), (502, "\n \n"), (0, rows[0][1])]
 
 
@@ -340,6 +340,50 @@ def test_licences_against_all_templates(spark):
     assert got == want and len(got) > 20 and (600, 0, "ISC") in {r[:3] for r in got}
 
 
+HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TWO = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THREE = "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+
+LICENSED = [
+    (HEADER.format("General", "2"), {"GPL-2.0"}),
+    (HEADER.format("General", "3"), {"GPL-3.0"}),
+    (HEADER.format("Affero General", "3"), {"AGPL-3.0"}),
+    (HEADER.format("Lesser General", "2.1"), {"LGPL-2.1"}),
+    (HEADER.format("Lesser General", "3"), {"LGPL-3.0"}),
+    (HEADER.format("General", "4"), set()),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", {"CC-BY-NC-ND-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"CC-BY-NC-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", {"CC-BY-3.0"}),
+    ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0"}),
+    ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}),
+    ("Licensed under the Apache License, Version 1.1.", {"Apache-1.1"}),
+    (BSD, {"BSD"}),
+    (BSD + BSD_TWO, {"BSD-2-Clause"}),
+    (f"{BSD}{BSD_TWO} 3. {BSD_THREE}", {"BSD-3-Clause"}),
+    (BSD_THREE, {"BSD-3-Clause"}),
+    (f"{FEE}.", {"0BSD"}),
+    (f"{FEE}, provided that the above copyright notice and this permission notice appear in all copies.", {"ISC"}),
+    (f"first words then {FEE}, provided that the above copyright notice and this permission notice appear in all copies. and many more words " * 3, {"ISC"}),
+    ('This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.', {"MPL-2.0"}),
+    ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", {"CC0-1.0"}),
+    ("Copyright 2019 Somebody. Released under the MIT License", {"MIT"}),
+]
+
+
+def test_names_of_families(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(LICENSED)]
+    got = {i: set() for i, _ in rows}
+    for r in C.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert {text: got[i] for i, (text, names) in enumerate(LICENSED) if got[i] != names} == {}
+
+
 def test_archive(spark, tmp_path):
     big = "<p>" + "x" * 200
     rows = [(3, "http://a", big), (1, "http://b\r\nX: y", big), (2, None, big), (4, "http://c", "small"), (5, "http://d", "small"), (6, "http://e", None), (7, "http://f", "é" * 60), (1, "http://b\r\nX: y", big), (None, "n", big)]

@@ -23,7 +23,18 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def _record_id(page_id: F.Column) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    """An id in a header line: what could end the line or the id is written as ``%XX``."""
+    plain = F.coalesce(page_id.cast("string"), F.lit("none"))
+    for mark in ("%", "\r", "\n", "<", ">"):
+        plain = F.replace(plain, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    return F.concat(F.lit("<urn:page:"), plain, F.lit(">"))
+
+
+def _page_id(record_id: F.Column) -> F.Column:
+    plain = F.regexp_extract(record_id, r"<urn:page:(.*)>", 1)
+    for mark in (">", "<", "\n", "\r", "%"):
+        plain = F.replace(plain, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return plain
 
 
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = DATE, least: int = LEAST) -> None:
@@ -44,7 +55,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     once = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
     once.write.option("compression", "zstd").parquet(f"{root}/payloads")
 
-    # the digest in each row is narrow; a payload never takes part in this join
+    # the digest in each row is narrow; payloads take part in the join of reading only
     facts = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
     owner = facts.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("owner"))
     joined = facts.join(owner, "digest", "left")
@@ -61,37 +72,48 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
         optional(revisit, line("WARC-Refers-To", _record_id(F.col("owner")))),
         optional(revisit, line("WARC-Profile", F.lit(REVISIT_PROFILE))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.col("size").cast("string")),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit(CRLF),
     )
     joined.select("page_id", "digest", header.alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
 
 
 def read_archive(spark: SparkSession, root: str) -> DataFrame:
-    """Rebuilds every record: ``page_id, header, payload, record`` (header and payload
-    bytes), with the payload's digest and size measured anew.  A payload whose bytes
-    don't have the digest it is stored under stops the read."""
+    """Rebuilds every record: ``page_id, header, payload, record`` and what the records'
+    bytes tell: ``payload_digest, payload_bytes, record_type, refers_to``.
+
+    A response's record is its header, its payload and the two line ends that close a
+    record; a revisit's has no payload.  ``payload`` is the full payload of either, and
+    digest and size are measured on it: on the bytes of the record behind its header for
+    a response, and on the bytes of the response that it revisits, which it is joined
+    with, for a revisit.  A payload whose bytes don't have the digest that the header
+    names, or that is missing, stops the read, and so does a record whose length is not
+    that in its header."""
     payloads = spark.read.schema("digest binary, payload binary").parquet(f"{root}/payloads")
-    measured = payloads.withColumn("measured", F.unhex(F.sha2("payload", 256)))
-    checked = measured.select(
-        "digest",
-        F.when(F.col("measured") == F.col("digest"), F.lower(F.hex("measured"))).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("digest")))).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "payload",
-    )
     headers = spark.read.parquet(f"{root}/headers")
-    joined = headers.join(checked, "digest", "left")
-    found = F.col("payload_digest").isNotNull()
-    return joined.select(
-        "page_id",
-        "header",
-        "payload",
-        F.when(found, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload is missing"))).alias("payload_digest"),
-        "payload_bytes",
-        F.concat(F.encode("header", "UTF-8"), F.col("payload")).alias("record"),
-        field("WARC-Type").alias("record_type"),
-        F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(.*)>", 1).alias("refers_to"),
+    joined = headers.join(payloads, "digest", "left")
+    end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
+    revisit = field("WARC-Type") == "revisit"
+    head = F.encode("header", "UTF-8")
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    rows = joined.withColumn("record", F.concat(head, body, end)).withColumn("revisit", revisit)
+    # bytes behind the header, and before the record's end
+    inside = F.expr("substring(record, octet_length(encode(header, 'UTF-8')) + 1, octet_length(record) - octet_length(encode(header, 'UTF-8')) - 4)")
+    rows = rows.withColumn("own", inside)
+    size = F.octet_length("own").cast("long")
+    whole = F.when(F.col("revisit"), F.col("payload")).otherwise(F.col("own"))
+    rows = rows.withColumn("measured", F.concat(F.lit("sha256:"), F.sha2(whole, 256)))
+    rows = rows.withColumn(
+        "payload_digest",
+        F.when(F.col("payload").isNull(), F.raise_error(F.lit("a payload is missing")))
+        .when(F.col("measured") != field("WARC-Payload-Digest"), F.raise_error(F.concat(F.lit("damaged payload "), F.hex("digest"))))
+        .when(size.cast("string") != field("Content-Length"), F.raise_error(F.lit("a record of another length")))
+        .otherwise(F.substring("measured", len("sha256:") + 1, 64)),
     )
+    return rows.select(
+        "page_id", "header", "payload", "record", "payload_digest", F.octet_length(whole).cast("long").alias("payload_bytes"),
+        field("WARC-Type").alias("record_type"), _page_id(field("WARC-Refers-To")).alias("refers_to"),
+    )
 
 
 def field(name: str) -> F.Column:

@@ -398,7 +398,9 @@ def test_archive(spark, tmp_path):
     assert out == sorted(want, key=repr)
     back = {r.page_id: r for r in W.read_archive(spark, root).collect()}
     head, _, body = bytes(back[7].record).partition(b"\r\n\r\n")
-    assert body.decode() == "é" * 60 and b"Content-Length: 120" in head and head.startswith(b"WARC/1.1\r\n")
+    assert body.decode() == "é" * 60 + "\r\n\r\n" and b"Content-Length: 120" in head and head.startswith(b"WARC/1.1\r\n")
+    head, _, body = bytes(back[3].record).partition(b"\r\n\r\n")
+    assert body == b"\r\n\r\n" and b"Content-Length: 0" in head and bytes(back[3].payload).decode() == big
     assert spark.read.parquet(f"{root}/payloads").count() == 4
     assert W.archive_round_trip(df.limit(0)).count() == 0
     bad = spark.read.parquet(f"{root}/payloads").withColumn("payload", F.lit(b"other"))
@@ -408,6 +410,29 @@ def test_archive(spark, tmp_path):
         W.read_archive(spark, f"{root}2").select("payload_digest").collect()
 
 
+def test_archive_twin_with_copies(spark):
+    """The registered twin on pages of which many have equal payloads."""
+    from quorial.llm.queries import ORACLE_SQL
+
+    rng = random.Random(3)
+    bodies = [None, "", "x" * 99, "x" * 100, *["<p>" + "".join(rng.choices("abé\r\n", k=rng.choice([50, 120, 5000]))) for _ in range(12)], "big " * 300_000]
+    rows = [(i, f"http://{i}", rng.choice(bodies)) for i in rng.sample(range(10**9), 150)]
+    out = W.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = c.execute(ORACLE_SQL["op10_warc"]).fetchall()
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr) and sum(r.record_type == "revisit" for r in out) > 40
+
+
+def test_archive_ids_cannot_forge_headers(spark):
+    ids = ["a\r\nWARC-Type: revisit\r\nX: <y>", "b%0A>", "plain"]
+    df = spark.createDataFrame([(i, None, "body " * 40) for i in ids], "page_id string, url string, html string")
+    out = {r.page_id: (r.record_type, r.refers_to) for r in W.archive_round_trip(df).collect()}
+    first = min(ids)
+    assert out == {i: ("response", None) if i == first else ("revisit", first) for i in ids}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import dropped, written
+
 
 def _ranges(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
     """Rows with ``_range``, the number of quantile borders under their value: ranges
@@ -53,83 +59,48 @@ def churn_rate(df: DataFrame, event: str = "event_observed") -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.col(event).cast("double")) * 100, 4).alias("churn_pct"))
 
 
+#: Risks that are told apart in a round of ``concordance``, as a power of two.
+_DIGIT = 4
+
+
 def concordance(df: DataFrame, risk: str, time: str = "time_to_event", event: str = "event_observed") -> DataFrame:
     """Harrell's index as ``c_index, concordant, discordant, tied``.
 
     A pair counts if the earlier time is an event, or of equal times if one is an event
-    and the other censored.  Rows are first counted by (time, event, risk).  Times and
-    risks are cut into ranges: pairs of different ranges are counted from a table of one
-    row for each two ranges, pairs of one range of risks or times within it, in order.
-    No pairs are made.
+    and the other censored.  Rows are first counted by (time, event, risk), and risks are
+    ranked.  Two ranks differ first in one of their digits, so for each place the counts of
+    later rows are summed over times by digit, among rows that agree in the places above
+    it; equal risks are counted apart.  These sums run in ranges of times, so neither a
+    frequent risk nor a frequent time is a task of its own, and no pairs are made.
     """
     cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n")).dropna()
-    cells = _ranges(cells, "t").withColumnRenamed("_range", "tr")
-    cells = _ranges(cells, "r").withColumnRenamed("_range", "rr")
-    kind = "concordant long, discordant long, tied long"
-
-    def counted(a: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([[int(x) for x in a]], columns=["concordant", "discordant", "tied"])
-
-    def same_risks(pdf: pd.DataFrame) -> pd.DataFrame:
-        # later ranges of times; events and others of one range don't meet here
-        return counted(_ordered_pairs(pdf["tr"].to_numpy(), pdf["e"].to_numpy() == 1, pdf["r"].to_numpy(), pdf["n"].to_numpy(), False))
-
-    def same_times(pdf: pd.DataFrame) -> pd.DataFrame:
-        return counted(_ordered_pairs(pdf["t"].to_numpy(), pdf["e"].to_numpy() == 1, pdf["r"].to_numpy(), pdf["n"].to_numpy(), True))
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(pdf["tr"].max()) + 1, int(pdf["rr"].max()) + 1)
-        every, events = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        np.add.at(every, (pdf["tr"], pdf["rr"]), pdf["n"])
-        np.add.at(events, (pdf["tr"], pdf["rr"]), pdf["events"])
-        after = np.cumsum(every[::-1], 0)[::-1]
-        after = np.vstack([after[1:], np.zeros((1, shape[1]), np.int64)])
-        below = np.cumsum(after, 1) - after
-        above = after.sum(1, keepdims=True) - below - after
-        return counted([(events * below).sum(), (events * above).sum(), 0])
-
-    grid = cells.groupBy("tr", "rr").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("events"))
-    # the table of ranges has 200 x 200 rows at most
-    parts = [cells.groupBy("rr").applyInPandas(same_risks, kind), cells.groupBy("tr").applyInPandas(same_times, kind), grid.groupBy().applyInPandas(table, kind)]
-    sums = parts[0].union(parts[1]).union(parts[2]).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("concordant", "discordant", "tied")])
+    cells = written(cells, "cells")
+    risks = running(_ranges(cells.select("r").distinct(), "r"), "r", {"rank": F.lit(1)}).select("r", (F.col("rank") - 1).alias("rank"))
+    risks = written(risks, "risks")
+    rows = written(_ranges(cells.join(risks, "r").select("t", "rank", "n", F.when(F.col("e") == 1, F.col("n")).otherwise(0).alias("died")), "t"), "ranked")
+    kinds, parts = 1 << _DIGIT, []
+    same = running(rows.groupBy("rank", "t", "_range").agg(F.sum("n").alias("n"), F.sum("died").alias("died")), "t", {"later": F.col("n")}, ["rank"], later=True)
+    parts.append(same.agg(F.lit(0).alias("concordant"), F.lit(0).alias("discordant"), F.sum(F.col("died") * (F.col("later") - F.col("died"))).alias("tied")))
+    most, place = risks.count(), 0
+    while most > 1 << place:
+        digit = F.expr(f"shiftright(rank, {place}) & {kinds - 1}")
+        of = lambda c, k: F.sum(F.when(digit == k, F.col(c)).otherwise(0))
+        at = rows.groupBy(F.expr(f"shiftright(rank, {place + _DIGIT})").alias("above"), "t", "_range").agg(*[of("n", k).alias(f"n{k}") for k in range(kinds)], *[of("died", k).alias(f"died{k}") for k in range(kinds)])
+        at = running(at, "t", {f"later{k}": F.col(f"n{k}") for k in range(kinds)}, ["above"], later=True)
+        # at an event's own time only what is no event is later
+        later = [F.col(f"later{k}") - F.col(f"died{k}") for k in range(kinds)]
+        lower, upper = [F.lit(0)], [F.lit(0)]
+        for k in range(1, kinds):
+            lower.append(lower[-1] + later[k - 1])
+            upper.append(upper[-1] + later[kinds - k])
+        pairs = lambda sums: functools.reduce(operator.add, [F.col(f"died{k}") * sums[k] for k in range(kinds)])
+        parts.append(at.agg(F.sum(pairs(lower)).alias("concordant"), F.sum(pairs(upper[::-1])).alias("discordant"), F.lit(0).alias("tied")))
+        place += _DIGIT
+    sums = functools.reduce(DataFrame.union, parts).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("concordant", "discordant", "tied")])
     total = F.col("concordant") + F.col("discordant") + F.col("tied")
     return sums.withColumn("c_index", F.round(F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), total), 4))
 
 
-def _ordered_pairs(t: np.ndarray, event: np.ndarray, r: np.ndarray, n: np.ndarray, ties: bool) -> np.ndarray:
-    """Pairs of an event and a later row: those whose risk is lower, higher, equal.  With
-    ``ties`` a row that is no event counts as later at an equal time.
-
-    Rows come in the order of their times, the last first, in blocks of whole times;
-    those before a block are counted by rank, those within it are compared.
-    """
-    out = np.zeros(3, np.int64)
-    if not len(t):
-        return out
-    rank = np.unique(r, return_inverse=True)[1]
-    order = np.lexsort((event if ties else np.zeros(len(t)), -t))
-    t, event, rank, n = t[order], event[order], rank[order], n[order].astype(np.int64)
-    new = np.r_[True, (t[1:] != t[:-1]) | ((event[1:] != event[:-1]) & ties)]
-    step, starts = np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(t)]
-    seen, size, k = np.zeros(int(rank.max()) + 1, np.int64), int(np.clip(2 * np.sqrt(len(t)), 512, 4096)), 0
-    while k < len(t):
-        # as many whole steps as fit, one at least
-        end = int(starts[max(np.searchsorted(starts, k + size, "right") - 1, step[k] + 1)])
-        block, at = slice(k, end), np.flatnonzero(event[k:end]) + k
-        if len(at):
-            below = np.cumsum(seen)
-            lower, equal, total = below[rank[at]] - seen[rank[at]], seen[rank[at]], below[-1]
-            if step[end - 1] > step[k]:
-                own = (step[block][None, :] < step[at][:, None]) * n[block][None, :]
-                lower = lower + (own * (rank[block][None, :] < rank[at][:, None])).sum(1)
-                equal = equal + (own * (rank[block][None, :] == rank[at][:, None])).sum(1)
-                total = total + own.sum(1)
-            out += [(n[at] * lower).sum(), (n[at] * (total - lower - equal)).sum(), (n[at] * equal).sum()]
-        np.add.at(seen, rank[block], n[block])
-        k = end
-    return out
-
-
 def roc_auc(df: DataFrame, score: str, label: str = "event_observed") -> DataFrame:
     """Exact area under the ROC curve from mid-ranks of the different scores.
 
@@ -187,41 +158,67 @@ def one_hot(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None,
     return df.withColumns(out), names
 
 
+def summed(df: DataFrame, moments: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sums of ``moments`` of the rows (a matrix of ``df``'s columns to ``size`` numbers),
+    made in the tasks; a row for each task and number is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += moments(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["slot", "value"])
+
+    out = np.zeros(size)
+    for r in df.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect():
+        out[r.slot] = r.value
+    return out
+
+
 def cox(df: DataFrame, features: list[str], time: str = "time_to_event", event: str = "event_observed", ridge: float = 0.01, steps: int = 20, tolerance: float = 1e-7) -> np.ndarray:
     """Coefficients of a proportional-hazards model (Breslow ties, ridge penalty).
 
-    Each Newton step aggregates to a row per time, sums these from the last time on over
-    ranges of times, and takes one row of p + p x p sums to the driver.
+    With S0 and S1 the sums of weights, and of weighted features, of all rows from a time
+    on, and A the sum of d / S0 over the event times up to one, the second derivatives
+    are the features' products weighted by w A, less those of S1 / S0 weighted by d.  So
+    only p + 1 sums run over times, in ranges of these, and the products are summed where
+    the rows are; p x p numbers reach the driver.  A step that lowers the likelihood is
+    halved, and ``ValueError`` tells that ``steps`` did not suffice.
     """
     p = len(features)
-    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
-    rows = _ranges(rows, "t").cache()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    beta = np.zeros(p)
+    x = [f"x{i}" for i in range(p)]
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, x, strict=True)]).dropna()
+    rows = written(_ranges(rows, "t"), "cox-rows")
+    seen = summed(rows.where("e = 1").select(*x), lambda m: m.sum(0), p)
+    products = lambda m, w: np.einsum("ri,rj,r->ij", m, m, w).ravel() if len(m) < 512 else ((m * w[:, None]).T @ m).ravel()
+    beta, before = np.zeros(p), None
     for _ in range(steps):
-        w = F.exp(linear_score([f"x{i}" for i in range(p)], beta))
-        at = rows.groupBy("t", "_range").agg(
-            F.sum("e").alias("d"), F.sum(w).alias("w0"), *[F.sum(F.col(f"x{i}") * F.col("e")).alias(f"g{i}") for i in range(p)],
-            *[F.sum(w * F.col(f"x{i}")).alias(f"w1_{i}") for i in range(p)], *[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"w2_{i}_{j}") for i, j in pairs],
-        )
-        names = ["0", *[f"1_{i}" for i in range(p)], *[f"2_{i}_{j}" for i, j in pairs]]
-        at = running(at, "t", {f"s{n}": F.col(f"w{n}") for n in names}, later=True).where("d > 0")
-        mean = lambda i: F.col(f"s1_{i}") / F.col("s0")
-        r = at.agg(
-            *[F.sum(F.col(f"g{i}") - F.col("d") * mean(i)).alias(f"g{i}") for i in range(p)],
-            *[F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean(i) * mean(j))).alias(f"h{i}_{j}") for i, j in pairs],
-        ).first()
-        gradient, hessian = np.array([r[f"g{i}"] or 0.0 for i in range(p)]) - ridge * beta, -ridge * np.eye(p)
-        for i, j in pairs:
-            h = r[f"h{i}_{j}"] or 0.0
-            hessian[i, j] -= h
-            hessian[j, i] = hessian[i, j]
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta - step
+        w = F.exp(linear_score(x, beta))
+        at = rows.groupBy("t", "_range").agg(F.sum("e").cast("double").alias("d"), F.sum(w).alias("w0"), *[F.sum(w * F.col(n)).alias(f"w_{n}") for n in x])
+        at = running(at, "t", {"s0": F.col("w0"), **{f"s_{n}": F.col(f"w_{n}") for n in x}}, later=True).select("t", "_range", "d", "s0", *[f"s_{n}" for n in x])
+        at = written(running(at, "t", {"a": F.col("d") / F.col("s0")}), "cox-times")
+
+        def of_times(m: np.ndarray) -> np.ndarray:
+            d, s0, mean = m[:, 0], m[:, 1], m[:, 2:] / m[:, 1:2]
+            return np.r_[(d * np.log(s0)).sum(), d @ mean, products(mean, d)]
+
+        sums = summed(at.where("d > 0").select("d", "s0", *[f"s_{n}" for n in x]), of_times, 1 + p + p * p)
+        likely = seen @ beta - sums[0] - ridge / 2 * beta @ beta
+        if before is not None and likely < before[1] - 1e-9 * abs(before[1]):
+            dropped(at)
+            beta = (before[0] + beta) / 2
+            continue
+        weighted = rows.join(at.select("t", "a"), "t").select((w * F.col("a")).alias("w"), *x)
+        first = summed(weighted, lambda m: products(m[:, 1:], m[:, 0]), p * p).reshape(p, p)
+        dropped(at)
+        hessian = sums[1 + p :].reshape(p, p) - first - ridge * np.eye(p)
+        step = np.linalg.solve(hessian, seen - sums[1 : 1 + p] - ridge * beta)
+        before, beta = (beta, likely), beta - step
         if np.abs(step).max() < tolerance:
-            break
-    rows.unpersist()
-    return beta
+            dropped(rows)
+            return beta
+    dropped(rows)
+    raise ValueError(f"the coefficients did not settle in {steps} steps")
 
 
 def linear_score(features: list[str], beta: np.ndarray):

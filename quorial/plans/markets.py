@@ -245,6 +245,19 @@ def cox_ph(spark, d):
     return S.concordance(scored, "risk").withColumn("coefficients", F.array(*[F.lit(round(float(b), 6)) for b in beta]))
 
 
+def cox_all_features(spark, d):
+    """Numbers scaled and all categories one-hot, learned from the training rows."""
+    rows = S.split(A.lifetimes(spark, d), "account_id")
+    train = rows.where(~F.col("is_test"))
+    numbers = ["balance", "orders", "spent"]
+    scaled = S.standardised(rows, numbers, fit_on=train)
+    full, hot = S.one_hot(scaled, ["account_segment", "account_region"], fit_on=train)
+    names = [f"{n}_z" for n in numbers] + hot
+    beta = S.cox(full.where(~F.col("is_test")), names)
+    scored = full.where("is_test").withColumn("risk", F.round(S.linear_score(names, beta), 9))
+    return S.concordance(scored, "risk").withColumn("coefficients", F.array(*[F.lit(round(float(b), 6)) for b in beta]))
+
+
 def rsf(spark, d):
     rows = S.split(A.lifetimes(spark, d), "account_id")
     scored = L.survival_forest(rows.where(~F.col("is_test")), ["balance", "orders"])
@@ -266,7 +279,7 @@ QUERIES = {
         move_account, move_history, suggest_singles, suggest_pairs, suggest_rebalance,
         contracts_clean, contracts_dedupe, fiscal_year, vendor_type_describe, sector_describe, vendor_class_describe, distinct_vendors, top_vendors, vendor_table, tier_flags,
         survival_labels, subaward_flag, duration_histogram, duration_box, lasting_by_vendor_type, typed_values, rf_importance, rf_importance_grid, rf_importance_by_sector,
-        churn_rate, km_global, km_segment, c_index, c_index_by_times, roc_auc, stratified_split, standard_scaler, lr_baseline, rf_baseline, cox_ph, rsf, bias_windows,
+        churn_rate, km_global, km_segment, c_index, c_index_by_times, roc_auc, stratified_split, standard_scaler, lr_baseline, rf_baseline, cox_ph, cox_all_features, rsf, bias_windows,
     )
 }
 

@@ -140,17 +140,22 @@ def test_concordance_against_all_pairs(spark):
     assert S.concordance(df.limit(0), "risk").first().c_index is None
 
 
-@pytest.mark.parametrize("ties", [True, False])
-def test_ordered_pairs_in_blocks(ties):
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    for n, times in ((3000, 900), (3000, 3), (40, 5), (0, 1), (1, 1)):
-        t, e, r, w = rng.integers(0, times, n), rng.random(n) < 0.6, rng.integers(0, 50, n) / 7, rng.integers(1, 4, n)
-        later = (t[None, :] > t[:, None]) | ((t[None, :] == t[:, None]) & ~e[None, :] & ties)
-        pairs = later * e[:, None] * w[:, None] * w[None, :]
-        want = [(pairs * (r[None, :] < r[:, None])).sum(), (pairs * (r[None, :] > r[:, None])).sum(), (pairs * (r[None, :] == r[:, None])).sum()]
-        assert S._ordered_pairs(t, e, r, w, ties).tolist() == want
+def test_concordance_of_one_risk_and_of_one_time(spark):
+    """A constant risk, and a constant time, are no group of their own: no task orders
+    them, and Python gets no rows."""
+    base = spark.range(900).select((F.col("id") % 300).cast("int").alias("t"), (F.col("id") % 2).cast("int").alias("event_observed"), (F.col("id") % 7).cast("double").alias("x"))
+    one_risk = base.select(F.col("t").alias("time_to_event"), "event_observed", F.lit(0.5).alias("risk"))
+    r = S.concordance(one_risk, "risk").first()
+    rows = [tuple(x) for x in one_risk.collect()]
+    want = sum(e and (t < u or (t == u and not f)) for t, e, _ in rows for u, f, _ in rows)
+    assert (r.concordant, r.discordant, r.tied, r.c_index) == (0, 0, want, 0.5)
+    one_time = base.select(F.lit(3).alias("time_to_event"), "event_observed", F.col("x").alias("risk"))
+    r = S.concordance(one_time, "risk").first()
+    rows = [tuple(x) for x in one_time.collect()]
+    pairs = [(x, y) for _, e, x in rows for _, f, y in rows if e and not f]
+    assert (r.concordant, r.discordant, r.tied) == (sum(x > y for x, y in pairs), sum(x < y for x, y in pairs), sum(x == y for x, y in pairs))
+    plan = S.concordance(one_risk, "risk")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_running_totals_over_many_ranges(spark):
@@ -215,6 +220,32 @@ def test_cox_equals_a_dense_newton(spark):
     assert S.cox(df, ["a", "b"]) == pytest.approx(beta, abs=1e-5)
 
 
+def test_cox_with_many_features(spark):
+    """18 features, of which one-hot ones add up to one, and ties, against dense Newton."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n = 600
+    kinds = [rng.integers(0, k, n) for k in (5, 3, 4, 3)]
+    x = np.column_stack([rng.normal(size=(n, 3)), *[np.eye(k)[c] for k, c in zip((5, 3, 4, 3), kinds, strict=True)]])
+    t = np.ceil(rng.exponential(12 * np.exp(-0.6 * x[:, 0] + 0.4 * x[:, 4])))
+    e = rng.integers(0, 2, n)
+    names = [f"f{i}" for i in range(18)]
+    df = spark.createDataFrame([(float(a), int(b), *map(float, r)) for a, b, r in zip(t, e, x, strict=True)], "time_to_event double, event_observed int, " + ", ".join(f"{c} double" for c in names))
+    beta = np.zeros(18)
+    for _ in range(30):
+        g, h, w = x[e == 1].sum(0) - 0.01 * beta, -0.01 * np.eye(18), np.exp(x @ beta)
+        for u in np.unique(t[e == 1]):
+            risk, d = t >= u, ((t == u) & (e == 1)).sum()
+            m = w[risk] @ x[risk] / w[risk].sum()
+            g = g - d * m
+            h = h - d * ((x[risk] * w[risk][:, None]).T @ x[risk] / w[risk].sum() - np.outer(m, m))
+        beta = beta - np.linalg.solve(h, g)
+    assert S.cox(df, names) == pytest.approx(beta, abs=1e-5)
+    with pytest.raises(ValueError, match="did not settle"):
+        S.cox(df, names[:2], steps=1)
+
+
 def test_auc_is_the_share_of_ordered_pairs(spark):
     data = [(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)]
     pairs = [(p > n) + (p == n) / 2 for p, y in data if y for n, z in data if not z]

@@ -167,7 +167,7 @@ def fewest_words(own: Counter, size: int, span: float) -> int:
 _TAKEN = "unitthatmatchesasawhole"
 
 
-def license_windows(rows: DataFrame, known: F.Column, least: float, any_needed: Callable[[F.Column], F.Column]) -> DataFrame:
+def license_windows(rows: DataFrame, templates: list[tuple], known: F.Column, least: float, any_needed: Callable[[F.Column], F.Column]) -> DataFrame:
     """``doc_id, unit, license, dice`` for windows of as many words as a template has,
     wherever they begin, outside the lines and paragraphs that match as a whole.
 
@@ -193,14 +193,18 @@ def license_windows(rows: DataFrame, known: F.Column, least: float, any_needed:
     lines = lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda x: F.when(taken(x), F.lit(_TAKEN)).otherwise(x)), "\n")
     rest = F.array_join(F.transform(F.split("text", "\n[ \t]*\n"), lambda p: F.when(p.contains("\n") & taken(p), F.lit(_TAKEN)).otherwise(lines(p))), "\n\n")
     docs = docs.select("doc_id", F.size(units_of(F.col("text"))).alias("before"), once(words_of(rest)).alias("words")).select("*", once(pairs_of(F.col("words"))).alias("pairs"))
+    # where any template's bigram, or only word, is: found once for all templates
+    hits = lambda parts, grams: F.array_compact(F.transform(parts, lambda g, i: F.when(g.isin(grams), F.struct(g.alias("gram"), i.alias("at")))))
+    made = [bigrams(normal_words(t[1])) for t in templates]
+    docs = docs.select("*", once(hits("pairs", sorted({g for x in made for g in x if " " in g}))).alias("hits"), once(hits("words", sorted({g for x in made for g in x if " " not in g}) or [""])).alias("alone"))
 
     def windows(t: F.Column) -> F.Column:
         def scored(i: F.Column) -> F.Column:
             window = F.transform(F.array(F.array_distinct(F.when(t["n"] > 1, F.slice("pairs", i + 1, F.greatest(t["n"] - 1, F.lit(1)))).otherwise(F.slice("words", i + 1, F.lit(1))))), lambda w: F.round(2.0 * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + F.size(t["grams"])), 6))
             return F.struct((-F.get(window, F.lit(0))).alias("less"), (-t["n"]).alias("shorter"), t["license"].alias("license"), i.alias("start"), (i + t["n"]).alias("end"))
 
-        at = lambda parts: F.array_compact(F.transform(parts, lambda g, i: F.when(F.array_contains(t["grams"], g), i)))
-        found = F.transform(F.when(t["n"] > 1, at("pairs")).otherwise(at("words")), scored)
+        own = F.filter(F.when(t["n"] > 1, F.col("hits")).otherwise(F.col("alone")), lambda h: F.array_contains(t["grams"], h["gram"]))
+        found = F.transform(own, lambda h: scored(h["at"]))
         return F.filter(found, lambda x: (x["less"] <= -least) & allowed(F.slice("words", x["start"] + 1, t["n"]), t))
 
     docs = docs.select("doc_id", "before", once(F.array_sort(F.flatten(F.transform(known, windows)))).alias("found")).where(F.size("found") > 0)
@@ -244,12 +248,13 @@ def license_scan(docs: DataFrame, templates: list[tuple] | None = None, least: f
     # before bigrams are made: words of a unit bound its bigrams from above
     fewest = math.ceil(min(sizes) * span)
     units = rows.where(any_needed(F.col("text"))).select("doc_id", F.posexplode(units_of(F.col("text"))).alias("unit", "line"))
-    units = units.select("doc_id", "unit", words_of(F.col("line")).alias("words")).where((F.size("words") > fewest) & F.arrays_overlap("words", needed))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    units = units.select("doc_id", "unit", "words", F.array_distinct(F.when(F.size("words") > 1, pairs).otherwise(F.col("words"))).alias("grams"))
+    # exploded one-element arrays, so that neither filters nor lambdas make them anew
+    once = lambda c: F.explode(F.array(c))
+    units = units.select("doc_id", "unit", once(words_of(F.col("line"))).alias("words")).where((F.size("words") > fewest) & F.arrays_overlap("words", needed))
+    units = units.select("doc_id", "unit", "words", once(F.array_distinct(F.when(F.size("words") > 1, pairs_of(F.col("words"))).otherwise(F.col("words")))).alias("grams"))
     units = units.select("doc_id", "unit", likest(F.col("grams"), F.col("words"), known, least).alias("best"))
     units = units.select("doc_id", "unit", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice")).where(F.col("dice") >= least)
-    return units.unionByName(license_windows(rows, known, least, any_needed))
+    return units.unionByName(license_windows(rows, templates, known, least, any_needed))
 
 
 def oracle(templates: list[tuple] | None = None, least: float = LEAST) -> str:

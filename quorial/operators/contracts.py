@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum, holds_any
+from ..functions.tables import written
+from .survival import _ranges
 
 #: Days of the survival labels.
 THRESHOLDS = [365, 1095, 1825, 3650]
@@ -50,20 +52,41 @@ def sector(agency: Column, defense: list[str] = DEFENSE) -> Column:
     return F.when(holds_any(agency, defense), "DoD").otherwise("Civilian")
 
 
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and a column for each of ``shares``: exact quantiles, linear between values.
+
+    Counts of ranges of values tell which ranges hold the ranks in question, and only the
+    different values of these are put in order.  No group's values are held together."""
+    rows = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    cells = written(_ranges(rows, "v").groupBy("by", "_range", "v").agg(F.count("*").alias("n")), "values")
+    # a row for each group and range
+    per = cells.groupBy("by", "_range").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("by")
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(group))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    ranks = F.array(*[F.struct(F.lit(name).alias("share"), (place(p) - F.floor(place(p))).alias("part"), F.floor(place(p)).alias("low"), F.ceil(place(p)).alias("high")) for name, p in shares.items()])
+    asked = per.select("by", "_range", "before", "n", F.explode(ranks).alias("q")).select("by", "_range", "before", "n", "q.share", "q.part", F.explode(F.array("q.low", "q.high")).alias("rank"))
+    asked = written(asked.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).distinct(), "ranks")
+    needed = asked.select(F.col("by").alias("_b"), F.col("_range").alias("_r"), "before").distinct()
+    here = cells.join(needed, F.col("by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r"))).select("by", "_range", "v", "n", "before")
+    inside = Window.partitionBy("by", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = here.withColumn("upto", F.col("before") + F.sum("n").over(inside)).select(F.col("by").alias("_b"), F.col("_range").alias("_r"), "v", "upto", (F.col("upto") - F.col("n")).alias("since"))
+    on = F.col("by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")) & (F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("upto"))
+    found = asked.join(here, on).groupBy("by", "share", "part").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    # two different ranks give two values, one rank or equal values one
+    at = F.when(F.col("part") == 0, F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    return found.groupBy(F.col("by").alias(by)).agg(*[F.max(F.when(F.col("share") == name, at)).alias(name) for name in shares])
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, by: str, value: str = "duration") -> DataFrame:
     """Count, mean, deviation, least, exact linear quartiles and most, to 2 digits."""
     v = F.col(value).cast("double")
-    q = lambda p: F.round(F.percentile(v, F.lit(p)), 2)
-    return df.groupBy(by).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"), F.min(v).alias("min"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(v).alias("max"),
-    )
-
-
-def ranked_vendors(df: DataFrame) -> DataFrame:
-    """``vendor, total, contracts, rank``, by total and then name."""
-    sums = df.where("vendor IS NOT NULL").groupBy("vendor").agg(exact_sum("amount").alias("total"), F.count("*").alias("contracts"))
-    return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "vendor")))
+    sums = df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, by, value, QUARTILES).withColumnRenamed(by, "_by")
+    return sums.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "std", "min", *[F.round(c, 2).alias(c) for c in QUARTILES], "max")
 
 
 def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
@@ -109,7 +132,7 @@ def box(df: DataFrame, by: str, value: str = "duration") -> DataFrame:
     """What a box plot shows, per group: quartiles, the whiskers (the last values within
     1.5 times the distance of the quartiles), and how many values lie outside of them."""
     rows = df.select(by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    q = rows.groupBy(by).agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    q = quantiles(df, by, value, QUARTILES)
     # one narrow row for each group, which is as many as a plot has boxes; the size of the
     # join is left to adaptive execution
     far = 1.5 * (F.col("q75") - F.col("q25"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum
+from ..functions.tables import shared_folder
 from ..operators import contracts as K
 from ..operators import learning as L
 from ..operators import survival as S
 from ..operators import territory as T
 from ..sources import adapters as A
+from ..sources import readers as R
+from ..sources.paged import read_paged, write_pages
 
 TAXONOMY = ["Region", "Account_Segment"]
 TERRITORIES = 3
@@ -178,6 +184,23 @@ def typed_values(spark, d):
     return t.agg(F.count("*").alias("n"), F.count("start").alias("starts"), F.count("amount").alias("amounts"), F.count("duration").alias("durations"), F.sum("duration").alias("days"))
 
 
+def paged_source(spark, d):
+    """The contracts written out as pages, read back page by page."""
+    rows = A.contracts(spark, d).withColumn("year", K.fiscal_year(F.col("start")))
+    path = f"{shared_folder(spark)}/quorial/pages-{uuid.uuid4().hex}"
+    write_pages(rows, path, "year", ["award_id", "line"], 5_000)
+    limits = rows.groupBy("year").count().agg(F.min("year").alias("a"), F.max("year").alias("b"), F.max(F.ceil(F.col("count") / 5_000)).alias("pages")).first()
+    back = read_paged(spark, "award_id long, line int, vendor string, start date, amount double", path=path, years=f"{limits.a}-{limits.b}", max_pages=str(limits.pages), pages_per_task="4")
+    return back.groupBy("fiscal_year").agg(F.count("*").alias("contracts"), F.count_distinct("vendor").alias("vendors"), exact_sum("amount").alias("amount"), F.min("start").alias("first"))
+
+
+def csv_sink(spark, d):
+    """The table of vendors written as CSV, and read back."""
+    path = f"{shared_folder(spark)}/quorial/vendors-{uuid.uuid4().hex}"
+    R.write_csv(K.vendor_table(A.contracts(spark, d), 40), path)
+    return R.read_csv(spark, path, "vendor string, billions string, contracts long, first string, last string")
+
+
 def rf_importance(spark, d):
     return L.importance_grid(_contracts(spark, d), DEFENSE, [1825], (10,), trees=100)
 
@@ -279,7 +302,7 @@ QUERIES = {
         move_account, move_history, suggest_singles, suggest_pairs, suggest_rebalance,
         contracts_clean, contracts_dedupe, fiscal_year, vendor_type_describe, sector_describe, vendor_class_describe, distinct_vendors, top_vendors, vendor_table, tier_flags,
         survival_labels, subaward_flag, duration_histogram, duration_box, lasting_by_vendor_type, typed_values, rf_importance, rf_importance_grid, rf_importance_by_sector,
-        churn_rate, km_global, km_segment, c_index, c_index_by_times, roc_auc, stratified_split, standard_scaler, lr_baseline, rf_baseline, cox_ph, cox_all_features, rsf, bias_windows,
+        churn_rate, km_global, km_segment, c_index, c_index_by_times, roc_auc, stratified_split, standard_scaler, lr_baseline, rf_baseline, cox_ph, cox_all_features, paged_source, csv_sink, rsf, bias_windows,
     )
 }
 
@@ -356,12 +379,14 @@ ORACLE_SQL = {
     "suggest_rebalance": f"WITH {_SUG}{_PICK.format(src='SELECT * FROM one UNION ALL SELECT * FROM two')}",
     "contracts_clean": f"WITH {_CLEAN} SELECT count(*) AS contracts, CAST(sum(duration) AS BIGINT) AS days, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE), 2) AS amount FROM cl",
     "contracts_dedupe": f"WITH {_RAW}, n AS (SELECT *, row_number() OVER (PARTITION BY award_id ORDER BY year(start) + CASE WHEN month(start) >= 10 THEN 1 ELSE 0 END, amount DESC, line) AS k FROM con) SELECT award_id, line, vendor FROM n WHERE k = 1",
+    "paged_source": f"WITH {_RAW} SELECT CAST(year(start) + CASE WHEN month(start) >= 10 THEN 1 ELSE 0 END AS INT) AS fiscal_year, count(*) AS contracts, count(DISTINCT vendor) AS vendors, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount, min(start) AS first FROM con GROUP BY 1",
     "fiscal_year": f"WITH {_RAW} SELECT CAST(year(start) + CASE WHEN month(start) >= 10 THEN 1 ELSE 0 END AS INT) AS fiscal_year, count(*) AS contracts FROM con GROUP BY 1",
     "vendor_type_describe": f"WITH {_CLEAN} SELECT CASE WHEN {_LIKE('vendor', RESELLERS)} THEN 'VAR' ELSE 'Direct' END AS vendor_type, {_DESC} FROM cl GROUP BY 1",
     "sector_describe": f"WITH {_CLEAN} SELECT CASE WHEN {_LIKE('agency', DEFENSE)} THEN 'DoD' ELSE 'Civilian' END AS sector, {_DESC} FROM cl GROUP BY 1",
     "vendor_class_describe": f"WITH {_CLEAN}, {_FLAG} SELECT CASE WHEN is_top_10 THEN 'Top 10' ELSE 'Other' END AS vendor_class, {_DESC} FROM fl GROUP BY 1",
     "distinct_vendors": f"WITH {_CLEAN} SELECT count(DISTINCT vendor) AS vendors, count(DISTINCT agency) AS agencies FROM cl",
     "top_vendors": f"WITH {_RAW} SELECT vendor, total, contracts, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 25",
+    "csv_sink": f"WITH {_RAW} SELECT vendor, format('{{:.3f}}', round(total / 1e9, 3)) AS billions, contracts, strftime(first, '%b %Y') AS first, strftime(last, '%b %Y') AS last FROM vr WHERE rank <= 40",
     "vendor_table": f"WITH {_RAW} SELECT vendor, format('{{:.3f}}', round(total / 1e9, 3)) AS billions, contracts, strftime(first, '%b %Y') AS first, strftime(last, '%b %Y') AS last FROM vr WHERE rank <= 10",
     "tier_flags": f"WITH {_CLEAN}, {_FLAG} SELECT is_top_10, is_top_25, is_top_50, count(*) AS contracts, count(DISTINCT vendor) AS vendors FROM fl GROUP BY ALL",
     "survival_labels": f"WITH {_CLEAN}, {_FLAG}, th(threshold) AS (VALUES (365), (1095), (1825), (3650)) SELECT threshold, count(*) AS n, count(*) FILTER (duration >= threshold) AS lasting, count(*) FILTER (duration >= threshold AND is_top_10) AS lasting_top_10, count(*) FILTER (duration >= threshold AND is_top_25) AS lasting_top_25, count(*) FILTER (duration >= threshold AND is_top_50) AS lasting_top_50, count(*) FILTER (duration >= threshold) >= 10 AND count(*) FILTER (duration >= threshold) < count(*) AS usable FROM fl, th GROUP BY threshold",

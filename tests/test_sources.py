@@ -1,5 +1,6 @@
 """Generated churn data and the public account table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quorial.operators import survival as S
@@ -38,3 +39,76 @@ def test_csv_goes_out_and_comes_back(spark, tmp_path):
 def test_json_is_typed(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": "NA", "v": 1}\n{"a": " ", "v": null, "more": 2}\n')
     assert sorted(map(tuple, R.read_json(spark, f"file://{tmp_path}/x.json", "a string, v double").collect()), key=repr) == [("NA", 1.0), (None, None)]
+
+
+def test_paged_source_of_a_service(spark):
+    """Years end at their first empty page, whatever comes behind; failures are tried again."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quorial.sources.paged import read_paged
+
+    pages = {(2019, 1): 3, (2019, 2): 2, (2019, 4): 5, (2020, 1): 1}
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            year, page = int(body["filters"]["time_period"][0]["end_date"][:4]), body["page"]
+            asked.append((year, page))
+            if (year, page) == (2020, 1) and asked.count((2020, 1)) == 1:
+                self.send_error(503)
+                return
+            out = [{"id": f"{year}/{page}/{i}", "amount": i if i else None, "more": [1]} for i in range(pages.get((year, page), 0))]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": out, "naics": body.get("naics")}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    for per_task in ("1", "3"):
+        got = read_paged(spark, "id string, amount double", url=url, years="2018-2020", max_pages="5", pages_per_task=per_task, body='{"naics": "x"}').collect()
+        assert sorted(r.id for r in got) == ["2019/1/0", "2019/1/1", "2019/1/2", "2019/2/0", "2019/2/1", "2020/1/0"]
+        assert {(r.fiscal_year, r.page) for r in got} == {(2019, 1), (2019, 2), (2020, 1)} and sum(r.amount is None for r in got) == 3
+    asked.clear()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = read_paged(spark, "id string", url=url, years="2018-2020", max_pages="2", pushdown="true").where("fiscal_year >= 2020").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    server.shutdown()
+    assert [r.id for r in got] == ["2020/1/0"] and {y for y, _ in asked} == {2020}
+
+
+def test_strict_dates(spark):
+    from pyspark.sql import functions as F
+
+    from quorial.operators import contracts as K
+
+    raw = spark.createDataFrame([("2019-01-31", "2020-01-31", "5.5"), ("2019-02-30", None, "n/a")], "start string, end string, amount string")
+    got = [tuple(r) for r in K.with_duration(K.typed(raw)).select(F.col("start").cast("string"), "amount", "duration").collect()]
+    assert got == [("2019-01-31", 5.5, 365), (None, None, None)]
+    with pytest.raises(Exception, match="2019-02-30"):
+        K.typed(raw, strict=True).collect()
+    assert K.typed(spark.createDataFrame([("2019-01-31", "2020-01-31", "5.5")], raw.schema), strict=True).first().amount == 5.5
+
+
+def test_quantiles_in_ranges(spark):
+    import numpy as np
+
+    from quorial.operators import contracts as K
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.integers(0, 900, 701).tolist(), "b": [5] * 400 + [9], "c": [7], None: [1, 2], "d": rng.normal(size=300).tolist()}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)], "g string, v double")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in K.quantiles(df, "g", "v", {"lo": 0.1, "mid": 0.5, "hi": 0.99}).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(vs, [0.1, 0.5, 0.99])))
+    described = {r.g: r.q50 for r in K.describe(df, "g", "v").collect()}
+    assert described["e"] is None and described["c"] == 7

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pick, stored
+from .common import discard, pick, sorted_side, stored
 
 #: Fields of a tool: name -> (JSON kind, required).
 Schema = dict[str, tuple[str, bool]]
@@ -63,10 +63,10 @@ def levels(calls: DataFrame) -> DataFrame:
     ids = calls.select("group", "id").distinct()
     known = ids.select(F.col("group").alias("g"), F.col("id").alias("i"))
     edges = calls.select("group", "id", F.explode(_before(calls)).alias("to")).distinct()
-    edges = stored(edges.join(known, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i"))).select("group", "id", "to"), "edges")
+    edges = stored(edges.join(sorted_side(known), (F.col("group") == F.col("g")) & (F.col("to") == F.col("i"))).select("group", "id", "to"), "edges")
     alone = edges.groupBy("group", "id").agg(F.count("*").alias("n"), F.min("to").alias("to"))
     # where a call's pointer leads, how far that is, and whether it leads on
-    state = ids.join(alone, ["group", "id"], "left").select(
+    state = ids.join(sorted_side(alone), ["group", "id"], "left").select(
         "group", "id", F.when(F.col("n") == 1, F.col("to")).otherwise(F.col("id")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).alias("far"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("open"),
         (F.coalesce("n", F.lit(0)) > 1).alias("joint"),
     )
@@ -82,7 +82,7 @@ def levels(calls: DataFrame) -> DataFrame:
             break
         before = state
         there = state.select(F.col("group").alias("g"), F.col("id").alias("i"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("open").alias("on"))
-        step = state.where("open").join(there, (F.col("group") == F.col("g")) & (F.col("to") == F.col("i")))
+        step = state.where("open").join(sorted_side(there), (F.col("group") == F.col("g")) & (F.col("to") == F.col("i")))
         step = step.select("group", "id", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("on").alias("open"), "joint")
         state = state.where("NOT open").unionByName(step)
         rounds += 1
@@ -90,7 +90,8 @@ def levels(calls: DataFrame) -> DataFrame:
     if state.where("joint").isEmpty():
         return state.select("group", "id", F.when(~F.col("open"), F.col("far")).alias("level"))
     solved = _joints(edges, state)
-    return ids.join(closed.join(solved.select("group", F.col("id").alias("to"), "at"), ["group", "to"]).select("group", "id", (F.col("at") + F.col("far")).alias("level")), ["group", "id"], "left")
+    led = closed.join(sorted_side(solved.select("group", F.col("id").alias("to"), "at")), ["group", "to"]).select("group", "id", (F.col("at") + F.col("far")).alias("level"))
+    return ids.join(sorted_side(led), ["group", "id"], "left")
 
 
 def _joints(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -99,16 +100,16 @@ def _joints(edges: DataFrame, state: DataFrame) -> DataFrame:
     roots = state.where("NOT open AND NOT joint AND to = id").select("group", "id", F.lit(0).alias("at"))
     place = state.where("NOT open").select("group", F.col("id").alias("to"), F.col("to").alias("anchor"), "far")
     # a predecessor on a circle has no anchor and keeps its joint waiting
-    waits = edges.join(joints, ["group", "id"]).join(place, ["group", "to"], "left").groupBy("group", "id", "anchor").agg(F.max(F.col("far") + 1).alias("far"))
+    waits = edges.join(sorted_side(joints), ["group", "id"]).join(sorted_side(place), ["group", "to"], "left").groupBy("group", "id", "anchor").agg(F.max(F.col("far") + 1).alias("far"))
     waits, fresh, solved = stored(waits.withColumn("at", F.lit(None).cast("int")), "waits"), stored(roots, "solved"), []
     while not fresh.isEmpty():
         solved.append(fresh)
         news = fresh.select("group", F.col("id").alias("anchor"), F.col("at").alias("new"))
-        told = waits.join(news, ["group", "anchor"], "left").select("group", "id", "anchor", "far", F.coalesce("at", F.col("new") + F.col("far")).alias("at"))
+        told = waits.join(sorted_side(news), ["group", "anchor"], "left").select("group", "id", "anchor", "far", F.coalesce("at", F.col("new") + F.col("far")).alias("at"))
         told, old = stored(told, "waits"), waits
         ready = told.groupBy("group", "id").agg(F.bool_and(F.col("at").isNotNull()).alias("ready"), F.max("at").alias("at"))
         fresh = stored(ready.where("ready").select("group", "id", "at"), "solved")
-        waits = stored(told.join(fresh.select("group", "id"), ["group", "id"], "left_anti"), "waits")
+        waits = stored(told.join(sorted_side(fresh.select("group", "id")), ["group", "id"], "left_anti"), "waits")
         discard(old, told)
     out = roots.limit(0) if not solved else solved[0]
     for more in solved[1:]:
@@ -116,6 +117,10 @@ def _joints(edges: DataFrame, state: DataFrame) -> DataFrame:
     return out
 
 
+#: Results in a partition of the hash join, about.
+RESULTS = 500_000
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schema]) -> DataFrame:
     """One row per call, and per result without a call.
 
@@ -128,14 +133,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schem
     Returns ``group, id, level, status, valid, broken, json``.  ``status`` is linked,
     unanswered, orphan, or early where the result comes before its call.  ``broken``
     lists fields that are missing or of a wrong kind, ``+name`` for unknown ones, and
-    ``*`` for arguments that are no object or of an unknown tool.
+    ``*`` for arguments that are no object or of an unknown tool.  Other columns, whatever
+    their names, play no part; repeated rows count once; empty tables: empty result.
     """
     calls = calls.where("group IS NOT NULL AND id IS NOT NULL")
     results = results.where("group IS NOT NULL AND id IS NOT NULL")
     one_call = calls.groupBy("group", "id").agg(F.min(F.struct("at", "name", "arguments", "after")).alias("c"))
     one_result = results.groupBy("group", "id").agg(F.min(F.struct("at", "content")).alias("r"))
     deep = levels(one_call.select("group", "id", F.col("c.after").alias("after")))
-    joined = one_call.join(deep, ["group", "id"], "left").join(one_result.hint("shuffle_hash"), ["group", "id"], "full_outer")
+    # the hash table of a partition has about RESULTS rows at most, whatever the setting
+    spark = calls.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-results.count() // RESULTS))
+    placed = one_call.join(sorted_side(deep), ["group", "id"], "left").repartition(parts, "group", "id")
+    joined = placed.join(one_result.repartition(parts, "group", "id").hint("shuffle_hash"), ["group", "id"], "full_outer")
     parsed = F.try_parse_json(F.col("c.arguments"))
     broken = F.array(F.lit("*"))
     for name, schema in tools.items():
@@ -170,13 +180,16 @@ def turns_as_calls(conversations: DataFrame, conv_col: str = "conv_id", turn_col
     asks = rows.where(F.col("role").isin("system", "user"))
     there = asks.select("group", F.explode(F.array(F.col("turn") + 1, F.col("turn") + 2)).alias("turn"), F.col("turn").alias("before")).groupBy("group", "turn").agg(F.max("before").alias("before"))
     arguments = F.to_json(F.struct("text", "turn"))
-    calls = asks.join(there, ["group", "turn"], "left").select("group", label(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"), label(F.col("before")).alias("after"), F.col("turn").alias("at"))
+    calls = asks.join(sorted_side(there), ["group", "turn"], "left").select("group", label(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"), label(F.col("before")).alias("after"), F.col("turn").alias("at"))
     results = rows.where(F.col("role") == "assistant").select("group", label(F.col("turn") - 1).alias("id"), F.col("text").alias("content"), F.col("turn").alias("at"))
     return calls, results
 
 
 def conversation_calls(conversations: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level, status, valid, broken, json`` of plain conversations."""
+    """``conv_id, call_id, level, status, valid, broken, json`` of plain conversations, for
+    the rows of ``turns_as_calls``.  Rows with a null conversation or turn are left out,
+    repeated turns count once, a null text breaks the schema, and an empty table gives an
+    empty result."""
     calls, results = turns_as_calls(conversations)
     linked = link_tool_calls(calls, results, CHAT_TOOLS)
     return linked.select(F.col("group").alias("conv_id"), F.col("id").alias("call_id"), "level", "status", "valid", F.array_join("broken", ",").alias("broken"), "json")

@@ -186,9 +186,9 @@ def survival_forest(df: DataFrame, features: list[str], trees: int = 100, least_
     times = running(times, "t", {"later": F.col("any").cast("long")}, later=True).select("t", "later")
     share = min(1.0, TREE_ROWS / max(n, 1))
     # a draw of each row for each tree, by hash, with the mean ``share``
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
+    u = (F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(2**52)) + 0.5) / 2.0**52
     draws, total, p = F.lit(0), np.exp(-share), np.exp(-share)
-    for k in range(1, 8):
+    for k in range(1, 20):  # more than 19 draws have a chance under 1e-18
         draws = F.when(u > total, k).otherwise(draws)
         p *= share / k
         total += p

@@ -5,8 +5,8 @@ Words that look disturbed are restored: the possible readings of each character
 form a lattice, in which Viterbi's algorithm finds the likeliest paths under a
 character trigram model.  Among these the counts of all words of the corpus decide,
 smoothed by the character model; they are a table that grows with the corpus, joined
-by the words it is asked for.  A list of rules over restored words, learned from
-labelled documents, then scores the text.
+by the words it is asked for.  Rules over restored words, learned from labelled
+documents, then score the text.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ READINGS, PRIOR = 4, 1000.0
 SAMPLE = 20_000
 #: A rule needs so many toxic documents, and in the greedy list so many not yet explained.
 SUPPORT, FRESH, PRECISION = 5, 4, 0.8
+#: Beside the greedy list: the least share of a sure word, the chance that any of a sample
+#: comes from nothing, and words with mostly the same documents, at most.
+SURE, CHANCE, TOGETHER = 0.97, 0.01, 100
 #: Letters of a word's beginning that can be a rule, besides the whole word.
 PREFIXES = (4, 5, 6)
 #: Symbols of the character model: a border, a to z, and any other letter.
@@ -328,11 +331,14 @@ def _with_restored(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
 
 
 def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
-    """A list of (feature, share of toxic documents among those that have it).
-
-    Greedy: the feature that explains the most toxic documents not yet explained goes
-    next, so a word that merely stands beside a toxic one in copies adds no rule.
-    ``sample`` (text, restored, toxic) is bounded by ``SAMPLE``.
+    """A list of (feature, share of toxic documents among those that have it); a feature is
+    a word or its beginning.
+
+    First greedily: the feature that explains the most toxic documents not yet explained
+    goes next, so a word that merely stands beside a toxic one in copies adds no rule.
+    Then what these leave out because it mostly stands beside them, where it is
+    beyond chance by itself (``_sure``).  ``sample`` (text, restored, toxic) is bounded by
+    ``SAMPLE``.
     """
 
     def count(only: set[str] | None):
@@ -345,13 +351,13 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
 
         return run
 
-    def counted(rows: DataFrame, only: set[str] | None, least: int) -> dict[str, int]:
-        n = in_arrow(rows.select("text", "restored"), count(only), "feature string, n long", text_at=0).groupBy("feature").agg(F.sum("n").alias("n"))
-        return {r.feature: r.n for r in n.where(F.col("n") >= least).collect()}
+    def counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
+        return in_arrow(rows.select("text", "restored"), count(only), "feature string, n long", text_at=0).groupBy("feature").agg(F.sum("n").alias("n"))
 
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
-    bad = counted(toxic, None, SUPPORT)
-    good = counted(clean, set(bad), 1)
+    found = stored(counted(toxic, None), "features")
+    bad = {r.feature: r.n for r in found.where(F.col("n") >= SUPPORT).collect()}
+    good = {r.feature: r.n for r in counted(clean, set(bad)).collect()}
     share = {f: (n + 0.1) / (n + good.get(f, 0) + 0.2) for f, n in bad.items()}
     kept = sorted(f for f in bad if share[f] >= PRECISION)
     place = {f: i for i, f in enumerate(kept)}
@@ -361,9 +367,9 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in x) for x in _by_document(b, set(place))], pa.list_(pa.int32()))], ["has"])
 
     # the same document in many copies explains once
-    has = [set(r.has) for r in in_arrow(toxic.select("text", "restored").distinct(), explain, "has array<int>", text_at=0).collect()]
-    rules = []
-    while kept:
+    once = [r.has for r in in_arrow(toxic.select("text", "restored").distinct(), explain, "has array<int>", text_at=0).collect()]
+    has, rules, left = [set(x) for x in once], [], sorted(place.values())
+    while left:
         n = Counter(f for x in has for f in x)
         if not n:
             break
@@ -373,7 +379,37 @@ def learn_rules(sample: DataFrame) -> list[tuple[str, float]]:
             break
         rules.append((kept[f], share[kept[f]]))
         has = [x for x in has if f not in x]
-    return rules
+    base = sample.agg(F.avg("toxic")).first()[0] or 0.0
+    chosen = {f for f, _ in rules}
+    return rules + [(f, share[f]) for f in _sure(kept, once, {f: (bad[f], good.get(f, 0)) for f in kept}, base, found.count()) if f not in chosen]
+
+
+def _sure(kept: list[str], has: list[list[int]], counts: dict[str, tuple[int, int]], base: float, tried: int) -> list[str]:
+    """Words of ``kept`` with a share of at least ``SURE`` that chance would hardly give any
+    of ``tried`` features, by Chernoff's bound under the sample's share of toxic
+    documents, so a small sample needs fewer.  ``has``: the places in ``kept`` of the words
+    in each different toxic document.  Words whose documents are mostly the same as those
+    of many others come from copies of one text, and are left out."""
+    if not 0 < base < 1 or not has:
+        return []
+    first = np.full((3, len(kept)), len(has))
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(has))
+        for i, fs in enumerate(has):
+            if fs:
+                np.minimum.at(first[seed], fs, order[i])
+    alike = sum((np.bincount(f, minlength=len(has) + 1)[f] > TOGETHER).astype(int) for f in first)
+    n_once = Counter(f for x in has for f in x)
+    out = []
+    for i, f in enumerate(kept):
+        n, g = n_once[i], counts[f][1]
+        if not n or f.endswith("*") or alike[i] > 1:
+            continue
+        s = n / (n + g)
+        evidence = (n + g) * (s * math.log(s / base) + ((1 - s) * math.log((1 - s) / (1 - base)) if s < 1 else 0.0))
+        if s >= SURE and evidence >= math.log(max(1, tried) / CHANCE):
+            out.append(f)
+    return out
 
 
 def best_rule(rules: dict[str, float], words: list[str], base: float = 0.0) -> float:

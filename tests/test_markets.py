@@ -294,3 +294,30 @@ def test_bias_over_a_stream(spark, tmp_path):
     q.stop()
     got = sorted((str(r.window.start), r.bias) for r in spark.table("closes_bias").collect())
     assert got == sorted((str(r.window.start), r.bias) for r in windowed_bias(df, "t").collect()) and [b for _, b in got] == [1.0, 1.0]
+
+
+def test_logistic_baseline_equals_newton(spark):
+    """The same split, scaling and categories, fitted by Newton's method in numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 500
+    a, b, c = rng.normal(3, 2, n), rng.normal(size=n), rng.integers(0, 3, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * (a - 3) - b + 0.7 * c - 0.7)))).astype(int)
+    rows = [(f"k{i}", float(a[i]), float(b[i]), "xyz"[c[i]], int(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "account_id string, a double, b double, c string, event_observed int")
+    got = L.churn_baseline(df, ["a", "b"], ["c"], "logistic").first()
+    test = {r.account_id for r in S.split(df.withColumn("label", F.col("event_observed").cast("double")), "account_id", 0.2, "label").where("is_test").collect()}
+    held = np.array([f"k{i}" in test for i in range(n)])
+    z = np.column_stack([a, b])
+    x = np.column_stack([(z - z[~held].mean(0)) / z[~held].std(0), np.eye(3)[c], np.ones(n)])
+    price = np.r_[np.full(5, 1.0), 0.0]
+    w = np.zeros(6)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x[~held] @ w))
+        slope = x[~held].T @ (p - y[~held]) + price * w
+        w -= np.linalg.solve((x[~held] * (p * (1 - p))[:, None]).T @ x[~held] + np.diag(price) + 1e-9 * np.eye(6), slope)
+    score = x[held] @ w
+    pos, neg = score[y[held] == 1], score[y[held] == 0]
+    auc = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()
+    assert got.n_test == held.sum() and got.auc == pytest.approx(auc, abs=0.003)

@@ -321,3 +321,45 @@ def test_logistic_baseline_equals_newton(spark):
     pos, neg = score[y[held] == 1], score[y[held] == 0]
     auc = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()
     assert got.n_test == held.sum() and got.auc == pytest.approx(auc, abs=0.003)
+
+
+def test_trees_over_cells_equal_trees_over_rows(spark):
+    """With all features tried and no draws, a tree over counted cells is MLlib's over rows."""
+    import numpy as np
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(5)
+    a, b, c = rng.integers(0, 20, 2000), rng.integers(0, 7, 2000), rng.integers(0, 2, 2000)
+    y = (rng.random(2000) < 0.2 + 0.02 * a + 0.3 * ((b > 3) ^ (c > 0))).astype(int)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y, 1.0 + 2 * y, strict=True)], "a double, b double, c double, y double, w double")
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=6).fit(rows)
+    want = {(r.a, r.b, r.c): r.p for r in model.transform(rows).select("a", "b", "c", vector_to_array("probability")[1].alias("p")).distinct().collect()}
+    x = np.array(sorted(want), int)
+    n = np.array([[((a == i) & (b == j) & (c == k) & (y == v)).sum() for v in (0, 1)] for i, j, k in x], float)
+    share, gains = L._gini_tree(x, n, np.array([1.0, 3.0]), rng, 3, 6)
+    assert share == pytest.approx([want[tuple(map(float, r))] for r in x])
+    assert gains / gains.sum() == pytest.approx(model.featureImportances.toArray())
+
+
+def test_forest_work_does_not_grow_with_rows(spark):
+    """Trees see counted cells: ten times the rows give as many cells, and near scores."""
+    import numpy as np
+
+    one = spark.range(4000).select(F.col("id").alias("account_id"), (F.col("id") * 7919 % 1009).cast("double").alias("a"), F.concat(F.lit("k"), F.col("id") % 3).alias("c"), ((F.col("id") * 7919 % 1009 > 500) != (F.col("id") % 5 == 0)).cast("int").alias("event_observed"))
+    ten = one.crossJoin(spark.range(10).select(F.col("id").alias("i"))).withColumn("account_id", F.col("account_id") + 4000 * F.col("i")).drop("i")
+    seen, kept = [], L._each_tree
+
+    def counted(cells, *more):
+        seen.append(cells.count())
+        return kept(cells, *more)
+
+    L._each_tree = counted
+    try:
+        small, large = (L.churn_baseline(d, ["a"], ["c"], "forest", trees=10).first() for d in (one, ten))
+    finally:
+        L._each_tree = kept
+    assert seen[0] <= 96 and seen[1] <= 96 and abs(large.n_test - 8000) < 3
+    assert np.isclose(small.auc, large.auc, atol=0.03) and large.auc > 0.7

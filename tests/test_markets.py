@@ -363,3 +363,25 @@ def test_forest_work_does_not_grow_with_rows(spark):
         L._each_tree = kept
     assert seen[0] <= 96 and seen[1] <= 96 and abs(large.n_test - 8000) < 3
     assert np.isclose(small.auc, large.auc, atol=0.03) and large.auc > 0.7
+
+
+def test_grid_counts_all_rows_once(spark):
+    """All forests of the grid grow from one table of counts, which has every training row."""
+    days = [(i, 1, f"v{i % 60}", "NATION_1" if i % 4 else "NATION_9", float(i % 997), (i * 31) % 2000) for i in range(3000)]
+    df = spark.createDataFrame(days, "award_id long, line int, vendor string, agency string, amount double, duration int")
+    seen, kept = [], L._each_tree
+
+    def counted(cells, *more):
+        seen.append({r.forest: r.n for r in cells.groupBy("forest").agg(F.sum(F.col("n0") + F.col("n1")).alias("n")).collect()})
+        return kept(cells, *more)
+
+    L._each_tree = counted
+    try:
+        out = L.importance_grid(df, ["NATION_1"], [365, 1095, 9999], (10, 25), trees=5).collect()
+    finally:
+        L._each_tree = kept
+    assert seen == [dict.fromkeys(range(4), 2250)]  # no contract lasts 9,999 days
+    sums = {}
+    for r in out:
+        sums[r.threshold, r.tier] = sums.get((r.threshold, r.tier), 0) + r.importance
+    assert sorted(sums) == [(365, 10), (365, 25), (1095, 10), (1095, 25)] and all(v == pytest.approx(1) for v in sums.values())

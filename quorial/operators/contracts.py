@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum, holds_any
-from ..functions.tables import written
+from ..functions.tables import few, written
 from .survival import _ranges
 
 #: Days of the survival labels.
@@ -57,8 +57,16 @@ def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> D
 
     Counts of ranges of values tell which ranges hold the ranks in question, and only the
     different values of these are put in order.  No group's values are held together."""
-    rows = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    cells = written(_ranges(rows, "v").groupBy("by", "_range", "v").agg(F.count("*").alias("n")), "values")
+    return _quantiles(_counted(df, by, value), by, shares)
+
+
+def _counted(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, v, n``: how often each group has each value, written."""
+    return written(df.groupBy(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")), "values")
+
+
+def _quantiles(counted: DataFrame, by: str, shares: dict[str, float]) -> DataFrame:
+    cells = _ranges(counted.where("v IS NOT NULL"), "v")
     # a row for each group and range
     per = cells.groupBy("by", "_range").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("by")
@@ -82,11 +90,17 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def describe(df: DataFrame, by: str, value: str = "duration") -> DataFrame:
-    """Count, mean, deviation, least, exact linear quartiles and most, to 2 digits."""
-    v = F.col(value).cast("double")
-    sums = df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q = quantiles(df, by, value, QUARTILES).withColumnRenamed(by, "_by")
-    return sums.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "std", "min", *[F.round(c, 2).alias(c) for c in QUARTILES], "max")
+    """Count, mean, deviation, least, exact linear quartiles and most, to 2 digits, all from
+    one table of how often a group has each value, so ``df`` is made once."""
+    counted = _counted(df, by, value)
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    sums = counted.groupBy("by").agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    far = counted.join(few(sums.select(F.col("by").alias("_b"), "mean")), F.col("by").eqNullSafe(F.col("_b")))
+    far = far.groupBy(F.col("by").alias("_d")).agg(F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("squares"))
+    q = _quantiles(counted, "_by", QUARTILES)
+    out = sums.join(far, F.col("by").eqNullSafe(F.col("_d"))).join(q, F.col("by").eqNullSafe(F.col("_by")), "left")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return out.select(F.col("by").alias(by), "n", F.round("mean", 2).alias("mean"), F.round(std, 2).alias("std"), "min", *[F.round(c, 2).alias(c) for c in QUARTILES], "max")
 
 
 def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:

@@ -1,11 +1,15 @@
 """Generated churn data and the public account table."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from quorial.operators import contracts as K
 from quorial.operators import survival as S
 from quorial.sources import generators as G
 from quorial.sources import readers as R
+from quorial.sources.paged import read_paged, write_pages
 
 
 def test_churn_data(spark):
@@ -112,3 +116,28 @@ def test_quantiles_in_ranges(spark):
         assert got[k] == pytest.approx(tuple(np.quantile(vs, [0.1, 0.5, 0.99])))
     described = {r.g: r.q50 for r in K.describe(df, "g", "v").collect()}
     assert described["e"] is None and described["c"] == 7
+
+
+def test_describe_makes_its_rows_once(spark):
+    """Every row passes once, whatever is told of it; groups without values stay."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", 1), ("a", 2), ("a", 2), ("a", 9), ("b", 4), (None, 3), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, duration int").mapInArrow(look, "g string, duration int")
+    out = {r.g: tuple(r)[1:] for r in K.describe(df, "g").collect()}
+    assert seen.value == len(rows)
+    assert out == {"a": (4, 3.5, 3.7, 1.0, 1.75, 2.0, 3.75, 9.0), "b": (1, 4.0, None, 4.0, 4.0, 4.0, 4.0, 4.0), None: (1, 3.0, None, 3.0, 3.0, 3.0, 3.0, 3.0), "c": (0, *[None] * 7)}
+
+
+def test_packed_pages(spark, tmp_path):
+    df = spark.range(40).select("id", F.lit(2020).alias("year"), F.lit("ü").alias("x"))
+    write_pages(df, f"{tmp_path}/pages", "year", ["id"], 10)
+    files = [n for _, _, names in os.walk(f"{tmp_path}/pages") for n in names if n[0] not in "._"]
+    assert files and all(n.endswith(".gz") for n in files)
+    back = read_paged(spark, "id long, x string", path=f"{tmp_path}/pages", years="2020", max_pages="4")
+    assert sorted((r.id, r.x) for r in back.collect()) == [(i, "ü") for i in range(40)]

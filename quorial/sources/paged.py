@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import time
@@ -28,7 +29,7 @@ class PagedSource(DataSource):
 
     Options: ``url`` (asked by POST with the year's dates, page and limit; answers have a
     list under ``results``) or ``path`` (a folder that all executors see, with the lines of
-    the files under ``fiscal_year=Y/page=P``); ``years`` as ``2018-2024`` or a list with
+    the files under ``fiscal_year=Y/page=P``, of which ``.gz`` are unpacked); ``years`` as ``2018-2024`` or a list with
     commas; ``max_pages`` a year (10), ``limit`` records a page (100), ``pages_per_task``
     (1), ``pause`` in seconds between a task's requests (0), ``tries`` (3), ``body`` (JSON
     that goes with each request) and ``pushdown``.
@@ -91,7 +92,7 @@ class PagedReader(DataSourceReader):
         names = sorted(n for n in os.listdir(folder) if n[0] not in "._")
         out: list[str] = []
         for n in names:
-            with open(f"{folder}/{n}", encoding="utf-8") as f:
+            with (gzip.open if n.endswith(".gz") else open)(f"{folder}/{n}", "rt", encoding="utf-8") as f:
                 out += [x for x in f.read().split("\n") if x.strip()]
         return out
 
@@ -130,9 +131,11 @@ def read_paged(spark: SparkSession, schema: str, **options: str) -> DataFrame:
 
 def write_pages(df: DataFrame, path: str, year: str, key: list[str], limit: int) -> None:
     """``df`` as a folder of pages of about ``limit`` records, dealt by a hash of ``key``:
-    a page and its number of rows don't depend on others, so nothing is put in order."""
+    a page and its number of rows don't depend on others, so nothing is put in order.  Rows
+    are moved to their page's task before they are made JSON, and pages are gzip files."""
     counts = df.groupBy(F.col(year).alias("_y")).agg(F.ceil(F.count("*") / limit).cast("int").alias("_pages"))
     joined = df.join(counts, F.col(year) == F.col("_y"))
     page = F.pmod(F.xxhash64(*key), F.col("_pages")) + 1
-    lines = joined.select(F.col(year).alias("fiscal_year"), page.cast("int").alias("page"), F.to_json(F.struct(*df.columns)).alias("value"))
-    lines.repartition("fiscal_year", "page").write.partitionBy("fiscal_year", "page").text(path)
+    dealt = joined.select(F.struct(*df.columns).alias("_row"), F.col(year).alias("fiscal_year"), page.cast("int").alias("page")).repartition("fiscal_year", "page")
+    lines = dealt.select("fiscal_year", "page", F.to_json("_row").alias("value"))
+    lines.write.partitionBy("fiscal_year", "page").text(path, compression="gzip")

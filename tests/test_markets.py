@@ -385,3 +385,15 @@ def test_grid_counts_all_rows_once(spark):
     for r in out:
         sums[r.threshold, r.tier] = sums.get((r.threshold, r.tier), 0) + r.importance
     assert sorted(sums) == [(365, 10), (365, 25), (1095, 10), (1095, 25)] and all(v == pytest.approx(1) for v in sums.values())
+
+
+def test_sector_forests_grow_together(spark):
+    rows = [(f"v{i % 40}", "NATION_1" if i % 2 else "NATION_9", float(i % 97), 2000 if i % 97 > 48 else 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vendor string, agency string, amount double, duration int")
+    seen, kept = [], L._each_tree
+    L._each_tree = lambda cells, *more: (seen.append(cells.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]), kept(cells, *more))[1]
+    try:
+        out = {(r.sector, r.feature): r.importance for r in L.importance_by_sector(df, ["NATION_1"], trees=5).collect()}
+    finally:
+        L._each_tree = kept
+    assert seen == [2000] and len(out) == 4 and all(out[s, "amount"] > 0.9 for s in ("DoD", "Civilian"))

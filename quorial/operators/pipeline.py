@@ -112,8 +112,8 @@ def diagnose_graph(links: DataFrame, pipelines: DataFrame, quotas: DataFrame, th
     ``pipelines`` (node, pipeline) and ``quotas`` (node, quota).  A node's pipeline counts
     once for every way down to a leaf, its level is the fewest steps from a root."""
     links = links.select("parent", "child").distinct()
-    facts = rolled_up(links, pipelines, ["pipeline"]).join(levels(links), "node").join(graph_thresholds(links, thresholds), "node")
-    joined = facts.join(quotas.select("node", "quota"), "node")
+    facts = rolled_up(links, pipelines, ["pipeline"]).join(levels(links).hint("merge"), "node").join(graph_thresholds(links, thresholds).hint("merge"), "node")
+    joined = facts.join(quotas.select("node", "quota").hint("merge"), "node")
     coverage = ratio(F.col("pipeline"), F.col("quota"))
     return joined.select(
         F.col("node").alias("Node"), F.col("level").alias("Level"), F.round("quota", 2).alias("Cascaded_Quota"), F.round("pipeline", 2).alias("Pipeline"),
@@ -138,11 +138,11 @@ def adjust_graph(links: DataFrame, pipelines: DataFrame, quotas: DataFrame, thre
     double = members.groupBy("node").count().where("count > 1").limit(1).collect()
     if double:
         raise ValueError(f"{double[0].node!r} is in more than one team")
-    known = members.join(start, "node", "left").join(pipelines.select("node", "pipeline"), "node", "left").join(graph_thresholds(links, thresholds), "node")
+    known = members.join(start.hint("merge"), "node", "left").join(pipelines.select("node", "pipeline").hint("merge"), "node", "left").join(graph_thresholds(links, thresholds).hint("merge"), "node")
     locked = F.col("node").isin(*locks) if locks else F.lit(False)
     rows = known.select("team", "node", "healthy", "at_risk", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("pipeline", F.lit(0.0)).alias("pipeline"), (~locked).alias("free"))
     done = _moved(rows, Window.partitionBy("team"), max_pct).select("node", "adjusted")
-    return start.join(done, "node", "left").select("node", "quota", F.coalesce("adjusted", "q").alias("adjusted"))
+    return start.join(done.hint("merge"), "node", "left").select("node", "quota", F.coalesce("adjusted", "q").alias("adjusted"))
 
 
 def zero_sum(adjusted: DataFrame, parents: DataFrame, max_pct: float = 0.20) -> DataFrame:

@@ -96,7 +96,7 @@ def cascade_graph(links: DataFrame, capacities: DataFrame, target: float, root:
     kinds = nodes(links).select("node", "is_leaf")
     caps = rolled_up(links, capacities, ["capacity"]).withColumnRenamed("capacity", "cap")
     team = Window.partitionBy("parent")
-    rows = links.join(caps.withColumnRenamed("node", "child"), "child").join(kinds.withColumnRenamed("node", "child"), "child")
+    rows = links.join(caps.withColumnRenamed("node", "child").hint("merge"), "child").join(kinds.withColumnRenamed("node", "child").hint("merge"), "child")
     rows = rows.withColumn("whole", F.bool_and("is_leaf").over(team)).withColumn("over", F.when(F.col("whole"), lookup(F.col("child"), overrides or {}, None).cast("double")))
     fresh = F.col("whole") & F.col("over").isNull() & (F.col("cap") == 0)
     n, total = F.count("*").over(team), F.sum("cap").over(team)
@@ -109,8 +109,8 @@ def cascade_graph(links: DataFrame, capacities: DataFrame, target: float, root:
     steps = rows.select("parent", "child", (a * factor).cast("double").alias("a"), b.cast("double").alias("b"))
     if links.groupBy("child").count().where("count > 1").limit(1).count():
         heads = written(below(links, root).select("node").distinct().union(links.sparkSession.createDataFrame([(root,)], "node string")).distinct(), "reached")
-        order = heads.join(topological(links), "node").select(F.col("node").alias("parent"), "place")
-        steps = steps.join(order, "parent").groupBy("child").agg(F.max(F.struct("place", "parent", "a", "b")).alias("last")).select("child", "last.parent", "last.a", "last.b")
+        order = heads.join(topological(links).hint("merge"), "node").select(F.col("node").alias("parent"), "place")
+        steps = steps.join(order.hint("merge"), "parent").groupBy("child").agg(F.max(F.struct("place", "parent", "a", "b")).alias("last")).select("child", "last.parent", "last.a", "last.b")
     return handed_down(written(steps, "steps"), root, target).withColumnRenamed("value", "quota")
 
 

@@ -131,3 +131,14 @@ def test_jagged_teams(spark):
         P.adjust_graph(e.union(spark.createDataFrame([("i9", "i0")], EDGE)), pipes, quotas, {}, "redistribute")
     with pytest.raises(ValueError):
         P.adjust_graph(e, pipes, quotas, {}, "other")
+
+
+def test_sides_of_joins_are_counted(spark, monkeypatch):
+    """Only inner nodes are broadcast, and only few."""
+    from quorial.operators import graphs
+
+    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("a", "y")], "parent string, child string")
+    state = spark.createDataFrame([(n,) for n in "rabxy"], "node string")
+    assert sorted(r.node for r in graphs.inner(links)(state, "node").collect()) == ["a", "r"]
+    monkeypatch.setattr(graphs, "FEW", 1)
+    assert graphs.inner(links)(state, "node").count() == 5

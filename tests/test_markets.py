@@ -397,3 +397,10 @@ def test_sector_forests_grow_together(spark):
     finally:
         L._each_tree = kept
     assert seen == [2000] and len(out) == 4 and all(out[s, "amount"] > 0.9 for s in ("DoD", "Civilian"))
+
+
+def test_poisson_draws(spark):
+    """Draws of a group of trees have the mean and variance that single trees' sum to."""
+    u = (F.col("id") + 0.5) / 20_000
+    r = spark.range(20_000).select(L._poisson(u, 0.46).alias("k")).agg(F.avg("k").alias("mean"), F.var_pop("k").alias("var")).first()
+    assert r["mean"] == pytest.approx(0.46, abs=0.005) and r["var"] == pytest.approx(0.46, abs=0.01)

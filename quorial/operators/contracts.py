@@ -109,9 +109,10 @@ def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
     return sums.orderBy(F.desc("total"), "vendor").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "vendor")))
 
 
-def with_tiers(df: DataFrame, tiers: tuple[int, ...] = (10, 25, 50)) -> DataFrame:
-    """Flags for the vendors of each tier.  At most ``max(tiers)`` vendors are joined."""
-    best = top_vendors(df, max(tiers)).select(F.col("vendor").alias("_v"), "rank")
+def with_tiers(df: DataFrame, tiers: tuple[int, ...] = (10, 25, 50), of: DataFrame | None = None) -> DataFrame:
+    """Flags for the vendors of each tier, which are found in ``of``, or else in ``df``.
+    At most ``max(tiers)`` vendors are joined."""
+    best = top_vendors(df if of is None else of, max(tiers)).select(F.col("vendor").alias("_v"), "rank")
     out = df.join(F.broadcast(best), F.col("vendor") == F.col("_v"), "left")
     flags = {f"is_top_{n}": F.coalesce(F.col("rank") <= n, F.lit(False)) for n in tiers}
     return out.withColumns(flags).drop("_v", "rank")

@@ -399,6 +399,49 @@ def test_sector_forests_grow_together(spark):
     assert seen == [2000] and len(out) == 4 and all(out[s, "amount"] > 0.9 for s in ("DoD", "Civilian"))
 
 
+def _contract_frame(spark):
+    rows = [(i // 3, i % 3, f"v{i % 57}", "NATION_1" if i % 4 else "NATION_9", float(i * 17 % 21), (i * 31) % 2000) for i in range(6000)]
+    return spark.createDataFrame(rows, "award_id long, line int, vendor string, agency string, amount double, duration int")
+
+
+def _watched(run):
+    """What ``run`` gives, the rows that it wrote as tables by name, and the cells of its trees."""
+    tables, cells, write, grow = {}, [], L.written, L._each_tree
+
+    def counted(df, name):
+        out = write(df, name)
+        tables[name] = tables.get(name, 0) + out.count()
+        return out
+
+    def kept(df, *more):
+        cells.extend(map(tuple, df.select(*sorted(df.columns)).collect()))
+        return grow(df, *more)
+
+    L.written, L._each_tree = counted, kept
+    try:
+        return run(), tables, sorted(cells)
+    finally:
+        L.written, L._each_tree = write, grow
+
+
+def test_grid_writes_rows_once(spark):
+    """What forests train on is the plain split's three quarters, and is not written again."""
+    from quorial.operators import contracts as K
+    from quorial.operators import survival as S
+
+    df = _contract_frame(spark)
+    out, tables, cells = _watched(lambda: L.importance_grid(df, ["NATION_1"], [1825, 365], (10, 25), trees=3).collect())
+    assert len(out) == 12 and sum(n for n in tables.values() if n > 1000) == 6000
+    plain = S.split(K.with_tiers(df, (10, 25)).withColumn("key", F.concat_ws("/", "award_id", "line")), "key", 0.25).where("NOT is_test").collect()
+    assert len(plain) == 4500
+    want = {}
+    for r in plain:
+        for i, (days, top) in enumerate((d, t) for d in (1825, 365) for t in (r.is_top_10, r.is_top_25)):
+            n = want.setdefault((int(r.amount), int(top), int(r.agency == "NATION_1"), i), [0, 0])
+            n[r.duration >= days] += 1
+    assert cells == sorted((*k, *n) for k, n in want.items())
+
+
 def test_poisson_draws(spark):
     """Draws of a group of trees have the mean and variance that single trees' sum to."""
     u = (F.col("id") + 0.5) / 20_000

@@ -103,12 +103,19 @@ def describe(df: DataFrame, by: str, value: str = "duration") -> DataFrame:
     return out.select(F.col("by").alias(by), "n", F.round("mean", 2).alias("mean"), F.round(std, 2).alias("std"), "min", *[F.round(c, 2).alias(c) for c in QUARTILES], "max")
 
 
-def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
+def vendor_sums(df: DataFrame, *by: str) -> DataFrame:
+    return df.where("vendor IS NOT NULL").groupBy(*by, "vendor").agg(exact_sum("amount").alias("total"), F.count("*").alias("contracts"))
+
+
+def best_vendors(sums: DataFrame, n: int) -> DataFrame:
     """Only the n best are sorted, so no window over all vendors is needed."""
-    sums = df.where("vendor IS NOT NULL").groupBy("vendor").agg(exact_sum("amount").alias("total"), F.count("*").alias("contracts"))
     return sums.orderBy(F.desc("total"), "vendor").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "vendor")))
 
 
+def top_vendors(df: DataFrame, n: int = 10) -> DataFrame:
+    return best_vendors(vendor_sums(df), n)
+
+
 def with_tiers(df: DataFrame, tiers: tuple[int, ...] = (10, 25, 50), of: DataFrame | None = None) -> DataFrame:
     """Flags for the vendors of each tier, which are found in ``of``, or else in ``df``.
     At most ``max(tiers)`` vendors are joined."""

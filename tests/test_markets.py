@@ -442,6 +442,47 @@ def test_grid_writes_rows_once(spark):
     assert cells == sorted((*k, *n) for k, n in want.items())
 
 
+def test_sectors_are_read_together(spark):
+    """One look at the contracts each for vendors, bins and cells, with tiers within sectors."""
+    rows = [(f"v{i % 57}", "NATION_1" if i % 4 else "NATION_9", float(i * 7919 % 3001) + i % 57, (i * 31) % 2000) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vendor string, agency string, amount double, duration int")
+    read, write = spark.sparkContext.accumulator(0), L.written
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def watched(table, name):
+        out = write(table, name)
+        if name != "contracts":
+            return out
+        back = out.mapInArrow(seen, out.schema)
+        back.written_to = out.written_to
+        return back
+
+    L.written = watched
+    try:
+        out, _, cells = _watched(lambda: L.importance_by_sector(df, ["NATION_1"], trees=3).collect())
+        looks = read.value - 6000  # ``_watched`` counts the table as well
+    finally:
+        L.written = write
+    assert len(out) == 4 and looks == 3 * 6000
+    want = {}
+    for k in (0, 1):
+        own, sums = [r for r in rows if (r[1] == "NATION_9") == bool(k)], {}
+        for r in own:
+            sums[r[0]] = sums.get(r[0], 0) + r[2]
+        best = sorted(sums, key=lambda v: (-sums[v], v))[:10]
+        for r in own:
+            n = want.setdefault((int(r[0] in best), k), [0, 0])
+            n[r[3] >= 1825] += 1
+    got = {}
+    for _, top, k, *n in cells:
+        got[top, k] = [x + y for x, y in zip(got.get((top, k), (0, 0)), n, strict=True)]
+    assert got == want and {c[0] for c in cells} == set(range(32))
+
+
 def test_poisson_draws(spark):
     """Draws of a group of trees have the mean and variance that single trees' sum to."""
     u = (F.col("id") + 0.5) / 20_000

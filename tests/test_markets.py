@@ -483,6 +483,19 @@ def test_sectors_are_read_together(spark):
     assert got == want and {c[0] for c in cells} == set(range(32))
 
 
+def test_bins_are_compiled(spark):
+    """Bins are the counts of borders under a value, by conditions without a lambda."""
+    values = [float("-inf"), -1.0, 0.0, 0.5, 1.0, 2.0, 7.5, 8.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for borders in ([], [0.0], [0.0, 1.0], [-1.0, 0.5, 2.0, 7.5, 8.0], [i / 4 for i in range(31)]):
+        out = df.select("x", L._bin("x", borders).alias("k"))
+        assert {r.x: r.k for r in out.collect()} == {v: sum(b < v for b in borders) for v in values}
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for odd in (None, float("nan")):
+        with pytest.raises(Exception, match="x has no value"):
+            spark.createDataFrame([(odd,)], "x double").select(L._bin("x", [1.0])).collect()
+
+
 def test_poisson_draws(spark):
     """Draws of a group of trees have the mean and variance that single trees' sum to."""
     u = (F.col("id") + 0.5) / 20_000
